@@ -35,6 +35,7 @@ SYSTEM_PROMPT = (
 NO_CONTEXT_SYSTEM_PROMPT = (
     "Answer the question from your own knowledge; if you do not know, say so."
 )
+NO_CONTEXT_ANSWER = "I do not know enough about this to answer."
 NO_HIT_ANSWER = (
     "No indexed passage was similar enough to the question to answer it."
 )

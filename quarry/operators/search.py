@@ -151,7 +151,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
         corpus_vec: str = "embedding", payload: Sequence[str] = (),
         per_query_k: str | None = None, max_k: int = 20,
         cell_col: str | None = None, probes: DataFrame | None = None,
-        broadcast_limit_bytes: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
+        broadcast_limit_bytes: int = DEFAULT_BROADCAST_LIMIT,
+        materialize: bool = True) -> DataFrame:
     """Top-k corpus rows per question by inner product.
 
     Returns ``query_id, rank, <corpus_keys>, score, <payload>`` (``query_id``
@@ -159,6 +160,10 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
     its own k (T3), bounded by the static ``max_k``. With ``probes``
     (``query_id, cell``) and ``cell_col``, each question is scored only
     against the cells it probes (J4), and only those cells are read.
+
+    The hits (at most ``k`` per question) are checkpointed to the shared
+    checkpoint folder, so every downstream consumer (context, sources,
+    evaluators) reuses one scan of the corpus and the lineage is cut.
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -213,7 +218,12 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
         kq = queries.select(F.col(query_key).alias("query_id"),
                             F.coalesce(F.col(per_query_k), F.lit(k)).alias("__k"))
         ranked = ranked.join(F.broadcast(kq), "query_id").filter(F.col("rank") <= F.col("__k")).drop("__k")
-    return ranked.select("query_id", "rank", *corpus_keys, "score", *payload)
+    out = ranked.select("query_id", "rank", *corpus_keys, "score", *payload)
+    if materialize:
+        from ..session import checkpoint_dir
+        checkpoint_dir(spark)
+        out = out.checkpoint(eager=True)
+    return out
 
 
 def threshold_filter(hits: DataFrame, threshold: float, score_col: str = "score") -> DataFrame:

@@ -120,6 +120,219 @@ def hit_sources(spark, sf_dir):
         F.round("score", 4).alias("score"), preview("chunk_text").alias("preview"))
 
 
+# --- answering: context, prompts, generation --------------------------------
+
+def _hits(spark, sf_dir, payload=("filename", "chunk_text", "token_count", "embedding")):
+    return retrieve(_questions(spark, sf_dir), _chunks(spark, sf_dir), CFG, k=CFG.top_k,
+                    payload=payload)
+
+
+def _answers(spark, sf_dir, hits=None):
+    from .rag import answer_questions
+    q = _questions(spark, sf_dir)
+    return answer_questions(q, None, CFG, hits=hits if hits is not None else _hits(spark, sf_dir))
+
+
+def rag_answers(spark, sf_dir):
+    """C2 over the whole benchmark table, flattened."""
+    a = _answers(spark, sf_dir)
+    return a.select("query_id", "answer", "error", "model",
+                    F.size("sources").cast("int").alias("n_sources"),
+                    F.element_at("scores", 1).alias("top_score"),
+                    "chunks_retrieved", "chunks_used", "chunks_in_context")
+
+
+def context_budget(spark, sf_dir):
+    from ..operators.context import budget_context
+    from ..operators.search import threshold_filter
+    passed = budget_context(threshold_filter(_hits(spark, sf_dir), CFG.similarity_threshold),
+                            CFG.max_context_tokens)
+    return passed.select("query_id", "rank", "token_count",
+                         F.col("running_tokens").cast("long").alias("running_tokens"), "in_context")
+
+
+def prompt_messages(spark, sf_dir):
+    from ..functions import prompt as P
+    from ..operators.context import budget_context, context_blocks
+    from ..operators.search import threshold_filter
+    passed = budget_context(threshold_filter(_hits(spark, sf_dir), CFG.similarity_threshold),
+                            CFG.max_context_tokens)
+    ctx = context_blocks(passed)
+    msgs = _questions(spark, sf_dir).join(ctx, "query_id") \
+        .withColumn("m", P.messages(F.col("context"), F.col("question")))
+    return msgs.select("query_id", F.col("m")[0]["content"].alias("system_message"),
+                       F.col("m")[1]["content"].alias("user_message"),
+                       "chunks_in_context", "context_tokens")
+
+
+def _conversations(spark, sf_dir):
+    return read_table(spark, sf_dir, "conversations")
+
+
+def chat_render(spark, sf_dir):
+    """F17 per conversation: ordered messages -> transcript prompt."""
+    from ..functions import prompt as P
+    conv = _conversations(spark, sf_dir)
+    msgs = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(
+        F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    return msgs.select("conv_id", P.render_chat(F.col("m")).alias("prompt"))
+
+
+def answer_postprocess(spark, sf_dir):
+    """F18 on generated text built from each conversation turn: an echoed
+    prompt on even turns, and a ``---`` tail on all."""
+    from ..functions import prompt as P
+    conv = _conversations(spark, sf_dir)
+    prompt = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"))
+    gen = F.concat(F.when(F.col("turn") % 2 == 0, prompt).otherwise(F.lit("")),
+                   F.col("text"), F.lit("\n\n---\nnotes for turn "), F.col("turn").cast("string"))
+    return conv.select("conv_id", "turn", P.postprocess_answer(gen, prompt).alias("answer"))
+
+
+def request_validation(spark, sf_dir):
+    """PF9 on conversation turns used as requests; top_k from the turn
+    number (NULL for system turns -> default)."""
+    from ..operators.clean import validate_questions
+    conv = _conversations(spark, sf_dir).select(
+        "conv_id", "turn", F.col("text").alias("question"),
+        F.when(F.col("role") == "system", F.lit(None)).otherwise(F.col("turn") * 4 - 1)
+        .cast("int").alias("top_k"))
+    v = validate_questions(conv, CFG.top_k, CFG.max_top_k, CFG.max_question_chars)
+    return v.select("conv_id", "turn", "k", "error")
+
+
+# --- evaluation -----------------------------------------------------------
+
+def _safety_out(df, keys, answer):
+    from ..functions.safety import safety_struct
+    s = safety_struct(answer)
+    return df.select(*keys, s.alias("s")).select(
+        *keys, F.col("s.is_safe").alias("is_safe"), F.col("s.risk_level").alias("risk_level"),
+        F.col("s.total_flags").alias("total_flags"),
+        F.array_join(F.transform("s.flags", lambda f: f["category"]), ",").alias("categories"))
+
+
+def safety_flags(spark, sf_dir):
+    """C3 over every document text (emails, card-like numbers, long texts)."""
+    return _safety_out(read_table(spark, sf_dir, "documents"), ["doc_id"], F.col("text"))
+
+
+SAFETY_SUFFIX = {"assistant": " I think it is probably right, maybe.",
+                 "user": " I cannot determine that from here."}
+
+
+def safety_verdict(spark, sf_dir):
+    """C3 over conversation turns with role-dependent hedging/refusal text."""
+    conv = _conversations(spark, sf_dir)
+    suffix = F.coalesce(*[F.when(F.col("role") == r, F.lit(v)) for r, v in SAFETY_SUFFIX.items()],
+                        F.lit(""))
+    return _safety_out(conv, ["conv_id", "turn"], F.concat(F.col("text"), suffix))
+
+
+def sentence_split(spark, sf_dir):
+    from ..functions.text import split_sentences
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(split_sentences(F.col("text"))).alias("sentence_idx", "sentence")) \
+        .withColumn("sentence_idx", F.col("sentence_idx").cast("int"))
+
+
+def relevance_scores(spark, sf_dir):
+    from ..operators.evaluate import relevance
+    r = relevance(_hits(spark, sf_dir), CFG.relevance_threshold)
+    return r.select("query_id", "mean_score", "above_threshold", "precision_at_k")
+
+
+def _embedder():
+    from .rag import default_embedder
+    return default_embedder(CFG)
+
+
+def groundedness_scores(spark, sf_dir):
+    """C5 with each benchmark passage as the answer to check against its
+    own top-5 chunks (passages are planted in some documents)."""
+    from ..operators.evaluate import groundedness
+    ans = _questions(spark, sf_dir).select("query_id", F.col("question").alias("answer"))
+    g = groundedness(ans, _hits(spark, sf_dir), _embedder(), CFG.groundedness_threshold)
+    return g.select("query_id", "overall_score", "is_grounded", "grounded_sentences", "total_sentences")
+
+
+def _runs(spark, sf_dir, hits=None):
+    """``reliability_runs`` answers per question; run r answers from the
+    chunk at rank r+1 (a deterministic stand-in for sampled generations)."""
+    from ..operators.generate import extractive_answer
+    h = hits if hits is not None else _hits(spark, sf_dir)
+    return h.filter(F.col("rank") <= RELIABILITY_RUNS).select(
+        "query_id", (F.col("rank") - 1).alias("run"), extractive_answer(F.col("chunk_text")).alias("answer"))
+
+
+RELIABILITY_RUNS = 3
+
+
+def reliability_scores(spark, sf_dir):
+    from ..operators.evaluate import reliability
+    r = reliability(_runs(spark, sf_dir), _embedder())
+    return r.select("query_id", "mean_consistency", "min_consistency", "std_consistency",
+                    "length_coefficient_of_variation", "num_runs", "is_reliable")
+
+
+def _keywords(question):
+    from ..functions.tokens import embed_terms
+    return F.array_distinct(F.filter(embed_terms(question), lambda t: F.length(t) >= 8))
+
+
+def keyword_accuracy(spark, sf_dir):
+    """RAG answers against keywords drawn from each question (its
+    distinct terms of 8+ characters)."""
+    from ..operators.evaluate import keyword_accuracy as kacc
+    a = _answers(spark, sf_dir).withColumn("kw", _keywords(F.col("question")))
+    return a.select("query_id", F.size("kw").cast("int").alias("n_keywords"),
+                    F.round(kacc("answer", "kw"), 4).alias("keyword_accuracy"))
+
+
+def _quality(spark, sf_dir):
+    from ..operators.evaluate import evaluate
+    hits = _hits(spark, sf_dir)
+    ans = _answers(spark, sf_dir, hits)
+    return evaluate(ans.select("query_id", "answer"), hits, _embedder(), CFG)
+
+
+def quality_scores(spark, sf_dir):
+    return _quality(spark, sf_dir)
+
+
+def benchmark_compare(spark, sf_dir):
+    """RAG vs no-context answers on keyword accuracy (U2 union, A11
+    averages, A12 improvement) plus the mean quality score."""
+    from ..functions.prompt import NO_CONTEXT_ANSWER
+    from ..operators.evaluate import keyword_accuracy as kacc
+    ans = _answers(spark, sf_dir).withColumn("kw", _keywords(F.col("question")))
+    rag = ans.select("query_id", F.lit("rag").alias("variant"), kacc("answer", "kw").alias("acc"))
+    base = ans.select("query_id", F.lit("baseline").alias("variant"),
+                      kacc(F.lit(NO_CONTEXT_ANSWER), "kw").alias("acc"))
+    per = rag.unionByName(base).groupBy().agg(
+        F.avg(F.when(F.col("variant") == "baseline", F.col("acc"))).alias("b"),
+        F.avg(F.when(F.col("variant") == "rag", F.col("acc"))).alias("r"))
+    q = _quality(spark, sf_dir).agg(F.avg("quality_score").alias("avg_q"))
+    imp = F.col("r") - F.col("b")
+    # both sides are single-row aggregates: join them on a constant key
+    return per.withColumn("__one", F.lit(1)).join(q.withColumn("__one", F.lit(1)), "__one").select(
+        F.round("b", 4).alias("baseline_avg_accuracy"), F.round("r", 4).alias("rag_avg_accuracy"),
+        F.round(imp, 4).alias("improvement_absolute"),
+        F.round(F.when(F.col("b") > 0, imp / F.col("b") * 100).otherwise(F.lit(0.0)), 1)
+        .alias("improvement_relative_pct"),
+        F.round("avg_q", 4).alias("rag_avg_quality_score"))
+
+
+def demo_summary(spark, sf_dir):
+    """Mean quality, pass rate and index size for the run."""
+    q = _quality(spark, sf_dir).agg(
+        F.round(F.avg("quality_score"), 4).alias("average_quality"),
+        F.round(F.avg(F.col("pass").cast("double")), 4).alias("pass_rate"),
+        F.count(F.lit(1)).alias("n_questions"))
+    n = _chunks(spark, sf_dir).agg(F.count(F.lit(1)).alias("total_chunks"))
+    return q.withColumn("__one", F.lit(1)).join(n.withColumn("__one", F.lit(1)), "__one").drop("__one")
+
+
 QUERIES = {
     "clean_whitespace": clean_whitespace,
     "clean_lines": clean_lines,
@@ -130,4 +343,20 @@ QUERIES = {
     "embed_hashed": embed_hashed,
     "knn_documents": knn_documents,
     "hit_sources": hit_sources,
+    "rag_answers": rag_answers,
+    "context_budget": context_budget,
+    "prompt_messages": prompt_messages,
+    "chat_render": chat_render,
+    "answer_postprocess": answer_postprocess,
+    "request_validation": request_validation,
+    "safety_flags": safety_flags,
+    "safety_verdict": safety_verdict,
+    "sentence_split": sentence_split,
+    "relevance_scores": relevance_scores,
+    "groundedness_scores": groundedness_scores,
+    "reliability_scores": reliability_scores,
+    "keyword_accuracy": keyword_accuracy,
+    "quality_scores": quality_scores,
+    "benchmark_compare": benchmark_compare,
+    "demo_summary": demo_summary,
 }

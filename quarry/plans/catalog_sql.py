@@ -50,3 +50,237 @@ SELECT h.query_id, h.rank, c.filename, h.chunk_index, round(h.score, 4) AS score
        substring(c.chunk_text, 1, 150) || '...' AS preview
 FROM hits h JOIN chunks c USING (doc_id, chunk_index)
 WHERE h.score >= {CFG.similarity_threshold}"""
+
+
+def _hits_ctes() -> str:
+    return f"""{_corpus_ctes()}, {O.knn_cte(CFG, str(CFG.top_k))},
+hx AS (
+  SELECT h.query_id, h.rank, h.doc_id, h.chunk_index, h.score, c.filename, c.token_count, c.chunk_text
+  FROM hits h JOIN chunks c USING (doc_id, chunk_index)),
+passed AS (
+  SELECT *, sum(token_count) OVER (PARTITION BY query_id ORDER BY rank
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_tokens
+  FROM hx WHERE score >= {CFG.similarity_threshold})"""
+
+
+def _rag_ctes() -> str:
+    from ..functions import prompt as P
+    b = CFG.max_context_tokens
+    return f"""{_hits_ctes()},
+cnt AS (
+  SELECT query_id, CAST(count(*) AS INTEGER) AS chunks_retrieved,
+         CAST(count(*) FILTER (WHERE score >= {CFG.similarity_threshold}) AS INTEGER) AS chunks_used
+  FROM hx GROUP BY query_id),
+ctx AS (
+  SELECT query_id, CAST(count(*) AS INTEGER) AS chunks_in_context, arg_min(chunk_text, rank) AS top_text
+  FROM passed WHERE running_tokens <= {b} GROUP BY query_id),
+src AS (
+  SELECT query_id, CAST(count(*) AS INTEGER) AS n_sources, arg_min(round(score, 4), rank) AS top_score
+  FROM passed GROUP BY query_id),
+rag AS (
+  SELECT q.query_id, q.question,
+         CASE WHEN coalesce(cnt.chunks_used, 0) = 0 THEN {O.lit(P.NO_HIT_ANSWER)}
+              ELSE coalesce({O.extractive('ctx.top_text')}, '') END AS answer,
+         CAST(NULL AS VARCHAR) AS error,
+         CASE WHEN coalesce(cnt.chunks_used, 0) = 0 OR ctx.query_id IS NULL THEN NULL
+              ELSE 'extractive' END AS model,
+         coalesce(src.n_sources, 0) AS n_sources, src.top_score,
+         coalesce(cnt.chunks_retrieved, 0) AS chunks_retrieved,
+         coalesce(cnt.chunks_used, 0) AS chunks_used,
+         coalesce(ctx.chunks_in_context, 0) AS chunks_in_context
+  FROM questions q LEFT JOIN cnt USING (query_id) LEFT JOIN src USING (query_id)
+       LEFT JOIN ctx USING (query_id))"""
+
+
+SQL["rag_answers"] = f"""WITH {_rag_ctes()}
+SELECT query_id, answer, error, model, n_sources, top_score, chunks_retrieved, chunks_used,
+       chunks_in_context FROM rag"""
+
+SQL["context_budget"] = f"""WITH {_hits_ctes()}
+SELECT query_id, rank, token_count, CAST(running_tokens AS BIGINT) AS running_tokens,
+       running_tokens <= {CFG.max_context_tokens} AS in_context FROM passed"""
+
+
+def _prompt_sql() -> str:
+    from ..functions import prompt as P
+    sec = O.section("filename", "chunk_index", "score", "chunk_text")
+    return f"""WITH {_hits_ctes()},
+ctxb AS (
+  SELECT query_id, string_agg({sec}, chr(10) || chr(10) ORDER BY rank) AS context,
+         CAST(count(*) AS INTEGER) AS chunks_in_context, CAST(max(running_tokens) AS INTEGER) AS context_tokens
+  FROM passed WHERE running_tokens <= {CFG.max_context_tokens} GROUP BY query_id)
+SELECT query_id, {O.lit(P.SYSTEM_PROMPT)} AS system_message,
+       {O.lit("Context:" + chr(10))} || context || {O.lit(chr(10) * 2 + "---" + chr(10) * 2 + "Question: ")}
+       || question || {O.lit(chr(10) * 2 + "Answer using the context above:")} AS user_message,
+       chunks_in_context, context_tokens
+FROM questions JOIN ctxb USING (query_id)"""
+
+
+SQL["prompt_messages"] = _prompt_sql()
+
+SQL["chat_render"] = """SELECT conv_id,
+  coalesce(string_agg('<|' || role || '|>' || chr(10) || coalesce(text, '') || '</s>', chr(10) ORDER BY turn)
+           FILTER (WHERE role IN ('system', 'user', 'assistant')) || chr(10), '') || '<|assistant|>' AS prompt
+FROM conversations GROUP BY conv_id"""
+
+SQL["answer_postprocess"] = f"""WITH g AS (
+  SELECT conv_id, turn, '<|' || role || '|>' || chr(10) AS p,
+         CASE WHEN turn % 2 = 0 THEN '<|' || role || '|>' || chr(10) ELSE '' END || text
+         || chr(10) || chr(10) || '---' || chr(10) || 'notes for turn ' || CAST(turn AS VARCHAR) AS g
+  FROM conversations)
+SELECT conv_id, turn,
+       {O.strip("split_part(" + O.strip("CASE WHEN starts_with(g, p) THEN substring(g, length(p) + 1) ELSE g END") + ", chr(10) || chr(10) || '---', 1)")} AS answer
+FROM g"""
+
+SQL["request_validation"] = f"""WITH r AS (
+  SELECT conv_id, turn, text AS question,
+         CAST(coalesce(CASE WHEN role = 'system' THEN NULL ELSE turn * 4 - 1 END, {CFG.top_k}) AS INTEGER) AS k
+  FROM conversations)
+SELECT conv_id, turn, k,
+  CASE WHEN question IS NULL OR length(question) < 1 THEN 'question must not be empty'
+       WHEN length(question) > {CFG.max_question_chars} THEN 'question longer than {CFG.max_question_chars} characters'
+       WHEN k < 1 OR k > {CFG.max_top_k} THEN 'top_k must be between 1 and {CFG.max_top_k}' END AS error
+FROM r"""
+
+SQL["safety_flags"] = f"""WITH {O.safety_cte("s", "documents", "doc_id", "text")}
+SELECT doc_id, risk_level IN ('none', 'low') AS is_safe, risk_level, total_flags, categories FROM s"""
+
+
+def _verdict_sql() -> str:
+    from .catalog import SAFETY_SUFFIX
+    case = "CASE " + " ".join(f"WHEN role = '{r}' THEN {O.lit(v)}" for r, v in SAFETY_SUFFIX.items()) + " ELSE '' END"
+    return f"""WITH c AS (SELECT conv_id, turn, text || {case} AS answer FROM conversations),
+{O.safety_cte("s", "c", "conv_id, turn", "answer")}
+SELECT conv_id, turn, risk_level IN ('none', 'low') AS is_safe, risk_level, total_flags, categories FROM s"""
+
+
+SQL["safety_verdict"] = _verdict_sql()
+
+SQL["sentence_split"] = f"""WITH s AS (SELECT doc_id, {O.split_sentences('text')} AS s FROM documents)
+SELECT doc_id, CAST(unnest(range(len(s))) AS INTEGER) AS sentence_idx, unnest(s) AS sentence FROM s"""
+
+SQL["relevance_scores"] = f"""WITH {_hits_ctes()}
+SELECT query_id, round(avg(score), 4) AS mean_score,
+       CAST(count(*) FILTER (WHERE score >= {CFG.relevance_threshold}) AS INTEGER) AS above_threshold,
+       round(count(*) FILTER (WHERE score >= {CFG.relevance_threshold}) / count(*), 4) AS precision_at_k
+FROM hx GROUP BY query_id"""
+
+
+def _ground_ctes(answers: str, name: str = "gr") -> str:
+    """Groundedness of ``answers(query_id, answer)`` against ``hits``."""
+    t = CFG.groundedness_threshold
+    return f"""{name}_s AS (
+  SELECT query_id, unnest(range(len(s))) AS sentence_idx, unnest(s) AS sentence
+  FROM (SELECT query_id, {O.split_sentences('answer')} AS s FROM {answers})),
+{O.weights_cte(name + "_w", name + "_s", "query_id, sentence_idx", "sentence", DIM)},
+{name}_sim AS (
+  SELECT w.query_id, w.sentence_idx, h.rank, sum(w.weight * c.weight) AS sim
+  FROM {name}_w w JOIN hits h USING (query_id)
+       JOIN cw c ON c.doc_id = h.doc_id AND c.chunk_index = h.chunk_index AND c.bucket = w.bucket
+  GROUP BY ALL),
+{name}_ps AS (
+  SELECT s.query_id, s.sentence_idx, max(coalesce(x.sim, 0)) AS max_sim
+  FROM {name}_s s JOIN hits h USING (query_id)
+       LEFT JOIN {name}_sim x ON x.query_id = s.query_id AND x.sentence_idx = s.sentence_idx AND x.rank = h.rank
+  GROUP BY ALL),
+{name}_agg AS (
+  SELECT query_id, CAST(count(*) FILTER (WHERE max_sim >= {t}) AS INTEGER) AS g, CAST(count(*) AS INTEGER) AS n
+  FROM {name}_ps GROUP BY query_id),
+{name} AS (
+  SELECT a.query_id,
+         CASE WHEN hq.query_id IS NULL THEN 0.0 ELSE coalesce(round(g / n, 4), 0.0) END AS overall_score,
+         hq.query_id IS NOT NULL AND coalesce(round(g / n, 4), 0.0) >= {t} AS is_grounded,
+         CASE WHEN hq.query_id IS NULL THEN 0 ELSE coalesce(g, 0) END AS grounded_sentences,
+         CASE WHEN hq.query_id IS NULL THEN 0 ELSE coalesce(n, 0) END AS total_sentences
+  FROM {answers} a LEFT JOIN {name}_agg USING (query_id)
+       LEFT JOIN (SELECT DISTINCT query_id FROM hits) hq ON hq.query_id = a.query_id)"""
+
+
+SQL["groundedness_scores"] = f"""WITH {_hits_ctes()},
+ans AS (SELECT query_id, question AS answer FROM questions),
+{_ground_ctes("ans")}
+SELECT query_id, overall_score, is_grounded, grounded_sentences, total_sentences FROM gr"""
+
+
+def _reliability_sql() -> str:
+    from .catalog import RELIABILITY_RUNS
+    return f"""WITH {_hits_ctes()},
+runs AS (SELECT query_id, rank - 1 AS run, {O.extractive('chunk_text')} AS answer
+         FROM hx WHERE rank <= {RELIABILITY_RUNS}),
+{O.weights_cte("aw", "runs", "query_id, run", "answer", DIM)},
+pr AS (SELECT a.query_id, a.run AS ra, b.run AS rb FROM runs a JOIN runs b
+       ON a.query_id = b.query_id AND a.run < b.run),
+ps AS (SELECT x.query_id, x.run AS ra, y.run AS rb, sum(x.weight * y.weight) AS sim
+       FROM aw x JOIN aw y ON x.query_id = y.query_id AND x.run < y.run AND x.bucket = y.bucket
+       GROUP BY ALL),
+pp AS (SELECT pr.query_id, coalesce(ps.sim, 0) AS sim FROM pr LEFT JOIN ps USING (query_id, ra, rb)),
+pst AS (SELECT query_id, avg(sim) AS m, min(sim) AS mn, stddev_pop(sim) AS sd FROM pp GROUP BY query_id),
+lst AS (SELECT query_id, CAST(count(*) AS INTEGER) AS num_runs, stddev_pop(words) AS sw, avg(words) AS aw
+        FROM (SELECT query_id, len(regexp_extract_all(answer, '\\S+')) AS words FROM runs) GROUP BY query_id)
+SELECT l.query_id, round(coalesce(m, 0), 4) AS mean_consistency, round(coalesce(mn, 0), 4) AS min_consistency,
+       round(coalesce(sd, 0), 4) AS std_consistency,
+       round(CASE WHEN aw > 0 THEN sw / aw ELSE 0 END, 4) AS length_coefficient_of_variation,
+       num_runs,
+       coalesce(m, 0) >= 0.75 AND CASE WHEN aw > 0 THEN sw / aw ELSE 0 END <= 0.5 AS is_reliable
+FROM lst l LEFT JOIN pst USING (query_id)"""
+
+
+SQL["reliability_scores"] = _reliability_sql()
+
+KW = ("list_distinct(list_filter(regexp_extract_all(lower(question), '[\\p{L}\\p{N}]+'), "
+      "lambda t: length(t) >= 8))")
+
+
+def _kacc(answer: str, kw: str = "kw") -> str:
+    return (f"CASE WHEN len({kw}) > 0 THEN len(list_filter({kw}, lambda k: contains(lower({answer}), lower(k))))"
+            f" / len({kw}) ELSE 0.0 END")
+
+
+SQL["keyword_accuracy"] = f"""WITH {_rag_ctes()},
+k AS (SELECT query_id, answer, {KW} AS kw FROM rag)
+SELECT query_id, CAST(len(kw) AS INTEGER) AS n_keywords, round({_kacc('answer')}, 4) AS keyword_accuracy FROM k"""
+
+
+def _quality_ctes() -> str:
+    w = (CFG.w_relevance, CFG.w_groundedness, CFG.w_reliability, CFG.w_safety)
+    return f"""{_rag_ctes()},
+ans AS (SELECT query_id, answer FROM rag),
+{_ground_ctes("ans")},
+rel AS (SELECT query_id, round(avg(score), 4) AS mean_score FROM hx GROUP BY query_id),
+{O.safety_cte("sf", "ans", "query_id", "answer")},
+quality AS (
+  SELECT a.query_id,
+         CAST(round(CAST({w[0]} AS DECIMAL(6,4)) * CAST(coalesce(rel.mean_score, 0.0) AS DECIMAL(12,6))
+               + CAST({w[1]} AS DECIMAL(6,4)) * CAST(coalesce(gr.overall_score, 0.0) AS DECIMAL(12,6))
+               + CAST({w[2]} AS DECIMAL(6,4)) * CAST(1 AS DECIMAL(12,6))
+               + CAST({w[3]} AS DECIMAL(6,4)) * CAST(CASE WHEN sf.risk_level IN ('none', 'low') THEN 1 ELSE 0 END AS DECIMAL(12,6)), 4) AS DOUBLE) AS quality_score,
+         coalesce(rel.mean_score, 0.0) AS relevance, coalesce(gr.overall_score, 0.0) AS groundedness,
+         sf.risk_level IN ('none', 'low') AS safety
+  FROM ans a LEFT JOIN rel USING (query_id) LEFT JOIN gr USING (query_id) LEFT JOIN sf USING (query_id))"""
+
+
+SQL["quality_scores"] = f"""WITH {_quality_ctes()}
+SELECT query_id, quality_score, relevance, groundedness, safety,
+       quality_score >= {CFG.pass_threshold} AND safety AS pass FROM quality"""
+
+
+def _compare_sql() -> str:
+    from ..functions.prompt import NO_CONTEXT_ANSWER
+    return f"""WITH {_quality_ctes()},
+k AS (SELECT query_id, answer, {KW} AS kw FROM rag),
+acc AS (SELECT avg({_kacc('answer')}) AS r, avg({_kacc(O.lit(NO_CONTEXT_ANSWER))}) AS b FROM k),
+q AS (SELECT avg(quality_score) AS avg_q FROM quality)
+SELECT round(b, 4) AS baseline_avg_accuracy, round(r, 4) AS rag_avg_accuracy,
+       round(r - b, 4) AS improvement_absolute,
+       round(CASE WHEN b > 0 THEN (r - b) / b * 100 ELSE 0.0 END, 1) AS improvement_relative_pct,
+       round(avg_q, 4) AS rag_avg_quality_score
+FROM acc, q"""
+
+
+SQL["benchmark_compare"] = _compare_sql()
+
+SQL["demo_summary"] = f"""WITH {_quality_ctes()}
+SELECT round(avg(quality_score), 4) AS average_quality,
+       round(avg(CASE WHEN quality_score >= {CFG.pass_threshold} AND safety THEN 1.0 ELSE 0.0 END), 4) AS pass_rate,
+       count(*) AS n_questions, (SELECT count(*) FROM chunks) AS total_chunks
+FROM quality"""

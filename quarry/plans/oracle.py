@@ -113,3 +113,38 @@ def section(filename: str, chunk_index: str, score: str, text: str) -> str:
     return (f"'[Source: ' || coalesce({filename}, '{P.MISSING_SOURCE}') || ' | Chunk ' || "
             f"coalesce(CAST({chunk_index} AS VARCHAR), '{P.MISSING_CHUNK}') || ' | Relevance: ' || "
             f"printf('%.3f', round({score}, 3)) || ']' || chr(10) || coalesce({text}, '')")
+
+
+def extractive(text: str, n: int = 2) -> str:
+    s = split_sentences(text)
+    return (f"CASE WHEN len({s}) > 0 THEN array_to_string(({s})[1:{n}], ' ') "
+            f"ELSE coalesce({text}, '') END")
+
+
+def safety_cte(name: str, src: str, keys: str, answer: str) -> str:
+    """C3 flattened: keys, is_safe, risk_level, total_flags, categories."""
+    from ..functions import safety as S
+    pii = [f"CASE WHEN regexp_matches(a, {lit(p)}) THEN '{S.PII_FLAG[0]}:{S.PII_FLAG[1]}' END"
+           for p in S.PII_PATTERNS]
+    hedges = " + ".join(f"len(regexp_extract_all(a, {lit('(?i)' + p)}))" for p in S.HEDGING_PATTERNS)
+    refusal = " OR ".join(f"regexp_matches(a, {lit('(?i)' + p)})" for p in S.REFUSAL_PATTERNS)
+    flags = pii + [
+        f"CASE WHEN hedges >= {S.HEDGING_MIN} THEN '{S.HEDGING_FLAG[0]}:{S.HEDGING_FLAG[1]}' END",
+        f"CASE WHEN refusal THEN '{S.REFUSAL_FLAG[0]}:{S.REFUSAL_FLAG[1]}' END",
+        f"CASE WHEN words < {S.TOO_SHORT_WORDS} THEN '{S.SHORT_FLAG[0]}:{S.SHORT_FLAG[1]}' "
+        f"WHEN words > {S.TOO_LONG_WORDS} THEN '{S.LONG_FLAG[0]}:{S.LONG_FLAG[1]}' END",
+    ]
+    return f"""{name}_a AS (
+  SELECT {keys}, a, {hedges} AS hedges, ({refusal}) AS refusal,
+         len(regexp_extract_all(a, '\\S+')) AS words
+  FROM (SELECT {keys}, coalesce({answer}, '') AS a FROM {src})),
+{name}_f AS (
+  SELECT {keys}, list_filter([{', '.join(flags)}], lambda x: x IS NOT NULL) AS fl FROM {name}_a),
+{name} AS (
+  SELECT {keys},
+         CASE WHEN list_contains(list_transform(fl, lambda x: split_part(x, ':', 2)), 'high') THEN 'high'
+              WHEN list_contains(list_transform(fl, lambda x: split_part(x, ':', 2)), 'medium') THEN 'medium'
+              WHEN len(fl) > 0 THEN 'low' ELSE 'none' END AS risk_level,
+         CAST(len(fl) AS INTEGER) AS total_flags,
+         array_to_string(list_transform(fl, lambda x: split_part(x, ':', 1)), ',') AS categories
+  FROM {name}_f)"""
