@@ -333,6 +333,123 @@ def demo_summary(spark, sf_dir):
     return q.withColumn("__one", F.lit(1)).join(n.withColumn("__one", F.lit(1)), "__one").drop("__one")
 
 
+# --- vector table: exact, per-question k, threshold, cells, index ---------
+
+THRESHOLD_EMB = 0.35
+NLIST = 100
+NPROBE = 10
+
+
+def _emb(spark, sf_dir):
+    return read_table(spark, sf_dir, "embeddings")
+
+
+def label_centroids(emb: DataFrame) -> DataFrame:
+    """One question per label: the normalised sum of its vectors (a plain
+    partial + final aggregate, so a hot label costs no more than others)."""
+    from ..functions.vectors import l2_norm, vector_sum
+    dim = int(emb.select(F.size("embedding")).first()[0])
+    c = emb.groupBy("label").agg(vector_sum("embedding", dim).alias("s"))
+    n = l2_norm("s")
+    return c.select(F.col("label").cast("long").alias("query_id"),
+                    F.transform("s", lambda x: x / n).alias("embedding"),
+                    (F.col("label") + 1).cast("int").alias("top_k"))
+
+
+def _knn_emb(spark, sf_dir, **kw):
+    from ..operators.search import knn
+    e = _emb(spark, sf_dir)
+    return knn(label_centroids(e), e, kw.pop("k", CFG.top_k), corpus_keys=("vec_id",), **kw)
+
+
+def knn_exact(spark, sf_dir):
+    h = _knn_emb(spark, sf_dir)
+    return h.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+def knn_exact_arrow(spark, sf_dir):
+    """The scorer on its unpacked form: every corpus partition ranked with
+    one matrix product, questions split over two broadcast blocks."""
+    h = _knn_emb(spark, sf_dir, broadcast_limit_bytes=3000)
+    return h.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+def knn_per_query_k(spark, sf_dir):
+    h = _knn_emb(spark, sf_dir, per_query_k="top_k", max_k=CFG.max_top_k)
+    return h.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+def knn_threshold(spark, sf_dir):
+    """PF6 + A15 + PF7: retrieved vs used counts and the no-hit fallback."""
+    from ..functions.prompt import NO_HIT_ANSWER
+    h = _knn_emb(spark, sf_dir)
+    per = h.groupBy("query_id").agg(
+        F.count(F.lit(1)).cast("int").alias("chunks_retrieved"),
+        F.count_if(F.col("score") >= THRESHOLD_EMB).cast("int").alias("chunks_used"),
+        F.min_by(F.when(F.col("score") >= THRESHOLD_EMB, F.col("vec_id")),
+                 F.when(F.col("score") >= THRESHOLD_EMB, F.col("rank"))).alias("best_vec_id"))
+    q = label_centroids(_emb(spark, sf_dir)).select("query_id")
+    return q.join(per, "query_id", "left").select(
+        "query_id", F.coalesce("chunks_retrieved", F.lit(0)).alias("chunks_retrieved"),
+        F.coalesce("chunks_used", F.lit(0)).alias("chunks_used"), "best_vec_id",
+        F.when(F.coalesce("chunks_used", F.lit(0)) == 0, F.lit(NO_HIT_ANSWER)).alias("fallback_answer"))
+
+
+def _ivf(spark, sf_dir):
+    from ..operators.index import assign_cells, train_cells
+    e = _emb(spark, sf_dir)
+    cents = train_cells(e, NLIST, seed=CFG.kmeans_seed, max_iter=CFG.kmeans_max_iter)
+    return e, assign_cells(e, cents), cents
+
+
+def ivf_full_probe(spark, sf_dir):
+    """``nprobe = nlist`` must equal exact search."""
+    from ..operators.index import search_ivf
+    e, idx, cents = _ivf(spark, sf_dir)
+    nl = cents.count()
+    h = search_ivf(label_centroids(e), idx, cents, CFG.top_k, nprobe=nl, corpus_keys=("vec_id",))
+    return h.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+def ivf_recall(spark, sf_dir):
+    """recall@k of the default probe count against exact search."""
+    from ..operators.index import search_ivf
+    from ..operators.search import knn
+    e, idx, cents = _ivf(spark, sf_dir)
+    q = label_centroids(e)
+    approx = search_ivf(q, idx, cents, CFG.top_k, nprobe=NPROBE, corpus_keys=("vec_id",))
+    exact = knn(q, e, CFG.top_k, corpus_keys=("vec_id",))
+    found = exact.join(approx.select("query_id", "vec_id", F.lit(1).alias("hit")),
+                       ["query_id", "vec_id"], "left")
+    return found.groupBy("query_id").agg(
+        (F.count("hit") / F.count(F.lit(1))).alias("recall_at_k"),
+        F.count(F.lit(1)).alias("k"))
+
+
+def index_stats(spark, sf_dir):
+    """A13 on a cell-partitioned index written to and read back from the
+    shared folder."""
+    from ..operators.index import index_stats as stats, load_index, save_index
+    from ..session import scratch_path
+    _, idx, cents = _ivf(spark, sf_dir)
+    path = save_index(idx, scratch_path(spark, "index"), cents)
+    loaded, _ = load_index(spark, path)
+    return stats(loaded)
+
+
+def index_roundtrip(spark, sf_dir):
+    """SRC7 + SRC8: every vector survives the write/read unchanged."""
+    from ..functions.vectors import l2_norm
+    from ..operators.index import load_index, save_index
+    from ..session import scratch_path
+    _, idx, cents = _ivf(spark, sf_dir)
+    path = save_index(idx, scratch_path(spark, "index"), cents)
+    loaded, _ = load_index(spark, path)
+    return loaded.select("vec_id", "label", F.size("embedding").cast("int").alias("dim"),
+                         F.round(l2_norm("embedding"), 6).alias("norm"),
+                         F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
+
+
 QUERIES = {
     "clean_whitespace": clean_whitespace,
     "clean_lines": clean_lines,
@@ -359,4 +476,12 @@ QUERIES = {
     "quality_scores": quality_scores,
     "benchmark_compare": benchmark_compare,
     "demo_summary": demo_summary,
+    "knn_exact": knn_exact,
+    "knn_exact_arrow": knn_exact_arrow,
+    "knn_per_query_k": knn_per_query_k,
+    "knn_threshold": knn_threshold,
+    "ivf_full_probe": ivf_full_probe,
+    "ivf_recall": ivf_recall,
+    "index_stats": index_stats,
+    "index_roundtrip": index_roundtrip,
 }

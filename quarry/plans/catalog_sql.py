@@ -284,3 +284,52 @@ SELECT round(avg(quality_score), 4) AS average_quality,
        round(avg(CASE WHEN quality_score >= {CFG.pass_threshold} AND safety THEN 1.0 ELSE 0.0 END), 4) AS pass_rate,
        count(*) AS n_questions, (SELECT count(*) FROM chunks) AS total_chunks
 FROM quality"""
+
+
+def _emb_ctes() -> str:
+    return """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ex AS (SELECT label, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM e),
+cs AS (SELECT label, i, sum(x) AS s FROM ex GROUP BY label, i),
+cn AS (SELECT label, sqrt(sum(s * s)) AS n FROM cs GROUP BY label),
+cent AS (SELECT CAST(cs.label AS BIGINT) AS query_id, cs.label + 1 AS top_k,
+                list(cs.s / cn.n ORDER BY cs.i) AS c
+         FROM cs JOIN cn USING (label) GROUP BY cs.label, cn.n),
+sc AS (SELECT q.query_id, q.top_k, e.vec_id, list_inner_product(q.c, e.v) AS score FROM cent q, e),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id)
+                      AS INTEGER) AS rank FROM sc)"""
+
+
+SQL["knn_exact"] = f"""WITH {_emb_ctes()}
+SELECT query_id, rank, vec_id, round(score, 6) AS score FROM rk WHERE rank <= {CFG.top_k}"""
+SQL["knn_exact_arrow"] = SQL["knn_exact"]
+SQL["ivf_full_probe"] = SQL["knn_exact"]
+
+SQL["knn_per_query_k"] = f"""WITH {_emb_ctes()}
+SELECT query_id, rank, vec_id, round(score, 6) AS score FROM rk WHERE rank <= top_k"""
+
+
+def _knn_threshold_sql() -> str:
+    from ..functions.prompt import NO_HIT_ANSWER
+    from .catalog import THRESHOLD_EMB as T
+    return f"""WITH {_emb_ctes()},
+h AS (SELECT * FROM rk WHERE rank <= {CFG.top_k}),
+per AS (SELECT query_id, CAST(count(*) AS INTEGER) AS chunks_retrieved,
+               CAST(count(*) FILTER (WHERE score >= {T}) AS INTEGER) AS chunks_used,
+               arg_min(vec_id, rank) FILTER (WHERE score >= {T}) AS best_vec_id
+        FROM h GROUP BY query_id)
+SELECT c.query_id, coalesce(chunks_retrieved, 0) AS chunks_retrieved, coalesce(chunks_used, 0) AS chunks_used,
+       best_vec_id,
+       CASE WHEN coalesce(chunks_used, 0) = 0 THEN {O.lit(NO_HIT_ANSWER)} END AS fallback_answer
+FROM cent c LEFT JOIN per USING (query_id)"""
+
+
+SQL["knn_threshold"] = _knn_threshold_sql()
+
+SQL["index_stats"] = """SELECT CASE WHEN count(*) > 0 THEN 'healthy' ELSE 'empty' END AS status,
+       count(*) > 0 AS index_loaded, count(*) AS total_chunks, CAST(max(len(embedding)) AS INTEGER) AS dim
+FROM embeddings"""
+
+SQL["index_roundtrip"] = """SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS dim,
+       round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS norm,
+       round(CAST(embedding[1] AS DOUBLE), 6) AS first
+FROM embeddings"""
