@@ -450,6 +450,129 @@ def index_roundtrip(spark, sf_dir):
                          F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
 
 
+# --- streaming -------------------------------------------------------------
+
+def _write_questions(spark, sf_dir, path):
+    q = _questions(spark, sf_dir)
+    q.select(F.to_json(F.struct("query_id", "question")).alias("value")).write.mode("overwrite").text(path)
+
+
+def _build_flat_index(spark, sf_dir, cfg, path):
+    from ..operators.index import save_index
+    save_index(prepare_chunks(_docs(spark, sf_dir), cfg), path)
+    return path + "/data"
+
+
+def stream_questions(spark, sf_dir):
+    """ST1/ST2: the benchmark questions as a JSON message stream answered
+    micro-batch by micro-batch; equals the batch C2 result."""
+    from ..session import scratch_path
+    from ..streaming.questions import answer_stream, write_pointer
+    base = scratch_path(spark, "stream")
+    _write_questions(spark, sf_dir, base + "/in")
+    write_pointer(spark, base + "/pointer", _build_flat_index(spark, sf_dir, CFG, base + "/index"), 1)
+    q = answer_stream(spark, base + "/in", base + "/pointer", base + "/out", base + "/ckpt", CFG)
+    q.awaitTermination()
+    out = spark.read.parquet(base + "/out")
+    return out.select("query_id", "answer", "error", "model", "n_sources", "top_score",
+                      "chunks_retrieved", "chunks_used", "chunks_in_context")
+
+
+def stream_index_refresh(spark, sf_dir):
+    """ST3: the same stream restarted after an index rebuild; the second
+    batch sees the new index (version 2, default 512/50 windows)."""
+    from ..config import DEFAULT
+    from ..session import scratch_path
+    from ..streaming.questions import answer_stream, write_pointer
+    base = scratch_path(spark, "refresh")
+    _write_questions(spark, sf_dir, base + "/in/a")
+    write_pointer(spark, base + "/pointer", _build_flat_index(spark, sf_dir, CFG, base + "/v1"), 1)
+    answer_stream(spark, base + "/in/*", base + "/pointer", base + "/out", base + "/ckpt", CFG).awaitTermination()
+    v2 = CFG.with_(chunk_size=DEFAULT.chunk_size, chunk_overlap=DEFAULT.chunk_overlap)
+    write_pointer(spark, base + "/pointer", _build_flat_index(spark, sf_dir, v2, base + "/v2"), 2)
+    _write_questions(spark, sf_dir, base + "/in/b")
+    answer_stream(spark, base + "/in/*", base + "/pointer", base + "/out", base + "/ckpt", CFG).awaitTermination()
+    out = spark.read.parquet(base + "/out")
+    return out.select("batch_id", "index_version", "query_id", "chunks_retrieved", "chunks_used", "top_score")
+
+
+# --- files -----------------------------------------------------------------
+
+def doc_scan(spark, sf_dir):
+    """SRC1-3, SRC6: every document written as its own .txt file (plus a
+    .csv copy of the questions that the scan must skip), scanned back."""
+    from ..session import scratch_path
+    from ..sources.files import load_documents
+    base = scratch_path(spark, "files")
+    read_table(spark, sf_dir, "documents").select("doc_id", "text") \
+        .write.partitionBy("doc_id").text(base + "/docs")
+    read_table(spark, sf_dir, "benchmark").write.csv(base + "/docs/extra_csv")
+    docs, bad = load_documents(spark, base + "/docs")
+    return docs.select(
+        F.regexp_extract("filepath", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"),
+        "format", F.length("text").cast("int").alias("n_chars"))
+
+
+def _docx_bytes(df: DataFrame) -> DataFrame:
+    """DOCX packages built from each document's lines (one paragraph each)."""
+    import pandas as pd
+    from ..sources.files import make_docx
+
+    def run(frames):
+        for pdf in frames:
+            yield pd.DataFrame({
+                "filepath": [f"doc-{i}.docx" for i in pdf["doc_id"]],
+                "filename": [f"doc-{i}.docx" for i in pdf["doc_id"]],
+                "format": ".docx",
+                "content": [make_docx((t or "").split("\n")) for t in pdf["text"]]})
+    return df.select("doc_id", "text").mapInPandas(
+        run, "filepath string, filename string, format string, content binary") \
+        .withColumn("size_bytes", F.length("content").cast("long"))
+
+
+def docx_text(spark, sf_dir):
+    """SRC4: DOCX extraction over every document packaged as DOCX."""
+    from ..sources.files import split_documents
+    docs, _ = split_documents(_docx_bytes(read_table(spark, sf_dir, "documents")))
+    return docs.select(F.regexp_extract("doc_id", r"doc-(\d+)", 1).cast("long").alias("doc_id"), "text")
+
+
+def quarantine(spark, sf_dir):
+    """SRC5: every document as Latin-1 bytes; those that are not valid UTF-8
+    are quarantined with their error, the others load."""
+    from ..sources.files import split_documents
+    d = read_table(spark, sf_dir, "documents")
+    files = d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filepath"),
+                     F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
+                     F.lit(".txt").alias("format"),
+                     F.encode("text", "ISO-8859-1").alias("content")) \
+        .withColumn("size_bytes", F.length("content").cast("long"))
+    docs, bad = split_documents(files)
+    ok = docs.select("doc_id", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"))
+    q = bad.select("doc_id", F.lit("quarantined").alias("status"), "error")
+    return ok.unionByName(q).select(
+        F.regexp_extract("doc_id", r"doc-(\d+)", 1).cast("long").alias("doc_id"), "status", "error")
+
+
+# --- synthetic logs -----------------------------------------------------------
+
+def synth_events(spark, sf_dir):
+    from ..sources.synth import log_lines
+    return log_lines(read_table(spark, sf_dir, "events"), seed=CFG.kmeans_seed, block_size=1000) \
+        .select("event_id", "level", "service", "line")
+
+
+def synth_files(spark, sf_dir):
+    """SRC12: the log lines written as day directories of bounded files."""
+    from ..session import scratch_path
+    from ..sources.synth import log_lines, write_log_files
+    path = write_log_files(log_lines(read_table(spark, sf_dir, "events"), seed=CFG.kmeans_seed),
+                           scratch_path(spark, "logs"), entries_per_file=1000)
+    back = spark.read.text(path).withColumn("file", F.input_file_name())
+    return back.groupBy("day", "file").agg(F.count(F.lit(1)).alias("n_lines")) \
+        .select("day", F.element_at(F.split("file", "/"), -1).alias("file"), "n_lines")
+
+
 QUERIES = {
     "clean_whitespace": clean_whitespace,
     "clean_lines": clean_lines,
@@ -484,4 +607,11 @@ QUERIES = {
     "ivf_recall": ivf_recall,
     "index_stats": index_stats,
     "index_roundtrip": index_roundtrip,
+    "stream_questions": stream_questions,
+    "stream_index_refresh": stream_index_refresh,
+    "doc_scan": doc_scan,
+    "docx_text": docx_text,
+    "quarantine": quarantine,
+    "synth_events": synth_events,
+    "synth_files": synth_files,
 }

@@ -333,3 +333,49 @@ SQL["index_roundtrip"] = """SELECT vec_id, label, CAST(len(embedding) AS INTEGER
        round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS norm,
        round(CAST(embedding[1] AS DOUBLE), 6) AS first
 FROM embeddings"""
+
+
+SQL["stream_questions"] = SQL["rag_answers"]
+
+SQL["doc_scan"] = f"""SELECT doc_id, '.txt' AS format, CAST(length({O.strip('text')}) AS INTEGER) AS n_chars
+FROM documents"""
+
+SQL["docx_text"] = f"""SELECT doc_id,
+  {O.strip("array_to_string(list_filter(string_split(text, chr(10)), lambda l: length(trim(l)) > 0), chr(10) || chr(10))")} AS text
+FROM documents"""
+
+SQL["quarantine"] = """SELECT doc_id,
+  CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN 'quarantined' ELSE 'ok' END AS status,
+  CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN 'invalid UTF-8' END AS error
+FROM documents"""
+
+
+def _synth_sql() -> str:
+    from ..sources import synth as S
+    seed = CFG.kmeans_seed
+    t = S.TWO32
+
+    def draw(purpose):
+        return f"CAST(('0x' || substr(md5('{seed}:{purpose}:' || CAST(event_id AS VARCHAR)), 1, 8)) AS BIGINT)"
+    b = S.LEVEL_BOUNDS
+    lv = S.LEVELS
+    level = (f"CASE WHEN {draw('level')} / {float(t)} < {b[0]} THEN '{lv[0]}' "
+             f"WHEN {draw('level')} / {float(t)} < {b[1]} THEN '{lv[1]}' "
+             f"WHEN {draw('level')} / {float(t)} < {b[2]} THEN '{lv[2]}' ELSE '{lv[3]}' END")
+    services = "[" + ", ".join(f"'{x}'" for x in S.SERVICES) + "]"
+    service = f"{services}[CAST(floor({draw('service')} * {len(S.SERVICES)} / {float(t)}) AS INTEGER) + 1]"
+    step = f"CAST(floor({S.STEP_MS[0]} + {draw('step')} * {S.STEP_MS[1] - S.STEP_MS[0] + 1} / {float(t)}) AS BIGINT)"
+    et = "coalesce(event_type, 'event')"
+    msg = (f"upper(substring({et}, 1, 1)) || substring({et}, 2) || ' recorded' || ' | user_id=U-' || "
+           f"CAST(user_id AS VARCHAR) || ' | value=' || printf('%.2f', value) || ' | k=' || "
+           f"coalesce(json_extract_string(props, '$.k'), 'none')")
+    return f"""WITH b AS (
+  SELECT event_id, {level} AS level, {service} AS service, {step} AS step_ms, {msg} AS message FROM events),
+c AS (SELECT *, sum(step_ms) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_ms FROM b)
+SELECT event_id, level, service,
+  '[' || strftime(TIMESTAMP '{S.START}' + to_milliseconds(CAST(cum_ms AS BIGINT)), '%Y-%m-%d %H:%M:%S') || '] '
+  || rpad(level, 5, ' ') || ' | ' || service || ' | ' || message AS line
+FROM c"""
+
+
+SQL["synth_events"] = _synth_sql()

@@ -1,0 +1,105 @@
+"""Event-log lines derived from an event table (SRC11, SRC12, F23, F24, W5).
+
+Each event row becomes one log line in the grammar
+``[yyyy-MM-dd HH:mm:ss] LEVEL | Service | message | k=v ...``. Random draws
+are seeded hashes of ``(seed, purpose, event_id)``, so the output is a pure
+function of the input table and the seed, and every engine can recompute it.
+
+Timestamps advance by a drawn 0.5-5 s step per event in ``event_id`` order.
+The running sum is a two-level prefix sum: per-block totals, a prefix over
+the (few) block totals, then a running sum inside each block, so no window
+ever holds more than one block of rows.
+"""
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+# ---------------------------------------------------------------------------
+# Fixed values (log vocabulary of the reference's generator)
+# ---------------------------------------------------------------------------
+SERVICES = [
+    "PaymentGateway", "AuthService", "UserService", "OrderService",
+    "InventoryService", "NotificationService", "SearchService",
+    "AnalyticsEngine", "CacheManager", "LoadBalancer", "APIGateway",
+    "SessionManager", "RateLimiter", "DeployManager", "MLPipeline",
+    "DataIngestion", "Reconciler", "ReportGenerator", "SecurityModule",
+    "MonitoringAgent", "AutoScaler", "Scheduler", "AuditLog",
+]
+LEVELS = ["INFO", "WARN", "ERROR", "DEBUG"]
+LEVEL_WEIGHTS = [0.70, 0.15, 0.08, 0.07]
+START = "2025-01-01 00:00:00"
+STEP_MS = (500, 5000)
+ENTRIES_PER_FILE = 5000
+# ---------------------------------------------------------------------------
+
+# cumulative level bounds, written out so every engine compares the same literals
+LEVEL_BOUNDS = [0.70, 0.85, 0.93]
+TWO32 = 4294967296
+
+
+def draw(seed: int, purpose: str, key: Column) -> Column:
+    """Seeded 32-bit draw in [0, 2^32) from the MD5 of (seed, purpose, key)."""
+    h = F.md5(F.concat(F.lit(f"{seed}:{purpose}:"), key.cast("string")))
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
+
+
+def level_of(u: Column) -> Column:
+    """weighted choice by cumulative bounds on a [0,1) draw."""
+    return (F.when(u < LEVEL_BOUNDS[0], F.lit(LEVELS[0]))
+            .when(u < LEVEL_BOUNDS[1], F.lit(LEVELS[1]))
+            .when(u < LEVEL_BOUNDS[2], F.lit(LEVELS[2]))
+            .otherwise(F.lit(LEVELS[3])))
+
+
+def message_of(ev: DataFrame) -> Column:
+    et = F.coalesce(F.col("event_type"), F.lit("event"))
+    return F.concat(
+        F.upper(F.substring(et, 1, 1)), F.substring(et, 2, 1 << 20), F.lit(" recorded"),
+        F.lit(" | user_id=U-"), F.col("user_id").cast("string"),
+        F.lit(" | value="), F.format_string("%.2f", F.col("value")),
+        F.lit(" | k="), F.coalesce(F.get_json_object("props", "$.k"), F.lit("none")))
+
+
+def log_lines(events: DataFrame, seed: int = 42, block_size: int = 100_000) -> DataFrame:
+    """SRC11: ``event_id, ts, level, service, line`` for every event."""
+    eid = F.col("event_id")
+    base = events.select(
+        "event_id",
+        level_of(draw(seed, "level", eid) / F.lit(float(TWO32))).alias("level"),
+        (F.lit(STEP_MS[0]) + (draw(seed, "step", eid) * (STEP_MS[1] - STEP_MS[0] + 1)) / F.lit(TWO32))
+        .cast("long").alias("step_ms"),
+        draw(seed, "service", eid).alias("__d"),
+        message_of(events).alias("message"),
+        F.floor(eid / F.lit(block_size)).alias("block"))
+    base = base.withColumn("service", F.element_at(
+        F.array(*[F.lit(s) for s in SERVICES]),
+        (F.floor(F.col("__d") * len(SERVICES) / F.lit(float(TWO32))) + 1).cast("int")))
+    # W5, level 1: block totals and their exclusive prefix (one row per block)
+    totals = base.groupBy("block").agg(F.sum("step_ms").alias("bs"))
+    offsets = totals.withColumn(
+        "offset", F.coalesce(F.sum("bs").over(Window.orderBy("block").rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0))).select("block", "offset")
+    # level 2: running sum inside each block
+    w = Window.partitionBy("block").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    with_ts = base.join(offsets, "block").withColumn(
+        "cum_ms", F.col("offset") + F.sum("step_ms").over(w))
+    ts = F.expr(f"TIMESTAMP_NTZ '{START}' + make_dt_interval(0, 0, 0, CAST(cum_ms AS DECIMAL(18,3)) / 1000)")
+    out = with_ts.withColumn("ts", ts)
+    line = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("] "),
+                    F.rpad("level", 5, " "), F.lit(" | "), F.col("service"), F.lit(" | "),
+                    F.col("message"))
+    return out.select("event_id", "ts", "level", "service", line.alias("line"))
+
+
+def write_log_files(lines: DataFrame, path: str, entries_per_file: int = ENTRIES_PER_FILE,
+                    partitions: int | None = None) -> str:
+    """SRC12: time-ordered text files of at most ``entries_per_file`` lines,
+    one directory per day (``day=yyyyMMdd``)."""
+    n = partitions or lines.sparkSession.sparkContext.defaultParallelism
+    (lines.withColumn("day", F.date_format("ts", "yyyyMMdd"))
+     .repartitionByRange(n, "ts").sortWithinPartitions("ts")
+     .select("day", "line")
+     .write.mode("overwrite").option("maxRecordsPerFile", entries_per_file)
+     .partitionBy("day").text(path))
+    return path
