@@ -85,14 +85,20 @@ def risk_level(flags: Column) -> Column:
             .otherwise(F.lit("none")))
 
 
+def verdict(flags: Column) -> Column:
+    """``struct(is_safe, risk_level, flags, total_flags)`` from a flag array
+    (pass a column reference so the flags are computed once)."""
+    risk = risk_level(flags)
+    return F.struct(risk.isin("none", "low").alias("is_safe"), risk.alias("risk_level"),
+                    flags.alias("flags"), F.size(flags).alias("total_flags"))
+
+
 def safety_struct(answer: Column, enabled: bool = True) -> Column:
     """``struct(is_safe, risk_level, flags, total_flags)``. Disabled ->
-    safe, no flags, ``total_flags = 0`` (S28)."""
+    safe, no flags, ``total_flags = 0`` (S28). The flag array is bound once
+    (single-element ``transform``) so no pattern runs twice per answer."""
     if not enabled:
         return F.struct(F.lit(True).alias("is_safe"), F.lit("none").alias("risk_level"),
                         F.array().cast(FLAG_TYPE).alias("flags"),
                         F.lit(0).alias("total_flags"))
-    flags = safety_flags(answer)
-    risk = risk_level(flags)
-    return F.struct(risk.isin("none", "low").alias("is_safe"), risk.alias("risk_level"),
-                    flags.alias("flags"), F.size(flags).alias("total_flags"))
+    return F.element_at(F.transform(F.array(safety_flags(answer)), verdict), 1)

@@ -14,9 +14,9 @@ from ..functions.tokens import window_starts, word_pieces
 CHUNK_COLS = ("chunk_index", "token_count", "chunk_text")
 
 
-def chunk_column(text, size: int, overlap: int):
-    """Array of ``struct(chunk_text, token_count)`` windows for one text."""
-    pieces = word_pieces(text)
+def windows_of_pieces(pieces, size: int, overlap: int):
+    """Array of ``struct(chunk_text, token_count)`` windows over a token
+    array (pass a column reference: the array must be computed once)."""
     starts = window_starts(F.size(pieces), size, overlap)
 
     def one(s):
@@ -26,6 +26,13 @@ def chunk_column(text, size: int, overlap: int):
     return F.transform(starts, one)
 
 
+def chunk_column(text, size: int, overlap: int):
+    """Windows of one text; the token array is bound once through a
+    single-element ``transform`` so it is not re-extracted per window."""
+    return F.element_at(F.transform(F.array(word_pieces(text)),
+                                    lambda p: windows_of_pieces(p, size, overlap)), 1)
+
+
 def chunk_documents(docs: DataFrame, size: int = 512, overlap: int = 50,
                     text_col: str = "text", drop_text: bool = True,
                     rebalance_partitions: int | None = None) -> DataFrame:
@@ -39,9 +46,11 @@ def chunk_documents(docs: DataFrame, size: int = 512, overlap: int = 50,
     if overlap < 0 or overlap >= size:
         raise ValueError("chunk_overlap must be in [0, chunk_size)")
     keep = [c for c in docs.columns if not (drop_text and c == text_col)]
-    out = docs.select(
+    # tokenise once per document, then cut every window from that array
+    staged = docs.select(*keep, word_pieces(F.col(text_col)).alias("__p"))
+    out = staged.select(
         *keep,
-        F.posexplode(chunk_column(F.col(text_col), size, overlap)).alias("chunk_index", "__w"),
+        F.posexplode(windows_of_pieces(F.col("__p"), size, overlap)).alias("chunk_index", "__w"),
     ).select(
         *keep,
         F.col("chunk_index").cast("int").alias("chunk_index"),
@@ -64,11 +73,8 @@ def register_chunker_udtf(spark, size: int = 512, overlap: int = 50, name: str =
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING)
         RETURNS ARRAY<STRUCT<chunk_text: STRING, token_count: INT>>
-        RETURN transform(
-            CASE WHEN size(regexp_extract_all(t, '\\\\s*\\\\S+', 0)) > 0
-                 THEN sequence(0, size(regexp_extract_all(t, '\\\\s*\\\\S+', 0)) - 1, {step})
-                 ELSE array() END,
-            s -> named_struct(
-                'chunk_text', array_join(slice(regexp_extract_all(t, '\\\\s*\\\\S+', 0), s + 1, {size}), ''),
-                'token_count', size(slice(regexp_extract_all(t, '\\\\s*\\\\S+', 0), s + 1, {size}))))
+        RETURN element_at(transform(array(regexp_extract_all(t, '\\\\s*\\\\S+', 0)), p ->
+            transform(CASE WHEN size(p) > 0 THEN sequence(0, size(p) - 1, {step}) ELSE array() END,
+                s -> named_struct('chunk_text', array_join(slice(p, s + 1, {size}), ''),
+                                  'token_count', size(slice(p, s + 1, {size}))))), 1)
     """)

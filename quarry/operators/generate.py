@@ -34,9 +34,11 @@ _OUT = T.StructType([
 def extractive_answer(text: Column, n_sentences: int = 2) -> Column:
     """Leading ``n_sentences`` sentences (F6 rules) of ``text``, space-joined;
     the stripped text itself when it has no sentence longer than 10 chars."""
-    sents = split_sentences(text)
-    return F.when(F.size(sents) > 0, F.array_join(F.slice(sents, 1, n_sentences), " ")) \
-        .otherwise(F.coalesce(text, F.lit("")))
+    def pick(sents):
+        return F.when(F.size(sents) > 0, F.array_join(F.slice(sents, 1, n_sentences), " ")) \
+            .otherwise(F.coalesce(text, F.lit("")))
+    # bind the sentence array once
+    return F.element_at(F.transform(F.array(split_sentences(text)), pick), 1)
 
 
 def generate_with(df: DataFrame, fn: Callable[[list], dict],
