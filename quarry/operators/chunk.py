@@ -63,10 +63,10 @@ def chunk_documents(docs: DataFrame, size: int = 512, overlap: int = 50,
 
 
 def register_chunker_udtf(spark, size: int = 512, overlap: int = 50, name: str = "chunk_text"):
-    """UD5 for SQL callers: ``SELECT * FROM chunk_text(TABLE(docs))``-style
-    access through a SQL function returning the window array; use with
-    ``inline``: ``SELECT d.*, w.* FROM docs d LATERAL VIEW posexplode(
-    chunk_text(d.text)) w AS chunk_index, win``."""
+    """UD5 for SQL callers: a SQL function returning the window array of a
+    text. Spark does not allow SQL functions inside generators, so explode
+    it from a subquery: ``SELECT pos AS chunk_index, w.* FROM (SELECT
+    chunk_text(text) AS ws FROM docs) LATERAL VIEW posexplode(ws) t AS pos, w``."""
     if overlap < 0 or overlap >= size:
         raise ValueError("chunk_overlap must be in [0, chunk_size)")
     step = size - overlap
