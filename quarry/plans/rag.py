@@ -17,10 +17,9 @@ from ..config import DEFAULT, Config
 from ..functions import prompt as P
 from ..operators.chunk import chunk_documents
 from ..operators.clean import clean_documents, validate_questions
-from ..operators.context import budget_context, context_blocks, source_list
 from ..operators.embed import HashedEmbedder
 from ..operators.generate import EXTRACTIVE_MODEL, extractive_answer, generate_with
-from ..operators.search import knn, threshold_filter
+from ..operators.search import knn
 
 CHUNK_PAYLOAD = ("filename", "chunk_text", "token_count")
 
@@ -72,41 +71,68 @@ def answer_questions(questions: DataFrame, chunks: DataFrame, cfg: Config = DEFA
     if hits is None:
         hits = retrieve(good.select("query_id", "question", "k"), chunks, cfg, embedder,
                         per_query_k="k")
-    counts = hits.groupBy("query_id").agg(
-        F.count(F.lit(1)).cast("int").alias("chunks_retrieved"),
-        F.count_if(F.col("score") >= cfg.similarity_threshold).cast("int").alias("chunks_used"))
-    passed = budget_context(threshold_filter(hits, cfg.similarity_threshold), cfg.max_context_tokens)
-    ctx = context_blocks(passed)
-    src = source_list(passed)
-    first = passed.filter("in_context").groupBy("query_id").agg(
-        F.min_by("chunk_text", "rank").alias("__top_text"))
-    prompts = good.select("query_id", "question").join(ctx, "query_id", "inner") \
-        .join(first, "query_id", "left") \
-        .withColumn("messages", P.messages(F.col("context"), F.col("question")))
+    per_q = summarize_hits(hits, cfg)
+    joined = v.select("query_id", "question", "error").join(per_q, "query_id", "left")
+    no_hit = F.coalesce(F.col("chunks_used"), F.lit(0)) == 0
+    has_ctx = F.coalesce(F.col("chunks_in_context"), F.lit(0)) > 0
     if generator is None:
-        gen = prompts.select(
-            "query_id",
-            F.coalesce(extractive_answer(F.col("__top_text")), F.lit("")).alias("answer"),
-            F.lit(EXTRACTIVE_MODEL).alias("model"),
-            F.lit(None).cast("string").alias("gen_error"))
+        joined = joined.withColumn(
+            "__answer", F.when(has_ctx, F.coalesce(extractive_answer(F.col("__top_text")), F.lit(""))))
+        joined = joined.withColumn("__model", F.when(has_ctx, F.lit(EXTRACTIVE_MODEL))) \
+            .withColumn("__gen_error", F.lit(None).cast("string"))
     else:
-        gen = generate_with(prompts.select("query_id", "messages"), generator) \
-            .select("query_id", "answer", "model", F.col("error").alias("gen_error"))
-    no_hit = F.coalesce(F.col("chunks_used"), F.lit(0)) == 0
-    return (v.select("query_id", "question", "error")
-            .join(counts, "query_id", "left")
-            .join(src, "query_id", "left")
-            .join(ctx.select("query_id", "chunks_in_context"), "query_id", "left")
-            .join(gen, "query_id", "left")
-            .select(
-                "query_id", "question",
-                F.coalesce("error", "gen_error").alias("error"),
-                F.when(F.col("error").isNotNull(), F.lit(None))
-                 .when(no_hit, F.lit(P.NO_HIT_ANSWER))
-                 .otherwise(F.coalesce("answer", F.lit(""))).alias("answer"),
-                F.coalesce("sources", F.array().cast(src.schema["sources"].dataType)).alias("sources"),
-                F.coalesce("scores", F.array().cast("array<double>")).alias("scores"),
-                F.coalesce("chunks_retrieved", F.lit(0)).alias("chunks_retrieved"),
-                F.coalesce("chunks_used", F.lit(0)).alias("chunks_used"),
-                F.coalesce("chunks_in_context", F.lit(0)).alias("chunks_in_context"),
-                F.when(no_hit | F.col("error").isNotNull(), F.lit(None)).otherwise(F.col("model")).alias("model")))
+        prompts = joined.filter(F.col("error").isNull() & ~no_hit) \
+            .select("query_id", P.messages(F.col("context"), F.col("question")).alias("messages"))
+        gen = generate_with(prompts, generator).select(
+            "query_id", F.col("answer").alias("__answer"), F.col("model").alias("__model"),
+            F.col("error").alias("__gen_error"))
+        joined = joined.join(gen, "query_id", "left")
+    sources_type = per_q.schema["sources"].dataType
+    return joined.select(
+        "query_id", "question",
+        F.coalesce("error", "__gen_error").alias("error"),
+        F.when(F.col("error").isNotNull(), F.lit(None))
+         .when(no_hit, F.lit(P.NO_HIT_ANSWER))
+         .otherwise(F.coalesce("__answer", F.lit(""))).alias("answer"),
+        F.coalesce("sources", F.array().cast(sources_type)).alias("sources"),
+        F.coalesce("scores", F.array().cast("array<double>")).alias("scores"),
+        F.coalesce("chunks_retrieved", F.lit(0)).alias("chunks_retrieved"),
+        F.coalesce("chunks_used", F.lit(0)).alias("chunks_used"),
+        F.coalesce("chunks_in_context", F.lit(0)).alias("chunks_in_context"),
+        F.when(no_hit | F.col("error").isNotNull(), F.lit(None)).otherwise(F.col("__model")).alias("model"))
+
+
+def summarize_hits(hits: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Everything C2 needs per question from its hits in one pass: a
+    running-sum window and one aggregate, both partitioned by ``query_id``
+    (the aggregate reuses the window's partitioning, so one shuffle).
+    Threshold survivors are a prefix of the rank order, so the running sum
+    over survivors is the running sum over the ranked hits."""
+    from pyspark.sql import Window
+    from ..functions.text import preview
+    passed = F.col("score") >= F.lit(cfg.similarity_threshold)
+    w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    h = hits.withColumn("__passed", passed).withColumn(
+        "running_tokens",
+        F.sum(F.when(passed, F.coalesce(F.col("token_count"), F.lit(0))).otherwise(F.lit(0))).over(w))
+    in_ctx = F.col("__passed") & (F.col("running_tokens") <= F.lit(cfg.max_context_tokens))
+    src = F.when(F.col("__passed"), F.struct(
+        F.col("rank"), F.coalesce(F.col("filename"), F.lit(P.MISSING_SOURCE)).alias("filename"),
+        F.col("chunk_index"), F.round("score", 4).alias("score"),
+        preview("chunk_text").alias("preview")))
+    sec = F.when(in_ctx, F.struct(F.col("rank"), P.section("filename", "chunk_index", "score",
+                                                          "chunk_text").alias("s")))
+    agg = h.groupBy("query_id").agg(
+        F.count(F.lit(1)).cast("int").alias("chunks_retrieved"),
+        F.count_if("__passed").cast("int").alias("chunks_used"),
+        F.array_sort(F.collect_list(src)).alias("__src"),
+        F.array_sort(F.collect_list(sec)).alias("__sec"),
+        F.count_if(in_ctx).cast("int").alias("chunks_in_context"),
+        F.max(F.when(in_ctx, F.col("running_tokens"))).cast("int").alias("context_tokens"),
+        F.min_by(F.when(in_ctx, F.col("chunk_text")), F.when(in_ctx, F.col("rank"))).alias("__top_text"))
+    return agg.select(
+        "query_id", "chunks_retrieved", "chunks_used", "chunks_in_context", "context_tokens",
+        F.transform("__src", lambda x: x.dropFields("rank")).alias("sources"),
+        F.transform("__src", lambda x: x["score"]).alias("scores"),
+        F.array_join(F.transform("__sec", lambda x: x["s"]), P.SECTION_SEPARATOR).alias("context"),
+        "__top_text")
