@@ -28,33 +28,32 @@ ZERO_CELL = -1
 
 def train_cells(vectors: DataFrame, nlist: int = 100, vec_col: str = "embedding",
                 seed: int = 42, max_iter: int = 20) -> DataFrame:
-    """``cell INT, centroid ARRAY<DOUBLE>`` (unit length)."""
+    """``cell INT, centroid ARRAY<DOUBLE>`` (unit length). KMeans runs
+    distributed (k-means|| start, one aggregation pass per iteration); only
+    the ``nlist`` centres come back to the driver."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from ..functions.vectors import sum_squares
+    from pyspark.ml.functions import array_to_vector
 
+    from ..functions.vectors import l2_normalize, sum_squares, vector_sum
+
+    spark = vectors.sparkSession
     nz = vectors.select(vec_col).filter(sum_squares(vec_col) > 0)
     n = nz.count()
     if n == 0:
         raise ValueError("no non-zero vectors to train on")
-    k = max(1, min(nlist, n))
-    feats = nz.select(array_to_vector(F.col(vec_col)).alias("features"))
+    k = max(1, min(nlist, n))  # S12
     if k == 1:
-        spark = vectors.sparkSession
-        from ..functions.vectors import l2_normalize
         dim = len(nz.first()[0])
-        from ..functions.vectors import vector_sum
-        c = nz.agg(vector_sum(vec_col, dim).alias("c")).select(
+        return nz.agg(vector_sum(vec_col, dim).alias("c")).select(
             F.lit(0).alias("cell"), l2_normalize("c").cast("array<double>").alias("centroid"))
-        return c
+    feats = nz.select(array_to_vector(F.col(vec_col)).alias("features"))
     model = KMeans(k=k, distanceMeasure="cosine", seed=seed, maxIter=max_iter,
                    featuresCol="features").fit(feats)
-    centers = [np.asarray(c, dtype=np.float64) for c in model.clusterCenters()]
     rows = []
-    for i, c in enumerate(centers):
+    for i, c in enumerate(model.clusterCenters()):
+        c = np.asarray(c, dtype=np.float64)
         nrm = np.linalg.norm(c)
         rows.append((i, (c / nrm if nrm > 0 else c).tolist()))
-    spark = vectors.sparkSession
     return spark.createDataFrame(rows, "cell int, centroid array<double>")
 
 
@@ -110,12 +109,18 @@ def search_ivf(questions: DataFrame, index: DataFrame, centroids: DataFrame, k:
 
 
 def save_index(index: DataFrame, path: str, centroids: DataFrame | None = None,
-               mode: str = "overwrite") -> str:
+               mode: str = "overwrite", keys: tuple | None = None,
+               max_records_per_file: int = 1_000_000) -> str:
     """SRC7: the chunk store + vectors as Parquet; cell-partitioned when it
-    has a ``cell`` column (rows of a cell are brought together first so each
-    cell directory gets few files)."""
+    has a ``cell`` column. Rows are range-partitioned on ``(cell, key)``:
+    small cells share a task and get few files, while a hot cell (say a
+    third of all vectors) is split across many tasks instead of one."""
     if "cell" in index.columns:
-        index.repartition("cell").write.mode(mode).partitionBy("cell").parquet(path + "/data")
+        keys = keys or tuple(c for c in ("doc_id", "chunk_index", "vec_id") if c in index.columns)
+        n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        (index.repartitionByRange(n, "cell", *keys).write.mode(mode)
+         .option("maxRecordsPerFile", max_records_per_file)
+         .partitionBy("cell").parquet(path + "/data"))
         if centroids is not None:
             centroids.coalesce(1).write.mode(mode).parquet(path + "/_centroids")
     else:
