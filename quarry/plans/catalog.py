@@ -450,6 +450,16 @@ def index_roundtrip(spark, sf_dir):
                          F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
 
 
+def result_json(spark, sf_dir):
+    """SRC9: the C2 results written as JSON lines to the shared folder and
+    read back with their schema."""
+    from ..session import scratch_path
+    res = rag_answers(spark, sf_dir)
+    path = scratch_path(spark, "results")
+    res.write.mode("overwrite").json(path)
+    return spark.read.schema(res.schema).json(path)
+
+
 # --- streaming -------------------------------------------------------------
 
 def _write_questions(spark, sf_dir, path):
@@ -584,6 +594,7 @@ QUERIES = {
     "knn_documents": knn_documents,
     "hit_sources": hit_sources,
     "rag_answers": rag_answers,
+    "result_json": result_json,
     "context_budget": context_budget,
     "prompt_messages": prompt_messages,
     "chat_render": chat_render,

@@ -336,6 +336,7 @@ FROM embeddings"""
 
 
 SQL["stream_questions"] = SQL["rag_answers"]
+SQL["result_json"] = SQL["rag_answers"]
 
 SQL["doc_scan"] = f"""SELECT doc_id, '.txt' AS format, CAST(length({O.strip('text')}) AS INTEGER) AS n_chars
 FROM documents"""
