@@ -39,4 +39,4 @@ def l2_normalize(v) -> Column:
 def vector_sum(v, dim: int) -> Column:
     """Aggregate expression: element-wise sum of ``array<float>`` rows as
     ``array<double>`` (partial + final aggregation, skew-safe)."""
-    return F.array(*[F.sum(F.element_at(_c(v), i + 1).cast("double")) for i in range(dim)])
+    return F.array(*[F.sum(F.try_element_at(_c(v), F.lit(i + 1)).cast("double")) for i in range(dim)])

@@ -138,7 +138,7 @@ def rag_answers(spark, sf_dir):
     a = _answers(spark, sf_dir)
     return a.select("query_id", "answer", "error", "model",
                     F.size("sources").cast("int").alias("n_sources"),
-                    F.element_at("scores", 1).alias("top_score"),
+                    F.try_element_at("scores", F.lit(1)).alias("top_score"),
                     "chunks_retrieved", "chunks_used", "chunks_in_context")
 
 
@@ -447,7 +447,7 @@ def index_roundtrip(spark, sf_dir):
     loaded, _ = load_index(spark, path)
     return loaded.select("vec_id", "label", F.size("embedding").cast("int").alias("dim"),
                          F.round(l2_norm("embedding"), 6).alias("norm"),
-                         F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
+                         F.round(F.try_element_at("embedding", F.lit(1)).cast("double"), 6).alias("first"))
 
 
 def result_json(spark, sf_dir):

@@ -29,7 +29,6 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int | None = None,
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.ansi.enabled", "false")
     )
     # local runs only: a private folder stands in for the shared one
     spark = spark.config("spark.checkpoint.dir",

@@ -87,7 +87,7 @@ def answer_stream(spark: SparkSession, source_dir: str, pointer_path: str, sink_
             res = res.select(
                 "query_id", "question", "answer", "error", "model",
                 F.size("sources").cast("int").alias("n_sources"),
-                F.element_at("scores", 1).alias("top_score"),
+                F.try_element_at("scores", F.lit(1)).alias("top_score"),
                 "chunks_retrieved", "chunks_used", "chunks_in_context")
             errs = bad.select(
                 F.col("query_id"), F.col("question"), F.lit(None).cast("string").alias("answer"),
