@@ -67,6 +67,21 @@ def _top_candidates(scores: np.ndarray, kmax: int):
     return r, c, keys[r, c]
 
 
+def _reduce(tbl: pa.Table, qpos: np.ndarray, score: np.ndarray, keys: np.ndarray,
+            key_cols: list, kmax: int):
+    """Exact top-``kmax`` per question under the full order (question, score
+    key desc, corpus key asc)."""
+    order_tbl = pa.table({"__q": qpos, "__s": -keys,
+                          **{f"__k{i}": tbl.column(c) for i, c in enumerate(key_cols)}})
+    order = pc.sort_indices(order_tbl, sort_keys=[("__q", "ascending"), ("__s", "ascending")]
+                            + [(f"__k{i}", "ascending") for i in range(len(key_cols))]).to_numpy()
+    qs = qpos[order]
+    first = np.r_[True, qs[1:] != qs[:-1]] if len(qs) else np.zeros(0, bool)
+    grp_start = np.maximum.accumulate(np.where(first, np.arange(len(qs)), 0)) if len(qs) else qs
+    sel = order[(np.arange(len(qs)) - grp_start) < kmax]
+    return tbl.take(pa.array(sel)), qpos[sel], score[sel], keys[sel]
+
+
 def _scorer(bc, key_cols: Sequence[str], vec_col: str, payload: Sequence[str],
             kmax: int, cell_col: str | None, out_schema: T.StructType):
     from pyspark.sql.pandas.types import to_arrow_type
@@ -80,7 +95,11 @@ def _scorer(bc, key_cols: Sequence[str], vec_col: str, payload: Sequence[str],
         Q, qids = b["Q"], b["qids"]
         dim = Q.shape[1]
         cell_of_q = b.get("cell_queries")  # cell -> positions of probing questions
-        acc_t, acc_q, acc_s, acc_k = [], [], [], []
+        # running candidates; merged down to top-kmax per question whenever
+        # they outgrow twice that, so a task never holds more than ~2*Q*kmax rows
+        acc = None
+        pending_t, pending_q, pending_s, pending_k, pending_n = [], [], [], [], 0
+        budget = 2 * max(1, len(qids)) * kmax
         for rb in batches:
             if rb.num_rows == 0:
                 continue
@@ -100,30 +119,31 @@ def _scorer(bc, key_cols: Sequence[str], vec_col: str, payload: Sequence[str],
                 r, c, keys = _top_candidates(S, kmax)
                 if len(r) == 0:
                     continue
-                acc_t.append(small.take(pa.array(rows[r])))
-                acc_q.append(qpos[c])
-                acc_s.append(S[r, c])
-                acc_k.append(keys)
-        if not acc_t:
+                pending_t.append(small.take(pa.array(rows[r])))
+                pending_q.append(qpos[c])
+                pending_s.append(S[r, c])
+                pending_k.append(keys)
+                pending_n += len(r)
+            if pending_n > budget:
+                parts = ([acc] if acc else []) + [(pa.concat_tables(pending_t), np.concatenate(pending_q),
+                                                   np.concatenate(pending_s), np.concatenate(pending_k))]
+                acc = _reduce(pa.concat_tables([p[0] for p in parts]).combine_chunks(),
+                              np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]),
+                              np.concatenate([p[3] for p in parts]), key_cols, kmax)
+                pending_t, pending_q, pending_s, pending_k, pending_n = [], [], [], [], 0
+        parts = ([acc] if acc else [])
+        if pending_t:
+            parts.append((pa.concat_tables(pending_t), np.concatenate(pending_q),
+                          np.concatenate(pending_s), np.concatenate(pending_k)))
+        if not parts:
             return
-        tbl = pa.concat_tables(acc_t).combine_chunks()
-        qpos = np.concatenate(acc_q)
-        score = np.concatenate(acc_s)
-        keys = np.concatenate(acc_k)
-        # exact partition-level top-k under the full order
-        # (question, score key desc, corpus key asc)
-        order_tbl = pa.table({"__q": qpos, "__s": -keys,
-                              **{f"__k{i}": tbl.column(c) for i, c in enumerate(key_cols)}})
-        order = pc.sort_indices(order_tbl, sort_keys=[("__q", "ascending"), ("__s", "ascending")]
-                                + [(f"__k{i}", "ascending") for i in range(len(key_cols))]).to_numpy()
-        qs = qpos[order]
-        first = np.r_[True, qs[1:] != qs[:-1]]
-        grp_start = np.maximum.accumulate(np.where(first, np.arange(len(qs)), 0))
-        sel = order[(np.arange(len(qs)) - grp_start) < kmax]
-        taken = tbl.take(pa.array(sel))
-        cols = {"query_id": pa.array(qids[qpos[sel]]),
-                "score": pa.array(score[sel]),
-                "score_key": pa.array(keys[sel])}
+        taken, qpos, score, keys = _reduce(
+            pa.concat_tables([p[0] for p in parts]).combine_chunks(),
+            np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]),
+            np.concatenate([p[3] for p in parts]), key_cols, kmax)
+        cols = {"query_id": pa.array(qids[qpos]),
+                "score": pa.array(score),
+                "score_key": pa.array(keys)}
         for c in carry:
             cols[c] = taken.column(c).combine_chunks()
         arrays = [cols[n].cast(arrow_types[n]) for n in names]
@@ -152,6 +172,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
         per_query_k: str | None = None, max_k: int = 20,
         cell_col: str | None = None, probes: DataFrame | None = None,
         broadcast_limit_bytes: int = DEFAULT_BROADCAST_LIMIT,
+        max_block_queries: int = 8192,
         materialize: bool = True) -> DataFrame:
     """Top-k corpus rows per question by inner product.
 
@@ -180,8 +201,10 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
         + [T.StructField(f.name, f.dataType, True) for f in key_fields + pay_fields])
     cols = list(dict.fromkeys(list(corpus_keys) + [corpus_vec] + list(payload)
                               + ([cell_col] if cell_col else [])))
-    blocks = max(1, math.ceil(nbytes / broadcast_limit_bytes))
-    parts = []
+    # a block is bounded both in bytes (broadcast size) and in questions
+    # (each task holds up to ~2 x questions x k candidate rows with payload)
+    blocks = max(1, math.ceil(nbytes / broadcast_limit_bytes), math.ceil(n / max_block_queries))
+    parts, bcs = [], []
     for b in range(blocks):
         qb = queries if blocks == 1 else queries.filter(
             F.pmod(F.xxhash64(F.col(query_key)), F.lit(blocks)) == b)
@@ -204,6 +227,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
             # partition pruning: read only probed cells
             scan = scan.filter(F.col(cell_col).isin(sorted(cq)))
         bc = spark.sparkContext.broadcast(payload_b)
+        bcs.append(bc)
         parts.append(scan.mapInArrow(
             _scorer(bc, corpus_keys, corpus_vec, payload, kmax, cell_col, out_schema),
             out_schema))
@@ -223,6 +247,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
         from ..session import checkpoint_dir
         checkpoint_dir(spark)
         out = out.checkpoint(eager=True)
+        for bc in bcs:  # the hits are on disk now; free executor memory
+            bc.unpersist()
     return out
 
 

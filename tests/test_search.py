@@ -130,3 +130,18 @@ def test_budget_equals_prefix_loop(spark):
             else:
                 total += tc
                 assert got[(q, r)] is True
+
+
+def test_incremental_merge_with_many_small_batches(spark):
+    v, idx = _index(spark, 300, dim=24, seed=11)
+    q = _vectors(4, 24, seed=12)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        hits = knn(_queries(spark, q), idx.coalesce(1), 6, corpus_keys=("chunk_index",)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = _brute(v, q, 6)
+    for qi in range(len(q)):
+        got = sorted((h for h in hits if h.query_id == qi), key=lambda h: h.rank)
+        assert [h.chunk_index for h in got] == [j for j, _ in want[qi]]
