@@ -460,6 +460,33 @@ def result_json(spark, sf_dir):
     return spark.read.schema(res.schema).json(path)
 
 
+def pipeline_counters(spark, sf_dir):
+    """C1 + A14: build a flat index from every document into the shared
+    folder; the counters come from observations on the write itself."""
+    from ..session import scratch_path
+    from .rag import build_index
+    stats = build_index(spark, _docs(spark, sf_dir), scratch_path(spark, "c1"), CFG)
+    return spark.createDataFrame(
+        [(stats["documents"], stats["chunks_indexed"], stats["vectors"])],
+        "documents long, chunks_indexed long, vectors long")
+
+
+def knn_single(spark, sf_dir):
+    """One question - the normalised centroid of the whole vector table -
+    and its top-k by ``orderBy(score desc).limit(k)`` (TakeOrderedAndProject).
+    The question is one vector of ``dim`` numbers, so it enters the plan as
+    a literal array: no join."""
+    from ..functions.vectors import dot, l2_norm, vector_sum
+    e = _emb(spark, sf_dir)
+    dim = int(e.select(F.size("embedding")).first()[0])
+    c = e.agg(vector_sum("embedding", dim).alias("s"))
+    q = c.select(F.transform("s", lambda x: x / l2_norm("s")).alias("q")).first()["q"]
+    qv = F.array(*[F.lit(float(x)) for x in q])
+    scored = e.select("vec_id", dot(qv, "embedding").alias("score"))
+    top = scored.orderBy(F.desc(F.round("score", 12)), "vec_id").limit(CFG.top_k)
+    return top.select("vec_id", F.round("score", 6).alias("score"))
+
+
 # --- streaming -------------------------------------------------------------
 
 def _write_questions(spark, sf_dir, path):
@@ -594,6 +621,8 @@ QUERIES = {
     "knn_documents": knn_documents,
     "hit_sources": hit_sources,
     "rag_answers": rag_answers,
+    "pipeline_counters": pipeline_counters,
+    "knn_single": knn_single,
     "result_json": result_json,
     "context_budget": context_budget,
     "prompt_messages": prompt_messages,

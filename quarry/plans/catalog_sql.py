@@ -380,3 +380,14 @@ FROM c"""
 
 
 SQL["synth_events"] = _synth_sql()
+
+SQL["pipeline_counters"] = f"""WITH {_corpus_ctes()}
+SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM chunks) AS chunks_indexed,
+       (SELECT count(*) FROM chunks) AS vectors"""
+
+SQL["knn_single"] = f"""WITH {_emb_ctes()},
+g AS (SELECT i, sum(x) AS s FROM ex GROUP BY i),
+gn AS (SELECT sqrt(sum(s * s)) AS n FROM g),
+q AS (SELECT list(s / n ORDER BY i) AS c FROM g, gn)
+SELECT vec_id, round(list_inner_product(q.c, e.v), 6) AS score FROM e, q
+ORDER BY round(list_inner_product(q.c, e.v), 12) DESC, vec_id LIMIT {CFG.top_k}"""

@@ -136,3 +136,46 @@ def summarize_hits(hits: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         F.transform("__src", lambda x: x["score"]).alias("scores"),
         F.array_join(F.transform("__sec", lambda x: x["s"]), P.SECTION_SEPARATOR).alias("context"),
         "__top_text")
+
+
+def build_index(spark, source, save_path: str, cfg: Config = DEFAULT, embedder=None) -> dict:
+    """C1 (``POST /index``): documents (a directory of files or a documents
+    DataFrame) -> clean -> chunk -> embed -> [cells] -> Parquet index.
+
+    Counters (A14) are collected with ``DataFrame.observe`` on the write
+    itself, so they cost no extra pass: documents loaded, chunks created,
+    vectors written. Raises on a missing directory and on an empty input
+    (S9). Returns ``{chunks_indexed, documents, vectors, index_path,
+    cells}``."""
+    from pyspark.sql import Observation
+
+    from ..operators.index import assign_cells, save_index, train_cells
+    from ..sources.files import load_documents
+
+    if isinstance(source, str):
+        docs, _quarantine = load_documents(spark, source)
+    else:
+        docs = source
+    if docs.isEmpty():
+        raise ValueError("no documents to index")
+    obs_docs, obs_chunks = Observation("documents"), Observation("chunks")
+    docs = docs.observe(obs_docs, F.count(F.lit(1)).alias("documents"))
+    chunks = prepare_chunks(docs, cfg, embedder).observe(
+        obs_chunks, F.count(F.lit(1)).alias("chunks"),
+        F.count("embedding").alias("vectors"))
+    cells = None
+    if cfg.index_type == "IVFFlat":
+        # the vectors are needed twice (training, then assignment): cut the
+        # lineage with a reliable checkpoint in the shared folder
+        from ..session import checkpoint_dir
+        checkpoint_dir(spark)
+        chunks = chunks.checkpoint(eager=True)
+        cents = train_cells(chunks, cfg.nlist, seed=cfg.kmeans_seed, max_iter=cfg.kmeans_max_iter)
+        chunks = assign_cells(chunks, cents, broadcast_limit_bytes=cfg.broadcast_limit_bytes)
+        save_index(chunks, save_path, cents)
+        cells = cents.count()
+    else:
+        save_index(chunks, save_path)
+    c = obs_chunks.get
+    return {"chunks_indexed": int(c.get("chunks", 0)), "documents": int(obs_docs.get.get("documents", 0)),
+            "vectors": int(c.get("vectors", 0)), "index_path": save_path, "cells": cells}

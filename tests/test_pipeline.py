@@ -99,3 +99,51 @@ def test_entry_contract(spark):
     rows = df.collect()
     assert len(rows) == spark.read.parquet(f"{SF}/benchmark.parquet").count()
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_build_index_counters_cells_and_errors(spark, workdir):
+    from quarry.operators.index import load_index
+    from quarry.plans.rag import build_index
+    os.makedirs(f"{workdir}/src/sub")
+    for i in range(6):
+        with open(f"{workdir}/src/sub/f{i}.txt", "w") as f:
+            f.write(" ".join(f"word{i}_{j}" for j in range(40)))
+    cfg = demo().with_(index_type="IVFFlat", nlist=100, chunk_size=16, chunk_overlap=4)
+    st = build_index(spark, f"{workdir}/src", f"{workdir}/idx", cfg)
+    assert st["documents"] == 6 and st["chunks_indexed"] == 6 * 4 == st["vectors"]
+    assert st["cells"] == 24  # S12: nlist capped at the vector count
+    idx, cents = load_index(spark, f"{workdir}/idx")
+    assert idx.count() == 24 and cents.count() == 24
+    os.makedirs(f"{workdir}/none")
+    with pytest.raises(ValueError):
+        build_index(spark, f"{workdir}/none", f"{workdir}/idx2", cfg)
+    with pytest.raises(FileNotFoundError):
+        build_index(spark, "/nonexistent/path", f"{workdir}/idx3", cfg)
+
+
+def test_budget_cut_chunks_still_count_as_used(spark, chunks):
+    # chunks_used counts threshold survivors, also those cut by the budget
+    cfg = demo().with_(similarity_threshold=0.0, max_context_tokens=300)
+    q = spark.read.parquet(f"{SF}/benchmark.parquet").limit(3) \
+        .select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    for r in answer_questions(q, chunks, cfg).collect():
+        assert r.chunks_used == 5 and r.chunks_in_context <= 2 and r.chunks_retrieved == 5
+
+
+def test_ellipsis_rules(spark):
+    from quarry.functions.text import ellipsize, preview
+    r = spark.createDataFrame([("x" * 100, "y" * 101, "short")], "a string, b string, c string") \
+        .select(ellipsize("a").alias("a"), ellipsize("b").alias("b"), preview("c").alias("c")).first()
+    assert r.a == "x" * 100 and r.b == "y" * 100 + "..." and r.c == "short..."  # S18, S19
+
+
+def test_groundedness_tie_goes_to_lowest_hit(spark):
+    from quarry.operators.embed import HashedEmbedder
+    from quarry.operators.evaluate import groundedness
+    emb = HashedEmbedder(64)
+    same = "The payment service retried the request twice."
+    hits = emb.embed(spark.createDataFrame([(1, 3, same), (1, 2, same), (1, 4, "other words")],
+                                           "query_id int, rank int, t string"), "t")
+    ans = spark.createDataFrame([(1, same)], "query_id int, answer string")
+    g = groundedness(ans, hits, emb, 0.5).first()
+    assert g.sentence_scores[0].best_matching_chunk == 1  # rank 2 -> position 1 (S21)
