@@ -49,3 +49,23 @@ def source_list(hits: DataFrame, key: str = "query_id") -> DataFrame:
     return hits.groupBy(key).agg(
         F.transform(srt, lambda x: x.dropFields("rank")).alias("sources"),
         F.transform(srt, lambda x: x["score"]).alias("scores"))
+
+
+def render_conversations(conv: DataFrame, block_turns: int = 256) -> DataFrame:
+    """F17 over a long table ``conv_id, turn, role, text``: one transcript
+    per conversation. Segments are rendered row by row; turns are then
+    concatenated in two levels (blocks of ``block_turns`` turns, then the
+    blocks), so ordering work for a very long conversation is split across
+    tasks and no level sorts more than one block of rows."""
+    seg = P.chat_segment(F.col("role"), F.col("text"))  # NULL for other roles
+    lvl1 = conv.select("conv_id", "turn", seg.alias("seg")) \
+        .groupBy("conv_id", F.floor(F.col("turn") / block_turns).alias("blk")).agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "seg"))),
+                                     lambda x: x["seg"]), "\n").alias("part"))  # skips NULLs
+    lvl2 = lvl1.groupBy("conv_id").agg(
+        F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("blk", "part"))),
+                                          lambda x: x["part"]), lambda p: p != ""), "\n").alias("body"))
+    return lvl2.select(
+        "conv_id",
+        F.concat(F.when(F.length("body") > 0, F.concat(F.col("body"), F.lit("\n"))).otherwise(F.lit("")),
+                 F.lit(P.ASSISTANT_TAG)).alias("prompt"))

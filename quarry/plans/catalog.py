@@ -171,11 +171,8 @@ def _conversations(spark, sf_dir):
 
 def chat_render(spark, sf_dir):
     """F17 per conversation: ordered messages -> transcript prompt."""
-    from ..functions import prompt as P
-    conv = _conversations(spark, sf_dir)
-    msgs = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(
-        F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
-    return msgs.select("conv_id", P.render_chat(F.col("m")).alias("prompt"))
+    from ..operators.context import render_conversations
+    return render_conversations(_conversations(spark, sf_dir))
 
 
 def answer_postprocess(spark, sf_dir):

@@ -49,6 +49,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...); "
+                               "a machine-local folder does not survive executor loss")
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
