@@ -320,6 +320,25 @@ def benchmark_compare(spark, sf_dir):
         F.round("avg_q", 4).alias("rag_avg_quality_score"))
 
 
+def benchmark_results(spark, sf_dir):
+    """C8 per question: both variants side by side (U2 union with a variant
+    tag, J8 join on the question key), answers cut to 200 characters (PF11)."""
+    from ..functions.prompt import NO_CONTEXT_ANSWER
+    from ..functions.text import truncate
+    from ..operators.evaluate import keyword_accuracy as kacc
+    ans = _answers(spark, sf_dir).withColumn("kw", _keywords(F.col("question")))
+    rag = ans.select("query_id", F.lit("rag").alias("variant"), "answer", "kw",
+                     F.col("chunks_used").alias("chunks_used"))
+    base = ans.select("query_id", F.lit("baseline").alias("variant"),
+                      F.lit(NO_CONTEXT_ANSWER).alias("answer"), "kw",
+                      F.lit(None).cast("int").alias("chunks_used"))
+    both = rag.unionByName(base).select(
+        "query_id", "variant", truncate("answer", 200).alias("answer"),
+        F.round(kacc("answer", "kw"), 4).alias("keyword_accuracy"), "chunks_used")
+    q = _questions(spark, sf_dir).select("query_id", "question")
+    return q.join(both, "query_id")
+
+
 def demo_summary(spark, sf_dir):
     """Mean quality, pass rate and index size for the run."""
     q = _quality(spark, sf_dir).agg(
@@ -636,6 +655,7 @@ QUERIES = {
     "quality_scores": quality_scores,
     "benchmark_compare": benchmark_compare,
     "demo_summary": demo_summary,
+    "benchmark_results": benchmark_results,
     "knn_exact": knn_exact,
     "knn_exact_arrow": knn_exact_arrow,
     "knn_per_query_k": knn_per_query_k,

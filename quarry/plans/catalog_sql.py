@@ -391,3 +391,20 @@ gn AS (SELECT sqrt(sum(s * s)) AS n FROM g),
 q AS (SELECT list(s / n ORDER BY i) AS c FROM g, gn)
 SELECT vec_id, round(list_inner_product(q.c, e.v), 6) AS score FROM e, q
 ORDER BY round(list_inner_product(q.c, e.v), 12) DESC, vec_id LIMIT {CFG.top_k}"""
+
+
+def _bench_results_sql() -> str:
+    from ..functions.prompt import NO_CONTEXT_ANSWER
+    nc = O.lit(NO_CONTEXT_ANSWER)
+    return f"""WITH {_rag_ctes()},
+k AS (SELECT query_id, question, answer, chunks_used, {KW} AS kw FROM rag),
+both_v AS (
+  SELECT query_id, 'rag' AS variant, answer, kw, chunks_used FROM k
+  UNION ALL
+  SELECT query_id, 'baseline' AS variant, {nc} AS answer, kw, CAST(NULL AS INTEGER) AS chunks_used FROM k)
+SELECT q.query_id, q.question, b.variant, substring(b.answer, 1, 200) AS answer,
+       round({_kacc('b.answer', 'b.kw')}, 4) AS keyword_accuracy, b.chunks_used
+FROM questions q JOIN both_v b USING (query_id)"""
+
+
+SQL["benchmark_results"] = _bench_results_sql()

@@ -122,3 +122,21 @@ def test_demo_config():
     c = demo()
     assert (c.chunk_size, c.chunk_overlap, c.top_k, c.similarity_threshold, c.max_context_tokens) == \
         (256, 30, 5, 0.3, 1024)
+
+
+def test_model_embedder_batches_and_normalises(spark):
+    import numpy as np
+    from quarry.operators.embed import ModelEmbedder
+
+    class ToyModel:  # local class: shipped to the Python workers by value
+        def encode(self, texts):
+            import numpy as np
+            return np.array([[len(t), t.count("a") + 1.0, 3.0] for t in texts])
+
+    emb = ModelEmbedder(ToyModel, dim=3, batch_size=2)
+    df = spark.createDataFrame([(i, "a" * i + "b") for i in range(7)], "id int, t string")
+    rows = emb.embed(df, "t", "v").orderBy("id").collect()
+    for r in rows:
+        v = np.array(r.v, dtype=np.float64)
+        want = np.array([len(r.t), r.t.count("a") + 1.0, 3.0])
+        assert np.allclose(v, want / np.linalg.norm(want), atol=1e-6)
