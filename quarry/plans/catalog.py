@@ -551,19 +551,30 @@ def stream_index_refresh(spark, sf_dir):
 
 # --- files -----------------------------------------------------------------
 
+DOCS_PER_FILE = 64
+
+
 def doc_scan(spark, sf_dir):
-    """SRC1-3, SRC6: every document written as its own .txt file (plus a
-    .csv copy of the questions that the scan must skip), scanned back."""
+    """SRC1-3, SRC6: the documents written as log-style text files, one
+    directory per source and at most ``DOCS_PER_FILE`` documents per file
+    (range-partitioned on source and id, so a large source is split across
+    tasks and files), plus a CSV copy of the questions the scan must skip;
+    then scanned back. Each file is one loaded document, so per source the
+    loaded characters plus the file count equal the documents' characters
+    plus their count (each file drops one trailing newline when stripped)."""
     from ..session import scratch_path
     from ..sources.files import load_documents
     base = scratch_path(spark, "files")
-    read_table(spark, sf_dir, "documents").select("doc_id", "text") \
-        .write.partitionBy("doc_id").text(base + "/docs")
+    d = read_table(spark, sf_dir, "documents")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (d.select("source", "doc_id", "text").repartitionByRange(n, "source", "doc_id")
+     .sortWithinPartitions("source", "doc_id").select("source", "text")
+     .write.option("maxRecordsPerFile", DOCS_PER_FILE).partitionBy("source").text(base + "/docs"))
     read_table(spark, sf_dir, "benchmark").write.csv(base + "/docs/extra_csv")
     docs, bad = load_documents(spark, base + "/docs")
-    return docs.select(
-        F.regexp_extract("filepath", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"),
-        "format", F.length("text").cast("int").alias("n_chars"))
+    return docs.groupBy(F.regexp_extract("filepath", r"source=([^/]+)", 1).alias("source")).agg(
+        (F.sum(F.length("text")) + F.count(F.lit(1))).cast("long").alias("chars_with_files"),
+        F.max("format").alias("format"))
 
 
 def _docx_bytes(df: DataFrame) -> DataFrame:

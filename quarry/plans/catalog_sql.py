@@ -338,8 +338,9 @@ FROM embeddings"""
 SQL["stream_questions"] = SQL["rag_answers"]
 SQL["result_json"] = SQL["rag_answers"]
 
-SQL["doc_scan"] = f"""SELECT doc_id, '.txt' AS format, CAST(length({O.strip('text')}) AS INTEGER) AS n_chars
-FROM documents"""
+SQL["doc_scan"] = """SELECT source, CAST(sum(length(text)) + count(*) AS BIGINT) AS chars_with_files,
+       '.txt' AS format
+FROM documents GROUP BY source"""
 
 SQL["docx_text"] = f"""SELECT doc_id,
   {O.strip("array_to_string(list_filter(string_split(text, chr(10)), lambda l: length(trim(l)) > 0), chr(10) || chr(10))")} AS text
