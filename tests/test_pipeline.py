@@ -147,3 +147,10 @@ def test_groundedness_tie_goes_to_lowest_hit(spark):
     ans = spark.createDataFrame([(1, same)], "query_id int, answer string")
     g = groundedness(ans, hits, emb, 0.5).first()
     assert g.sentence_scores[0].best_matching_chunk == 1  # rank 2 -> position 1 (S21)
+
+
+def test_encode_response_round_trips(spark):
+    from quarry.streaming.questions import encode_response
+    df = spark.createDataFrame([(1, "a \"quoted\" answer", 2)], "query_id long, answer string, chunks_used int")
+    txt = encode_response(df).first().value
+    assert json.loads(txt) == {"query_id": 1, "answer": 'a "quoted" answer', "chunks_used": 2}

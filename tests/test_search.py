@@ -145,3 +145,15 @@ def test_incremental_merge_with_many_small_batches(spark):
     for qi in range(len(q)):
         got = sorted((h for h in hits if h.query_id == qi), key=lambda h: h.rank)
         assert [h.chunk_index for h in got] == [j for j, _ in want[qi]]
+
+
+def test_sql_dot_agrees_with_arrow_scorer(spark):
+    from quarry.functions.vectors import dot
+    v, idx = _index(spark, 80, dim=48, seed=21)
+    q = _vectors(3, 48, seed=22)
+    arrow = {(h.query_id, h.chunk_index): h.score
+             for h in knn(_queries(spark, q), idx, 80, corpus_keys=("chunk_index",)).collect()}
+    for qi in range(3):
+        lit = F.array(*[F.lit(float(x)) for x in q[qi]])
+        for r in idx.select("chunk_index", dot(lit, "embedding").alias("s")).collect():
+            assert abs(arrow[(qi, r.chunk_index)] - r.s) < 1e-6
