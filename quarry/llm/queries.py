@@ -4,7 +4,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quarry.llm.neardup import near_duplicates
 from quarry.llm.quality import COUNTS, quality_rules
 
 
@@ -17,6 +19,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *COUNTS[:5], "base_failed", "kept")
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), radius=2, shingle=3)
+    return near.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                       "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
