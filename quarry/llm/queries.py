@@ -6,6 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.linededup import dedup_lines
+from quarry.llm.mixing import plan
 from quarry.llm.neardup import near_duplicates
 from quarry.llm.quality import COUNTS, quality_rules
 
@@ -14,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return plan(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", *COUNTS[:5], "base_failed", "kept")
@@ -25,7 +32,14 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "component_id")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, min_words=50).select("doc_id", "n_lines", "n_removed", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_mix_sources": op4_mix_sources,
     "op5_quality_rules": op5_quality_rules,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_line_dedup": op9_line_dedup,
 }

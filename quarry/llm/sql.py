@@ -1,4 +1,73 @@
 """DuckDB oracles of the queries that SQL can express."""
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+_WORD = r"'[^\x20\x09-\x0D]+'"
+
+MIX = rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {_WORD})), 0)::BIGINT AS size,
+         md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS h
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rnk
+  FROM d GROUP BY source),
+w AS (
+  SELECT *, [3, 1, 2][rnk % 3 + 1] AS weight, [3.0, 1.0, 1.0][rnk % 3 + 1]::DOUBLE AS a,
+         [1.0, 3.0, 1.0][rnk % 3 + 1]::DOUBLE AS b, (200 * source_size)::HUGEINT AS cap,
+         sum(150 * source_size) OVER ()::HUGEINT AS total FROM s),
+o AS (
+  SELECT *, total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_before,
+         sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left
+  FROM w),
+f AS (SELECT *, cap * weight_left <= left_before * weight AS is_full FROM o),
+g AS (
+  SELECT *, total - coalesce(sum(cap) FILTER (is_full) OVER (), 0) AS num, sum(weight) FILTER (NOT is_full) OVER () AS den FROM f),
+t AS (
+  SELECT source, source_size, a, b,
+         CASE WHEN is_full THEN 2.0 * source_size ELSE num::DOUBLE * weight / (100.0 * den) END::DOUBLE AS target FROM g),
+p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.a, t.b, round(t.target)::BIGINT AS words,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS passes FROM p),
+r AS (SELECT *, least(greatest(words - passes * source_size - before, 0), size) AS cut FROM q),
+x AS (
+  SELECT *, CASE WHEN size > 0 THEN passes + (cut > 0)::BIGINT ELSE 0 END AS copies, before / words::DOUBLE AS share FROM r)
+SELECT doc_id, size, source_size, target, (passes * size + cut)::BIGINT AS taken, copies::BIGINT AS copies,
+       CASE WHEN copies > 0 THEN CASE WHEN share <= 0 THEN 0.0
+            ELSE share * (a + b) / (a + sqrt(a * a + (b - a) * (share * (a + b)))) END END::DOUBLE AS position
+FROM x
+"""
+
+LINES = rf"""
+WITH raw AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents),
+l AS (
+  SELECT *, len(regexp_extract_all(line, {_WORD})) AS w,
+         sum(len(regexp_extract_all(line, {_WORD}))) OVER (PARTITION BY doc_id ORDER BY ln) AS cum FROM raw),
+runs AS (
+  SELECT s.doc_id, s.ln AS a, min(e.ln) AS b FROM l s JOIN l e
+    ON s.doc_id = e.doc_id AND e.ln >= s.ln AND e.cum - (s.cum - s.w) >= 50 GROUP BY ALL
+  UNION
+  SELECT e.doc_id, max(s.ln) AS a, e.ln AS b FROM l s JOIN l e
+    ON s.doc_id = e.doc_id AND e.ln >= s.ln AND e.cum - (s.cum - s.w) >= 50 GROUP BY e.doc_id, e.ln),
+texts AS (
+  SELECT r.doc_id, r.a, r.b, string_agg(l.line, chr(10) ORDER BY l.ln) AS run
+  FROM runs r JOIN l ON l.doc_id = r.doc_id AND l.ln BETWEEN r.a AND r.b GROUP BY ALL),
+nth AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, a) AS n FROM texts),
+gone AS (
+  SELECT DISTINCT l.doc_id, l.ln FROM nth JOIN l ON l.doc_id = nth.doc_id AND l.ln BETWEEN nth.a AND nth.b WHERE nth.n > 1),
+kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.ln) AS text
+  FROM l WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = l.doc_id AND g.ln = l.ln) GROUP BY l.doc_id),
+cnt AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines, coalesce(cnt.n, 0)::BIGINT AS n_removed,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN cnt USING (doc_id)
+"""
+
+SQL: dict[str, str] = {
+    "op4_mix_sources": MIX,
+    "op9_line_dedup": LINES,
+}

@@ -60,3 +60,23 @@ def components(ids, prints, radius=2):
             for i in by[p]:
                 out[i, p] = min(known) if known else None
     return out
+
+
+def line_dedup(docs, min_words=50):
+    """docs: (id, text) in corpus order -> kept text per document, by looking
+    at every run of every length."""
+    lines = [(t or "").split("\n") if t is not None else [] for _, t in docs]
+    first = {}
+    for d, ls in enumerate(lines):
+        for a in range(len(ls)):
+            for b in range(a + 1, len(ls) + 1):
+                first.setdefault(tuple(ls[a:b]), (d, a))
+    out = []
+    for d, ls in enumerate(lines):
+        gone = set()
+        for a in range(len(ls)):
+            for b in range(a + 1, len(ls) + 1):
+                if sum(len(words(x)) for x in ls[a:b]) >= min_words and first[tuple(ls[a:b])] < (d, a):
+                    gone.update(range(a, b))
+        out.append(None if docs[d][1] is None else "\n".join(x for i, x in enumerate(ls) if i not in gone))
+    return out
