@@ -31,7 +31,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) mod 2^64, kept up to a block's length."""
     have = _pows.get(base)
     if have is None or len(have) < n:
-        a = np.full(n, np.uint64(base), np.uint64)
+        a = np.full(max(n, 1), np.uint64(base), np.uint64)
         a[0] = 1
         have = np.multiply.accumulate(a)
         if n <= 2 * BLOCK_BYTES:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.bpe import round_trip
 from quarry.llm.linededup import dedup_lines
 from quarry.llm.mixing import plan
 from quarry.llm.neardup import near_duplicates
@@ -16,6 +17,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is on this node."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return round_trip(docs, _vocabulary("byte_bpe_50k.json")).drop("text")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return plan(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
@@ -38,6 +50,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe": op2_bpe,
     "op4_mix_sources": op4_mix_sources,
     "op5_quality_rules": op5_quality_rules,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
