@@ -7,16 +7,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import round_trip
+from quarry.llm.html_text import main_text
 from quarry.llm.linededup import dedup_lines
 from quarry.llm.mixing import plan
 from quarry.llm.neardup import near_duplicates
 from quarry.llm.quality import COUNTS, quality_rules
+from quarry.llm.warc import archive_pages, read_pages
+from quarry.session import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    archive_pages(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return read_pages(spark, path)
+
+
 def _vocabulary(name: str) -> str:
     """Where a public tokenizer's file is on this node."""
     import public_tokenizers
@@ -28,6 +37,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(docs, _vocabulary("byte_bpe_50k.json")).drop("text")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return plan(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
@@ -50,7 +63,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
+    "op3_html_text": op3_html_text,
     "op4_mix_sources": op4_mix_sources,
     "op5_quality_rules": op5_quality_rules,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
