@@ -121,3 +121,14 @@ def ngram_hash(words: np.ndarray, n: int) -> np.ndarray:
         h *= np.uint64(BASE)
         h += words[j:j + m]
     return h
+
+
+def duplicated(keys: np.ndarray) -> np.ndarray:
+    """Mask of the keys that occur twice or more."""
+    s = np.sort(keys)
+    dup = s[1:][s[1:] == s[:-1]]
+    if not len(dup):
+        return np.zeros(len(keys), bool)
+    dup = dup[np.concatenate(([True], dup[1:] != dup[:-1]))]
+    at = np.minimum(np.searchsorted(dup, keys), len(dup) - 1)
+    return dup[at] == keys

@@ -36,41 +36,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import _text as tx
+from quarry.llm._bits import majority, ring_mask, signed, word_cuts
 from quarry.llm._graph import components
 from quarry.llm._keys import doc_key
 from quarry.session import checkpoint_dir
 
-#: byte value -> eight counters of one byte each, one per bit
-_LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
-_STEP = 255                                   # rows that fit a one-byte counter
-
-
-def bit_votes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """How many of each document's hashes set each bit: (documents, 64).
-    ``counts`` holds the number of hashes per document, in order."""
-    out = np.zeros((len(counts), 64), np.int64)
-    full = np.flatnonzero(counts)
-    if not len(full):
-        return out
-    n = counts[full]
-    pieces = -(-n // _STEP)
-    doc = np.repeat(np.arange(len(full)), pieces)
-    first = np.concatenate(([0], np.cumsum(pieces)[:-1]))
-    base = np.concatenate(([0], np.cumsum(n)[:-1]))
-    at = base[doc] + (np.arange(len(doc)) - first[doc]) * _STEP
-    lanes = _LANES[hashes.astype("<u8").view(np.uint8)].reshape(-1, 8)
-    part = np.add.reduceat(lanes, at, axis=0)
-    part = part.astype("<u8").view(np.uint8).reshape(-1, 64)
-    out[full] = np.add.reduceat(part.astype(np.int64), first, axis=0)
-    return out
-
-
-def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Fingerprint per document: bits set in over half its hashes."""
-    on = 2 * bit_votes(hashes, counts) > counts[:, None]
-    return np.packbits(on, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
-
-
 def shingle_hashes(buf: np.ndarray, off: np.ndarray, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """XXH64 of the documents' shingles (words joined by one space), and how
     many each document has. Fewer words than a shingle: the whole sequence."""
@@ -109,28 +79,14 @@ def simhash(text, shingle: int = 3, seed: int = 42):
     return fingerprint(text.cast("string"))
 
 
-def ring(segments: int) -> list[tuple[int, int]]:
-    """(first bit, width) of the segments of the 64-bit ring."""
-    cut = [64 * i // segments for i in range(segments + 1)]
-    return [(a, b - a) for a, b in zip(cut, cut[1:])]
-
-
-def _mask(parts: list[tuple[int, int]]) -> int:
-    return sum(((1 << w) - 1) << a for a, w in parts)
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def chain(segments: int, radius: int, start: int) -> tuple[int, list[tuple[int, int]]]:
     """Key mask of the chain that starts at a segment, and (mask, budget) of
     each longer prefix of the chain, up to the whole ring."""
-    parts = ring(segments)
+    parts = word_cuts(segments)
     order = [parts[(start + j) % segments] for j in range(segments)]
     budget = [(j + 1) * radius // segments for j in range(segments)]
     zero = sum(b == 0 for b in budget)
-    return _mask(order[:zero]), [(_mask(order[:j + 1]), budget[j]) for j in range(zero, segments)]
+    return ring_mask(order[:zero]), [(ring_mask(order[:j + 1]), budget[j]) for j in range(zero, segments)]
 
 
 def spanning_links(values: np.ndarray, checks: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -161,7 +117,7 @@ def links(prints: DataFrame, radius: int = 2, segments: int = 5, group_limit: in
         return prints.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
     chains = [chain(segments, radius, i) for i in range(segments)]
     keyed = prints.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("seg"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key"))
+        F.struct(F.lit(i).alias("seg"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key"))
         for i, (m, _) in enumerate(chains)])).alias("k")).select("fp", "k.seg", "k.key")
     sizes = keyed.groupBy("seg", "key").agg(F.count("*").alias("n")).where("n > 1").checkpoint()
 
@@ -170,7 +126,7 @@ def links(prints: DataFrame, radius: int = 2, segments: int = 5, group_limit: in
         out = []
         for s, m in zip(seg.to_pylist(), members):
             v = np.sort(m.values.to_numpy().view(np.uint64))
-            out.append([(_signed(a), _signed(b)) for a, b in spanning_links(v, chains[s][1])])
+            out.append([(signed(a), signed(b)) for a, b in spanning_links(v, chains[s][1])])
         return pa.array([[{"u": a, "v": b} for a, b in x] for x in out],
                         pa.list_(pa.struct([("u", pa.int64()), ("v", pa.int64())])))
 
@@ -180,7 +136,7 @@ def links(prints: DataFrame, radius: int = 2, segments: int = 5, group_limit: in
     crowded = sizes.where(F.col("n") > group_limit).drop("n")
     if not crowded.head(1):
         return inside
-    flips = [_signed(sum(1 << b for b in bits)) for r in range(math.ceil(radius / 2) + 1)
+    flips = [signed(sum(1 << b for b in bits)) for r in range(math.ceil(radius / 2) + 1)
              for bits in combinations(range(64), r)]
     hot = keyed.join(crowded, ["seg", "key"]).select("fp").distinct()
     around = hot.select("fp", F.explode(F.transform(

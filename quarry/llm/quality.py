@@ -55,17 +55,6 @@ def _covered(pos: np.ndarray, n: int, size: int) -> np.ndarray:
     return np.cumsum(diff[:-1]) > 0
 
 
-def _duplicated(keys: np.ndarray) -> np.ndarray:
-    """Mask of the keys that occur twice or more."""
-    s = np.sort(keys)
-    dup = s[1:][s[1:] == s[:-1]]
-    if not len(dup):
-        return np.zeros(len(keys), bool)
-    dup = dup[np.concatenate(([True], dup[1:] != dup[:-1]))]
-    at = np.minimum(np.searchsorted(dup, keys), len(dup) - 1)
-    return dup[at] == keys
-
-
 def measure(buf: np.ndarray, off: np.ndarray, window: int, lengths: list[int]) -> tuple[dict, dict]:
     """Counts per document of one block, and the covered characters per n."""
     n = len(off) - 1
@@ -104,14 +93,14 @@ def measure(buf: np.ndarray, off: np.ndarray, window: int, lengths: list[int]) -
         elif alive is None:
             h = tx.ngram_hash(words, k)
             pos = np.flatnonzero(doc[:m] == doc[k - 1:])
-            hit = pos[_duplicated(tx.mix(h[pos]) ^ salt[doc[pos]])]
+            hit = pos[tx.duplicated(tx.mix(h[pos]) ^ salt[doc[pos]])]
         else:
             pos = alive[alive < m]
             pos = pos[doc[pos] == doc[pos + k - 1]]
             h = words[pos]
             for j in range(1, k):
                 h = h * np.uint64(tx.BASE) + words[pos + j]
-            hit = pos[_duplicated(tx.mix(h) ^ salt[doc[pos]])]
+            hit = pos[tx.duplicated(tx.mix(h) ^ salt[doc[pos]])]
         alive = hit
         cover = _covered(hit, k, len(words)) if len(hit) else np.zeros(len(words), bool)
         if k == window:

@@ -6,11 +6,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm import chat
 from quarry.llm.bpe import round_trip
+from quarry.llm.fingerprints import against_next, neighbours
 from quarry.llm.html_text import main_text
 from quarry.llm.linededup import dedup_lines
 from quarry.llm.mixing import plan
 from quarry.llm.neardup import near_duplicates
+from quarry.llm.pii import pseudonymise
 from quarry.llm.quality import COUNTS, quality_rules
 from quarry.llm.warc import archive_pages, read_pages
 from quarry.session import scratch_path
@@ -51,6 +54,28 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *COUNTS[:5], "base_failed", "kept")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose id is divisible by 100 also search all fingerprints:
+    ``n_near`` is how many other ones are within 3 bits (null elsewhere)."""
+    docs = against_next(_table(spark, sf_dir, "documents").select("doc_id", "text")).checkpoint()
+    asks = docs.where("doc_id % 100 = 0").select("fp")
+    found = neighbours(asks, docs.select("fp"), radius=3).where("distance > 0").groupBy("query").agg(F.count("*").alias("n"))
+    near = asks.distinct().join(found.withColumnRenamed("query", "fp"), "fp", "left").select(
+        F.col("fp").alias("ask"), F.coalesce("n", F.lit(0)).alias("n_near"))
+    got = docs.join(near, F.when(F.col("doc_id") % 100 == 0, F.col("fp")) == F.col("ask"), "left")
+    text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return got.select("doc_id", "n_chars", "edited_sha256", text("fp").alias("fingerprint"),
+                      text("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", "n_near")
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    more = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digests(chat.windows(turns, budget=1024, history=256))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), radius=2, shingle=3)
     return near.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -62,12 +87,20 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs, min_words=50).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, key=spark.conf.get("quarry.pii.key", "not-a-secret"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
     "op3_html_text": op3_html_text,
     "op4_mix_sources": op4_mix_sources,
     "op5_quality_rules": op5_quality_rules,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_chat": op7_chat,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_line_dedup": op9_line_dedup,
+    "op10_pii": op10_pii,
 }
