@@ -9,17 +9,70 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.bpe import encode
+from quarry.llm.linededup import dedup_lines
+from quarry.llm.mixing import mixed
+from quarry.llm.neardup import keep_one
 from quarry.llm.quality import quality_rules
 from quarry.session import scratch_path
 
+#: byte-level vocabulary: a file's place, or the name of a public tokenizer's
+VOCABULARY = "byte_bpe_50k.json"
+WORD = r"[^\x20\x09-\x0D]"
+
+
+def _recounted(new: DataFrame, docs: DataFrame) -> DataFrame:
+    """``new`` with the columns of ``docs``, ``n_chars`` fitting the text."""
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        new = new.withColumn("n_chars", F.length("text").cast(kind))
+    return new.select(*docs.columns)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents that the quality rules reject go."""
     return quality_rules(docs).where(F.col("kept")).select(*docs.columns)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: later copies of runs of 50 words or more are cut from the
+    texts. A document that lost lines and has no word left goes: all it said
+    stands in earlier documents."""
+    got = dedup_lines(docs, min_words=50)
+    gone = (F.col("n_removed") > 0) & ~F.col("text").rlike(WORD)
+    got = got.where(~gone)
+    changed = F.col("n_removed") > 0
+    if "n_chars" in docs.columns:
+        got = got.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return got.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: one document of each group of near-duplicates stays."""
+    return keep_one(docs, radius=2, shingle=3)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: the training run, a row per copy, in its order."""
+    return _recounted(mixed(docs), docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: the documents' token ids."""
+    path = spark.conf.get("quarry.bpe.vocabulary", None)
+    if path is None:
+        import public_tokenizers
+        path = public_tokenizers.path(VOCABULARY)
+    got = docs.withColumn("ids", encode(F.col("text"), path))
+    return got.select("doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+
+
 STAGES = [
     ("quality rules", quality),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", near_dedup),
+    ("mixing sources to target weights", mix),
+    ("BPE encoding and decoding", tokens),
 ]
 
 #: SimHash over XXH64 has no counterpart in DuckDB SQL; tests/llm hold the
@@ -31,11 +84,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result goes to a Parquet table in
     the shared folder, which the next stage reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if i + 1 == len(STAGES):
-            return out
+    for i, (_, stage) in enumerate(STAGES[:-1]):
         path = scratch_path(spark, f"pipeline-{i}")
-        out.write.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

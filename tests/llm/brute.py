@@ -80,3 +80,78 @@ def line_dedup(docs, min_words=50):
                     gone.update(range(a, b))
         out.append(None if docs[d][1] is None else "\n".join(x for i, x in enumerate(ls) if i not in gone))
     return out
+
+
+def mix(docs, weights=(3, 1, 2), share=150, cap=2):
+    """docs: (id, text, source) -> words taken per document, by dealing the
+    words out one round at a time."""
+    import hashlib
+    from fractions import Fraction
+    size = [len(words(t)) for _, t, _ in docs]
+    names = sorted({s for *_, s in docs}, key=lambda s: (s is None, (s or "").encode()))
+    total = {n: sum(k for k, (*_, s) in zip(size, docs) if s == n) for n in names}
+    weight = {n: weights[i % len(weights)] for i, n in enumerate(names)}
+    goal, open_, left = {}, list(names), Fraction(sum(size) * share, 100)
+    while open_:
+        each = left / sum(weight[n] for n in open_)
+        full = [n for n in open_ if cap * total[n] <= each * weight[n]]
+        if not full:
+            goal |= {n: each * weight[n] for n in open_}
+            break
+        for n in full:
+            goal[n] = Fraction(cap * total[n])
+            left -= goal[n]
+            open_.remove(n)
+    taken = [0] * len(docs)
+    for n in names:
+        mine = [i for i, (*_, s) in enumerate(docs) if s == n]
+        mine.sort(key=lambda i: hashlib.md5(f"mix|{'' if docs[i][0] is None else docs[i][0]}|{docs[i][1] or ''}".encode()).hexdigest())
+        rest = int(goal[n] + Fraction(1, 2))
+        while rest > 0 and total[n]:
+            for i in mine:
+                k = min(size[i], rest)
+                taken[i] += k
+                rest -= k
+    return goal, taken
+
+
+def quality_kept(text, limits, symbols=0.10, dup_lines=0.20):
+    """The full verdict of the quality rules."""
+    base = quality_base(text)
+    if base["base_failed"]:
+        return False
+    text = text or ""
+    w = words(text)
+    chars = sum(map(len, w))
+    if base["n_symbols"] > symbols * len(w):
+        return False
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += len(line) * (line in seen)
+            seen.add(line)
+    if dup > dup_lines * chars:
+        return False
+    for n, most in limits.items():
+        grams = Counter(tuple(w[i:i + n]) for i in range(len(w) - n + 1))
+        covered = {j for i in range(len(w) - n + 1) if grams[tuple(w[i:i + n])] > 1 for j in range(i, i + n)}
+        if sum(len(w[j]) for j in covered) > most * chars:
+            return False
+    return True
+
+
+def pipeline(docs, limits):
+    """docs: (id, text, source) -> (id, text) of every copy in the mix."""
+    docs = sorted([d for d in docs if quality_kept(d[1], limits)], key=lambda d: d[0])
+    cut = line_dedup([d[:2] for d in docs])
+    docs = [(i, c, s) for (i, t, s), c in zip(docs, cut) if c == t or words(c)]
+    comp = components([d[0] for d in docs], [simhash(d[1]) for d in docs])
+    keep = set(comp.values())
+    docs = [d for d in docs if d[0] in keep]
+    out = []
+    for (i, t, _), k in zip(docs, mix(docs)[1]):
+        n = len(words(t))
+        out += [(i, t)] * (k // n if n else 0)
+        if n and k % n:
+            out.append((i, t[:list(WORD.finditer(t))[k % n - 1].end()]))
+    return out
