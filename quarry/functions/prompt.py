@@ -23,22 +23,14 @@ MISSING_CHUNK = "?"
 # ---------------------------------------------------------------------------
 
 SYSTEM_PROMPT = (
-    "You answer questions about a document collection. Use only the context "
-    "supplied with the question; when it is not sufficient, say that plainly "
-    "instead of guessing.\n\n"
-    "Rules:\n"
-    "- Point to the sections you relied on\n"
-    "- Keep the answer short and direct\n"
-    "- Combine several sections when more than one applies\n"
-    "- Mention any doubt or ambiguity"
-)
-NO_CONTEXT_SYSTEM_PROMPT = (
-    "Answer the question from your own knowledge; if you do not know, say so."
-)
-NO_CONTEXT_ANSWER = "I do not know enough about this to answer."
-NO_HIT_ANSWER = (
-    "No indexed passage was similar enough to the question to answer it."
+    "The user message holds numbered passages from an index and one question. "
+    "Treat the passages as your only evidence. Name the source of each fact you "
+    "use. If the passages disagree or leave the question open, say which part "
+    "stays open. Two or three sentences are enough."
 )
+NO_CONTEXT_SYSTEM_PROMPT = "No passages are attached to this question. Reply with what you know for certain."
+NO_CONTEXT_ANSWER = "Without passages there is nothing to base a reply on."
+NO_HIT_ANSWER = "The index holds no passage close enough to this question."
 
 
 def _c(x) -> Column:
@@ -61,11 +53,13 @@ def section(filename, chunk_index, score, text) -> Column:
         F.coalesce(_c(text), F.lit("")))
 
 
+QUESTION_HEAD = "Question\n"
+PASSAGES_HEAD = "\n\nPassages\n"
+
+
 def user_message(context_block, question) -> Column:
-    """F16: user turn = context block, rule line, question, answer cue."""
-    return F.concat(F.lit("Context:\n"), F.coalesce(_c(context_block), F.lit("")),
-                    F.lit("\n\n---\n\nQuestion: "), _c(question),
-                    F.lit("\n\nAnswer using the context above:"))
+    """F16: user turn = the question, then the passages."""
+    return F.concat(F.lit(QUESTION_HEAD), _c(question), F.lit(PASSAGES_HEAD), F.coalesce(_c(context_block), F.lit("")))
 
 
 def messages(context_block, question) -> Column:
@@ -100,5 +94,5 @@ def postprocess_answer(generated, prompt) -> Column:
     """drop an echoed prompt, cut at the first ``\\n\\n---``, strip."""
     from .text import strip
     g, p = _c(generated), _c(prompt)
-    body = F.when(g.startswith(p), F.substring(g, F.length(p) + 1, 1 << 30)).otherwise(g)
+    body = F.when(g.startswith(p), g.substr(F.length(p) + 1, F.length(g))).otherwise(g)
     return strip(F.substring_index(strip(body), ANSWER_CUT, 1))

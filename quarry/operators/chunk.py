@@ -6,6 +6,7 @@ narrow stage (no shuffle). The ordinal in the array is ``chunk_index``.
 """
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,20 +35,22 @@ def chunk_column(text, size: int, overlap: int):
 
 
 def chunk_documents(docs: DataFrame, size: int = 512, overlap: int = 50,
-                    text_col: str = "text", drop_text: bool = True,
-                    rebalance_partitions: int | None = None) -> DataFrame:
+                    text_col: str = "text", drop_text: bool = True, tokenizer=None,
+                    rebalance: bool = False) -> DataFrame:
     """Every document column is kept (metadata travels with its chunks) and
     ``chunk_index INT, token_count INT, chunk_text STRING`` are added.
 
-    ``rebalance_partitions`` spreads the chunks of very long documents over
-    that many partitions before a costly step such as model embedding."""
+    ``tokenizer`` (UD4) maps a text column to the array of its pieces, in
+    order; ``python_pieces`` makes one of a Python function. ``rebalance``
+    evens out the partitions by size, so that the chunks of very long documents
+    spread before a costly step such as model embedding."""
     if size <= 0:
         raise ValueError("chunk_size must be positive")
     if overlap < 0 or overlap >= size:
         raise ValueError("chunk_overlap must be in [0, chunk_size)")
     keep = [c for c in docs.columns if not (drop_text and c == text_col)]
     # tokenise once per document, then cut every window from that array
-    staged = docs.select(*keep, word_pieces(F.col(text_col)).alias("__p"))
+    staged = docs.select(*keep, (tokenizer or word_pieces)(F.col(text_col)).alias("__p"))
     out = staged.select(
         *keep,
         F.posexplode(windows_of_pieces(F.col("__p"), size, overlap)).alias("chunk_index", "__w"),
@@ -57,9 +60,17 @@ def chunk_documents(docs: DataFrame, size: int = 512, overlap: int = 50,
         F.col("__w.token_count").cast("int").alias("token_count"),
         F.col("__w.chunk_text").alias("chunk_text"),
     )
-    if rebalance_partitions:
-        out = out.repartition(rebalance_partitions)
-    return out
+    return out.hint("rebalance") if rebalance else out
+
+
+def python_pieces(fn):
+    """UD4: a tokenizer column from ``fn(list[str]) -> list[list[str]]``, which
+    is called once per Arrow batch; a null text has no pieces."""
+    @F.arrow_udf("array<string>")
+    def pieces(texts: pa.Array) -> pa.Array:
+        return pa.array(fn([t or "" for t in texts.to_pylist()]), pa.list_(pa.string()))
+
+    return pieces
 
 
 def register_chunker_udtf(spark, size: int = 512, overlap: int = 50, name: str = "chunk_text"):

@@ -26,25 +26,36 @@ def safety(answers: DataFrame, enabled: bool = True, answer_col: str = "answer")
     return answers.withColumn("safety", safety_struct(F.col(answer_col), enabled))
 
 
-def relevance(hits: DataFrame, threshold: float = 0.7, cosine_col: str = "score") -> DataFrame:
-    """C4: per question mean cosine (4 dp), count >= threshold, precision
-    with the hit count as denominator (S22) and ordered chunk scores.
-
+def chunk_scores(hits: DataFrame, threshold: float = 0.7, cosine_col: str = "score") -> DataFrame:
+    """PF10 in long form: a row per hit with its cosine and ``is_relevant``.
     The hits already carry the cosine of unit vectors (their search score),
     so the chunks are not embedded a second time."""
     cos = F.col(cosine_col)
-    per = F.struct(
-        F.col("rank"),
-        F.col("chunk_index"),
-        F.coalesce(F.col("filename"), F.lit("unknown")).alias("filename"),
-        F.round("score", 4).alias("search_score"),
-        F.round(cos, 4).alias("cosine_similarity"),
-        (cos >= threshold).alias("is_relevant"))
-    return hits.groupBy("query_id").agg(
-        F.round(F.avg(cos), 4).alias("mean_score"),
-        F.count_if(cos >= threshold).cast("int").alias("above_threshold"),
-        F.round(F.count_if(cos >= threshold) / F.count(F.lit(1)), 4).alias("precision_at_k"),
-        F.transform(F.array_sort(F.collect_list(per)), lambda x: x.dropFields("rank")).alias("chunk_scores"))
+    return hits.select(
+        "query_id", "rank", "chunk_index", F.coalesce(F.col("filename"), F.lit("unknown")).alias("filename"),
+        F.round("score", 4).alias("search_score"), F.round(cos, 4).alias("cosine_similarity"),
+        (cos >= threshold).alias("is_relevant"), cos.alias("__cos"))
+
+
+def relevance(hits: DataFrame, threshold: float = 0.7, cosine_col: str = "score",
+              questions: DataFrame | None = None) -> DataFrame:
+    """C4: per question mean cosine (4 dp), count >= threshold, precision
+    with the hit count as denominator (S22) and ordered chunk scores. With
+    ``questions`` (``query_id``) those without a hit score zero."""
+    per = chunk_scores(hits, threshold, cosine_col)
+    item = F.struct("rank", "chunk_index", "filename", "search_score", "cosine_similarity", "is_relevant")
+    got = per.groupBy("query_id").agg(
+        F.round(F.avg("__cos"), 4).alias("mean_score"),
+        F.count_if("is_relevant").cast("int").alias("above_threshold"),
+        F.round(F.count_if("is_relevant") / F.count(F.lit(1)), 4).alias("precision_at_k"),
+        F.transform(F.array_sort(F.collect_list(item)), lambda x: x.dropFields("rank")).alias("chunk_scores"))
+    if questions is None:
+        return got
+    return questions.select("query_id").join(got, "query_id", "left").select(
+        "query_id", F.coalesce("mean_score", F.lit(0.0)).alias("mean_score"),
+        F.coalesce("above_threshold", F.lit(0)).alias("above_threshold"),
+        F.coalesce("precision_at_k", F.lit(0.0)).alias("precision_at_k"),
+        F.coalesce("chunk_scores", F.array().cast(got.schema["chunk_scores"].dataType)).alias("chunk_scores"))
 
 
 def sentences(answers: DataFrame, answer_col: str = "answer") -> DataFrame:
@@ -53,45 +64,64 @@ def sentences(answers: DataFrame, answer_col: str = "answer") -> DataFrame:
                           .alias("sentence_idx", "sentence"))
 
 
-def groundedness(answers: DataFrame, hits: DataFrame, embedder, threshold: float = 0.6,
-                 answer_col: str = "answer") -> DataFrame:
-    """Each answer sentence against the question's hits; a sentence is
-    grounded when its best similarity reaches the threshold; the overall
-    score is the grounded fraction. Empty answer, no hits or no sentence ->
-    0.0 / not grounded with zero counts (S35). ``best_matching_chunk`` is
-    the 0-based hit position, lowest on ties (S21)."""
+def sentence_scores(answers: DataFrame, hits: DataFrame, embedder, threshold: float = 0.6,
+                    answer_col: str = "answer") -> DataFrame:
+    """C5 in long form: per answer sentence its best similarity among the
+    question's hits, the 0-based position of that hit (lowest on ties, S21)
+    and whether it reaches the threshold."""
     sents = embedder.embed(sentences(answers, answer_col), "sentence", "s_emb")
     h = hits.select("query_id", "rank", F.col("embedding").alias("c_emb"))
     pairs = sents.join(h, "query_id").withColumn("sim", dot("s_emb", "c_emb"))
-    per_sentence = pairs.groupBy("query_id", "sentence_idx", "sentence").agg(
+    # ties are taken between scores equal to 12 decimals, as in search
+    per = pairs.groupBy("query_id", "sentence_idx", "sentence").agg(
         F.max("sim").alias("max_sim"),
-        F.max_by(F.col("rank"), F.struct(F.col("sim"), -F.col("rank"))).alias("best_rank"))
-    per_sentence = per_sentence.withColumn("is_grounded", F.col("max_sim") >= threshold)
+        F.max_by(F.col("rank"), F.struct(F.round("sim", 12), -F.col("rank"))).alias("best_rank"))
+    return per.select("query_id", "sentence_idx", "sentence", "max_sim",
+                      (F.col("best_rank") - 1).alias("best_matching_chunk"),
+                      (F.col("max_sim") >= threshold).alias("is_grounded"))
+
+
+def groundedness(answers: DataFrame, hits: DataFrame, embedder, threshold: float = 0.6,
+                 answer_col: str = "answer") -> DataFrame:
+    """Each answer sentence against the question's hits; a sentence is
+    grounded when its best similarity reaches the threshold; the overall
+    score is the grounded fraction, and the verdict compares that fraction
+    before rounding. Empty answer, no hits or no sentence -> 0.0 / not
+    grounded with zero counts (S35)."""
+    per_sentence = sentence_scores(answers, hits, embedder, threshold, answer_col)
     item = F.struct(
         F.col("sentence_idx"),
         ellipsize("sentence", 100).alias("sentence"),
         F.round("max_sim", 4).alias("max_similarity"),
-        (F.col("best_rank") - 1).alias("best_matching_chunk"),
+        F.col("best_matching_chunk"),
         F.col("is_grounded"))
     agg = per_sentence.groupBy("query_id").agg(
         F.count_if("is_grounded").cast("int").alias("grounded_sentences"),
         F.count(F.lit(1)).cast("int").alias("total_sentences"),
         F.transform(F.array_sort(F.collect_list(item)), lambda x: x.dropFields("sentence_idx"))
         .alias("sentence_scores"))
-    overall = F.coalesce(F.round(F.col("grounded_sentences") / F.col("total_sentences"), 4), F.lit(0.0))
-    has_hits = hits.select("query_id").distinct().withColumn("__has_hits", F.lit(True))
-    out = answers.select("query_id").join(agg, "query_id", "left").join(has_hits, "query_id", "left")
-    ok = F.col("__has_hits").isNotNull()
+    share = F.coalesce(F.col("grounded_sentences") / F.col("total_sentences"), F.lit(0.0))
+    # a question without hits has no pairs, so no row in agg
+    out = answers.select("query_id").join(agg, "query_id", "left")
     return out.select(
-        "query_id",
-        F.when(ok, overall).otherwise(F.lit(0.0)).alias("overall_score"),
-        (ok & (overall >= threshold)).alias("is_grounded"),
-        F.when(ok, F.coalesce("grounded_sentences", F.lit(0))).otherwise(F.lit(0)).alias("grounded_sentences"),
-        F.when(ok, F.coalesce("total_sentences", F.lit(0))).otherwise(F.lit(0)).alias("total_sentences"),
+        "query_id", F.round(share, 4).alias("overall_score"),
+        (F.col("total_sentences").isNotNull() & (share >= threshold)).alias("is_grounded"),
+        F.coalesce("grounded_sentences", F.lit(0)).alias("grounded_sentences"),
+        F.coalesce("total_sentences", F.lit(0)).alias("total_sentences"),
         F.coalesce("sentence_scores", F.array().cast(agg.schema["sentence_scores"].dataType))
         .alias("sentence_scores"))
 
 
+def run_pairs(runs: DataFrame, embedder, answer_col: str = "answer") -> DataFrame:
+    """``query_id, ra, rb, similarity`` of the answers of runs ra < rb.
+    Runs per question are a small fixed number (the reliability setting)."""
+    emb = embedder.embed(runs.select("query_id", "run", F.col(answer_col).alias("answer")), "answer", "emb")
+    a = emb.select("query_id", F.col("run").alias("ra"), F.col("emb").alias("ea"))
+    b = emb.select(F.col("query_id").alias("q2"), F.col("run").alias("rb"), F.col("emb").alias("eb"))
+    return a.join(b, (F.col("query_id") == F.col("q2")) & (F.col("ra") < F.col("rb"))).select(
+        "query_id", "ra", "rb", dot("ea", "eb").alias("similarity"))
+
+
 def reliability(runs: DataFrame, embedder, answer_col: str = "answer",
                 min_consistency: float = 0.75, max_cv: float = 0.5) -> DataFrame:
     """C6 over stored runs ``query_id, run, answer``: pairwise cosine of
@@ -99,12 +129,8 @@ def reliability(runs: DataFrame, embedder, answer_col: str = "answer",
     variation of answer lengths, and the verdict. Runs per question are a
     small fixed number (the reliability setting), so the i < j self-join
     has a bounded fan-out. One run -> no pairs -> 0.0 consistency (S25)."""
-    emb = embedder.embed(runs.select("query_id", "run", F.col(answer_col).alias("answer")),
-                         "answer", "emb").withColumn("words", word_count("answer"))
-    a = emb.select("query_id", F.col("run").alias("ra"), F.col("emb").alias("ea"))
-    b = emb.select("query_id", F.col("run").alias("rb"), F.col("emb").alias("eb"))
-    pairs = a.join(b, (a.query_id == b.query_id) & (a.ra < b.rb)).select(
-        a.query_id, "ra", "rb", dot("ea", "eb").alias("sim"))
+    pairs = run_pairs(runs, embedder, answer_col).withColumnRenamed("similarity", "sim")
+    emb = runs.select("query_id", "run", word_count(answer_col).alias("words"))
     pstats = pairs.groupBy("query_id").agg(
         F.avg("sim").alias("mean_c"), F.min("sim").alias("min_c"),
         F.stddev_pop("sim").alias("std_c"),
@@ -163,7 +189,7 @@ def quality_score(relevance_mean, groundedness_overall, is_safe, reliability=Non
 def evaluate(answers: DataFrame, hits: DataFrame, embedder, cfg, runs: DataFrame | None = None) -> DataFrame:
     """Join C3-C6 per question into ``quality_score`` and ``pass``
     (quality >= pass threshold and safe)."""
-    rel = relevance(hits, cfg.relevance_threshold)
+    rel = relevance(hits, cfg.relevance_threshold, questions=answers)
     gr = groundedness(answers, hits, embedder, cfg.groundedness_threshold)
     sf = safety(answers.select("query_id", "answer"), cfg.enable_safety)
     out = sf.join(rel, "query_id", "left").join(gr, "query_id", "left")

@@ -2,17 +2,21 @@
 (J2, J3, J4, SRC7, SRC8, A13).
 
 * Training uses ``pyspark.ml`` KMeans with cosine distance on the non-zero
-  vectors (zero vectors break cosine KMeans; they go to a catch-all cell -1).
-  ``k = min(nlist, n)`` (S12).
+  vectors (zero vectors break cosine KMeans). ``k = min(nlist, n)`` (S12).
 * Assignment is a map-only Arrow step: every batch of vectors is scored
-  against the broadcast centroid matrix (``nlist x dim``, size-checked) and
-  takes the best cell, lowest id on ties.
-* Probing is the broadcast top-k scorer with the centroid table as corpus.
-* The index is Parquet partitioned by ``cell``; a probe reads only the cells
-  it needs (partition pruning). Centroids live beside it in ``_centroids``.
+  against the centroids and takes the best cell, lowest id on ties (so a zero
+  vector goes to the lowest cell). A centroid table beyond the broadcast limit
+  is taken in blocks, with the best cell so far carried along.
+* Probing happens inside the scorer (``search.knn``): questions and centroids
+  are broadcast, the cells that some question probes become a partition filter.
+* The index is Parquet partitioned by ``cell``. Every save is a new version
+  beside the others; a small manifest row (version, type, width, cells) is
+  appended last, and readers take the highest version that has one.
 """
 from __future__ import annotations
 
+import math
+import uuid
 from typing import Iterator
 
 import numpy as np
@@ -21,9 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .search import DEFAULT_BROADCAST_LIMIT, _vectors, knn
+from ..session import path_exists, remove_path
+from .search import DEFAULT_BROADCAST_LIMIT, RANK_DECIMALS, TILE_BYTES, _vectors, knn
 
-ZERO_CELL = -1
+#: the cell of vectors that search leaves out (null or not finite)
+UNUSABLE_CELL = -1
+MANIFEST = "version long, folder string, type string, width int, cells int"
 
 
 def train_cells(vectors: DataFrame, nlist: int = 100, vec_col: str = "embedding",
@@ -57,85 +64,104 @@ def train_cells(vectors: DataFrame, nlist: int = 100, vec_col: str = "embedding"
     return spark.createDataFrame(rows, "cell int, centroid array<double>")
 
 
-def _assigner(bc, vec_col: str, out_schema: T.StructType):
-    names = [f.name for f in out_schema.fields]
-
+def _assigner(bc, vec_col: str, names: list[str]):
+    """Compares each row's best cell so far with a block of centroids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cent = bc.value
+        cent, cells = bc.value
+        step = max(1, TILE_BYTES // (8 * len(cells)))
         for rb in batches:
-            V = _vectors(rb.column(rb.schema.get_field_index(vec_col)), cent.shape[1])
-            if len(V) == 0:
-                continue
-            S = V @ cent.T
-            cell = np.argmax(S, axis=1).astype(np.int32)  # first max = lowest id
-            cell[(V * V).sum(axis=1) == 0] = ZERO_CELL
-            cols = [rb.column(rb.schema.get_field_index(n)) for n in names[:-1]]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(cell, pa.int32())], names=names)
+            at, V = _vectors(rb.column(rb.schema.get_field_index(vec_col)), cent.shape[1])
+            cell = rb.column(rb.schema.get_field_index("cell")).to_numpy(zero_copy_only=False).copy()
+            best = rb.column(rb.schema.get_field_index("__best")).to_numpy(zero_copy_only=False).copy()
+            for a in range(0, len(at), step):
+                S = np.round(V[a:a + step] @ cent.T, RANK_DECIMALS)
+                top = np.argmax(S, axis=1)             # first maximum = lowest cell
+                score, rows = S[np.arange(len(top)), top], at[a:a + step]
+                win = score > best[rows]
+                cell[rows[win]], best[rows[win]] = cells[top[win]], score[win]
+            made = {"cell": pa.array(cell, pa.int32()), "__best": pa.array(best, pa.float64())}
+            yield pa.RecordBatch.from_arrays(
+                [made.get(n, rb.column(rb.schema.get_field_index(n))) for n in names], names=names)
     return run
 
 
 def assign_cells(vectors: DataFrame, centroids: DataFrame, vec_col: str = "embedding",
                  broadcast_limit_bytes: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
     """Add ``cell INT`` (best centroid by inner product) to every row."""
-    cent_tbl = centroids.orderBy("cell").toArrow()
-    cent = _vectors(cent_tbl.column("centroid"), None)
-    if cent.nbytes > broadcast_limit_bytes:
-        raise ValueError("centroid table exceeds the broadcast limit; lower nlist")
     spark = vectors.sparkSession
-    bc = spark.sparkContext.broadcast(cent)
-    schema = T.StructType([f for f in vectors.schema.fields if f.name != "cell"]
-                          + [T.StructField("cell", T.IntegerType(), True)])
-    base = vectors.drop("cell") if "cell" in vectors.columns else vectors
-    return base.mapInArrow(_assigner(bc, vec_col, schema), schema)
-
-
-def probe_cells(questions: DataFrame, centroids: DataFrame, nprobe: int = 10,
-                query_key: str = "query_id", query_vec: str = "embedding") -> DataFrame:
-    """J4 step 1: the ``nprobe`` best cells per question, plus the catch-all
-    zero-vector cell so a full probe equals exact search."""
-    best = knn(questions, centroids.withColumnRenamed("centroid", "embedding"), nprobe,
-               query_key=query_key, query_vec=query_vec, corpus_keys=("cell",), materialize=False)
-    zero = questions.select(F.col(query_key).alias("query_id"), F.lit(ZERO_CELL).alias("cell"))
-    return best.select("query_id", "cell").unionByName(zero)
+    r = centroids.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("centroid")).alias("w")).first()
+    blocks = max(1, math.ceil(r["n"] * (r["w"] or 0) * 8 / broadcast_limit_bytes))
+    cur = vectors.drop("cell").withColumn("cell", F.lit(UNUSABLE_CELL)).withColumn("__best", F.lit(float("-inf")))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in cur.schema.fields])
+    for b in range(blocks):
+        part = centroids.select("cell", F.col("centroid").cast("array<double>").alias("centroid"))
+        if blocks > 1:
+            part = part.where(F.pmod(F.col("cell"), F.lit(blocks)) == b)
+        t = part.orderBy("cell").toArrow()
+        at, m = _vectors(t.column("centroid"), None)
+        if len(at):
+            bc = spark.sparkContext.broadcast((m, t.column("cell").to_numpy()[at].astype(np.int32)))
+            cur = cur.mapInArrow(_assigner(bc, vec_col, schema.names), schema)
+    return cur.drop("__best")
 
 
 def search_ivf(questions: DataFrame, index: DataFrame, centroids: DataFrame, k: int = 5,
                nprobe: int = 10, corpus_keys=("doc_id", "chunk_index"), payload=(),
                query_key: str = "query_id", query_vec: str = "embedding", **kw) -> DataFrame:
-    """Probe cells, then score each question only inside its cells."""
-    probes = probe_cells(questions, centroids, nprobe, query_key, query_vec)
-    return knn(questions, index, k, query_key=query_key, query_vec=query_vec,
-               corpus_keys=corpus_keys, payload=payload, cell_col="cell", probes=probes, **kw)
+    """Score each question only inside its ``nprobe`` best cells."""
+    return knn(questions, index, k, query_key=query_key, query_vec=query_vec, corpus_keys=corpus_keys,
+               payload=payload, cell_col="cell", centroids=centroids, nprobe=nprobe, **kw)
+
+
+def manifest(spark: SparkSession, path: str) -> dict | None:
+    """The row of the newest complete version, or None if nothing is saved."""
+    if not path_exists(spark, f"{path}/_manifest"):
+        return None
+    r = spark.read.schema(MANIFEST).json(f"{path}/_manifest").orderBy(F.desc("version")).first()
+    return r.asDict() if r else None
 
 
 def save_index(index: DataFrame, path: str, centroids: DataFrame | None = None,
-               mode: str = "overwrite", keys: tuple | None = None,
-               max_records_per_file: int = 1_000_000) -> str:
+               keys: tuple | None = None, vec_col: str = "embedding",
+               max_records_per_file: int = 1_000_000, keep_versions: int = 2) -> str:
     """SRC7: the chunk store + vectors as Parquet; cell-partitioned when it
     has a ``cell`` column. Rows are range-partitioned on ``(cell, key)``:
     small cells share a task and get few files, while a hot cell (say a
-    third of all vectors) is split across many tasks instead of one."""
-    if "cell" in index.columns:
+    third of all vectors) is split across many tasks instead of one.
+
+    A save never touches the versions before it, so readers go on; versions
+    older than the last ``keep_versions`` are removed afterwards."""
+    spark = index.sparkSession
+    cells = "cell" in index.columns
+    if cells != (centroids is not None):
+        raise ValueError("a cell index needs both a cell column and its centroids")
+    last = manifest(spark, path)
+    version = (last["version"] if last else 0) + 1
+    folder = f"v{version}-{uuid.uuid4().hex[:8]}"
+    if cells:
         keys = keys or tuple(c for c in ("doc_id", "chunk_index", "vec_id") if c in index.columns)
-        n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        (index.repartitionByRange(n, "cell", *keys).write.mode(mode)
-         .option("maxRecordsPerFile", max_records_per_file)
-         .partitionBy("cell").parquet(path + "/data"))
-        if centroids is not None:
-            centroids.coalesce(1).write.mode(mode).parquet(path + "/_centroids")
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        (index.repartitionByRange(n, "cell", *keys).write.option("maxRecordsPerFile", max_records_per_file)
+         .partitionBy("cell").parquet(f"{path}/{folder}/data"))
+        centroids.coalesce(1).write.parquet(f"{path}/{folder}/centroids")
     else:
-        index.write.mode(mode).parquet(path + "/data")
+        index.write.parquet(f"{path}/{folder}/data")
+    width = spark.read.parquet(f"{path}/{folder}/data").agg(F.max(F.size(vec_col))).first()[0]
+    row = (version, folder, "IVFFlat" if cells else "Flat", width, centroids.count() if cells else None)
+    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").json(f"{path}/_manifest")
+    old = spark.read.schema(MANIFEST).json(f"{path}/_manifest").where(F.col("version") <= version - keep_versions)
+    for r in old.select("folder").collect():        # one row per save
+        remove_path(spark, f"{path}/{r.folder}")
     return path
 
 
 def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
-    """SRC8: ``(index, centroids or None)``."""
-    idx = spark.read.parquet(path + "/data")
-    try:
-        cent = spark.read.parquet(path + "/_centroids")
-    except Exception:  # noqa: BLE001 - a flat index has no centroid table
-        cent = None
-    return idx, cent
+    """SRC8: ``(index, centroids or None)`` of the newest version."""
+    m = manifest(spark, path)
+    if m is None:
+        raise RuntimeError(f"index not built: {path}")
+    idx = spark.read.parquet(f"{path}/{m['folder']}/data")
+    return idx, spark.read.parquet(f"{path}/{m['folder']}/centroids") if m["type"] == "IVFFlat" else None
 
 
 def index_stats(index: DataFrame | None, vec_col: str = "embedding") -> DataFrame:

@@ -2,21 +2,27 @@
 
 Plan shape (no cross join, corpus never shuffled):
 
-1. The question vectors are small; their size is checked against
-   ``broadcast_limit_bytes`` and they are shipped to every executor once as a
-   broadcast variable. Above the limit they are split into hash blocks and
-   each block is one more broadcast pass (a block nested-loop join).
-2. The corpus is scanned once (only key, vector and payload columns are
-   read). Each Arrow batch is scored with one NumPy matrix product; per
-   partition only the running top-k per question (plus exact ties at the
-   cut) is kept, so at most ``k x partitions`` rows per question reach the
-   shuffle.
+1. The question vectors go to every executor as a broadcast variable, in
+   blocks whose bytes and candidate rows are bounded (a block nested-loop
+   join of a stated question set against all rows). With more than one block
+   the corpus is staged once as Parquet, so later blocks read vectors and
+   payload instead of running the corpus plan again.
+2. The corpus is scanned once per block (only key, vector and payload columns
+   are read). Arrow batches are scored by NumPy matrix products in tiles of
+   bounded bytes; of every tile only the top-k per question survives, cut
+   under the full order, so ties (copies, zero vectors) never pile up. Payload
+   is taken for survivors only, and at most ``k x partitions`` rows per
+   question reach the shuffle.
 3. The final top-k is a ``row_number`` window per question, which Catalyst
    plans as ``WindowGroupLimit`` (partial + final).
 
 Ranking order is score descending, then the corpus key ascending; scores are
 compared after rounding to 12 decimals so that bit-level differences between
 BLAS kernels never decide a tie between identical vectors.
+
+Vectors that are null or hold a non-finite number are left out before ranking
+(``unusable_vectors`` counts them). A vector of another width than the
+questions' is an error, on either side.
 """
 from __future__ import annotations
 
@@ -26,60 +32,90 @@ from typing import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RANK_DECIMALS = 12
 DEFAULT_BROADCAST_LIMIT = 64 * 1024 * 1024
+TILE_BYTES = 16 * 1024 * 1024
+#: candidate rows (questions x k) that a task may hold with their payload
+MAX_CANDIDATES = 65536
 
 
-def _vectors(col: pa.Array, dim: int | None) -> np.ndarray:
-    """List<float> Arrow column -> dense (n, dim) float64 matrix."""
+def _vectors(col: pa.Array, dim: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """List<float> Arrow column -> (row numbers of the usable vectors, dense
+    float64 matrix). Raises if a vector's width is not ``dim``."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    n = len(col)
-    lengths = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
-    flat = pc.list_flatten(col).to_numpy(zero_copy_only=False).astype(np.float64)
-    if n == 0:
-        return np.zeros((0, dim or 0))
-    width = dim or int(lengths.max())
-    if np.all(lengths == width):
-        return flat.reshape(n, width)
-    out = np.zeros((n, width))
-    rows = np.repeat(np.arange(n), lengths)
-    pos = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out[rows, pos] = flat
-    return out
+    there = np.flatnonzero(col.is_valid().to_numpy(zero_copy_only=False))
+    lengths = pc.list_value_length(col).drop_null().to_numpy(zero_copy_only=False)
+    if not len(there):
+        return there, np.zeros((0, dim or 0))
+    width = dim or int(lengths[0])
+    if (lengths != width).any():
+        raise ValueError(f"vector width {int(lengths[lengths != width][0])} where {width} was expected")
+    flat = pc.list_flatten(col).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(there), width)
+    ok = np.isfinite(flat).all(axis=1)
+    return there[ok], flat[ok]
+
+
+def unusable_vectors(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
+    """One row ``n_null, n_not_finite``: the vectors that search leaves out."""
+    bad = F.exists(F.col(vec_col), lambda x: x.isNull() | F.isnan(x.cast("double"))
+                   | (F.abs(x.cast("double")) == float("inf")))
+    return df.agg(F.count_if(F.col(vec_col).isNull()).alias("n_null"), F.count_if(bad).alias("n_not_finite"))
+
+
+def _tile_top(keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the top-k of every column; of equal scores the rows
+    that come first."""
+    n = keys.shape[0]
+    if n <= k:
+        r, c = np.indices(keys.shape)
+        return r.ravel(), c.ravel()
+    cut = np.partition(keys, n - k, axis=0)[n - k]
+    above = keys > cut
+    tied = keys == cut
+    tied &= np.cumsum(tied, axis=0) <= k - above.sum(axis=0)
+    return np.nonzero(above | tied)
+
+
+class _Best:
+    """Running top-k per question; a batch's survivors carry their payload."""
 
+    def __init__(self, key_cols: list[str], kmax: int):
+        self.key_cols, self.k = key_cols, kmax
+        self.rows: pa.Table | None = None
+        self.q = np.zeros(0, np.int64)
+        self.score = np.zeros(0)
+        self.key = np.zeros(0)
 
-def _top_candidates(scores: np.ndarray, kmax: int):
-    """Per column (question) the rows whose rounded score is >= the k-th best,
-    i.e. the top-k plus every exact tie at the cut. Returns (row, col, key)."""
-    n = scores.shape[0]
-    keys = np.round(scores, RANK_DECIMALS)
-    if n <= kmax:
-        r, c = np.nonzero(np.isfinite(keys))
-        return r, c, keys[r, c]
-    part = np.partition(keys, n - kmax, axis=0)[n - kmax]  # k-th largest per column
-    mask = keys >= part[None, :]
-    r, c = np.nonzero(mask)
-    return r, c, keys[r, c]
-
-
-def _reduce(tbl: pa.Table, qpos: np.ndarray, score: np.ndarray, keys: np.ndarray,
-            key_cols: list, kmax: int):
-    """Exact top-``kmax`` per question under the full order (question, score
-    key desc, corpus key asc)."""
-    order_tbl = pa.table({"__q": qpos, "__s": -keys,
-                          **{f"__k{i}": tbl.column(c) for i, c in enumerate(key_cols)}})
-    order = pc.sort_indices(order_tbl, sort_keys=[("__q", "ascending"), ("__s", "ascending")]
-                            + [(f"__k{i}", "ascending") for i in range(len(key_cols))]).to_numpy()
-    qs = qpos[order]
-    first = np.r_[True, qs[1:] != qs[:-1]] if len(qs) else np.zeros(0, bool)
-    grp_start = np.maximum.accumulate(np.where(first, np.arange(len(qs)), 0)) if len(qs) else qs
-    sel = order[(np.arange(len(qs)) - grp_start) < kmax]
-    return tbl.take(pa.array(sel)), qpos[sel], score[sel], keys[sel]
+    def add(self, rows: pa.Table, q: np.ndarray, score: np.ndarray, key: np.ndarray) -> None:
+        table = rows if self.rows is None else pa.concat_tables([self.rows, rows])
+        q, score, key = (np.concatenate(x) for x in ((self.q, q), (self.score, score), (self.key, key)))
+        by = pa.table({"q": q, "s": -key, **{f"k{i}": table.column(c) for i, c in enumerate(self.key_cols)}})
+        order = pc.sort_indices(by, sort_keys=[("q", "ascending"), ("s", "ascending")] + [
+            (f"k{i}", "ascending") for i in range(len(self.key_cols))]).to_numpy()
+        qs = q[order]
+        first = np.r_[True, qs[1:] != qs[:-1]] if len(qs) else np.zeros(0, bool)
+        start = np.maximum.accumulate(np.where(first, np.arange(len(qs)), 0)) if len(qs) else qs
+        keep = order[(np.arange(len(qs)) - start) < self.k]
+        self.rows = table.take(pa.array(keep)).combine_chunks()
+        self.q, self.score, self.key = q[keep], score[keep], key[keep]
+
+
+def _probed(Q: np.ndarray, centroids: np.ndarray, cells: np.ndarray, nprobe: int) -> dict[int, np.ndarray]:
+    """cell -> positions of the questions that probe it: every question's
+    ``nprobe`` best centroids, lowest cell on ties."""
+    found: dict[int, list] = {}
+    step = max(1, TILE_BYTES // (8 * max(1, len(cells))))
+    for a in range(0, len(Q), step):
+        keys = np.round(centroids @ Q[a:a + step].T, RANK_DECIMALS)
+        r, c = _tile_top(keys, nprobe)
+        for cell, q in zip(cells[r].tolist(), (c + a).tolist()):
+            found.setdefault(cell, []).append(q)
+    return {c: np.array(v) for c, v in found.items()}
 
 
 def _scorer(bc, key_cols: Sequence[str], vec_col: str, payload: Sequence[str],
@@ -92,95 +128,68 @@ def _scorer(bc, key_cols: Sequence[str], vec_col: str, payload: Sequence[str],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = bc.value
-        Q, qids = b["Q"], b["qids"]
-        dim = Q.shape[1]
-        cell_of_q = b.get("cell_queries")  # cell -> positions of probing questions
-        # running candidates; merged down to top-kmax per question whenever
-        # they outgrow twice that, so a task never holds more than ~2*Q*kmax rows
-        acc = None
-        pending_t, pending_q, pending_s, pending_k, pending_n = [], [], [], [], 0
-        budget = 2 * max(1, len(qids)) * kmax
+        Q, qids, asked = b["Q"], b["qids"], b["k"]
+        probed = _probed(Q, *b["cells"]) if cell_col else None
+        best = _Best(key_cols, kmax)
         for rb in batches:
-            if rb.num_rows == 0:
+            at, C = _vectors(rb.column(rb.schema.get_field_index(vec_col)), Q.shape[1])
+            if not len(at):
                 continue
-            C = _vectors(rb.column(rb.schema.get_field_index(vec_col)), dim)
-            if cell_col is None:
-                groups = [(np.arange(rb.num_rows), np.arange(len(qids)))]
-            else:
-                cells = rb.column(rb.schema.get_field_index(cell_col)).to_numpy(zero_copy_only=False)
-                groups = []
-                for cval in np.unique(cells):
-                    qpos = cell_of_q.get(int(cval))
-                    if qpos is not None and len(qpos):
-                        groups.append((np.nonzero(cells == cval)[0], qpos))
-            small = pa.Table.from_batches([rb]).select(carry)
+            small = pa.Table.from_batches([rb]).select(carry).take(pa.array(at))
+            order = pc.sort_indices(small, sort_keys=[(c, "ascending") for c in dict.fromkeys(key_cols)]).to_numpy()
+            groups = [(order, np.arange(len(qids)))]
+            if cell_col:
+                cell = rb.column(rb.schema.get_field_index(cell_col)).to_numpy(zero_copy_only=False)[at][order]
+                groups = [(order[cell == c], probed[c]) for c in np.unique(cell).tolist() if c in probed]
             for rows, qpos in groups:
-                S = C[rows] @ Q[qpos].T
-                r, c, keys = _top_candidates(S, kmax)
-                if len(r) == 0:
-                    continue
-                pending_t.append(small.take(pa.array(rows[r])))
-                pending_q.append(qpos[c])
-                pending_s.append(S[r, c])
-                pending_k.append(keys)
-                pending_n += len(r)
-            if pending_n > budget:
-                parts = ([acc] if acc else []) + [(pa.concat_tables(pending_t), np.concatenate(pending_q),
-                                                   np.concatenate(pending_s), np.concatenate(pending_k))]
-                acc = _reduce(pa.concat_tables([p[0] for p in parts]).combine_chunks(),
-                              np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]),
-                              np.concatenate([p[3] for p in parts]), key_cols, kmax)
-                pending_t, pending_q, pending_s, pending_k, pending_n = [], [], [], [], 0
-        parts = ([acc] if acc else [])
-        if pending_t:
-            parts.append((pa.concat_tables(pending_t), np.concatenate(pending_q),
-                          np.concatenate(pending_s), np.concatenate(pending_k)))
-        if not parts:
+                step = max(kmax, TILE_BYTES // (8 * max(1, len(qpos))), 1)
+                wide = max(1, TILE_BYTES // (8 * step))
+                for a in range(0, len(rows), step):
+                    part = rows[a:a + step]
+                    for q0 in range(0, len(qpos), wide):
+                        qs = qpos[q0:q0 + wide]
+                        S = C[part] @ Q[qs].T
+                        keys = np.round(S, RANK_DECIMALS)
+                        r, c = _tile_top(keys, kmax)
+                        best.add(small.take(pa.array(part[r])), qs[c], S[r, c], keys[r, c])
+        if best.rows is None:
             return
-        taken, qpos, score, keys = _reduce(
-            pa.concat_tables([p[0] for p in parts]).combine_chunks(),
-            np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]),
-            np.concatenate([p[3] for p in parts]), key_cols, kmax)
-        cols = {"query_id": pa.array(qids[qpos]),
-                "score": pa.array(score),
-                "score_key": pa.array(keys)}
+        cols = {"query_id": qids.take(pa.array(best.q)), "score": pa.array(best.score), "score_key": pa.array(best.key),
+                "__k": pa.array(asked[best.q])}
         for c in carry:
-            cols[c] = taken.column(c).combine_chunks()
-        arrays = [cols[n].cast(arrow_types[n]) for n in names]
-        yield pa.RecordBatch.from_arrays(arrays, names=names)
+            cols[c] = best.rows.column(c).combine_chunks()
+        yield pa.RecordBatch.from_arrays([cols[n].cast(arrow_types[n]) for n in names], names=names)
     return run
 
 
-def _collect_queries(queries: DataFrame, query_key: str, query_vec: str):
-    rows = queries.select(query_key, query_vec).toArrow()
-    qids = rows.column(query_key).to_numpy(zero_copy_only=False)
-    Q = _vectors(rows.column(query_vec), None)
-    return qids, Q
-
-
-def _query_bytes(queries: DataFrame, query_vec: str) -> tuple[int, int]:
-    """(row count, estimated bytes of the collected vectors) by one aggregate."""
-    r = queries.agg(F.count(F.lit(1)).alias("n"),
-                    F.coalesce(F.max(F.size(query_vec)), F.lit(0)).alias("w")).first()
-    return int(r["n"]), int(r["n"]) * max(int(r["w"]), 1) * 8 + int(r["n"]) * 16
+def _measure(queries: DataFrame, query_vec: str, per_query_k: str | None, k: int) -> tuple[int, int, int]:
+    """(questions, vector width, largest k) by one aggregate."""
+    size = F.size(query_vec)
+    kq = F.coalesce(F.col(per_query_k), F.lit(k)) if per_query_k else F.lit(k)
+    r = queries.where(F.col(query_vec).isNotNull()).agg(
+        F.count(F.lit(1)).alias("n"), F.min(size).alias("lo"), F.max(size).alias("hi"), F.max(kq).alias("k")).first()
+    if r["n"] and r["lo"] != r["hi"]:
+        raise ValueError(f"question vectors of different widths: {r['lo']} and {r['hi']}")
+    return int(r["n"]), int(r["hi"] or 0), int(r["k"] or k)
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
         query_key: str = "query_id", query_vec: str = "embedding",
         corpus_keys: Sequence[str] = ("doc_id", "chunk_index"),
         corpus_vec: str = "embedding", payload: Sequence[str] = (),
-        per_query_k: str | None = None, max_k: int = 20,
-        cell_col: str | None = None, probes: DataFrame | None = None,
+        per_query_k: str | None = None,
+        cell_col: str | None = None, centroids: DataFrame | None = None, nprobe: int = 10,
         broadcast_limit_bytes: int = DEFAULT_BROADCAST_LIMIT,
-        max_block_queries: int = 8192,
+        max_candidates: int = MAX_CANDIDATES,
         materialize: bool = True) -> DataFrame:
     """Top-k corpus rows per question by inner product.
 
     Returns ``query_id, rank, <corpus_keys>, score, <payload>`` (``query_id``
-    is renamed from ``query_key``). With ``per_query_k`` each question keeps
-    its own k (T3), bounded by the static ``max_k``. With ``probes``
-    (``query_id, cell``) and ``cell_col``, each question is scored only
-    against the cells it probes (J4), and only those cells are read.
+    is renamed from ``query_key``, which must be unique). With ``per_query_k``
+    each question keeps its own k (T3), of any size. With ``cell_col`` and a
+    ``centroids`` table (``cell, centroid``) each question is scored only
+    against its ``nprobe`` best cells (J4), and only the cells that some
+    question probes are read.
 
     The hits (at most ``k`` per question) are checkpointed to the shared
     checkpoint folder, so every downstream consumer (context, sources,
@@ -189,69 +198,75 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
     if k <= 0:
         raise ValueError("k must be positive")
     spark = corpus.sparkSession
-    kmax = max_k if per_query_k else k
-    n, nbytes = _query_bytes(queries, query_vec)
-    key_fields = [corpus.schema[c] for c in corpus_keys]
-    pay_fields = [corpus.schema[c] for c in payload]
-    qkey_type = queries.schema[query_key].dataType
+    n, dim, kmax = _measure(queries, query_vec, per_query_k, k)
+    fields = {c: corpus.schema[c] for c in dict.fromkeys([*corpus_keys, *payload])}
     out_schema = T.StructType(
-        [T.StructField("query_id", qkey_type, True),
-         T.StructField("score", T.DoubleType(), True),
-         T.StructField("score_key", T.DoubleType(), True)]
-        + [T.StructField(f.name, f.dataType, True) for f in key_fields + pay_fields])
-    cols = list(dict.fromkeys(list(corpus_keys) + [corpus_vec] + list(payload)
-                              + ([cell_col] if cell_col else [])))
-    # a block is bounded both in bytes (broadcast size) and in questions
-    # (each task holds up to ~2 x questions x k candidate rows with payload)
-    blocks = max(1, math.ceil(nbytes / broadcast_limit_bytes), math.ceil(n / max_block_queries))
-    parts, bcs = [], []
+        [T.StructField("query_id", queries.schema[query_key].dataType), T.StructField("score", T.DoubleType()),
+         T.StructField("score_key", T.DoubleType()), T.StructField("__k", T.LongType())]
+        + [T.StructField(c, f.dataType) for c, f in fields.items()])
+    cols = list(dict.fromkeys([*corpus_keys, corpus_vec, *payload] + ([cell_col] if cell_col else [])))
+    final = ["query_id", "rank", *corpus_keys, "score", *[c for c in payload if c not in corpus_keys]]
+    if n == 0:
+        return spark.createDataFrame([], out_schema).withColumn("rank", F.lit(1)).select(*final)
+    cells = _cell_table(centroids, nprobe, broadcast_limit_bytes) if cell_col else None
+    blocks = max(1, math.ceil(n * (dim * 8 + 32) / broadcast_limit_bytes), math.ceil(n * kmax / max_candidates))
+    scan = corpus.select(*cols)
+    if blocks > 1:
+        scan = _staged(scan)
+    want = F.coalesce(F.col(per_query_k), F.lit(k)) if per_query_k else F.lit(k)
+    asks = queries.where(F.col(query_vec).isNotNull()).select(
+        F.col(query_key).alias("q"), F.col(query_vec).alias("v"), want.cast("long").alias("k"))
+    if blocks > 1:
+        asks = asks.checkpoint()        # embedded once, then read block by block
+    scored, held = None, []
     for b in range(blocks):
-        qb = queries if blocks == 1 else queries.filter(
-            F.pmod(F.xxhash64(F.col(query_key)), F.lit(blocks)) == b)
-        qids, Q = _collect_queries(qb, query_key, query_vec)
-        if len(qids) == 0:
+        rows = (asks if blocks == 1 else asks.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)).toArrow()
+        at, Q = _vectors(rows.column("v"), dim)
+        if not len(at):
             continue
-        payload_b = {"Q": Q, "qids": qids}
-        scan = corpus.select(*cols)
-        if cell_col is not None:
-            if probes is None:
-                raise ValueError("cell search needs a probes table")
-            pr = probes.select(F.col(query_key if query_key in probes.columns else "query_id").alias("q"),
-                               F.col(cell_col).alias("c")).toArrow()
-            pos = {v: i for i, v in enumerate(qids.tolist())}
-            cq: dict[int, list[int]] = {}
-            for qv, cv in zip(pr.column("q").to_pylist(), pr.column("c").to_pylist()):
-                if qv in pos:
-                    cq.setdefault(int(cv), []).append(pos[qv])
-            payload_b["cell_queries"] = {c: np.asarray(v, dtype=np.int64) for c, v in cq.items()}
-            # partition pruning: read only probed cells
-            scan = scan.filter(F.col(cell_col).isin(sorted(cq)))
-        bc = spark.sparkContext.broadcast(payload_b)
-        bcs.append(bc)
-        parts.append(scan.mapInArrow(
-            _scorer(bc, corpus_keys, corpus_vec, payload, kmax, cell_col, out_schema),
-            out_schema))
-    if not parts:
-        return spark.createDataFrame([], out_schema).withColumn("rank", F.lit(1)).drop("score_key")
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
+        rows = rows.take(pa.array(at))
+        block = {"Q": Q, "qids": rows.column("q").combine_chunks(), "k": rows.column("k").to_numpy()}
+        part = scan
+        if cells:
+            block["cells"] = cells
+            part = scan.filter(F.col(cell_col).isin(sorted(_probed(Q, *cells))))     # at most nlist cells
+        bc = spark.sparkContext.broadcast(block)
+        held.append(bc)
+        part = part.mapInArrow(_scorer(bc, corpus_keys, corpus_vec, payload, kmax, cell_col, out_schema), out_schema)
+        scored = part if scored is None else scored.unionByName(part)
+    if scored is None:
+        return spark.createDataFrame([], out_schema).withColumn("rank", F.lit(1)).select(*final)
     w = Window.partitionBy("query_id").orderBy(F.desc("score_key"), *[F.asc(c) for c in corpus_keys])
     ranked = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= kmax)
-    if per_query_k:
-        kq = queries.select(F.col(query_key).alias("query_id"),
-                            F.coalesce(F.col(per_query_k), F.lit(k)).alias("__k"))
-        ranked = ranked.join(F.broadcast(kq), "query_id").filter(F.col("rank") <= F.col("__k")).drop("__k")
-    out = ranked.select("query_id", "rank", *corpus_keys, "score", *payload)
+    out = ranked.filter(F.col("rank") <= F.col("__k")).select(*final)
     if materialize:
         from ..session import checkpoint_dir
         checkpoint_dir(spark)
         out = out.checkpoint(eager=True)
-        for bc in bcs:  # the hits are on disk now; free executor memory
+        for bc in held:  # the hits are on disk now; free executor memory
             bc.unpersist()
     return out
 
 
+def _cell_table(centroids: DataFrame | None, nprobe: int, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The centroid matrix (its size is checked first), its cells, nprobe."""
+    if centroids is None:
+        raise ValueError("cell search needs a centroid table")
+    r = centroids.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("centroid")).alias("w")).first()
+    if r["n"] * (r["w"] or 0) * 8 > limit:
+        raise ValueError("the centroid table is larger than the broadcast limit; train fewer cells")
+    t = centroids.select("cell", F.col("centroid").cast("array<double>").alias("centroid")).orderBy("cell").toArrow()
+    at, m = _vectors(t.column("centroid"), None)
+    return m, t.column("cell").to_numpy()[at], nprobe
+
+
+def _staged(df: DataFrame) -> DataFrame:
+    from ..session import scratch_path
+    path = scratch_path(df.sparkSession, "search-corpus")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def threshold_filter(hits: DataFrame, threshold: float, score_col: str = "score") -> DataFrame:
     """PF6: inclusive similarity threshold."""
     return hits.filter(F.col(score_col) >= F.lit(threshold))

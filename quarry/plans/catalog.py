@@ -13,7 +13,7 @@ from ..functions import text as TX
 from ..functions.tokens import window_count, word_pieces
 from ..operators.chunk import chunk_documents
 from ..operators.clean import clean_documents
-from ..plans.rag import prepare_chunks, retrieve
+from ..plans.rag import answer_without_context, context_texts, in_context, prepare_chunks, retrieve
 from ..sources.tables import documents_from_table, questions_from_table, read_table
 
 CFG = demo()
@@ -133,15 +133,18 @@ def _answers(spark, sf_dir, hits=None):
     return answer_questions(q, None, CFG, hits=hits if hits is not None else _hits(spark, sf_dir))
 
 
-def rag_answers(spark, sf_dir):
-    """C2 over the whole benchmark table, flattened."""
-    a = _answers(spark, sf_dir)
+def _answer_columns(a):
     return a.select("query_id", "answer", "error", "model",
                     F.size("sources").cast("int").alias("n_sources"),
                     F.try_element_at("scores", F.lit(1)).alias("top_score"),
                     "chunks_retrieved", "chunks_used", "chunks_in_context")
 
 
+def rag_answers(spark, sf_dir):
+    """C2 over the whole benchmark table, flattened."""
+    return _answer_columns(_answers(spark, sf_dir))
+
+
 def context_budget(spark, sf_dir):
     from ..operators.context import budget_context
     from ..operators.search import threshold_filter
@@ -153,11 +156,8 @@ def context_budget(spark, sf_dir):
 
 def prompt_messages(spark, sf_dir):
     from ..functions import prompt as P
-    from ..operators.context import budget_context, context_blocks
-    from ..operators.search import threshold_filter
-    passed = budget_context(threshold_filter(_hits(spark, sf_dir), CFG.similarity_threshold),
-                            CFG.max_context_tokens)
-    ctx = context_blocks(passed)
+    from .rag import summarize_hits
+    ctx = summarize_hits(_hits(spark, sf_dir), CFG).filter(F.col("chunks_in_context") > 0)
     msgs = _questions(spark, sf_dir).join(ctx, "query_id") \
         .withColumn("m", P.messages(F.col("context"), F.col("question")))
     return msgs.select("query_id", F.col("m")[0]["content"].alias("system_message"),
@@ -235,10 +235,26 @@ def sentence_split(spark, sf_dir):
 
 def relevance_scores(spark, sf_dir):
     from ..operators.evaluate import relevance
-    r = relevance(_hits(spark, sf_dir), CFG.relevance_threshold)
+    r = relevance(_hits(spark, sf_dir), CFG.relevance_threshold, questions=_questions(spark, sf_dir))
     return r.select("query_id", "mean_score", "above_threshold", "precision_at_k")
 
 
+def chunk_scores(spark, sf_dir):
+    """PF10: every hit of every question with its verdict."""
+    from ..operators.evaluate import chunk_scores as scores
+    return scores(_hits(spark, sf_dir), CFG.relevance_threshold).drop("__cos")
+
+
+def sources_long(spark, sf_dir):
+    """The ``sources`` and ``scores`` arrays of C2, a row per entry."""
+    a = _answers(spark, sf_dir)
+    pairs = F.arrays_zip(F.col("sources").alias("src"), F.col("scores").alias("score"))
+    x = a.select("query_id", F.posexplode(pairs).alias("pos", "x"))
+    return x.select("query_id", F.col("pos").cast("int").alias("pos"), F.col("x")["src"]["filename"].alias("filename"),
+                    F.col("x")["src"]["chunk_index"].alias("chunk_index"), F.col("x")["src"]["score"].alias("source_score"),
+                    F.col("x")["score"].alias("score"), F.col("x")["src"]["preview"].alias("preview"))
+
+
 def _embedder():
     from .rag import default_embedder
     return default_embedder(CFG)
@@ -253,16 +269,26 @@ def groundedness_scores(spark, sf_dir):
     return g.select("query_id", "overall_score", "is_grounded", "grounded_sentences", "total_sentences")
 
 
-def _runs(spark, sf_dir, hits=None):
-    """``reliability_runs`` answers per question; run r answers from the
-    chunk at rank r+1 (a deterministic stand-in for sampled generations)."""
-    from ..operators.generate import extractive_answer
-    h = hits if hits is not None else _hits(spark, sf_dir)
-    return h.filter(F.col("rank") <= RELIABILITY_RUNS).select(
-        "query_id", (F.col("rank") - 1).alias("run"), extractive_answer(F.col("chunk_text")).alias("answer"))
+def sentence_scores(spark, sf_dir):
+    """Each sentence of each benchmark passage, its best similarity
+    among the question's hits and the position of that hit."""
+    from ..operators.evaluate import sentence_scores as scores
+    ans = _questions(spark, sf_dir).select("query_id", F.col("question").alias("answer"))
+    g = scores(ans, _hits(spark, sf_dir), _embedder(), CFG.groundedness_threshold)
+    return g.select("query_id", F.col("sentence_idx").cast("int").alias("sentence_idx"), "sentence",
+                    F.round("max_sim", 4).alias("max_similarity"), "best_matching_chunk", "is_grounded")
 
 
-RELIABILITY_RUNS = 3
+def _runs(spark, sf_dir):
+    """The question asked ``reliability_runs`` times; run r gets the
+    context without its first r sections, so the answers differ as repeated
+    generations do, and every engine can compute them."""
+    from ..operators.generate import extractive_answer
+    h = in_context(_hits(spark, sf_dir), CFG).filter("in_context").withColumn(
+        "run", F.explode(F.sequence(F.lit(0), F.lit(CFG.reliability_runs - 1))))
+    texts = h.groupBy("query_id", "run").agg(context_texts(F.col("rank") > F.col("run")).alias("t"))
+    return _questions(spark, sf_dir).join(texts, "query_id").select(
+        "query_id", "run", extractive_answer(F.col("t"), F.col("question")).alias("answer"))
 
 
 def reliability_scores(spark, sf_dir):
@@ -272,81 +298,72 @@ def reliability_scores(spark, sf_dir):
                     "length_coefficient_of_variation", "num_runs", "is_reliable")
 
 
+def reliability_pairs(spark, sf_dir):
+    """The pairwise scores behind the reliability figures."""
+    from ..operators.evaluate import run_pairs
+    p = run_pairs(_runs(spark, sf_dir), _embedder())
+    return p.select("query_id", "ra", "rb", F.round("similarity", 4).alias("similarity"))
+
+
 def _keywords(question):
     from ..functions.tokens import embed_terms
-    return F.array_distinct(F.filter(embed_terms(question), lambda t: F.length(t) >= 8))
+    return F.array_distinct(embed_terms(question))
 
 
 def keyword_accuracy(spark, sf_dir):
     """RAG answers against keywords drawn from each question (its
-    distinct terms of 8+ characters)."""
+    distinct terms)."""
     from ..operators.evaluate import keyword_accuracy as kacc
     a = _answers(spark, sf_dir).withColumn("kw", _keywords(F.col("question")))
     return a.select("query_id", F.size("kw").cast("int").alias("n_keywords"),
                     F.round(kacc("answer", "kw"), 4).alias("keyword_accuracy"))
 
 
-def _quality(spark, sf_dir):
+def _scored(spark, sf_dir):
+    """(hits, answers, quality) from one scan of the corpus: the hits are on
+    disk once ``retrieve`` returns, and all else reads them."""
     from ..operators.evaluate import evaluate
     hits = _hits(spark, sf_dir)
     ans = _answers(spark, sf_dir, hits)
-    return evaluate(ans.select("query_id", "answer"), hits, _embedder(), CFG)
+    return hits, ans, evaluate(ans.select("query_id", "answer"), hits, _embedder(), CFG)
 
 
 def quality_scores(spark, sf_dir):
-    return _quality(spark, sf_dir)
+    return _scored(spark, sf_dir)[2]
+
+
+def quality_with_runs(spark, sf_dir):
+    """C7 with reliability measured on repeated runs."""
+    from ..operators.evaluate import evaluate
+    hits = _hits(spark, sf_dir)
+    ans = _answers(spark, sf_dir, hits).select("query_id", "answer")
+    return evaluate(ans, hits, _embedder(), CFG, runs=_runs(spark, sf_dir))
 
 
 def benchmark_compare(spark, sf_dir):
     """RAG vs no-context answers on keyword accuracy (U2 union, A11
     averages, A12 improvement) plus the mean quality score."""
-    from ..functions.prompt import NO_CONTEXT_ANSWER
-    from ..operators.evaluate import keyword_accuracy as kacc
-    ans = _answers(spark, sf_dir).withColumn("kw", _keywords(F.col("question")))
-    rag = ans.select("query_id", F.lit("rag").alias("variant"), kacc("answer", "kw").alias("acc"))
-    base = ans.select("query_id", F.lit("baseline").alias("variant"),
-                      kacc(F.lit(NO_CONTEXT_ANSWER), "kw").alias("acc"))
-    per = rag.unionByName(base).groupBy().agg(
-        F.avg(F.when(F.col("variant") == "baseline", F.col("acc"))).alias("b"),
-        F.avg(F.when(F.col("variant") == "rag", F.col("acc"))).alias("r"))
-    q = _quality(spark, sf_dir).agg(F.avg("quality_score").alias("avg_q"))
-    imp = F.col("r") - F.col("b")
-    # both sides are single-row aggregates: join them on a constant key
-    return per.withColumn("__one", F.lit(1)).join(q.withColumn("__one", F.lit(1)), "__one").select(
-        F.round("b", 4).alias("baseline_avg_accuracy"), F.round("r", 4).alias("rag_avg_accuracy"),
-        F.round(imp, 4).alias("improvement_absolute"),
-        F.round(F.when(F.col("b") > 0, imp / F.col("b") * 100).otherwise(F.lit(0.0)), 1)
-        .alias("improvement_relative_pct"),
-        F.round("avg_q", 4).alias("rag_avg_quality_score"))
+    from .report import compare_answers, comparison
+    _, ans, quality = _scored(spark, sf_dir)
+    base = answer_without_context(_questions(spark, sf_dir))
+    return comparison(compare_answers(ans, base, _keywords(F.col("question"))), quality)
 
 
 def benchmark_results(spark, sf_dir):
-    """C8 per question: both variants side by side (U2 union with a variant
-    tag, J8 join on the question key), answers cut to 200 characters (PF11)."""
-    from ..functions.prompt import NO_CONTEXT_ANSWER
-    from ..functions.text import truncate
-    from ..operators.evaluate import keyword_accuracy as kacc
-    ans = _answers(spark, sf_dir).withColumn("kw", _keywords(F.col("question")))
-    rag = ans.select("query_id", F.lit("rag").alias("variant"), "answer", "kw",
-                     F.col("chunks_used").alias("chunks_used"))
-    base = ans.select("query_id", F.lit("baseline").alias("variant"),
-                      F.lit(NO_CONTEXT_ANSWER).alias("answer"), "kw",
-                      F.lit(None).cast("int").alias("chunks_used"))
-    both = rag.unionByName(base).select(
-        "query_id", "variant", truncate("answer", 200).alias("answer"),
-        F.round(kacc("answer", "kw"), 4).alias("keyword_accuracy"), "chunks_used")
-    q = _questions(spark, sf_dir).select("query_id", "question")
-    return q.join(both, "query_id")
+    """C8 per question: both variants side by side, answers cut to 200
+    characters (PF11)."""
+    from .report import compare_answers
+    base = answer_without_context(_questions(spark, sf_dir))
+    per = compare_answers(_answers(spark, sf_dir), base, _keywords(F.col("question")))
+    return per.withColumn("keyword_accuracy", F.round("keyword_accuracy", 4))
 
 
 def demo_summary(spark, sf_dir):
-    """Mean quality, pass rate and index size for the run."""
-    q = _quality(spark, sf_dir).agg(
-        F.round(F.avg("quality_score"), 4).alias("average_quality"),
-        F.round(F.avg(F.col("pass").cast("double")), 4).alias("pass_rate"),
-        F.count(F.lit(1)).alias("n_questions"))
-    n = _chunks(spark, sf_dir).agg(F.count(F.lit(1)).alias("total_chunks"))
-    return q.withColumn("__one", F.lit(1)).join(n.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    """Mean quality, pass rate and index size for the run; chunks are
+    counted before they are embedded."""
+    from .report import demo_summary as summary
+    chunks = chunk_documents(_clean_docs(spark, sf_dir), CFG.chunk_size, CFG.chunk_overlap)
+    return summary(_scored(spark, sf_dir)[2], chunks.agg(F.count(F.lit(1)).alias("total_chunks")))
 
 
 # --- vector table: exact, per-question k, threshold, cells, index ---------
@@ -384,14 +401,14 @@ def knn_exact(spark, sf_dir):
 
 
 def knn_exact_arrow(spark, sf_dir):
-    """The scorer on its unpacked form: every corpus partition ranked with
-    one matrix product, questions split over two broadcast blocks."""
-    h = _knn_emb(spark, sf_dir, broadcast_limit_bytes=3000)
+    """k = 30 with the questions in several broadcast blocks over a staged
+    corpus, as a large question table would run."""
+    h = _knn_emb(spark, sf_dir, k=30, max_candidates=100)
     return h.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
 def knn_per_query_k(spark, sf_dir):
-    h = _knn_emb(spark, sf_dir, per_query_k="top_k", max_k=CFG.max_top_k)
+    h = _knn_emb(spark, sf_dir, per_query_k="top_k")
     return h.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
@@ -411,59 +428,89 @@ def knn_threshold(spark, sf_dir):
         F.when(F.coalesce("chunks_used", F.lit(0)) == 0, F.lit(NO_HIT_ANSWER)).alias("fallback_answer"))
 
 
-def _ivf(spark, sf_dir):
-    from ..operators.index import assign_cells, train_cells
+def _label_cells(e: DataFrame) -> DataFrame:
+    """The label centroids as the cells of an index: no training, so that
+    assignment, probing and recall can be recomputed elsewhere."""
+    return label_centroids(e).select(F.col("query_id").cast("int").alias("cell"), F.col("embedding").alias("centroid"))
+
+
+def _saved_cells(spark, sf_dir):
+    """(index, centroids), written cell by cell and loaded again."""
+    from ..operators.index import assign_cells, load_index, save_index
+    from ..session import scratch_path
     e = _emb(spark, sf_dir)
-    cents = train_cells(e, NLIST, seed=CFG.kmeans_seed, max_iter=CFG.kmeans_max_iter)
-    return e, assign_cells(e, cents), cents
+    cents = _label_cells(e)
+    return load_index(spark, save_index(assign_cells(e, cents), scratch_path(spark, "index"), cents))
 
 
-def ivf_full_probe(spark, sf_dir):
-    """``nprobe = nlist`` must equal exact search."""
+def _vector_questions(e: DataFrame) -> DataFrame:
+    """Every hundredth vector is a question."""
+    return e.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def ivf_assign(spark, sf_dir):
+    """The cell of every vector, from the saved index."""
+    return _saved_cells(spark, sf_dir)[0].select("vec_id", "cell")
+
+
+def ivf_probe(spark, sf_dir):
+    """Top-k inside the two best cells of each question, from the saved
+    index (only probed cells are read)."""
     from ..operators.index import search_ivf
-    e, idx, cents = _ivf(spark, sf_dir)
-    nl = cents.count()
-    h = search_ivf(label_centroids(e), idx, cents, CFG.top_k, nprobe=nl, corpus_keys=("vec_id",))
+    idx, cents = _saved_cells(spark, sf_dir)
+    h = search_ivf(_vector_questions(_emb(spark, sf_dir)), idx, cents, CFG.top_k, nprobe=2, corpus_keys=("vec_id",))
+    return h.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+def ivf_full_probe(spark, sf_dir):
+    """``nprobe`` = all trained cells must equal exact search."""
+    from ..operators.index import assign_cells, search_ivf, train_cells
+    e = _emb(spark, sf_dir)
+    cents = train_cells(e, NLIST, seed=CFG.kmeans_seed, max_iter=CFG.kmeans_max_iter)
+    h = search_ivf(label_centroids(e), assign_cells(e, cents), cents, CFG.top_k, nprobe=cents.count(),
+                   corpus_keys=("vec_id",))
     return h.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
 def ivf_recall(spark, sf_dir):
-    """recall@k of the default probe count against exact search."""
+    """recall@k of two probed cells against exact search."""
     from ..operators.index import search_ivf
     from ..operators.search import knn
-    e, idx, cents = _ivf(spark, sf_dir)
-    q = label_centroids(e)
-    approx = search_ivf(q, idx, cents, CFG.top_k, nprobe=NPROBE, corpus_keys=("vec_id",))
+    e = _emb(spark, sf_dir)
+    idx, cents = _saved_cells(spark, sf_dir)
+    q = _vector_questions(e)
+    approx = search_ivf(q, idx, cents, CFG.top_k, nprobe=2, corpus_keys=("vec_id",))
     exact = knn(q, e, CFG.top_k, corpus_keys=("vec_id",))
     found = exact.join(approx.select("query_id", "vec_id", F.lit(1).alias("hit")),
                        ["query_id", "vec_id"], "left")
     return found.groupBy("query_id").agg(
-        (F.count("hit") / F.count(F.lit(1))).alias("recall_at_k"),
+        F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("recall_at_k"),
         F.count(F.lit(1)).alias("k"))
 
 
+def rag_answers_ivf(spark, sf_dir):
+    """C1 + C2 on a saved cell index: build with trained cells, then answer
+    from the index with every cell probed, which must equal the exact run."""
+    from ..session import scratch_path
+    from .rag import answer_from_index, build_index
+    path = scratch_path(spark, "ivf")
+    cfg = CFG.with_(index_type="IVFFlat", nlist=16, nprobe=16)
+    build_index(spark, _docs(spark, sf_dir), path, cfg)
+    return _answer_columns(answer_from_index(spark, _questions(spark, sf_dir), path, cfg))
+
+
 def index_stats(spark, sf_dir):
     """A13 on a cell-partitioned index written to and read back from the
     shared folder."""
-    from ..operators.index import index_stats as stats, load_index, save_index
-    from ..session import scratch_path
-    _, idx, cents = _ivf(spark, sf_dir)
-    path = save_index(idx, scratch_path(spark, "index"), cents)
-    loaded, _ = load_index(spark, path)
-    return stats(loaded)
+    from ..operators.index import index_stats as stats
+    return stats(_saved_cells(spark, sf_dir)[0])
 
 
 def index_roundtrip(spark, sf_dir):
-    """SRC7 + SRC8: every vector survives the write/read unchanged."""
-    from ..functions.vectors import l2_norm
-    from ..operators.index import load_index, save_index
-    from ..session import scratch_path
-    _, idx, cents = _ivf(spark, sf_dir)
-    path = save_index(idx, scratch_path(spark, "index"), cents)
-    loaded, _ = load_index(spark, path)
-    return loaded.select("vec_id", "label", F.size("embedding").cast("int").alias("dim"),
-                         F.round(l2_norm("embedding"), 6).alias("norm"),
-                         F.round(F.try_element_at("embedding", F.lit(1)).cast("double"), 6).alias("first"))
+    """SRC7 + SRC8: every number of every vector after the write and read."""
+    idx, _ = _saved_cells(spark, sf_dir)
+    return idx.select("vec_id", "label", F.posexplode("embedding").alias("pos", "x")).select(
+        "vec_id", "label", F.col("pos").cast("int").alias("pos"), F.col("x").cast("double").alias("x"))
 
 
 def result_json(spark, sf_dir):
@@ -478,13 +525,15 @@ def result_json(spark, sf_dir):
 
 def pipeline_counters(spark, sf_dir):
     """C1 + A14: build a flat index from every document into the shared
-    folder; the counters come from observations on the write itself."""
+    folder; the observed counters beside the counts of the written index."""
+    from ..operators.index import load_index
     from ..session import scratch_path
     from .rag import build_index
-    stats = build_index(spark, _docs(spark, sf_dir), scratch_path(spark, "c1"), CFG)
-    return spark.createDataFrame(
-        [(stats["documents"], stats["chunks_indexed"], stats["vectors"])],
-        "documents long, chunks_indexed long, vectors long")
+    path = scratch_path(spark, "c1")
+    seen = build_index(spark, _docs(spark, sf_dir), path, CFG)
+    return load_index(spark, path)[0].agg(F.count(F.lit(1)).alias("chunks_written"), F.count("embedding").alias("vectors_written")).select(
+        F.lit(seen["documents"]).cast("long").alias("documents"), F.lit(seen["chunks_indexed"]).cast("long").alias("chunks_indexed"),
+        F.lit(seen["vectors"]).cast("long").alias("vectors"), "chunks_written", "vectors_written")
 
 
 def knn_single(spark, sf_dir):
@@ -512,8 +561,7 @@ def _write_questions(spark, sf_dir, path):
 
 def _build_flat_index(spark, sf_dir, cfg, path):
     from ..operators.index import save_index
-    save_index(prepare_chunks(_docs(spark, sf_dir), cfg), path)
-    return path + "/data"
+    return save_index(prepare_chunks(_docs(spark, sf_dir), cfg), path)
 
 
 def stream_questions(spark, sf_dir):
@@ -555,26 +603,24 @@ DOCS_PER_FILE = 64
 
 
 def doc_scan(spark, sf_dir):
-    """SRC1-3, SRC6: the documents written as log-style text files, one
-    directory per source and at most ``DOCS_PER_FILE`` documents per file
-    (range-partitioned on source and id, so a large source is split across
-    tasks and files), plus a CSV copy of the questions the scan must skip;
-    then scanned back. Each file is one loaded document, so per source the
-    loaded characters plus the file count equal the documents' characters
-    plus their count (each file drops one trailing newline when stripped)."""
+    """SRC1-3, SRC6: the documents written as text files, one per source and
+    run of ``DOCS_PER_FILE`` ids (a large source becomes many files), plus a
+    CSV copy of the questions that the scan must skip; then scanned back: one
+    row per file with its type, size and a hash of the loaded text."""
     from ..session import scratch_path
     from ..sources.files import load_documents
     base = scratch_path(spark, "files")
-    d = read_table(spark, sf_dir, "documents")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (d.select("source", "doc_id", "text").repartitionByRange(n, "source", "doc_id")
-     .sortWithinPartitions("source", "doc_id").select("source", "text")
-     .write.option("maxRecordsPerFile", DOCS_PER_FILE).partitionBy("source").text(base + "/docs"))
+    d = read_table(spark, sf_dir, "documents").withColumn("part", F.floor(F.col("doc_id") / DOCS_PER_FILE))
+    (d.select("source", "part", "doc_id", "text").repartition("source", "part")
+     .sortWithinPartitions("source", "part", "doc_id").select("source", "part", "text")
+     .write.partitionBy("source", "part").text(base + "/docs"))
     read_table(spark, sf_dir, "benchmark").write.csv(base + "/docs/extra_csv")
     docs, bad = load_documents(spark, base + "/docs")
-    return docs.groupBy(F.regexp_extract("filepath", r"source=([^/]+)", 1).alias("source")).agg(
-        (F.sum(F.length("text")) + F.count(F.lit(1))).cast("long").alias("chars_with_files"),
-        F.max("format").alias("format"))
+    return docs.select(
+        F.regexp_extract("filepath", r"source=([^/]+)", 1).alias("source"),
+        F.regexp_extract("filepath", r"part=(\d+)", 1).cast("long").alias("part"),
+        F.regexp_extract("filename", r"\.[a-z]+$", 0).alias("suffix"), "format", "size_bytes",
+        F.md5("text").alias("text_md5"))
 
 
 def _docx_bytes(df: DataFrame) -> DataFrame:
@@ -602,14 +648,16 @@ def docx_text(spark, sf_dir):
 
 
 def quarantine(spark, sf_dir):
-    """SRC5: every document as Latin-1 bytes; those that are not valid UTF-8
-    are quarantined with their error, the others load."""
+    """SRC5: every document as bytes, with a byte that no UTF-8 text holds
+    appended where the text is not plain ASCII: those are quarantined with
+    their error, the others load."""
     from ..sources.files import split_documents
     d = read_table(spark, sf_dir, "documents")
-    files = d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filepath"),
-                     F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
-                     F.lit(".txt").alias("format"),
-                     F.encode("text", "ISO-8859-1").alias("content")) \
+    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    raw = F.encode("text", "UTF-8")
+    odd = F.octet_length("text") != F.length("text")
+    files = d.select(name.alias("filepath"), name.alias("filename"), F.lit(".txt").alias("format"),
+                     F.when(odd, F.concat(raw, F.unhex(F.lit("FF")))).otherwise(raw).alias("content")) \
         .withColumn("size_bytes", F.length("content").cast("long"))
     docs, bad = split_documents(files)
     ok = docs.select("doc_id", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"))
@@ -618,23 +666,30 @@ def quarantine(spark, sf_dir):
         F.regexp_extract("doc_id", r"doc-(\d+)", 1).cast("long").alias("doc_id"), "status", "error")
 
 
-# --- synthetic logs -----------------------------------------------------------
+# --- event logs ---------------------------------------------------------------
 
-def synth_events(spark, sf_dir):
-    from ..sources.synth import log_lines
-    return log_lines(read_table(spark, sf_dir, "events"), seed=CFG.kmeans_seed, block_size=1000) \
-        .select("event_id", "level", "service", "line")
+def event_lines(spark, sf_dir):
+    """every event as a log line."""
+    from ..sources.logs import event_lines as lines
+    return lines(read_table(spark, sf_dir, "events")).select("event_id", "day", "level", "line")
 
 
-def synth_files(spark, sf_dir):
-    """SRC12: the log lines written as day directories of bounded files."""
+def event_files(spark, sf_dir):
+    """SRC12: the log lines written as day directories of bounded files and
+    read back."""
     from ..session import scratch_path
-    from ..sources.synth import log_lines, write_log_files
-    path = write_log_files(log_lines(read_table(spark, sf_dir, "events"), seed=CFG.kmeans_seed),
-                           scratch_path(spark, "logs"), entries_per_file=1000)
-    back = spark.read.text(path).withColumn("file", F.input_file_name())
-    return back.groupBy("day", "file").agg(F.count(F.lit(1)).alias("n_lines")) \
-        .select("day", F.element_at(F.split("file", "/"), -1).alias("file"), "n_lines")
+    from ..sources.logs import event_lines as lines, write_log_files
+    path = write_log_files(lines(read_table(spark, sf_dir, "events")), scratch_path(spark, "logs"), entries_per_file=1000)
+    back = spark.read.text(path)
+    return back.select(F.col("day").cast("string").alias("day"), F.col("value").alias("line"))
+
+
+def event_running_total(spark, sf_dir):
+    """The running sum of the events' value (in cents) in time order."""
+    from ..sources.logs import running_total
+    e = read_table(spark, sf_dir, "events")
+    cents = F.round(F.col("value") * 100).cast("long")
+    return running_total(e, cents, "ts", "event_id").select("event_id", F.col("total").cast("long").alias("total"))
 
 
 QUERIES = {
@@ -660,6 +715,11 @@ QUERIES = {
     "safety_verdict": safety_verdict,
     "sentence_split": sentence_split,
     "relevance_scores": relevance_scores,
+    "chunk_scores": chunk_scores,
+    "sources_long": sources_long,
+    "sentence_scores": sentence_scores,
+    "reliability_pairs": reliability_pairs,
+    "quality_with_runs": quality_with_runs,
     "groundedness_scores": groundedness_scores,
     "reliability_scores": reliability_scores,
     "keyword_accuracy": keyword_accuracy,
@@ -672,6 +732,9 @@ QUERIES = {
     "knn_per_query_k": knn_per_query_k,
     "knn_threshold": knn_threshold,
     "ivf_full_probe": ivf_full_probe,
+    "ivf_assign": ivf_assign,
+    "ivf_probe": ivf_probe,
+    "rag_answers_ivf": rag_answers_ivf,
     "ivf_recall": ivf_recall,
     "index_stats": index_stats,
     "index_roundtrip": index_roundtrip,
@@ -680,6 +743,7 @@ QUERIES = {
     "doc_scan": doc_scan,
     "docx_text": docx_text,
     "quarantine": quarantine,
-    "synth_events": synth_events,
-    "synth_files": synth_files,
+    "event_lines": event_lines,
+    "event_files": event_files,
+    "event_running_total": event_running_total,
 }

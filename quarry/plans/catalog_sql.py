@@ -72,15 +72,17 @@ cnt AS (
          CAST(count(*) FILTER (WHERE score >= {CFG.similarity_threshold}) AS INTEGER) AS chunks_used
   FROM hx GROUP BY query_id),
 ctx AS (
-  SELECT query_id, CAST(count(*) AS INTEGER) AS chunks_in_context, arg_min(chunk_text, rank) AS top_text
+  SELECT query_id, CAST(count(*) AS INTEGER) AS chunks_in_context, list(chunk_text ORDER BY rank) AS texts
   FROM passed WHERE running_tokens <= {b} GROUP BY query_id),
+ctxq AS (SELECT query_id, question, texts FROM ctx JOIN questions USING (query_id)),
+{O.answers_cte("ext", "ctxq", "query_id")},
 src AS (
   SELECT query_id, CAST(count(*) AS INTEGER) AS n_sources, arg_min(round(score, 4), rank) AS top_score
   FROM passed GROUP BY query_id),
 rag AS (
   SELECT q.query_id, q.question,
          CASE WHEN coalesce(cnt.chunks_used, 0) = 0 THEN {O.lit(P.NO_HIT_ANSWER)}
-              ELSE coalesce({O.extractive('ctx.top_text')}, '') END AS answer,
+              ELSE coalesce(ext.answer, '') END AS answer,
          CAST(NULL AS VARCHAR) AS error,
          CASE WHEN coalesce(cnt.chunks_used, 0) = 0 OR ctx.query_id IS NULL THEN NULL
               ELSE 'extractive' END AS model,
@@ -89,7 +91,7 @@ rag AS (
          coalesce(cnt.chunks_used, 0) AS chunks_used,
          coalesce(ctx.chunks_in_context, 0) AS chunks_in_context
   FROM questions q LEFT JOIN cnt USING (query_id) LEFT JOIN src USING (query_id)
-       LEFT JOIN ctx USING (query_id))"""
+       LEFT JOIN ctx USING (query_id) LEFT JOIN ext USING (query_id))"""
 
 
 SQL["rag_answers"] = f"""WITH {_rag_ctes()}
@@ -110,8 +112,7 @@ ctxb AS (
          CAST(count(*) AS INTEGER) AS chunks_in_context, CAST(max(running_tokens) AS INTEGER) AS context_tokens
   FROM passed WHERE running_tokens <= {CFG.max_context_tokens} GROUP BY query_id)
 SELECT query_id, {O.lit(P.SYSTEM_PROMPT)} AS system_message,
-       {O.lit("Context:" + chr(10))} || context || {O.lit(chr(10) * 2 + "---" + chr(10) * 2 + "Question: ")}
-       || question || {O.lit(chr(10) * 2 + "Answer using the context above:")} AS user_message,
+       {O.lit(P.QUESTION_HEAD)} || question || {O.lit(P.PASSAGES_HEAD)} || context AS user_message,
        chunks_in_context, context_tokens
 FROM questions JOIN ctxb USING (query_id)"""
 
@@ -160,10 +161,19 @@ SQL["sentence_split"] = f"""WITH s AS (SELECT doc_id, {O.split_sentences('text')
 SELECT doc_id, CAST(unnest(range(len(s))) AS INTEGER) AS sentence_idx, unnest(s) AS sentence FROM s"""
 
 SQL["relevance_scores"] = f"""WITH {_hits_ctes()}
-SELECT query_id, round(avg(score), 4) AS mean_score,
+SELECT query_id, coalesce(round(avg(score), 4), 0.0) AS mean_score,
        CAST(count(*) FILTER (WHERE score >= {CFG.relevance_threshold}) AS INTEGER) AS above_threshold,
-       round(count(*) FILTER (WHERE score >= {CFG.relevance_threshold}) / count(*), 4) AS precision_at_k
-FROM hx GROUP BY query_id"""
+       CASE WHEN count(score) = 0 THEN 0.0
+            ELSE round(count(*) FILTER (WHERE score >= {CFG.relevance_threshold}) / count(score), 4) END AS precision_at_k
+FROM questions LEFT JOIN hx USING (query_id) GROUP BY query_id"""
+
+SQL["chunk_scores"] = f"""WITH {_hits_ctes()}
+SELECT query_id, rank, chunk_index, filename, round(score, 4) AS search_score, round(score, 4) AS cosine_similarity,
+       score >= {CFG.relevance_threshold} AS is_relevant FROM hx"""
+
+SQL["sources_long"] = f"""WITH {_hits_ctes()}
+SELECT query_id, CAST(rank - 1 AS INTEGER) AS pos, filename, chunk_index, round(score, 4) AS source_score,
+       round(score, 4) AS score, substring(chunk_text, 1, 150) || '...' AS preview FROM passed"""
 
 
 def _ground_ctes(answers: str, name: str = "gr") -> str:
@@ -179,7 +189,8 @@ def _ground_ctes(answers: str, name: str = "gr") -> str:
        JOIN cw c ON c.doc_id = h.doc_id AND c.chunk_index = h.chunk_index AND c.bucket = w.bucket
   GROUP BY ALL),
 {name}_ps AS (
-  SELECT s.query_id, s.sentence_idx, max(coalesce(x.sim, 0)) AS max_sim
+  SELECT s.query_id, s.sentence_idx, any_value(s.sentence) AS sentence, max(coalesce(x.sim, 0)) AS max_sim,
+         CAST(arg_max(h.rank, round(coalesce(x.sim, 0), 12) * 1e6 - h.rank * 1e-7) - 1 AS INTEGER) AS best
   FROM {name}_s s JOIN hits h USING (query_id)
        LEFT JOIN {name}_sim x ON x.query_id = s.query_id AND x.sentence_idx = s.sentence_idx AND x.rank = h.rank
   GROUP BY ALL),
@@ -189,7 +200,7 @@ def _ground_ctes(answers: str, name: str = "gr") -> str:
 {name} AS (
   SELECT a.query_id,
          CASE WHEN hq.query_id IS NULL THEN 0.0 ELSE coalesce(round(g / n, 4), 0.0) END AS overall_score,
-         hq.query_id IS NOT NULL AND coalesce(round(g / n, 4), 0.0) >= {t} AS is_grounded,
+         hq.query_id IS NOT NULL AND n IS NOT NULL AND g / n >= {t} AS is_grounded,
          CASE WHEN hq.query_id IS NULL THEN 0 ELSE coalesce(g, 0) END AS grounded_sentences,
          CASE WHEN hq.query_id IS NULL THEN 0 ELSE coalesce(n, 0) END AS total_sentences
   FROM {answers} a LEFT JOIN {name}_agg USING (query_id)
@@ -202,11 +213,26 @@ ans AS (SELECT query_id, question AS answer FROM questions),
 SELECT query_id, overall_score, is_grounded, grounded_sentences, total_sentences FROM gr"""
 
 
-def _reliability_sql() -> str:
-    from .catalog import RELIABILITY_RUNS
-    return f"""WITH {_hits_ctes()},
-runs AS (SELECT query_id, rank - 1 AS run, {O.extractive('chunk_text')} AS answer
-         FROM hx WHERE rank <= {RELIABILITY_RUNS}),
+SQL["sentence_scores"] = f"""WITH {_hits_ctes()},
+ans AS (SELECT query_id, question AS answer FROM questions),
+{_ground_ctes("ans")}
+SELECT query_id, CAST(sentence_idx AS INTEGER) AS sentence_idx, sentence, round(max_sim, 4) AS max_similarity,
+       best AS best_matching_chunk, max_sim >= {CFG.groundedness_threshold} AS is_grounded FROM gr_ps"""
+
+
+def _run_ctes() -> str:
+    return f"""rsec AS (
+  SELECT query_id, run, chunk_text, rank FROM passed, (SELECT unnest(range({CFG.reliability_runs})) AS run)
+  WHERE running_tokens <= {CFG.max_context_tokens}),
+rtext AS (
+  SELECT query_id, CAST(run AS INTEGER) AS run, question,
+         coalesce(list(chunk_text ORDER BY rank) FILTER (WHERE rank > run), []) AS texts
+  FROM rsec JOIN questions USING (query_id) GROUP BY ALL),
+{O.answers_cte("runs", "rtext", "query_id, run")}"""
+
+
+def _reliability_ctes() -> str:
+    return f"""{_run_ctes()},
 {O.weights_cte("aw", "runs", "query_id, run", "answer", DIM)},
 pr AS (SELECT a.query_id, a.run AS ra, b.run AS rb FROM runs a JOIN runs b
        ON a.query_id = b.query_id AND a.run < b.run),
@@ -216,19 +242,22 @@ ps AS (SELECT x.query_id, x.run AS ra, y.run AS rb, sum(x.weight * y.weight) AS
 pp AS (SELECT pr.query_id, coalesce(ps.sim, 0) AS sim FROM pr LEFT JOIN ps USING (query_id, ra, rb)),
 pst AS (SELECT query_id, avg(sim) AS m, min(sim) AS mn, stddev_pop(sim) AS sd FROM pp GROUP BY query_id),
 lst AS (SELECT query_id, CAST(count(*) AS INTEGER) AS num_runs, stddev_pop(words) AS sw, avg(words) AS aw
-        FROM (SELECT query_id, len(regexp_extract_all(answer, '\\S+')) AS words FROM runs) GROUP BY query_id)
+        FROM (SELECT query_id, len(regexp_extract_all(answer, '\\S+')) AS words FROM runs) GROUP BY query_id),
+rely AS (
 SELECT l.query_id, round(coalesce(m, 0), 4) AS mean_consistency, round(coalesce(mn, 0), 4) AS min_consistency,
        round(coalesce(sd, 0), 4) AS std_consistency,
        round(CASE WHEN aw > 0 THEN sw / aw ELSE 0 END, 4) AS length_coefficient_of_variation,
        num_runs,
        coalesce(m, 0) >= 0.75 AND CASE WHEN aw > 0 THEN sw / aw ELSE 0 END <= 0.5 AS is_reliable
-FROM lst l LEFT JOIN pst USING (query_id)"""
+FROM lst l LEFT JOIN pst USING (query_id))"""
+
 
 
-SQL["reliability_scores"] = _reliability_sql()
+SQL["reliability_scores"] = f"WITH {_hits_ctes()}, {_reliability_ctes()} SELECT * FROM rely"
+SQL["reliability_pairs"] = f"""WITH {_hits_ctes()}, {_reliability_ctes()}
+SELECT pr.query_id, pr.ra, pr.rb, round(coalesce(sim, 0), 4) AS similarity FROM pr LEFT JOIN ps USING (query_id, ra, rb)"""
 
-KW = ("list_distinct(list_filter(regexp_extract_all(lower(question), '[\\p{L}\\p{N}]+'), "
-      "lambda t: length(t) >= 8))")
+KW = "list_distinct(regexp_extract_all(lower(question), '[\\p{L}\\p{N}]+'))"
 
 
 def _kacc(answer: str, kw: str = "kw") -> str:
@@ -241,9 +270,11 @@ k AS (SELECT query_id, answer, {KW} AS kw FROM rag)
 SELECT query_id, CAST(len(kw) AS INTEGER) AS n_keywords, round({_kacc('answer')}, 4) AS keyword_accuracy FROM k"""
 
 
-def _quality_ctes() -> str:
+def _quality_ctes(runs: bool = False) -> str:
+    rely = "coalesce(rely.mean_consistency, 1.0)" if runs else "1"
+    more = f"{_reliability_ctes()}," if runs else ""
     w = (CFG.w_relevance, CFG.w_groundedness, CFG.w_reliability, CFG.w_safety)
-    return f"""{_rag_ctes()},
+    return f"""{_rag_ctes()}, {more}
 ans AS (SELECT query_id, answer FROM rag),
 {_ground_ctes("ans")},
 rel AS (SELECT query_id, round(avg(score), 4) AS mean_score FROM hx GROUP BY query_id),
@@ -252,13 +283,18 @@ quality AS (
   SELECT a.query_id,
          CAST(round(CAST({w[0]} AS DECIMAL(6,4)) * CAST(coalesce(rel.mean_score, 0.0) AS DECIMAL(12,6))
                + CAST({w[1]} AS DECIMAL(6,4)) * CAST(coalesce(gr.overall_score, 0.0) AS DECIMAL(12,6))
-               + CAST({w[2]} AS DECIMAL(6,4)) * CAST(1 AS DECIMAL(12,6))
+               + CAST({w[2]} AS DECIMAL(6,4)) * CAST({rely} AS DECIMAL(12,6))
                + CAST({w[3]} AS DECIMAL(6,4)) * CAST(CASE WHEN sf.risk_level IN ('none', 'low') THEN 1 ELSE 0 END AS DECIMAL(12,6)), 4) AS DOUBLE) AS quality_score,
          coalesce(rel.mean_score, 0.0) AS relevance, coalesce(gr.overall_score, 0.0) AS groundedness,
          sf.risk_level IN ('none', 'low') AS safety
-  FROM ans a LEFT JOIN rel USING (query_id) LEFT JOIN gr USING (query_id) LEFT JOIN sf USING (query_id))"""
+  FROM ans a LEFT JOIN rel USING (query_id) LEFT JOIN gr USING (query_id) LEFT JOIN sf USING (query_id)
+       {"LEFT JOIN rely USING (query_id)" if runs else ""})"""
 
 
+SQL["quality_with_runs"] = f"""WITH {_quality_ctes(True)}
+SELECT query_id, quality_score, relevance, groundedness, safety,
+       quality_score >= {CFG.pass_threshold} AND safety AS pass FROM quality"""
+
 SQL["quality_scores"] = f"""WITH {_quality_ctes()}
 SELECT query_id, quality_score, relevance, groundedness, safety,
        quality_score >= {CFG.pass_threshold} AND safety AS pass FROM quality"""
@@ -301,9 +337,40 @@ rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(sc
 
 SQL["knn_exact"] = f"""WITH {_emb_ctes()}
 SELECT query_id, rank, vec_id, round(score, 6) AS score FROM rk WHERE rank <= {CFG.top_k}"""
-SQL["knn_exact_arrow"] = SQL["knn_exact"]
+SQL["knn_exact_arrow"] = f"""WITH {_emb_ctes()}
+SELECT query_id, rank, vec_id, round(score, 6) AS score FROM rk WHERE rank <= 30"""
 SQL["ivf_full_probe"] = SQL["knn_exact"]
 
+
+def _cell_ctes() -> str:
+    return f"""{_emb_ctes()},
+cell AS (
+  SELECT vec_id, v, CAST(query_id AS INTEGER) AS cell FROM (
+    SELECT e.vec_id, e.v, query_id, row_number() OVER (PARTITION BY e.vec_id
+           ORDER BY round(list_inner_product(q.c, e.v), 12) DESC, query_id) AS n FROM cent q, e) WHERE n = 1),
+ask AS (SELECT vec_id AS query_id, v FROM e WHERE vec_id % 100 = 0),
+probe AS (
+  SELECT query_id, cell FROM (
+    SELECT a.query_id, CAST(q.query_id AS INTEGER) AS cell, row_number() OVER (PARTITION BY a.query_id
+           ORDER BY round(list_inner_product(q.c, a.v), 12) DESC, q.query_id) AS n FROM ask a, cent q) WHERE n <= 2),
+hit AS (
+  SELECT * FROM (
+    SELECT a.query_id, c.vec_id, list_inner_product(a.v, c.v) AS score, CAST(row_number() OVER (PARTITION BY a.query_id
+           ORDER BY round(list_inner_product(a.v, c.v), 12) DESC, c.vec_id) AS INTEGER) AS rank
+    FROM ask a JOIN probe p USING (query_id) JOIN cell c USING (cell)) WHERE rank <= {CFG.top_k}),
+full_hit AS (
+  SELECT * FROM (
+    SELECT a.query_id, c.vec_id, row_number() OVER (PARTITION BY a.query_id
+           ORDER BY round(list_inner_product(a.v, c.v), 12) DESC, c.vec_id) AS rank
+    FROM ask a, e c) WHERE rank <= {CFG.top_k})"""
+
+
+SQL["ivf_assign"] = f"WITH {_cell_ctes()} SELECT vec_id, cell FROM cell"
+SQL["ivf_probe"] = f"WITH {_cell_ctes()} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM hit"
+SQL["ivf_recall"] = f"""WITH {_cell_ctes()}
+SELECT f.query_id, round(count(h.vec_id) / count(*), 6) AS recall_at_k, count(*) AS k
+FROM full_hit f LEFT JOIN hit h ON h.query_id = f.query_id AND h.vec_id = f.vec_id GROUP BY f.query_id"""
+
 SQL["knn_per_query_k"] = f"""WITH {_emb_ctes()}
 SELECT query_id, rank, vec_id, round(score, 6) AS score FROM rk WHERE rank <= top_k"""
 
@@ -329,18 +396,38 @@ SQL["index_stats"] = """SELECT CASE WHEN count(*) > 0 THEN 'healthy' ELSE 'empty
        count(*) > 0 AS index_loaded, count(*) AS total_chunks, CAST(max(len(embedding)) AS INTEGER) AS dim
 FROM embeddings"""
 
-SQL["index_roundtrip"] = """SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS dim,
-       round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS norm,
-       round(CAST(embedding[1] AS DOUBLE), 6) AS first
-FROM embeddings"""
+SQL["index_roundtrip"] = """SELECT vec_id, label, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos,
+       CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings"""
 
 
 SQL["stream_questions"] = SQL["rag_answers"]
 SQL["result_json"] = SQL["rag_answers"]
+SQL["rag_answers_ivf"] = SQL["rag_answers"]
+
+
+def _refresh_sql() -> str:
+    """Two batches of the same questions against two chunkings."""
+    from ..config import DEFAULT
+    part = []
+    for version, cfg in ((1, CFG), (2, CFG.with_(chunk_size=DEFAULT.chunk_size, chunk_overlap=DEFAULT.chunk_overlap))):
+        ctes = ",\n".join([
+            O.docs_cte(True), O.chunks_cte(cfg), O.weights_cte("cw", "chunks", "doc_id, chunk_index", "chunk_text", DIM),
+            "questions AS (SELECT item_id AS query_id, text AS question FROM benchmark)",
+            O.weights_cte("qw", "questions", "query_id", "question", DIM), O.knn_cte(cfg, str(cfg.top_k))])
+        part.append(f"""SELECT * FROM (WITH {ctes}
+SELECT {version - 1} AS batch_id, {version} AS index_version, q.query_id, CAST(count(h.score) AS INTEGER) AS chunks_retrieved,
+       CAST(count(*) FILTER (WHERE h.score >= {cfg.similarity_threshold}) AS INTEGER) AS chunks_used,
+       max(round(h.score, 4)) FILTER (WHERE h.score >= {cfg.similarity_threshold}) AS top_score
+FROM questions q LEFT JOIN hits h USING (query_id) GROUP BY q.query_id)""")
+    return "\nUNION ALL\n".join(part)
+
+
+SQL["stream_index_refresh"] = _refresh_sql()
 
-SQL["doc_scan"] = """SELECT source, CAST(sum(length(text)) + count(*) AS BIGINT) AS chars_with_files,
-       '.txt' AS format
-FROM documents GROUP BY source"""
+SQL["doc_scan"] = f"""WITH f AS (
+  SELECT source, doc_id // 64 AS part, string_agg(text, chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY ALL)
+SELECT source, part, '.txt' AS suffix, '.txt' AS format, CAST(strlen(t) + 1 AS BIGINT) AS size_bytes,
+       md5({O.strip('t')}) AS text_md5 FROM f"""
 
 SQL["docx_text"] = f"""SELECT doc_id,
   {O.strip("array_to_string(list_filter(string_split(text, chr(10)), lambda l: length(trim(l)) > 0), chr(10) || chr(10))")} AS text
@@ -352,39 +439,21 @@ SQL["quarantine"] = """SELECT doc_id,
 FROM documents"""
 
 
-def _synth_sql() -> str:
-    from ..sources import synth as S
-    seed = CFG.kmeans_seed
-    t = S.TWO32
-
-    def draw(purpose):
-        return f"CAST(('0x' || substr(md5('{seed}:{purpose}:' || CAST(event_id AS VARCHAR)), 1, 8)) AS BIGINT)"
-    b = S.LEVEL_BOUNDS
-    lv = S.LEVELS
-    level = (f"CASE WHEN {draw('level')} / {float(t)} < {b[0]} THEN '{lv[0]}' "
-             f"WHEN {draw('level')} / {float(t)} < {b[1]} THEN '{lv[1]}' "
-             f"WHEN {draw('level')} / {float(t)} < {b[2]} THEN '{lv[2]}' ELSE '{lv[3]}' END")
-    services = "[" + ", ".join(f"'{x}'" for x in S.SERVICES) + "]"
-    service = f"{services}[CAST(floor({draw('service')} * {len(S.SERVICES)} / {float(t)}) AS INTEGER) + 1]"
-    step = f"CAST(floor({S.STEP_MS[0]} + {draw('step')} * {S.STEP_MS[1] - S.STEP_MS[0] + 1} / {float(t)}) AS BIGINT)"
-    et = "coalesce(event_type, 'event')"
-    msg = (f"upper(substring({et}, 1, 1)) || substring({et}, 2) || ' recorded' || ' | user_id=U-' || "
-           f"CAST(user_id AS VARCHAR) || ' | value=' || printf('%.2f', value) || ' | k=' || "
-           f"coalesce(json_extract_string(props, '$.k'), 'none')")
-    return f"""WITH b AS (
-  SELECT event_id, {level} AS level, {service} AS service, {step} AS step_ms, {msg} AS message FROM events),
-c AS (SELECT *, sum(step_ms) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_ms FROM b)
-SELECT event_id, level, service,
-  '[' || strftime(TIMESTAMP '{S.START}' + to_milliseconds(CAST(cum_ms AS BIGINT)), '%Y-%m-%d %H:%M:%S') || '] '
-  || rpad(level, 5, ' ') || ' | ' || service || ' | ' || message AS line
-FROM c"""
-
-
-SQL["synth_events"] = _synth_sql()
+SQL["event_lines"] = """WITH l AS (
+  SELECT event_id, ts, strftime(ts, '%Y%m%d') AS day, coalesce(event_type, 'event') AS kind,
+         'user_id=' || coalesce(CAST(user_id AS VARCHAR), '-') || ' | value=' || coalesce(printf('%.2f', value), '-')
+         || ' | k=' || coalesce(json_extract_string(props, '$.k'), '-') AS message FROM events)
+SELECT event_id, day, CASE WHEN kind = 'error' THEN 'ERROR' ELSE 'INFO' END AS level,
+       '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] ' || rpad(CASE WHEN kind = 'error' THEN 'ERROR' ELSE 'INFO' END, 5, ' ')
+       || ' | ' || kind || ' | ' || message AS line FROM l"""
+SQL["event_files"] = f"SELECT day, line FROM ({SQL['event_lines']})"
+SQL["event_running_total"] = """SELECT event_id, CAST(sum(CAST(round(coalesce(value, 0) * 100) AS BIGINT)) OVER (
+  ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS total FROM events"""
 
 SQL["pipeline_counters"] = f"""WITH {_corpus_ctes()}
 SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM chunks) AS chunks_indexed,
-       (SELECT count(*) FROM chunks) AS vectors"""
+       (SELECT count(*) FROM chunks) AS vectors, (SELECT count(*) FROM chunks) AS chunks_written,
+       (SELECT count(*) FROM chunks) AS vectors_written"""
 
 SQL["knn_single"] = f"""WITH {_emb_ctes()},
 g AS (SELECT i, sum(x) AS s FROM ex GROUP BY i),

@@ -115,10 +115,20 @@ def section(filename: str, chunk_index: str, score: str, text: str) -> str:
             f"printf('%.3f', round({score}, 3)) || ']' || chr(10) || coalesce({text}, '')")
 
 
-def extractive(text: str, n: int = 2) -> str:
-    s = split_sentences(text)
-    return (f"CASE WHEN len({s}) > 0 THEN array_to_string(({s})[1:{n}], ' ') "
-            f"ELSE coalesce({text}, '') END")
+def answers_cte(name: str, src: str, keys: str) -> str:
+    """The built-in generator over ``src(keys, question, texts)``: the distinct
+    sentences of all texts that share at least half as many question terms as
+    the best one -> ``name(keys, answer)``."""
+    terms = lambda x: f"list_distinct(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+'))"
+    return f"""{name}_l AS (
+  SELECT {keys}, question, flatten(list_transform(texts, lambda t: {split_sentences('t')})) AS l FROM {src}),
+{name}_d AS (
+  SELECT {keys}, {terms('question')} AS q, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM {name}_l),
+{name}_n AS (
+  SELECT {keys}, l, list_transform(l, lambda x: len(list_intersect({terms('x')}, q))) AS n FROM {name}_d),
+{name} AS (
+  SELECT {keys}, coalesce(array_to_string(list_filter(l, lambda x, i: n[i] > 0 AND n[i] * 2 >= list_max(n)), ' '), '') AS answer
+  FROM {name}_n)"""
 
 
 def safety_cte(name: str, src: str, keys: str, answer: str) -> str:

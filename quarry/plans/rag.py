@@ -8,9 +8,7 @@ without hits) keeps exactly one result row.
 """
 from __future__ import annotations
 
-from typing import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
@@ -20,6 +18,7 @@ from ..operators.clean import clean_documents, validate_questions
 from ..operators.embed import HashedEmbedder
 from ..operators.generate import EXTRACTIVE_MODEL, extractive_answer, generate_with
 from ..operators.search import knn
+from ..session import checkpoint_dir, remove_path, scratch_path
 
 CHUNK_PAYLOAD = ("filename", "chunk_text", "token_count")
 
@@ -44,50 +43,71 @@ def embed_questions(questions: DataFrame, cfg: Config = DEFAULT, embedder=None)
 
 def retrieve(questions: DataFrame, chunks: DataFrame, cfg: Config = DEFAULT,
              embedder=None, k: int | None = None, per_query_k: str | None = None,
-             payload=CHUNK_PAYLOAD, keys=("doc_id", "chunk_index"),
-             cell_col: str | None = None, probes: DataFrame | None = None) -> DataFrame:
+             payload=CHUNK_PAYLOAD, keys=("doc_id", "chunk_index"), key: str = "query_id",
+             centroids: DataFrame | None = None) -> DataFrame:
     """Embed the questions and return their top-k hits (T1/T3) with the
-    chunk payload carried through the scan (J5 without a second scan)."""
-    qv = embed_questions(questions.select("query_id", "question", *(
-        [per_query_k] if per_query_k else [])), cfg, embedder)
-    return knn(qv, chunks, k or cfg.top_k, query_key="query_id", corpus_keys=keys,
-               payload=payload, per_query_k=per_query_k, max_k=cfg.max_top_k,
-               cell_col=cell_col, probes=probes,
-               broadcast_limit_bytes=cfg.broadcast_limit_bytes)
-
-
-def answer_questions(questions: DataFrame, chunks: DataFrame, cfg: Config = DEFAULT,
-                     embedder=None, generator: Callable | None = None,
-                     hits: DataFrame | None = None) -> DataFrame:
+    chunk payload carried through the scan (J5 without a second scan). With
+    ``centroids`` only each question's ``cfg.nprobe`` best cells are searched
+    (J4). ``key`` must be unique; the hits carry it as ``query_id``."""
+    qv = embed_questions(questions.select(key, "question", *([per_query_k] if per_query_k else [])), cfg, embedder)
+    return knn(qv, chunks, k or cfg.top_k, query_key=key, corpus_keys=keys,
+               payload=payload, per_query_k=per_query_k, cell_col="cell" if centroids is not None else None,
+               centroids=centroids, nprobe=cfg.nprobe, broadcast_limit_bytes=cfg.broadcast_limit_bytes)
+
+
+def answer_from_index(spark, questions: DataFrame, index_path: str, cfg: Config = DEFAULT, embedder=None,
+                      generator=None) -> DataFrame:
+    """C2 against a saved index (its newest version): a cell index is searched
+    in ``cfg.nprobe`` cells per question, a flat one exactly."""
+    from ..operators.index import load_index
+    chunks, centroids = load_index(spark, index_path)
+    return answer_questions(questions, chunks, cfg, embedder, generator, centroids=centroids)
+
+
+def answer_questions(questions: DataFrame, chunks: DataFrame | None, cfg: Config = DEFAULT,
+                     embedder=None, generator=None, hits: DataFrame | None = None,
+                     centroids: DataFrame | None = None) -> DataFrame:
     """C2 for a whole table of questions (``query_id, question[, top_k]``).
 
+    Every row is a question of its own: rows get a key here, and the caller's
+    ``query_id`` (null or repeated or missing) is only passed through. Hits
+    computed before (``hits``, by a unique ``query_id``) may be given.
+
     Output per question: ``query_id, question, error, answer, sources,
-    scores, chunks_retrieved, chunks_used, chunks_in_context, model``.
-    ``chunks_used`` counts threshold survivors including those cut by the
-    budget (S17); ``chunks_in_context`` is the number actually in the
-    prompt."""
+    scores, chunks_retrieved, chunks_used, chunks_in_context, model,
+    llm_usage``. ``chunks_used`` counts threshold survivors including those
+    cut by the budget (S17); ``chunks_in_context`` is the number actually in
+    the prompt."""
+    if "query_id" not in questions.columns:
+        questions = questions.withColumn("query_id", F.lit(None).cast("bigint"))
     v = validate_questions(questions, cfg.top_k, cfg.max_top_k, cfg.max_question_chars)
-    good = v.filter(F.col("error").isNull())
     if hits is None:
-        hits = retrieve(good.select("query_id", "question", "k"), chunks, cfg, embedder,
-                        per_query_k="k")
-    per_q = summarize_hits(hits, cfg)
-    joined = v.select("query_id", "question", "error").join(per_q, "query_id", "left")
+        checkpoint_dir(questions.sparkSession)
+        v = v.select("query_id", "question", "k", "error").withColumn(
+            "__q", F.monotonically_increasing_id()).checkpoint()
+        hits = retrieve(v.filter(F.col("error").isNull()), chunks, cfg, embedder, per_query_k="k", key="__q",
+                        centroids=centroids)
+    else:
+        v = v.select("query_id", "question", "k", "error").withColumn("__q", F.col("query_id"))
+    per_q = summarize_hits(hits, cfg).withColumnRenamed("query_id", "__q")
+    joined = v.join(per_q, "__q", "left")
     no_hit = F.coalesce(F.col("chunks_used"), F.lit(0)) == 0
     has_ctx = F.coalesce(F.col("chunks_in_context"), F.lit(0)) > 0
+    usage = F.lit(None).cast("map<string,int>")
     if generator is None:
         joined = joined.withColumn(
-            "__answer", F.when(has_ctx, F.coalesce(extractive_answer(F.col("__top_text")), F.lit(""))))
+            "__answer", F.when(has_ctx, extractive_answer(F.col("context_texts"), F.col("question"))))
         joined = joined.withColumn("__model", F.when(has_ctx, F.lit(EXTRACTIVE_MODEL))) \
-            .withColumn("__gen_error", F.lit(None).cast("string"))
+            .withColumn("__gen_error", F.lit(None).cast("string")).withColumn("__usage", usage)
     else:
         prompts = joined.filter(F.col("error").isNull() & ~no_hit) \
-            .select("query_id", P.messages(F.col("context"), F.col("question")).alias("messages"))
+            .select("__q", P.messages(F.col("context"), F.col("question")).alias("messages"))
         gen = generate_with(prompts, generator).select(
-            "query_id", F.col("answer").alias("__answer"), F.col("model").alias("__model"),
-            F.col("error").alias("__gen_error"))
-        joined = joined.join(gen, "query_id", "left")
+            "__q", F.col("answer").alias("__answer"), F.col("model").alias("__model"),
+            F.col("error").alias("__gen_error"), F.col("usage").alias("__usage"))
+        joined = joined.join(gen, "__q", "left")
     sources_type = per_q.schema["sources"].dataType
+    silent = no_hit | F.col("error").isNotNull()
     return joined.select(
         "query_id", "question",
         F.coalesce("error", "__gen_error").alias("error"),
@@ -99,43 +119,65 @@ def answer_questions(questions: DataFrame, chunks: DataFrame, cfg: Config = DEFA
         F.coalesce("chunks_retrieved", F.lit(0)).alias("chunks_retrieved"),
         F.coalesce("chunks_used", F.lit(0)).alias("chunks_used"),
         F.coalesce("chunks_in_context", F.lit(0)).alias("chunks_in_context"),
-        F.when(no_hit | F.col("error").isNotNull(), F.lit(None)).otherwise(F.col("__model")).alias("model"))
+        F.when(silent, F.lit(None)).otherwise(F.col("__model")).alias("model"),
+        F.when(silent, F.lit(None)).otherwise(F.col("__usage")).alias("llm_usage"))
+
+
+def answer_without_context(questions: DataFrame, generator=None) -> DataFrame:
+    """The baseline of C8: the same generator asked without passages
+    (``query_id, question, answer, model``). The built-in generator can only
+    quote passages, so it says that it has none."""
+    if generator is None:
+        return questions.select("query_id", "question", F.lit(P.NO_CONTEXT_ANSWER).alias("answer"),
+                                F.lit(EXTRACTIVE_MODEL).alias("model"))
+    asked = questions.select("query_id", "question", P.no_context_messages(F.col("question")).alias("messages"))
+    return generate_with(asked, generator).select("query_id", "question", "answer", "model")
+
+
+def in_context(hits: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The hits with ``passed`` (threshold), ``running_tokens`` and
+    ``in_context`` (W2). Threshold survivors are a prefix of the rank order,
+    so the running sum over them is a running sum over the ranked hits."""
+    passed = F.col("score") >= F.lit(cfg.similarity_threshold)
+    w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    h = hits.withColumn("passed", passed).withColumn("running_tokens", F.sum(
+        F.when(passed, F.coalesce(F.col("token_count"), F.lit(0))).otherwise(F.lit(0))).over(w))
+    return h.withColumn("in_context", F.col("passed") & (F.col("running_tokens") <= F.lit(cfg.max_context_tokens)))
+
+
+def context_texts(where: Column) -> Column:
+    """Aggregate: the chunk texts of the rows that meet a condition, by rank."""
+    part = F.when(where, F.struct(F.col("rank"), F.col("chunk_text").alias("t")))
+    return F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"])
 
 
 def summarize_hits(hits: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Everything C2 needs per question from its hits in one pass: a
     running-sum window and one aggregate, both partitioned by ``query_id``
-    (the aggregate reuses the window's partitioning, so one shuffle).
-    Threshold survivors are a prefix of the rank order, so the running sum
-    over survivors is the running sum over the ranked hits."""
-    from pyspark.sql import Window
+    (the aggregate reuses the window's partitioning, so one shuffle; a group
+    holds the question's k hits)."""
     from ..functions.text import preview
-    passed = F.col("score") >= F.lit(cfg.similarity_threshold)
-    w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    h = hits.withColumn("__passed", passed).withColumn(
-        "running_tokens",
-        F.sum(F.when(passed, F.coalesce(F.col("token_count"), F.lit(0))).otherwise(F.lit(0))).over(w))
-    in_ctx = F.col("__passed") & (F.col("running_tokens") <= F.lit(cfg.max_context_tokens))
-    src = F.when(F.col("__passed"), F.struct(
+    h = in_context(hits, cfg)
+    src = F.when(F.col("passed"), F.struct(
         F.col("rank"), F.coalesce(F.col("filename"), F.lit(P.MISSING_SOURCE)).alias("filename"),
         F.col("chunk_index"), F.round("score", 4).alias("score"),
         preview("chunk_text").alias("preview")))
-    sec = F.when(in_ctx, F.struct(F.col("rank"), P.section("filename", "chunk_index", "score",
-                                                          "chunk_text").alias("s")))
+    sec = F.when(F.col("in_context"), F.struct(F.col("rank"), P.section("filename", "chunk_index", "score",
+                                                                       "chunk_text").alias("s")))
     agg = h.groupBy("query_id").agg(
         F.count(F.lit(1)).cast("int").alias("chunks_retrieved"),
-        F.count_if("__passed").cast("int").alias("chunks_used"),
+        F.count_if("passed").cast("int").alias("chunks_used"),
         F.array_sort(F.collect_list(src)).alias("__src"),
         F.array_sort(F.collect_list(sec)).alias("__sec"),
-        F.count_if(in_ctx).cast("int").alias("chunks_in_context"),
-        F.max(F.when(in_ctx, F.col("running_tokens"))).cast("int").alias("context_tokens"),
-        F.min_by(F.when(in_ctx, F.col("chunk_text")), F.when(in_ctx, F.col("rank"))).alias("__top_text"))
+        F.count_if("in_context").cast("int").alias("chunks_in_context"),
+        F.max(F.when(F.col("in_context"), F.col("running_tokens"))).cast("int").alias("context_tokens"),
+        context_texts(F.col("in_context")).alias("context_texts"))
     return agg.select(
         "query_id", "chunks_retrieved", "chunks_used", "chunks_in_context", "context_tokens",
         F.transform("__src", lambda x: x.dropFields("rank")).alias("sources"),
         F.transform("__src", lambda x: x["score"]).alias("scores"),
         F.array_join(F.transform("__sec", lambda x: x["s"]), P.SECTION_SEPARATOR).alias("context"),
-        "__top_text")
+        "context_texts")
 
 
 def build_index(spark, source, save_path: str, cfg: Config = DEFAULT, embedder=None) -> dict:
@@ -165,15 +207,16 @@ def build_index(spark, source, save_path: str, cfg: Config = DEFAULT, embedder=N
         F.count("embedding").alias("vectors"))
     cells = None
     if cfg.index_type == "IVFFlat":
-        # the vectors are needed twice (training, then assignment): cut the
-        # lineage with a reliable checkpoint in the shared folder
-        from ..session import checkpoint_dir
-        checkpoint_dir(spark)
-        chunks = chunks.checkpoint(eager=True)
+        # the vectors are needed twice (training, then assignment): staged as
+        # Parquet, so that training reads the vector column only
+        staged = scratch_path(spark, "chunks")
+        chunks.write.parquet(staged)
+        chunks = spark.read.parquet(staged)
         cents = train_cells(chunks, cfg.nlist, seed=cfg.kmeans_seed, max_iter=cfg.kmeans_max_iter)
         chunks = assign_cells(chunks, cents, broadcast_limit_bytes=cfg.broadcast_limit_bytes)
         save_index(chunks, save_path, cents)
         cells = cents.count()
+        remove_path(spark, staged)
     else:
         save_index(chunks, save_path)
     c = obs_chunks.get

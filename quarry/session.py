@@ -1,8 +1,10 @@
-"""Session helpers: a tuned local session for tests/bench and the shared
-checkpoint folder used to cut lineage and to stage intermediate tables."""
+"""Session helpers: a tuned local session for tests/bench, the shared
+checkpoint folder used to cut lineage and to stage intermediate tables, and
+the few file-system calls that go through Spark's own file systems."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -13,7 +15,8 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int | None = None,
               app: str = "quarry") -> SparkSession:
     """Local session used by tests and the bench. On a cluster, build the
     session with the cluster's own settings; the library reads only
-    ``spark.checkpoint.dir`` and ``spark.sql.shuffle.partitions`` from it."""
+    ``spark.checkpoint.dir`` and ``spark.sql.shuffle.partitions`` from it.
+    A session that exists already keeps its checkpoint folder."""
     n = os.cpu_count() if cpus == "*" else int(cpus)
     parts = shuffle_partitions or max(8, int(n))
     spark = (
@@ -29,30 +32,37 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int | None = None,
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .getOrCreate()
     )
-    # local runs only: a private folder stands in for the shared one
-    spark = spark.config("spark.checkpoint.dir",
-                         tempfile.mkdtemp(prefix="quarry-ckpt-")).getOrCreate()
+    checkpoint_dir(spark)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def _is_local_path(path: str) -> bool:
+    return path.startswith("file:") or not re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*:", path)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment and must be a shared file
-    system (HDFS/S3/...). Only when it is unset (tests, local runs) do we
-    create a local folder and register it."""
+    On a cluster the deployment sets it and it must be reachable from every
+    node (HDFS, S3, or a mounted shared disk). Only a local session without
+    the setting gets a folder of its own here."""
     sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
+    d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
-    if not d:
-        d = sc.getCheckpointDir()
     if not d:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...); "
                                "a machine-local folder does not survive executor loss")
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
+    if not sc.master.startswith("local") and _is_local_path(d):
+        tmp = os.path.realpath(tempfile.gettempdir())
+        at = os.path.realpath(re.sub(r"^file:/*", "/", d))
+        if at == tmp:
+            raise RuntimeError(f"spark.checkpoint.dir is the machine's own temporary folder ({d}); name a shared one")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
@@ -60,5 +70,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
-    base = checkpoint_dir(spark).rstrip("/")
+    base = (spark.conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark)).rstrip("/")
+    checkpoint_dir(spark)
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a staged table that no plan reads any more."""
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)

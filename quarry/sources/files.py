@@ -15,15 +15,15 @@ from __future__ import annotations
 
 import io
 import zipfile
-from typing import Callable, Iterator
+from typing import Callable
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import strip
+from ..session import path_exists
 
 SUPPORTED_FORMATS = (".pdf", ".txt", ".docx")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -35,13 +35,6 @@ def _glob() -> str:
     return "*.{" + ",".join(ci(f[1:]) for f in SUPPORTED_FORMATS) + "}"
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p))
-
-
 def scan_files(spark: SparkSession, source_dir: str) -> DataFrame:
     """SRC1 + SRC2 + SRC6: ``filepath, filename, format, size_bytes, content``.
     A missing directory raises; an empty one gives an empty table."""
@@ -107,64 +100,56 @@ def register_extractor(fmt: str, fn: Callable[[bytes], str]) -> None:
     EXTRACTORS[fmt.lower()] = fn
 
 
-_EXTRACT_OUT = T.StructType([
-    T.StructField("filepath", T.StringType()),
-    T.StructField("filename", T.StringType()),
-    T.StructField("format", T.StringType()),
-    T.StructField("size_bytes", T.LongType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("error", T.StringType()),
-])
-
-
-def extract_binary(files: DataFrame, extractors: dict | None = None) -> DataFrame:
-    """SRC4: scanned files -> ``filepath, filename, format, size_bytes,
-    text, error`` in one Arrow job; the registry ships with the task."""
+def parse_files(files: DataFrame, extractors: dict | None = None) -> DataFrame:
+    """SRC3 + SRC4: scanned files -> ``filepath, filename, format, size_bytes,
+    text, error`` in one pass over the bytes. Text files are decoded strictly
+    in the JVM; only the bytes of other formats travel to Python, where the
+    registry's extractors ship with the task."""
     reg = dict(EXTRACTORS if extractors is None else extractors)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            texts, errs = [], []
-            for fmt, content in zip(pdf["format"], pdf["content"]):
-                fn = reg.get(fmt)
-                if fn is None:
-                    texts.append(None)
-                    errs.append(f"no extractor for {fmt}")
-                    continue
+    @F.arrow_udf("struct<text:string,error:string>")
+    def extract(formats: pa.Array, contents: pa.Array) -> pa.Array:
+        out = []
+        for fmt, data in zip(formats, contents):
+            fn = reg.get(fmt.as_py())
+            if not data.is_valid:
+                out.append({"text": None, "error": None})
+            elif fn is None:
+                out.append({"text": None, "error": f"no extractor for {fmt.as_py()}"})
+            else:
                 try:
-                    texts.append(fn(bytes(content)))
-                    errs.append(None)
+                    out.append({"text": fn(data.as_py()), "error": None})
                 except Exception as e:  # noqa: BLE001 - quarantined, never fatal
-                    texts.append(None)
-                    errs.append(f"{type(e).__name__}: {e}")
-            yield pd.DataFrame({"filepath": pdf["filepath"], "filename": pdf["filename"],
-                                "format": pdf["format"], "size_bytes": pdf["size_bytes"],
-                                "text": texts, "error": errs})
-
-    return files.select("filepath", "filename", "format", "size_bytes", "content") \
-        .mapInPandas(run, _EXTRACT_OUT)
+                    out.append({"text": None, "error": f"{type(e).__name__}: {e}"})
+        return pa.array(out, pa.struct([("text", pa.string()), ("error", pa.string())]))
 
-
-def decode_txt(files: DataFrame) -> DataFrame:
-    """SRC3: strict UTF-8 decode in the JVM; bad bytes -> error row."""
-    t = F.try_validate_utf8(F.col("content").cast("string"))
-    return files.select("filepath", "filename", "format", "size_bytes", strip(t).alias("text"),
-                        F.when(t.isNull(), F.lit("invalid UTF-8")).alias("error"))
+    plain = F.col("format") == ".txt"
+    decoded = F.try_validate_utf8(F.when(plain, F.col("content").cast("string")))
+    other = extract("format", F.when(~plain, F.col("content")))
+    got = files.select("filepath", "filename", "format", "size_bytes", decoded.alias("__t"), other.alias("__x"))
+    return got.select("filepath", "filename", "format", "size_bytes",
+                      F.when(plain, strip(F.col("__t"))).otherwise(F.col("__x.text")).alias("text"),
+                      F.when(plain & F.col("__t").isNull(), F.lit("invalid UTF-8")).otherwise(F.col("__x.error")).alias("error"))
 
 
 def load_documents(spark: SparkSession, source_dir: str, extractors: dict | None = None):
     """SRC1-5: ``(documents, quarantine)``. Documents carry ``doc_id`` (the
     path), ``text, filename, filepath, format, size_bytes``; quarantine the
-    same keys plus ``error``."""
-    return split_documents(scan_files(spark, source_dir), extractors)
+    same keys plus ``error``. Each file is read once: the parsed table is
+    staged as Parquet in the shared folder, and both results read that."""
+    from ..session import scratch_path
+    path = scratch_path(spark, "parsed-files")
+    parse_files(scan_files(spark, source_dir), extractors).write.parquet(path)
+    return split_parsed(spark.read.parquet(path))
+
+
+def split_parsed(parsed: DataFrame):
+    """Good rows and quarantine of a parsed table."""
+    cols = [F.col("filepath").alias("doc_id"), "text", "filename", "filepath", "format", "size_bytes"]
+    return (parsed.filter(F.col("error").isNull()).select(*cols),
+            parsed.filter(F.col("error").isNotNull()).select(*cols, "error"))
 
 
 def split_documents(files: DataFrame, extractors: dict | None = None):
     """Decode/extract scanned files and split good rows from quarantine."""
-    txt = decode_txt(files.filter(F.col("format") == ".txt"))
-    other = extract_binary(files.filter(F.col("format") != ".txt"), extractors)
-    parsed = txt.unionByName(other)
-    cols = [F.col("filepath").alias("doc_id"), "text", "filename", "filepath", "format", "size_bytes"]
-    docs = parsed.filter(F.col("error").isNull()).select(*cols)
-    bad = parsed.filter(F.col("error").isNotNull()).select(*cols, "error")
-    return docs, bad
+    return split_parsed(parse_files(files, extractors))

@@ -6,27 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a coarse input over the cluster: when a scan yields fewer
-    partitions than the default parallelism (e.g. one large row group),
-    round-robin it into that many. Inputs that are already finely split
-    (the normal case at scale) are returned untouched, so no shuffle."""
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < n:
-        return df.repartition(n)
-    return df
-
-
-TEXT_TABLES = ("documents", "conversations", "pages")
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread_out: bool | None = None) -> DataFrame:
-    """A shared table; text tables (per-row CPU work) are spread over the
-    cores when the file is too coarse to give every core a partition."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if spread_out if spread_out is not None else name in TEXT_TABLES:
-        df = spread(df)
-    return df
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A shared table. How finely a scan is cut is left to Spark's own
+    settings (``spark.sql.files.maxPartitionBytes`` and the row groups)."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def display_name(doc_id) -> F.Column:

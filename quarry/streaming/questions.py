@@ -5,7 +5,13 @@ in tests) is parsed PERMISSIVEly, so a malformed or empty message becomes an
 error row instead of ending the stream (ST2). Each micro-batch runs the
 batch C2 plan inside ``foreachBatch`` (ranking windows are not allowed on
 streaming frames), against the index that the pointer file names *at that
-moment*, so an index rebuild becomes visible to the next batch (ST3).
+moment*, so an index rebuild becomes visible to the next batch (ST3). The
+pointer is a table of versions to which a rebuild appends a row; readers take
+the highest one, so they always find a complete pointer.
+
+A message is ``{"question", "top_k"}``; a ``query_id`` may be given and is
+passed through as it is. Rows are told apart by a key of the engine's own, so
+messages without an id, or with equal ids, are answered one by one.
 
 The sink is keyed by batch id: each batch overwrites its own
 ``batch_id=<n>`` partition, so a replay after a failure rewrites the same
@@ -20,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT, Config
+from ..session import path_exists
 
 MESSAGE_SCHEMA = T.StructType([
     T.StructField("query_id", T.LongType()),
@@ -51,14 +58,20 @@ def encode_response(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 
 
+POINTER = "index_path string, version int"
+
+
 def write_pointer(spark: SparkSession, pointer_path: str, index_path: str, version: int) -> None:
-    """ST3: atomically replace the pointer (one-row table) to a new index."""
-    spark.createDataFrame([(index_path, version)], "index_path string, version int") \
-        .coalesce(1).write.mode("overwrite").json(pointer_path)
+    """ST3: point to a new index by appending a row; a reader sees the rows
+    before it or the whole new one."""
+    spark.createDataFrame([(index_path, version)], POINTER).coalesce(1).write.mode("append").json(pointer_path)
 
 
 def read_pointer(spark: SparkSession, pointer_path: str):
-    r = spark.read.schema("index_path string, version int").json(pointer_path).first()
+    """(index_path, version) of the highest version written."""
+    if not path_exists(spark, pointer_path):
+        raise RuntimeError("index not built")
+    r = spark.read.schema(POINTER).json(pointer_path).orderBy(F.desc("version")).first()
     if r is None:
         raise RuntimeError("index not built")
     return r["index_path"], r["version"]
@@ -68,8 +81,9 @@ def answer_stream(spark: SparkSession, source_dir: str, pointer_path: str, sink_
                   checkpoint_path: str, cfg: Config = DEFAULT, embedder=None,
                   generator: Callable | None = None, max_files_per_trigger: int | None = None,
                   available_now: bool = True):
-    """ST1: start the continuous query; returns the ``StreamingQuery``."""
-    from ..plans.rag import answer_questions
+    """ST1: start the continuous query; returns the ``StreamingQuery``. The
+    pointer names saved indexes (``operators.index.save_index``)."""
+    from ..plans.rag import answer_from_index
 
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
@@ -78,12 +92,11 @@ def answer_stream(spark: SparkSession, source_dir: str, pointer_path: str, sink_
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         index_path, version = read_pointer(spark, pointer_path)
-        chunks = spark.read.parquet(index_path)
         batch = batch.persist()
         try:
             good = batch.filter(F.col("parse_error").isNull()).select("query_id", "question", "top_k")
             bad = batch.filter(F.col("parse_error").isNotNull())
-            res = answer_questions(good, chunks, cfg, embedder, generator)
+            res = answer_from_index(spark, good, index_path, cfg, embedder, generator)
             res = res.select(
                 "query_id", "question", "answer", "error", "model",
                 F.size("sources").cast("int").alias("n_sources"),

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from quarry.config import demo
 from quarry.functions import prompt as P
-from quarry.operators.generate import generate_with
-from quarry.plans.rag import answer_questions, prepare_chunks
-from quarry.streaming.questions import answer_stream, parse_messages, write_pointer
+from quarry.operators.generate import BatchGenerator, generate_with, repeat_runs
+from quarry.operators.index import save_index
+from quarry.plans.rag import answer_from_index, answer_questions, answer_without_context, prepare_chunks
+from quarry.streaming.questions import answer_stream, parse_messages, read_pointer, write_pointer
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,7 +72,7 @@ def test_parse_messages_defaults_and_errors(spark):
 def test_stream_equals_batch_and_survives_bad_messages(spark, chunks, workdir):
     cfg = demo()
     idx = f"{workdir}/index"
-    chunks.write.parquet(idx)
+    save_index(chunks, idx)
     os.makedirs(f"{workdir}/in")
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(6).collect()
     with open(f"{workdir}/in/a.json", "w") as f:
@@ -93,6 +94,145 @@ def test_stream_equals_batch_and_survives_bad_messages(spark, chunks, workdir):
     assert spark.read.parquet(f"{workdir}/out").count() == len(bench) + 1
 
 
+def test_messages_without_or_with_equal_ids_are_answered_one_by_one(spark, chunks, workdir):
+    cfg = demo()
+    save_index(chunks, f"{workdir}/index")
+    write_pointer(spark, f"{workdir}/ptr", f"{workdir}/index", 1)
+    a, b = (r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(2).collect())
+    os.makedirs(f"{workdir}/in")
+    with open(f"{workdir}/in/a.json", "w") as f:
+        for m in ({"question": a}, {"question": b}, {"query_id": 7, "question": a, "top_k": 2}, {"query_id": 7, "question": b},
+                  {"question": ""}):
+            f.write(json.dumps(m) + "\n")
+        f.write("{oops\n")
+    answer_stream(spark, f"{workdir}/in", f"{workdir}/ptr", f"{workdir}/out", f"{workdir}/ck", cfg).awaitTermination()
+    out = spark.read.parquet(f"{workdir}/out").collect()
+    assert len(out) == 6
+    one = {t: answer_questions(spark.createDataFrame([(0, t)], "query_id long, question string"), chunks, cfg).first().answer
+           for t in (a, b)}
+    assert one[a] != one[b]
+    for r in out:
+        if r.question in one and r.chunks_retrieved == 5:
+            assert r.answer == one[r.question]
+    assert sorted((r.query_id or 0, r.question == a, r.chunks_retrieved) for r in out if r.question in one) == [
+        (0, False, 5), (0, True, 5), (7, False, 5), (7, True, 2)]
+    assert sum(r.error is not None for r in out) == 2
+
+
+def test_pointer_rows_are_appended_and_the_highest_wins(spark, workdir):
+    with pytest.raises(RuntimeError):
+        read_pointer(spark, f"{workdir}/ptr")
+    for v in (1, 2, 3):
+        write_pointer(spark, f"{workdir}/ptr", f"index-{v}", v)
+        assert read_pointer(spark, f"{workdir}/ptr") == (f"index-{v}", v)
+    # a half-written pointer (another writer's temporary files) is not seen
+    os.makedirs(f"{workdir}/ptr/_temporary/0")
+    with open(f"{workdir}/ptr/_temporary/0/part-0.json", "w") as f:
+        f.write('{"index_path": "bad", "version": 99}')
+    assert read_pointer(spark, f"{workdir}/ptr") == ("index-3", 3)
+
+
+def test_built_in_answer_draws_on_every_section(spark):
+    from quarry.operators.generate import extractive_answer
+    df = spark.createDataFrame([(["The red fox runs far. Nothing here matters now.", "A red fox sleeps today! Red fox runs far again."],
+                                 "where does the red fox run far")], "t array<string>, q string")
+    assert df.select(extractive_answer(F.col("t"), F.col("q")).alias("a")).first().a == (
+        "The red fox runs far. A red fox sleeps today! Red fox runs far again.")
+    assert df.select(extractive_answer(F.col("t"), F.lit("zzz")).alias("a")).first().a == ""
+
+
+def test_batch_generator_loads_once_and_usage_is_kept(spark, chunks):
+    def loader():
+        calls = []
+
+        def model(batch):
+            calls.append(len(batch))
+            return [{"answer": f"batch {len(calls)} of {len(batch)}", "usage": {"tokens": len(m)}, "model": "m"} for m in batch]
+        return model
+
+    q = spark.read.parquet(f"{SF}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    got = answer_questions(q.coalesce(1), chunks, demo(), generator=BatchGenerator(loader, 8)).collect()
+    used = [r for r in got if r.chunks_in_context]
+    assert used and all(r.llm_usage == {"tokens": 2} and r.answer.startswith("batch ") for r in used)
+    base = answer_without_context(q, lambda m: {"answer": m[-1]["content"][:3], "usage": {}, "model": "stub"}).collect()
+    assert all(r.answer == r.question[:3] for r in base)
+    assert {r.answer for r in answer_without_context(q).collect()} == {P.NO_CONTEXT_ANSWER}
+
+
+def test_repeat_runs_asks_the_callable_under_test(spark):
+    import random
+    df = spark.createDataFrame([(1, "alpha"), (2, "beta"), (3, "bad")], "query_id long, q string").withColumn(
+        "messages", P.no_context_messages(F.col("q")))
+
+    def gen(m):
+        if m[-1]["content"] == "bad":
+            raise ValueError("no")
+        return {"answer": f"{m[-1]['content']} {random.random()}", "usage": {}, "model": "r"}
+
+    runs = repeat_runs(df, gen, 4).collect()
+    assert sorted((r.query_id, r.run) for r in runs) == [(q, i) for q in (1, 2) for i in range(4)]
+    assert len({r.answer for r in runs}) == 8
+
+
+def test_cell_index_answers_like_the_exact_one(spark, chunks, workdir):
+    from quarry.operators.index import assign_cells, train_cells
+    cents = train_cells(chunks, nlist=6, seed=1)
+    save_index(assign_cells(chunks, cents), f"{workdir}/ivf", cents)
+    q = spark.read.parquet(f"{SF}/benchmark.parquet").limit(5).select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    key = lambda r: r.query_id
+    exact = sorted(answer_questions(q, chunks, demo()).collect(), key=key)
+    full = sorted(answer_from_index(spark, q, f"{workdir}/ivf", demo().with_(nprobe=6)).collect(), key=key)
+    assert [(r.query_id, r.answer, r.scores) for r in exact] == [(r.query_id, r.answer, r.scores) for r in full]
+    few = answer_from_index(spark, q, f"{workdir}/ivf", demo().with_(nprobe=1)).collect()
+    assert len(few) == 5
+
+
+def test_tokenizer_hook(spark):
+    from quarry.operators.chunk import chunk_documents, python_pieces
+    df = spark.createDataFrame([(1, "abcdefg"), (2, None), (3, "")], "doc_id int, text string")
+    letters = python_pieces(lambda texts: [list(t) for t in texts])
+    got = chunk_documents(df, 4, 1, tokenizer=letters).collect()
+    assert [(r.doc_id, r.chunk_index, r.token_count, r.chunk_text) for r in got] == [
+        (1, 0, 4, "abcd"), (1, 1, 4, "defg"), (1, 2, 1, "g")]
+
+
+def test_questions_without_hits_score_zero(spark):
+    from quarry.operators.evaluate import groundedness, relevance
+    from quarry.operators.embed import HashedEmbedder
+    emb = HashedEmbedder(16)
+    hits = emb.embed(spark.createDataFrame([(1, 1, 0, "f", 0.5, "some text here")],
+                                           "query_id int, rank int, chunk_index int, filename string, score double, t string"), "t")
+    q = spark.createDataFrame([(1, "some text here. another bit."), (2, "nothing at all here")], "query_id int, answer string")
+    r = {x.query_id: x for x in relevance(hits, 0.4, questions=q).collect()}
+    assert (r[2].mean_score, r[2].above_threshold, r[2].precision_at_k, r[2].chunk_scores) == (0.0, 0, 0.0, [])
+    assert r[1].precision_at_k == 1.0
+    g = {x.query_id: x for x in groundedness(q, hits, emb, 0.5).collect()}
+    assert (g[2].overall_score, g[2].is_grounded, g[2].total_sentences) == (0.0, False, 0)
+
+
+def test_verdict_uses_the_fraction_before_rounding(spark):
+    from quarry.operators.embed import HashedEmbedder
+    from quarry.operators.evaluate import groundedness
+    emb = HashedEmbedder(64)
+    hits = emb.embed(spark.createDataFrame([(1, 1, "alpha beta gamma")], "query_id int, rank int, t string"), "t")
+    ans = spark.createDataFrame([(1, "alpha beta gamma. alpha beta gamma here too. zeta eta theta iota.")], "query_id int, answer string")
+    g = groundedness(ans, hits, emb, 0.66667).first()    # 2 of 3: 0.6667 when rounded, below the threshold as it is
+    assert (g.grounded_sentences, g.total_sentences, g.overall_score, g.is_grounded) == (2, 3, 0.6667, False)
+
+
+def test_event_lines_and_running_total(spark):
+    from quarry.sources.logs import event_lines, running_total
+    e = spark.createDataFrame([(1, "2024-01-01 00:00:07", 8, "error", 6.5, '{"k": 69}'), (2, "2025-03-01 10:00:00", None, None, None, None),
+                               (3, "2024-01-01 00:30:00", 1, "view", 1.25, "x")],
+                              "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn(
+        "ts", F.to_timestamp("ts"))
+    lines = {r.event_id: r.line for r in event_lines(e).collect()}
+    assert lines[1] == "[2024-01-01 00:00:07] ERROR | error | user_id=8 | value=6.50 | k=69"
+    assert lines[2] == "[2025-03-01 10:00:00] INFO  | event | user_id=- | value=- | k=-"
+    total = {r.event_id: r.total for r in running_total(e, F.round(F.col("value") * 100).cast("long"), "ts", "event_id").collect()}
+    assert total == {1: 650, 3: 775, 2: 775}
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as E
     df = E.entry(spark)

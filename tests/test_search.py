@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators.context import budget_context
-from quarry.operators.index import (assign_cells, index_stats, load_index, save_index,
+from quarry.operators.index import (UNUSABLE_CELL, assign_cells, index_stats, load_index, save_index,
                                     search_ivf, train_cells)
-from quarry.operators.search import knn, threshold_filter
+from quarry.operators.search import knn, threshold_filter, unusable_vectors
 
 
 def _vectors(n, dim=384, seed=0):
@@ -92,12 +92,82 @@ def test_cell_search_full_probe_equals_exact_and_counts(spark):
     assert 0 < len(few) <= 25
 
 
-def test_zero_vectors_get_catch_all_cell(spark):
-    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 0.0]), (3, [0.6, 0.8])],
-                               "chunk_index int, embedding array<float>")
-    cents = train_cells(df, nlist=2, seed=3)
+def test_zero_and_unusable_vectors_get_defined_cells(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 0.0]), (3, [0.6, 0.8]),
+                                (4, [float("nan"), 1.0]), (5, None)], "chunk_index int, embedding array<float>")
+    cents = train_cells(df.filter("chunk_index < 4"), nlist=2, seed=3)
     cells = {r.chunk_index: r.cell for r in assign_cells(df, cents).collect()}
-    assert cells[2] == -1 and all(c >= 0 for i, c in cells.items() if i != 2)
+    assert cells[2] == 0 and cells[4] == cells[5] == UNUSABLE_CELL  # a zero vector ties everywhere: lowest cell
+    blocks = {r.chunk_index: r.cell for r in assign_cells(df, cents, broadcast_limit_bytes=16).collect()}
+    assert blocks == cells
+
+
+def test_vectors_with_nan_cost_no_other_row_its_place(spark):
+    v, idx = _index(spark, 30, dim=8, seed=5)
+    bad = spark.createDataFrame([(1000 + i, [float("nan")] * 8) for i in range(5)] + [(2000, None), (2001, [float("inf")] * 8)],
+                                "chunk_index int, embedding array<float>")
+    both = idx.select("chunk_index", "embedding").unionByName(bad).coalesce(1)
+    q = _vectors(3, 8, seed=6)
+    hits = knn(_queries(spark, q), both, 5, corpus_keys=("chunk_index",)).collect()
+    want = _brute(v, q, 5)
+    for qi in range(3):
+        assert [h.chunk_index for h in sorted(hits, key=lambda h: h.rank) if h.query_id == qi] == [j for j, _ in want[qi]]
+    r = unusable_vectors(both).first()
+    assert (r.n_null, r.n_not_finite) == (1, 6)
+
+
+def test_other_widths_are_an_error(spark):
+    _, idx = _index(spark, 5, dim=8)
+    with pytest.raises(Exception, match="width"):
+        knn(_queries(spark, _vectors(2, 6)), idx, 2, corpus_keys=("chunk_index",)).collect()
+    mixed = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "query_id long, embedding array<float>")
+    with pytest.raises(ValueError, match="width"):
+        knn(mixed, idx, 2, corpus_keys=("chunk_index",))
+
+
+def test_any_k_per_question_is_honoured(spark):
+    v, idx = _index(spark, 60, dim=8)
+    q = spark.createDataFrame([(0, _vectors(1, 8, 5)[0].tolist(), 30), (1, _vectors(1, 8, 5)[0].tolist(), None)],
+                              "query_id long, embedding array<float>, k int")
+    hits = knn(q, idx, 5, corpus_keys=("chunk_index",), per_query_k="k")
+    assert {r.query_id: r["count"] for r in hits.groupBy("query_id").count().collect()} == {0: 30, 1: 5}
+
+
+def test_many_equal_vectors_and_questions_stay_bounded(spark):
+    n = 100_000
+    one = F.array(*[F.lit(x).cast("float") for x in (0.6, 0.8, 0.0, 0.0)])
+    idx = spark.range(n).select(F.col("id").alias("vec_id"), one.alias("embedding"), F.expr("repeat('p', 200)").alias("pay"))
+    q = spark.range(300).select(F.col("id").alias("query_id"), one.alias("embedding"))
+    hits = knn(q, idx, 5, corpus_keys=("vec_id",), payload=("pay",), broadcast_limit_bytes=8000).collect()
+    assert len(hits) == 1500 and all(h.vec_id == h.rank - 1 for h in hits)
+
+
+def test_saving_a_flat_index_over_a_cell_index(spark, workdir):
+    _, idx = _index(spark, 50, dim=8)
+    cents = train_cells(idx, nlist=4, seed=2)
+    path = f"{workdir}/idx"
+    with pytest.raises(RuntimeError):
+        load_index(spark, path)
+    save_index(assign_cells(idx, cents), path, cents)
+    old, c = load_index(spark, path)
+    assert c.count() == 4
+    save_index(idx.limit(20), path)
+    new, c = load_index(spark, path)
+    assert c is None and new.count() == 20 and old.count() == 50    # readers of the old version go on
+    save_index(idx.limit(7), path)
+    assert load_index(spark, path)[0].count() == 7
+    with pytest.raises(ValueError):
+        save_index(idx, path, cents)
+
+
+def test_cell_search_reads_only_probed_partitions(spark, workdir):
+    _, idx = _index(spark, 200, dim=8, seed=3)
+    cents = train_cells(idx, nlist=10, seed=1)
+    loaded, lc = load_index(spark, save_index(assign_cells(idx, cents), f"{workdir}/idx", cents))
+    q = _queries(spark, _vectors(1, 8, seed=4))
+    plan = search_ivf(q, loaded, lc, 3, nprobe=2, corpus_keys=("chunk_index",), materialize=False)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in text.replace("isnotnull(", "")
 
 
 def test_save_load_roundtrip_and_stats(spark, workdir):
