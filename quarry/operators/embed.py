@@ -4,14 +4,15 @@ Two embedders share one interface, ``embed(df, text_col, out_col)``:
 
 * ``HashedEmbedder`` - the built-in, deterministic default. Terms are
   lower-cased letter/digit runs; each term falls in an MD5 bucket; the count
-  vector is L2-normalised and stored as ``array<float>``. Term extraction and
-  hashing are JVM expressions; the count vector is assembled per Arrow batch
-  with one vectorised NumPy ``bincount`` (no per-row Python).
+  vector is L2-normalised and stored as ``array<float>``. Term extraction is
+  a JVM expression; per Arrow batch each distinct term is hashed once and the
+  count vectors are assembled by one NumPy ``bincount`` (no per-row Python).
 * ``ModelEmbedder`` - any user model ``encode(list[str]) -> ndarray`` run in an
   iterator pandas UDF, loaded once per Python worker and fed in batches.
 """
 from __future__ import annotations
 
+import hashlib
 from typing import Callable, Iterator
 
 import numpy as np
@@ -22,19 +23,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.tokens import embed_terms, term_buckets
+from ..functions.tokens import embed_terms
 
 VECTOR = T.ArrayType(T.FloatType(), containsNull=False)
-_BUCKETS = "__q_buckets"
+_TERMS = "__q_terms"
 
 
-def _bucket_batches_to_vectors(dim: int, bucket_col: str, out_col: str):
+def _terms_to_vectors(dim: int, term_col: str, out_col: str):
+    """Term lists to unit count vectors. Terms are dictionary-encoded per
+    Arrow batch, so each distinct term is hashed once."""
+    def bucket(term: str) -> int:
+        return int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dim
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            col = rb.column(rb.schema.get_field_index(bucket_col))
+            col = rb.column(rb.schema.get_field_index(term_col))
             n = rb.num_rows
             lengths = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
-            values = pc.list_flatten(col).to_numpy(zero_copy_only=False).astype(np.int64)
+            terms = pc.list_flatten(col).dictionary_encode()
+            of = np.array([bucket(t) for t in terms.dictionary.to_pylist()], np.int64)
+            values = of[terms.indices.to_numpy(zero_copy_only=False)] if len(terms) else np.zeros(0, np.int64)
             rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
             counts = np.bincount(rows * dim + values, minlength=n * dim) \
                 .astype(np.float64).reshape(n, dim)
@@ -44,7 +52,7 @@ def _bucket_batches_to_vectors(dim: int, bucket_col: str, out_col: str):
             offsets = pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32))
             arr = pa.ListArray.from_arrays(offsets, pa.array(vec.ravel()),
                                            mask=col.is_null())
-            keep = [i for i, f in enumerate(rb.schema) if f.name != bucket_col]
+            keep = [i for i, f in enumerate(rb.schema) if f.name != term_col]
             cols = [rb.column(i) for i in keep] + [arr]
             names = [rb.schema.field(i).name for i in keep] + [out_col]
             yield pa.RecordBatch.from_arrays(cols, names=names)
@@ -63,18 +71,12 @@ class HashedEmbedder:
     def embedding_dim(self) -> int:
         return self.dim
 
-    def buckets(self, text_col) -> "F.Column":
-        col = F.col(text_col) if isinstance(text_col, str) else text_col
-        return term_buckets(embed_terms(col), self.dim)
-
     def embed(self, df: DataFrame, text_col: str = "text",
               out_col: str = "embedding") -> DataFrame:
-        staged = df.withColumn(_BUCKETS, self.buckets(text_col))
-        fields = [f for f in staged.schema.fields if f.name != _BUCKETS]
+        staged = df.withColumn(_TERMS, embed_terms(F.col(text_col)))
+        fields = [f for f in staged.schema.fields if f.name != _TERMS]
         fields.append(T.StructField(out_col, VECTOR, True))
-        return staged.mapInArrow(
-            _bucket_batches_to_vectors(self.dim, _BUCKETS, out_col),
-            T.StructType(fields))
+        return staged.mapInArrow(_terms_to_vectors(self.dim, _TERMS, out_col), T.StructType(fields))
 
 
 class ModelEmbedder:

@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import functions as F  # noqa: E402
 
 from quarry.config import demo  # noqa: E402
-from quarry.operators.index import assign_cells, load_index, probe_cells, save_index, train_cells  # noqa: E402
+from quarry.operators.index import assign_cells, load_index, save_index, train_cells  # noqa: E402
 from quarry.operators.search import knn  # noqa: E402
 from quarry.plans import catalog as C  # noqa: E402
 from quarry.plans.rag import prepare_chunks, summarize_hits  # noqa: E402
@@ -50,18 +50,16 @@ def main():
     cents = train_cells(e, 20, seed=1)
     path = save_index(assign_cells(e, cents), scratch_path(spark, "ix"), cents)
     idx, c = load_index(spark, path)
-    probes = probe_cells(q, c, 3)
     out += ["## J4: probed search over the cell-partitioned index (PartitionFilters = probed cells)", "```",
-            plan(knn(q, idx, 5, corpus_keys=("vec_id",), cell_col="cell", probes=probes, materialize=False)),
+            plan(knn(q, idx, 5, corpus_keys=("vec_id",), cell_col="cell", centroids=c, nprobe=3, materialize=False)),
             "```", ""]
 
     hits = C._hits(spark, SF)
     out += ["## C2: per-question window + aggregate share one exchange", "```",
             plan(summarize_hits(hits, cfg)), "```", ""]
 
-    from quarry.sources.synth import log_lines
-    out += ["## W5: two-level prefix sum (block totals, then per-block running sums)", "```",
-            plan(log_lines(read_table(spark, SF, "events"))), "```", ""]
+    out += ["## W5: prefix sum in levels (totals per year and hour, then a running sum inside each hour)", "```",
+            plan(C.event_running_total(spark, SF)), "```", ""]
 
     out += ["## T2: single question as a literal vector, TakeOrderedAndProject", "```",
             plan(C.knn_single(spark, SF)), "```", ""]
