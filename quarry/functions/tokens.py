@@ -42,12 +42,3 @@ def window_count(n_tokens: Column, size: int, overlap: int) -> Column:
 def embed_terms(x) -> Column:
     """Lower-cased letter/digit runs: the terms of the hashed embedder."""
     return F.regexp_extract_all(F.lower(_c(x)), F.lit(EMBED_TERM), 0)
-
-
-def term_buckets(terms: Column, dim: int) -> Column:
-    """Each term to a bucket in [0, dim): first 32 bits of its MD5, mod dim.
-    MD5 is used because every SQL engine has it, so the oracle can match."""
-    return F.transform(
-        terms,
-        lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"),
-                         F.lit(dim)).cast("int"))

@@ -36,11 +36,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpoint_dir, remove_path, scratch_path
+
 RANK_DECIMALS = 12
 DEFAULT_BROADCAST_LIMIT = 64 * 1024 * 1024
 TILE_BYTES = 16 * 1024 * 1024
 #: candidate rows (questions x k) that a task may hold with their payload
-MAX_CANDIDATES = 65536
+MAX_CANDIDATES = 32768
 
 
 def _vectors(col: pa.Array, dim: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -211,8 +213,11 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
     cells = _cell_table(centroids, nprobe, broadcast_limit_bytes) if cell_col else None
     blocks = max(1, math.ceil(n * (dim * 8 + 32) / broadcast_limit_bytes), math.ceil(n * kmax / max_candidates))
     scan = corpus.select(*cols)
+    staged = None
     if blocks > 1:
-        scan = _staged(scan)
+        staged = scratch_path(spark, "search-corpus")
+        scan.write.parquet(staged)
+        scan = spark.read.parquet(staged)
     want = F.coalesce(F.col(per_query_k), F.lit(k)) if per_query_k else F.lit(k)
     asks = queries.where(F.col(query_vec).isNotNull()).select(
         F.col(query_key).alias("q"), F.col(query_vec).alias("v"), want.cast("long").alias("k"))
@@ -240,11 +245,12 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
     ranked = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= kmax)
     out = ranked.filter(F.col("rank") <= F.col("__k")).select(*final)
     if materialize:
-        from ..session import checkpoint_dir
         checkpoint_dir(spark)
         out = out.checkpoint(eager=True)
         for bc in held:  # the hits are on disk now; free executor memory
             bc.unpersist()
+        if staged:
+            remove_path(spark, staged)
     return out
 
 
@@ -260,13 +266,6 @@ def _cell_table(centroids: DataFrame | None, nprobe: int, limit: int) -> tuple[n
     return m, t.column("cell").to_numpy()[at], nprobe
 
 
-def _staged(df: DataFrame) -> DataFrame:
-    from ..session import scratch_path
-    path = scratch_path(df.sparkSession, "search-corpus")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def threshold_filter(hits: DataFrame, threshold: float, score_col: str = "score") -> DataFrame:
     """PF6: inclusive similarity threshold."""
     return hits.filter(F.col(score_col) >= F.lit(threshold))
