@@ -103,14 +103,20 @@ def plan(df: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_col
     ``target`` (its source's), ``taken`` (words), ``copies`` (passes that read
     it, the cut one included), ``position`` (of its first copy, else null)."""
     return _plan(df, mix or Mix(), id_col, text_col, source_col).select(
-        *[f"row.`{c}`" for c in df.columns if c not in MADE], *MADE)
+        *[F.col(_own(i)).alias(c) for i, c in enumerate(df.columns) if c not in MADE], *MADE)
+
+
+def _own(i: int) -> str:
+    """Name of the input's i-th column on the way: apart from all others, and
+    a column of its own, so that what nobody reads is not shuffled."""
+    return f"own_{i}"
 
 
 def _plan(df: DataFrame, mix: Mix, id_col: str, text_col: str, source_col: str) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     i, t, src = F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`"), F.col(f"`{source_col}`").cast("string")
     docs = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), src.isNull().alias("snull"),
+        *[F.col(f"`{c}`").alias(_own(k)) for k, c in enumerate(df.columns)], src.isNull().alias("snull"),
         F.coalesce(src, F.lit("")).alias("skey"), F.coalesce(F.regexp_count(t, F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(mix.seed + "|"), F.coalesce(i, F.lit("")), F.lit("|"), F.coalesce(t, F.lit("")))).alias("h"))
     docs = docs.withColumn("b", F.substring("h", 1, 3))
@@ -141,11 +147,12 @@ def mixed(df: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_co
     got = _plan(df, mix or Mix(), id_col, text_col, source_col).where("copies > 0")
     got = got.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     got = got.withColumn("at", _position((F.col("copy") * F.col("source_size") + F.col("before")) / F.col("words")))
-    text = F.col("row")[text_col]
+    own = {c: F.col(_own(k)) for k, c in enumerate(df.columns)}
+    text = own[text_col]
     words, gaps = F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), F.split(text, WORDS, -1)
     head = F.array_join(F.transform(F.sequence(F.lit(1), F.col("cut").cast("int")),
                                     lambda k: F.concat(F.get(gaps, k - 1), F.get(words, k - 1))), "")
     partly = (F.col("copy") == F.col("passes")) & (F.col("cut") < F.col("size"))
     got = got.orderBy("at", "h", "copy")
-    return got.select(*[F.when(partly, head).otherwise(text).alias(c) if c == text_col else F.col("row")[c].alias(c)
+    return got.select(*[F.when(partly, head).otherwise(text).alias(c) if c == text_col else own[c].alias(c)
                         for c in df.columns])
