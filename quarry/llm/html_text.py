@@ -46,11 +46,11 @@ DROP = frozenset(
 HOLD = frozenset("body article main section div table tbody tr td center details blockquote".split())
 #: words of class, id and role that mark what is not content
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist "
-    "complementary consent contentinfo cookie cookies dialog discussion disqus footer gdpr login menu menubar modal nav "
+    "ad adbox ads adsbygoogle adsense adslot adv advert adverts advertisement advertising alert announcement banner breadcrumb breadcrumbs comment comments commentlist "
+    "complementary consent contentinfo cookie cookies crumbs dialog disclaimer discussion disqus footer gdpr login menu menubar modal nav "
     "navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion "
-    "promoted recommend recommended recommendations related reply replies respond responses search share sharing "
-    "sidebar sidenav signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+    "promoted rail recommend recommended recommendations related reply replies respond responses search share sharing "
+    "sidebar sidecol sidecolumn sidenav signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 #: marks that count outside an article only
 PAGE_MARKS = frozenset("header masthead topbar topnav".split())
 #: elements that a mark never removes
