@@ -51,9 +51,18 @@ def source_list(hits: DataFrame, key: str = "query_id") -> DataFrame:
         F.transform(srt, lambda x: x["score"]).alias("scores"))
 
 
+def conversation_segments(conv: DataFrame) -> DataFrame:
+    """F17 in long form: ``conv_id, turn, seg``, a rendered message per turn
+    (roles outside the template left out). For conversations too long for one
+    value; ``render_conversations`` joins the same segments."""
+    return conv.select("conv_id", "turn", P.chat_segment(F.col("role"), F.col("text")).alias("seg")).filter(
+        F.col("seg").isNotNull())
+
+
 def render_conversations(conv: DataFrame, block_turns: int = 256) -> DataFrame:
     """F17 over a long table ``conv_id, turn, role, text``: one transcript
-    per conversation. Segments are rendered row by row; turns are then
+    per conversation, as one prompt, so a conversation must fit a value (use
+    ``conversation_segments`` for any longer). Segments are rendered row by row; turns are then
     concatenated in two levels (blocks of ``block_turns`` turns, then the
     blocks), so ordering work for a very long conversation is split across
     tasks and no level sorts more than one block of rows."""
