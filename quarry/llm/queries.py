@@ -61,8 +61,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     asks = docs.where("doc_id % 100 = 0").select("fp")
     found = neighbours(asks, docs.select("fp"), radius=3).where("distance > 0").groupBy("query").agg(F.count("*").alias("n"))
     near = asks.distinct().join(found.withColumnRenamed("query", "fp"), "fp", "left").select(
-        F.col("fp").alias("ask"), F.coalesce("n", F.lit(0)).alias("n_near"))
-    got = docs.join(near, F.when(F.col("doc_id") % 100 == 0, F.col("fp")) == F.col("ask"), "left")
+        "fp", F.coalesce("n", F.lit(0)).alias("n_near"))
+    # only the asking rows meet the counts; the others need no join
+    asking = F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False))
+    got = docs.where(asking).join(near, "fp").unionByName(docs.where(~asking).withColumn("n_near", F.lit(None).cast("bigint")))
     text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     return got.select("doc_id", "n_chars", "edited_sha256", text("fp").alias("fingerprint"),
                       text("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", "n_near")
