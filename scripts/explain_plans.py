@@ -39,7 +39,7 @@ def main():
            f"Generated by `scripts/explain_plans.py` on `{SF}` (local[8]). Trimmed to operators and scan details.", ""]
 
     docs = documents_from_table(read_table(spark, SF, "documents"))
-    out += ["## C1: clean -> chunk -> embed (one narrow stage, no exchange except the input spread)", "```",
+    out += ["## C1: clean -> chunk -> embed (one narrow stage; the exchange is the local scan setting)", "```",
             plan(prepare_chunks(docs, cfg)), "```", ""]
 
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
