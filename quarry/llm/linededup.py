@@ -11,7 +11,7 @@ suffixes by their first 2^k lines; round k+1 ranks the pairs (rank here, rank
 2^k lines on). Positions whose prefix occurs once leave at once, as no run
 through them can repeat. A rank is a position in the suffix array, so ranks
 split evenly into buckets: the running counts behind a new rank are summed per
-bucket first, and no window ever holds more than one bucket of a group.
+bucket first, so no window outgrows the square root of the number of lines.
 
 Runs: it is enough to look at minimal runs, those that begin (or end) at a
 line and just reach ``min_words``; they cover exactly the lines of all maximal
@@ -28,6 +28,8 @@ An empty table gives an empty result.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +37,6 @@ from quarry.llm._keys import doc_key
 from quarry.session import checkpoint_dir
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: positions per bucket of the suffix array
-BUCKET = 1 << 16
 
 
 def _lines(text: str) -> Column:
@@ -52,10 +52,11 @@ def line_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         F.xxhash64(F.lit(1), "line").alias("h2"), F.regexp_count("line", F.lit(WORDS)).alias("w"))
 
 
-def _ranks(counts: DataFrame) -> DataFrame:
+def _ranks(counts: DataFrame, bucket: int) -> DataFrame:
     """(r1, r2, c) -> (r1, r2, r): the suffix array position at which the
-    suffixes with first half r1 and second half r2 begin."""
-    cut = counts.withColumn("b", F.floor(F.col("r2") / BUCKET))
+    suffixes with first half r1 and second half r2 begin. Windows hold at most
+    ``bucket`` rows, or one row per bucket."""
+    cut = counts.withColumn("b", F.floor(F.col("r2") / bucket))
     before = Window.partitionBy("r1").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut.groupBy("r1", "b").agg(F.sum("c").alias("c")).select(
         "r1", "b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
@@ -116,6 +117,8 @@ def later_copies(lines: DataFrame, min_words: int = 50) -> DataFrame:
     top = runs.agg(F.max("k")).first()[0]
     if top is None:
         return runs.select("k1", "k2", "ln", "len").limit(0)
+    # as many positions a bucket as buckets: no window outgrows the root of all positions
+    bucket = 1 << math.ceil(math.log2(lines.count() + 1) / 2)
     level = base.select("k1", "k2", "ln", "r")
     levels = [level.withColumn("k", F.lit(0))]
     for k in range(top):
@@ -124,7 +127,7 @@ def later_copies(lines: DataFrame, min_words: int = 50) -> DataFrame:
         pairs = level.select("k1", "k2", "ln", F.col("r").alias("r1"), F.first("r").over(ahead).alias("r2"))
         pairs = pairs.where("r2 is not null")
         counts = pairs.groupBy("r1", "r2").agg(F.count("*").alias("c")).where("c > 1")
-        level = pairs.join(_ranks(counts), ["r1", "r2"]).select("k1", "k2", "ln", "r").checkpoint()
+        level = pairs.join(_ranks(counts, bucket), ["r1", "r2"]).select("k1", "k2", "ln", "r").checkpoint()
         levels.append(level.withColumn("k", F.lit(k + 1)))
     every = levels[0]
     for x in levels[1:]:
@@ -135,6 +138,7 @@ def later_copies(lines: DataFrame, min_words: int = 50) -> DataFrame:
     interval = head.join(tail, ["k1", "k2", "k", "tail"]).select("k1", "k2", "ln", "len", "r1", "r2").checkpoint()
     at = F.struct("k1", "k2", "ln")
     first = interval.groupBy("len", "r1", "r2").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = first.checkpoint()      # so that the join below can split a crowded interval
     return interval.join(first, ["len", "r1", "r2"]).where(at != F.col("first")).select("k1", "k2", "ln", "len")
 
 
