@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.bpe import encode
+from quarry.llm.bpe import encode_table
 from quarry.llm.linededup import dedup_lines
 from quarry.llm.mixing import mixed
 from quarry.llm.neardup import keep_one
@@ -63,8 +63,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if path is None:
         import public_tokenizers
         path = public_tokenizers.path(VOCABULARY)
-    got = docs.withColumn("ids", encode(F.col("text"), path))
-    return got.select("doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+    return encode_table(docs.select("doc_id", "source", "text"), path)
 
 
 STAGES = [

@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm import _text as tx
 
@@ -144,7 +145,7 @@ class Vocabulary:
             spec = json.load(f)
         ids = spec["model"]["vocab"]
         letters = byte_letters()
-        self.byte_id = np.array([ids[c] for c in letters], np.int64)
+        self.byte_id = np.array([ids[c] for c in letters], np.int32)
         back = {c: b for b, c in enumerate(letters)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*ids.values(), *self.special.values()]) + 1
@@ -166,7 +167,7 @@ class Vocabulary:
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, or -1."""
-        want = (a << self.shift) | b
+        want = (a.astype(np.int64) << self.shift) | b
         at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
         return np.where(self.key[at] == want, self.rank[at], -1)
 
@@ -176,13 +177,14 @@ class Vocabulary:
         sym = self.byte_id[raw]
         n = len(sym)
         # a stop symbol beyond both ends; neighbours across pieces are stops
-        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        kind = np.int32 if n < 1 << 30 else np.int64
+        nxt, prv = np.arange(1, n + 1, dtype=kind), np.arange(-1, n - 1, dtype=kind)
         end = np.cumsum(size)
         begin = end - size
         nxt[end[size > 0] - 1] = n
         prv[begin[size > 0]] = n
-        sym = np.append(sym, -1)
-        nxt, prv = np.append(nxt, n), np.append(prv, n)
+        sym = np.append(sym, np.int32(-1))
+        nxt, prv = np.append(nxt, kind(n)), np.append(prv, kind(n))
         index: dict[int, list[np.ndarray]] = {}
         queue: list[int] = []
 
@@ -202,7 +204,7 @@ class Vocabulary:
                     index[x] = [part]
                     heapq.heappush(queue, x)
 
-        note(np.arange(n), -1)
+        note(np.arange(n, dtype=kind), -1)
         while queue:
             r = heapq.heappop(queue)
             lists = index.pop(r)
@@ -355,6 +357,29 @@ def encode(text: Column, path: str) -> Column:
     return ids(text.cast("string"))
 
 
+def encode_table(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """``df`` without the text, with ``ids`` (token ids) and ``n_tokens``. Rows
+    leave in batches of one block of text, so a worker never holds the ids of a
+    whole input batch."""
+    made = ["n_tokens", "ids"]
+    rest = [c for c in df.columns if c not in (text_col, *made)]
+    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField("n_tokens", T.LongType()),
+                                                          T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+    def run(batches):
+        for batch in batches:
+            at = 0
+            for ids, count in _encoder(path).encode(batch.column(len(rest))):
+                n = len(count)
+                ends = np.concatenate(([0], np.cumsum(count)))
+                cols = [batch.column(i).slice(at, n) for i in range(len(rest))]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(count, pa.int64()), lists], names=[*rest, *made])
+                at += n
+
+    return df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)
+
+
 def decode(ids: Column, path: str) -> Column:
     """The text of an array of token ids; special tokens are kept."""
     @F.arrow_udf("string")

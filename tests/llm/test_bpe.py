@@ -68,3 +68,14 @@ def test_columns_round_trip(spark):
     got = df.select("text", bpe.decode(bpe.encode(df.text, PATH), PATH).alias("back")).collect()
     assert [r.back for r in got] == [r.text or "" for r in got]
     assert bpe.decode_ids(bpe.vocabulary(PATH), np.array([], np.int32), np.array([0])) == [b""]
+
+
+def test_table_of_ids(spark, library):
+    rows = [(i, "x" * (i % 7) + " wörd " * (i % 50), i) for i in range(3000)] + [(None, None, 1), (1, "", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids int")
+    got = bpe.encode_table(df, PATH).collect()
+    assert len(got) == len(rows) and set(got[0].asDict()) == {"doc_id", "n_tokens", "ids"}
+    want = sorted((i or -1, library.encode(t or "", add_special_tokens=False).ids) for i, t, _ in rows)
+    assert sorted((r.doc_id or -1, list(r.ids)) for r in got) == want
+    assert all(r.n_tokens == len(r.ids) for r in got)
+    assert bpe.encode_table(df.limit(0), PATH).collect() == []
