@@ -599,18 +599,18 @@ def stream_index_refresh(spark, sf_dir):
 
 # --- files -----------------------------------------------------------------
 
-DOCS_PER_FILE = 64
+IDS_PER_FILE = 1280
 
 
 def doc_scan(spark, sf_dir):
     """SRC1-3, SRC6: the documents written as text files, one per source and
-    run of ``DOCS_PER_FILE`` ids (a large source becomes many files), plus a
+    run of ``IDS_PER_FILE`` ids (a large source becomes many files), plus a
     CSV copy of the questions that the scan must skip; then scanned back: one
     row per file with its type, size and a hash of the loaded text."""
     from ..session import scratch_path
     from ..sources.files import load_documents
     base = scratch_path(spark, "files")
-    d = read_table(spark, sf_dir, "documents").withColumn("part", F.floor(F.col("doc_id") / DOCS_PER_FILE))
+    d = read_table(spark, sf_dir, "documents").withColumn("part", F.floor(F.col("doc_id") / IDS_PER_FILE))
     (d.select("source", "part", "doc_id", "text").repartition("source", "part")
      .sortWithinPartitions("source", "part", "doc_id").select("source", "part", "text")
      .write.partitionBy("source", "part").text(base + "/docs"))

@@ -425,7 +425,7 @@ FROM questions q LEFT JOIN hits h USING (query_id) GROUP BY q.query_id)""")
 SQL["stream_index_refresh"] = _refresh_sql()
 
 SQL["doc_scan"] = f"""WITH f AS (
-  SELECT source, doc_id // 64 AS part, string_agg(text, chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY ALL)
+  SELECT source, doc_id // 1280 AS part, string_agg(text, chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY ALL)
 SELECT source, part, '.txt' AS suffix, '.txt' AS format, CAST(strlen(t) + 1 AS BIGINT) AS size_bytes,
        md5({O.strip('t')}) AS text_md5 FROM f"""
 
