@@ -14,7 +14,7 @@ digits are computed anew, so a pseudonym passes the same validation:
 
 - cards: all digits but the check digit; separators stay
 - IBANs: country and length stay, letters stay letters
-- phones: the country code (up to a separator, else one digit) stays
+- phones: the country code (up to a separator, else one digit; a leading 1-) stays
 - dates: the day number within the 400 years 1700 to 2099 (27 * 5411 days), so
   one date written in two ways stays one date; the way it is written stays
 - mail addresses: letters and digits of the local part; the domain stays
@@ -37,14 +37,30 @@ IPV4 = r"(?:\d{1,3}\.){3}\d{1,3}"
 SSN = r"\d{3}-\d{2}-\d{4}"
 CARD = r"\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}"
 IBAN = r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)"
-PHONE = r"\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}"
-WORLD = r"\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,4}"
+PHONE = r"(?:1[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}|(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}"
+#: at most 15 digits, so that numbers after a phone do not make it too long
+WORLD = r"\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,4}(?<!" + r"\d[ .()-]{0,2}" * 15 + r"\d)"
 MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
-#: a value must not be part of a longer number or word
-CANDIDATE = (rf"(?<![\p{{L}}\p{{N}}_.%+@-]){MAIL}(?![\p{{L}}\p{{N}}_-])"
-             rf"|(?<![\p{{L}}\p{{N}}+])(?:{WORLD})(?![\p{{L}}\p{{N}}]|[ .-]\d)"
-             rf"|(?<![\p{{L}}\p{{N}}])(?:{IBAN})(?![\p{{L}}\p{{N}}])"
-             rf"|(?<![\p{{L}}\p{{N}}+]|[\d][.,/-])(?:{DATE}|{IPV4}|{SSN}|{CARD}|{PHONE})(?![\p{{L}}\p{{N}}]|[.,/-]\d)")
+
+
+def _alone(pattern: str, joins: str = "") -> str:
+    """``pattern`` where no letter or digit touches it, and no digit beyond one
+    of the characters ``joins``, which would make it part of a longer value."""
+    before, after = (rf"|\d[{joins}]", rf"|[{joins}]\d") if joins else ("", "")
+    return rf"(?<![\p{{L}}\p{{N}}+]{before})(?:{pattern})(?![\p{{L}}\p{{N}}]{after})"
+
+
+#: a value must not be part of a longer number or word; only what its own
+#: format is joined by counts, so a comma never hides a field's value
+CANDIDATE = "|".join([
+    rf"(?<![\p{{L}}\p{{N}}_.%+@-]){MAIL}(?![\p{{L}}\p{{N}}_-])",
+    rf"(?<![\p{{L}}\p{{N}}+])(?:{WORLD})(?![\p{{L}}\p{{N}}]|[.-]\d)",
+    rf"(?<![\p{{L}}\p{{N}}])(?:{IBAN})(?![\p{{L}}\p{{N}}])",
+    *(_alone(p, sep) for p, sep in zip(DATE.split("|"), "-/./")),
+    _alone(IPV4, "."), _alone(SSN, "-"),
+    _alone(r"\d{13,19}", "."),                                  # a dot makes it a decimal number
+    _alone(r"\d{4} \d{4} \d{4} \d{1,7}|\d{4} \d{6} \d{5}"),
+    _alone(CARD.partition("|")[2], "-"), _alone(PHONE, ".-")])
 
 
 def _chars(s: Column) -> Column:
@@ -133,7 +149,8 @@ def _iban(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    kept = F.coalesce(F.nullif(F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0), F.lit("")), F.regexp_extract(m, r"^\+\d", 0))
+    kept = F.coalesce(F.nullif(F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0), F.lit("")),
+                      F.regexp_extract(m, r"^(?:\+\d|1[ .-]|1(?=\())", 0))
     rest = m.substr(F.length(kept) + 1, F.length(m))
     return F.when(F.size(_digits(m)).between(8, 15), F.concat(kept, _permuted(rest, key, "phone")))
 

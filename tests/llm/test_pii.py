@@ -83,3 +83,28 @@ def test_equal_values_stay_linked_and_keys_differ(spark):
     b = {re.search(r"\S+@a.org", r.text)[0] for r in pii.pseudonymise(df, "two").collect()}
     assert len(a) == len(b) == 1 and a != b
     assert pii.pseudonymise(df.limit(0), "one").collect() == []
+
+
+def test_values_in_comma_separated_fields(spark):
+    texts = ["17,4111111111111111,2024-01-31,x", "2024-01-31,2024-02-01", "SSN 123-45-6789,42", "7,123-45-6789,10.0.0.1,5,31.01.2024,9",
+             "2024-01-31/2024-02-01", "30.01.2024-31.01.2024", "10.0.0.1/24", "4111 1111 1111 1111-123", "4111111111111111/12/27", "5,415-555-2671,6"]
+    out = run(spark, texts)
+    assert [r.n_replaced for r in out] == [2, 2, 1, 3, 2, 2, 1, 1, 1, 1]
+    for old, r in zip(texts, out):
+        assert re.sub(r"\d", "9", r.text) == re.sub(r"\d", "9", old) or "10.0.0.1" in old
+    assert out[0].text.startswith("17,") and out[3].text.startswith("7,") and out[3].text.endswith(",9")
+
+
+def test_phones_with_a_leading_1_or_numbers_behind(spark):
+    out = run(spark, ["1-800-555-1234", "800-555-1234", "1 (800) 555-1234", "+1 415 555 2671 7 days", "+1 415 555 2671",
+                      "+1 415 555 2671 12345 days"])
+    assert [r.n_replaced for r in out] == [1] * 6
+    t = [r.text for r in out]
+    assert t[0] == "1-" + t[1] != "1-800-555-1234" and re.sub(r"\D", "", t[0]) == re.sub(r"\D", "", t[2])
+    assert t[3] == t[4] + " 7 days" and t[5] == t[4] + " 12345 days" and t[4].startswith("+1 ") and t[4] != "+1 415 555 2671"
+
+
+def test_parts_of_longer_values_stay(spark):
+    texts = ["0.4111111111111111 4111111111111111.5", "1.2.3.4.5", "1-123-45-6789 123-45-6789-1", "5-4111-1111-1111-1111-5",
+             "1-2024-01-31 2024-01-31-5 1.31.01.2024 1/2/28/1990", "21-800-555-1234 415-555-2671-5"]
+    assert [(r.text, r.n_replaced) for r in run(spark, texts)] == [(t, 0) for t in texts]
