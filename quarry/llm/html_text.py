@@ -18,7 +18,9 @@ article's own.
 
 One page is parsed at a time; no shuffle. Defined results: a null or empty
 html gives an empty text. Broken markup is read as far as it goes: an end tag
-without a start is ignored, and what is open at the end counts as closed.
+without a start is ignored, what is open at the end counts as closed, and end
+tags that HTML lets a page omit (of p, li, dt, dd, td, th, tr and table parts)
+are put where the next start tag implies them.
 Repeated rows get equal texts; other columns pass through; ``text`` and
 ``n_chars`` of the input are replaced; empty tables give empty results.
 """
@@ -56,6 +58,24 @@ PAGE_MARKS = frozenset("header masthead topbar topnav".split())
 #: elements that a mark never removes
 SAFE = frozenset("html body article main".split())
 
+#: start tags that imply the end of an open element: which ones, and the
+#: elements beyond which nothing is looked for (of items: other blocks)
+P_ENDS = frozenset(
+    "address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 "
+    "h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split())
+_P = (frozenset(["p"]), frozenset("button caption object table td template th".split()))
+_ITEMS = (BLOCK | DROP) - frozenset("address div p".split())
+_ROWS = frozenset(["tr"])
+_PARTS = frozenset("tbody tfoot thead".split())
+_TABLE = frozenset("table template".split())
+IMPLIED = {
+    "li": (frozenset(["li"]), _ITEMS), "dt": (frozenset("dd dt".split()), _ITEMS), "dd": (frozenset("dd dt".split()), _ITEMS),
+    "td": (frozenset("td th".split()), _TABLE | _ROWS), "th": (frozenset("td th".split()), _TABLE | _ROWS),
+    "tr": (_ROWS, _TABLE), "tbody": (_PARTS | _ROWS, _TABLE), "thead": (_PARTS | _ROWS, _TABLE), "tfoot": (_PARTS | _ROWS, _TABLE)}
+#: inline elements with state, and what their end tags may close besides
+INLINE = frozenset("span a label".split())
+LOOSE = INLINE | frozenset("p li option".split())
+
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -83,6 +103,30 @@ class _Lines(HTMLParser):
     def _element(self) -> int:
         return next((n for _, n, _ in reversed(self.open) if n), 0)
 
+    def _close(self, i: int) -> None:
+        """Closes the elements from the i-th open one on."""
+        before = self.dropped
+        for name, _, dropped in self.open[i:]:
+            self.dropped -= dropped
+            self.article -= name in ("article", "main")
+        del self.open[i:]
+        if before and not self.dropped:
+            self.parts, self.tags, self.linked = [], 0, 0
+
+    def _imply(self, ends: frozenset, stop: frozenset) -> None:
+        """Closes the innermost open element of ``ends`` not beyond one of ``stop``;
+        of several that nest (a row in a table part), the outermost."""
+        at = -1
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] in ends:
+                at = i
+                if len(ends) < 3:
+                    break
+            elif self.open[i][0] in stop:
+                break
+        if at >= 0:
+            self._close(at)
+
     def _marked(self, tag: str, attrs: list) -> bool:
         if tag in DROP:
             return True
@@ -102,6 +146,10 @@ class _Lines(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK and not self.dropped:
             self._flush()
+        if tag in IMPLIED:
+            self._imply(*IMPLIED[tag])
+        if tag in P_ENDS:
+            self._imply(*_P)
         self.tags += 1
         if tag == "br":
             self.parts.append(" ")
@@ -110,7 +158,7 @@ class _Lines(HTMLParser):
         if tag == "a":
             self.links += 1
         dropped = self._marked(tag, attrs)
-        if not (dropped or tag in HOLD or tag in BLOCK and tag not in ("p", "li", "option") or tag in ("span", "a", "label")):
+        if not (dropped or tag in BLOCK and tag != "option" or tag in INLINE):
             return                              # inline or self-closing by custom: no state to keep
         number = 0
         if tag in HOLD and not dropped and not self.dropped:
@@ -133,17 +181,14 @@ class _Lines(HTMLParser):
             self._flush()
         if tag == "a" and self.links:
             self.links -= 1
+        stop = _P[1] if tag == "p" else IMPLIED[tag][1] if tag in ("li", "dt", "dd") else frozenset()
         for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                for name, _, dropped in self.open[i:]:
-                    self.dropped -= dropped
-                    self.article -= name in ("article", "main")
-                del self.open[i:]
+            name = self.open[i][0]
+            if name == tag:
+                self._close(i)
                 break
-            if tag in ("span", "a", "label") and self.open[i][0] not in ("span", "a", "label"):
-                break                           # an inline end tag closes no block
-        if not self.dropped and tag in DROP:
-            self.parts, self.tags, self.linked = [], 0, 0
+            if tag in INLINE and name not in LOOSE or name in stop and name not in ("li", "dt", "dd"):
+                break                           # an inline end tag closes no block, an item's no outer item
 
     def handle_data(self, data):
         if not self.dropped:

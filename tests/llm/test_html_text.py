@@ -60,3 +60,21 @@ def test_column(spark):
     got = main_text(df).collect()
     assert [(r.page_id, r.text, r.n_chars) for r in got] == [(1, "Hello wörld", 11)] * 2 + [(None, "", 0)]
     assert main_text(df.limit(0)).collect() == []
+
+
+def test_omitted_end_tags_close_dropped_elements():
+    assert extract("<article><p class=notice>Hint<p>Real one<p>Real two</article>") == "Real one\nReal two"
+    assert extract("<article><p hidden>Hint<div>Real one</div><p>Real two</article>") == "Real one\nReal two"
+    assert extract("<article><ul><li class=ad>no<ul><li>no</li><li>no</li></ul>no<li>Real one<li>Real two</ul>Real end</article>") == \
+        "Real one\nReal two\nReal end"
+    assert extract("<article><dl><dt class=share>no<dd>Real one<dt>Real two<dd hidden>no<dt>Real end</dl></article>") == \
+        "Real one\nReal two\nReal end"
+    assert extract("<article><table><tr><td class=ad>no<td>Real one<tr class=ad><td>no<tr><td>Real two<tbody hidden><tr><td>no<tbody><tr><td>"
+                   "Real end</table></article>") == "Real one\nReal two\nReal end"
+    assert extract("<article><p class=ad>no <button><p>no</p></button> no<p>Real</article>") == "Real"
+    assert extract("<article><table><tr><td class=ad>no<table><tr><td>no<td>no</table>no<td>Real</table></article>") == "Real"
+
+
+def test_stray_end_tags_lose_no_text():
+    for tag in ("noscript", "svg", "button", "iframe", "select"):
+        assert extract(f"<article><p>Real one</{tag}> and two</p></article>") == "Real one and two"
