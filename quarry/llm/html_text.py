@@ -14,7 +14,10 @@ mostly links and lie outside every region go.
 What is never content: scripts, styles, forms and controls, navigation, asides,
 footers, hidden parts, and elements whose class, id or role says advert, menu,
 sidebar, notice, share bar, comments and the like; page headers too, but not an
-article's own.
+article's own. Anchors of headings are ids too, so an id on or in a heading, or
+on an inline element of an article, says nothing; on other elements of an
+article, and on sections, it must be such a name as a whole, or most of the
+element's text must be links.
 
 One page is parsed at a time; no shuffle. Defined results: a null or empty
 html gives an empty text. Broken markup is read as far as it goes: an end tag
@@ -55,6 +58,15 @@ MARKS = frozenset(
     "sidebar sidecol sidecolumn sidenav signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 #: marks that count outside an article only
 PAGE_MARKS = frozenset("header masthead topbar topnav".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: marks that are also ordinary headings, so that alone they are no sure id
+PLAIN = frozenset(
+    "ad advertisement advertising alert announcement banner breadcrumb comment consent cookie cookies dialog disclaimer "
+    "discussion footer login menu modal navigation notice notices notification overlay pagination popup promotion rail "
+    "recommend recommended recommendations related reply replies respond responses search share sharing social sponsor "
+    "sponsored subscribe subscription toolbar widget widgets".split())
+#: words that make an id of plain marks a sure one
+FILL = frozenset("slot box container wrapper wrap bar unit area list panel buttons form cookie cookies consent".split())
 #: elements that a mark never removes
 SAFE = frozenset("html body article main".split())
 
@@ -85,7 +97,7 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []     # tag, element number, dropped
+        self.open: list[tuple[str, int, bool, int]] = []     # tag, element number, dropped, first line if in doubt else -1
         self.parent: list[int] = [-1]                   # of each element that may hold content; 0 is the page
         self.name: list[str] = [""]
         self.lines: list[tuple[str, int, int, int]] = []     # text, tags, link characters, element
@@ -101,12 +113,18 @@ class _Lines(HTMLParser):
         self.parts, self.tags, self.linked = [], 0, 0
 
     def _element(self) -> int:
-        return next((n for _, n, _ in reversed(self.open) if n), 0)
+        return next((n for _, n, _, _ in reversed(self.open) if n), 0)
 
     def _close(self, i: int) -> None:
         """Closes the elements from the i-th open one on."""
         before = self.dropped
-        for name, _, dropped in self.open[i:]:
+        for k in range(len(self.open) - 1, i - 1, -1):
+            name, _, dropped, doubt = self.open[k]
+            if doubt >= 0:
+                if not self.dropped:
+                    self._flush()
+                if 2 * sum(x[2] for x in self.lines[doubt:]) > sum(len(x[0]) for x in self.lines[doubt:]):
+                    del self.lines[doubt:]
             self.dropped -= dropped
             self.article -= name in ("article", "main")
         del self.open[i:]
@@ -127,21 +145,42 @@ class _Lines(HTMLParser):
         if at >= 0:
             self._close(at)
 
-    def _marked(self, tag: str, attrs: list) -> bool:
+    def _named(self, tag: str, name: str) -> bool | None:
+        """Whether an id marks the element; None if its links have to tell."""
+        words = {w.lower() for w in _WORD.findall(name)}
+        found = words & (MARKS if self.article else MARKS | PAGE_MARKS)
+        if not found or tag in HEADINGS or any(x[0] in HEADINGS for x in self.open):
+            return False
+        if not self.article and tag != "section":
+            return True
+        if tag not in BLOCK:
+            return False
+        if all(w in MARKS or w in FILL or w.isdigit() for w in words) and (words & FILL or found - PLAIN):
+            return True if len(words) > 1 or found - PLAIN else None
+        return None
+
+    def _marked(self, tag: str, attrs: list) -> bool | None:
+        """Whether an element is dropped; None if its links have to tell."""
         if tag in DROP:
             return True
         if tag == "header":
             return not self.article
         if tag in SAFE:
             return False
+        doubt = False
         for k, v in attrs:
             if k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and _HIDDEN.search(v or ""):
                 return True
-            if k in ("class", "id", "role") and v:
+            if k == "id" and v:
+                named = self._named(tag, v)
+                if named:
+                    return True
+                doubt = doubt or named is None
+            if k in ("class", "role") and v:
                 words = {w.lower() for w in _WORD.findall(v)}
                 if words & MARKS or not self.article and words & PAGE_MARKS:
                     return True
-        return False
+        return None if doubt else False
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK and not self.dropped:
@@ -157,7 +196,8 @@ class _Lines(HTMLParser):
             return
         if tag == "a":
             self.links += 1
-        dropped = self._marked(tag, attrs)
+        marked = self._marked(tag, attrs)
+        dropped = bool(marked)
         if not (dropped or tag in BLOCK and tag != "option" or tag in INLINE):
             return                              # inline or self-closing by custom: no state to keep
         number = 0
@@ -169,7 +209,7 @@ class _Lines(HTMLParser):
             if not self.dropped:
                 self._flush()
             self.dropped += 1
-        self.open.append((tag, number, dropped))
+        self.open.append((tag, number, dropped, len(self.lines) if marked is None and not self.dropped else -1))
         self.article += tag in ("article", "main")
 
     def handle_startendtag(self, tag, attrs):
@@ -200,6 +240,7 @@ class _Lines(HTMLParser):
         self.close()
         if not self.dropped:
             self._flush()
+        self._close(0)
         return self.lines
 
 

@@ -62,6 +62,20 @@ def test_column(spark):
     assert main_text(df.limit(0)).collect() == []
 
 
+def test_ids_from_headings_are_content():
+    rnd = random.Random(3)
+    a, b = paragraph(rnd, 20, 40), paragraph(rnd, 20, 40)
+    for body in (f"<section id='discussion'><h2>T</h2><p>{a}</p></section>", f"<h2 id='related-work'>T</h2><p>{a}</p>",
+                 f"<h2><span id='Social_structure'>T</span></h2><p>{a}</p>", f"<section id='Rail_transport'><h2>T</h2><p>{a}</p></section>",
+                 f"<section id='AD_70'><h2>T</h2><p>{a}</p></section>", f"<div id='Search_algorithms'><h2>T</h2><p>{a}</p></div>"):
+        assert extract(f"<article><p>{b}</p>{body}<p>{b}</p></article>") == f"{b}\nT\n{a}\n{b}", body
+        assert extract(f"<div class=post><p>{b}</p>{body.replace('div', 'section')}<p>{b}</p></div>") == f"{b}\nT\n{a}\n{b}", body
+    links = "".join(f"<li><a href=/>{a}</a></li>" for _ in range(3))
+    for noise in (f"<div id=related-posts><p>More</p><ul>{links}</ul></div>", f"<div id=ad-slot-3>{a}</div>", f"<div id=comments><p>{a}</p></div>",
+                  f"<div id=cookieBanner><p>{a}</p></div>", f"<div class=notice><p>{a}</p></div>"):
+        assert extract(f"<article><p>{b}</p>{noise}<p>{b}</p></article>") == f"{b}\n{b}", noise
+
+
 def test_omitted_end_tags_close_dropped_elements():
     assert extract("<article><p class=notice>Hint<p>Real one<p>Real two</article>") == "Real one\nReal two"
     assert extract("<article><p hidden>Hint<div>Real one</div><p>Real two</article>") == "Real one\nReal two"
