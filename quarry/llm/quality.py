@@ -2,7 +2,9 @@
 
 Method: rolling hashes of several n-gram lengths in numpy. Per document, the
 characters (code points) that lie inside duplicated word n-grams and inside
-duplicated lines are measured and compared with limits.
+duplicated lines are measured and compared with limits. Besides, a document goes
+where many words have a run of three or more of one symbol glued on; symbols
+that stand alone (cells of tables, Markdown, operators) do not count.
 
 Texts travel to Python as Arrow batches (only the text column does) and come
 back as one struct per row, so the operator adds no shuffle. Work goes block
@@ -32,13 +34,14 @@ SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 #: document is rejected
 NGRAM_LIMITS = {3: 0.50, 5: 0.25, 7: 0.22, 10: 0.20}
 
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars", "n_glued_words"]
 
 
 @dataclass(frozen=True)
 class QualityRules:
     """Production limits. ``ngram_limits`` maps n to the largest share of a
-    document's word characters that duplicated n-grams may cover."""
+    document's word characters that duplicated n-grams may cover;
+    ``max_symbols_per_word`` limits the words with a run of symbols glued on."""
     min_words: int = 10
     base_window: int = 5
     max_repeat_words_pct: int = 20
@@ -69,6 +72,10 @@ def measure(buf: np.ndarray, off: np.ndarray, window: int, lengths: list[int]) -
     sym = np.zeros(len(buf) + 1, np.int64)
     np.cumsum(SYMBOLS[buf], out=sym[1:])
     out["n_symbols"] = sym[off[1:]] - sym[off[:-1]]
+    run = np.zeros(len(buf) + 1, np.int64)       # runs of three that begin before each byte
+    np.cumsum(SYMBOLS[buf[:-2]] & (buf[:-2] == buf[1:-1]) & (buf[1:-1] == buf[2:]), out=run[1:len(buf) - 1])
+    glued = (run[np.maximum(end - 2, start)] > run[start]) & (sym[end] - sym[start] < end - start)
+    out["n_glued_words"] = total(doc[glued])
 
     # lines with a word, compared as whole byte strings
     ls, le = tx.spans(buf, ~lines_at, off)
@@ -114,8 +121,8 @@ def quality_rules(df: DataFrame, rules: QualityRules | None = None, text_col: st
 
     ``kept`` is false where the base rule fails (too few words, or too many
     words in repeated windows), where duplicated lines or duplicated n-grams
-    of some length hold too large a share of the characters, or where symbols
-    outnumber the allowed share of the words."""
+    of some length hold too large a share of the characters, or where words
+    with a run of symbols glued on exceed their share of the words."""
     rules = rules or QualityRules()
     lengths = sorted(rules.ngram_limits)
     kind = "struct<" + ",".join(f"{c}:bigint" for c in [*COUNTS, *(f"dup_{k}gram_chars" for k in lengths)]) + ">"
@@ -138,7 +145,7 @@ def quality_rules(df: DataFrame, rules: QualityRules | None = None, text_col: st
     base = (F.col("n_words") < rules.min_words) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_words_pct)
     bad = (F.col("dup_line_chars") > F.col("word_chars") * rules.max_dup_line_chars) | (
-        F.col("n_symbols") > F.col("n_words") * rules.max_symbols_per_word)
+        F.col("n_glued_words") > F.col("n_words") * rules.max_symbols_per_word)
     for k in lengths:
         bad = bad | (F.col(f"dup_{k}gram_chars") > F.col("word_chars") * rules.ngram_limits[k])
     return got.withColumn("base_failed", base).withColumn("kept", ~(base | bad))

@@ -43,3 +43,20 @@ def test_long_ngram_limits_use_shorter_ones_and_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     out = quality_rules(df, QualityRules(ngram_limits={2: 0.5, 9: 0.1}))
     assert out.collect() == [] and {"dup_2gram_chars", "dup_9gram_chars", *COUNTS} <= set(out.columns)
+
+
+def test_lone_symbols_stay_and_glued_runs_go(spark):
+    words = [f"w{i}x{i * i}" for i in range(300)]
+    rows = [("table", "\n".join(" | ".join(words[i:i + 5]) for i in range(0, 300, 5))),
+            ("markdown", "\n".join(f"# {a}\n* **{b}** {c}" for a, b, c in zip(words[::3], words[1::3], words[2::3]))),
+            ("code", "\n".join(f"if (a_{w} && b<{w}> | ${w}) {{" for w in words)), ("rules", "\n".join(f"{w} ### *** $$$$" for w in words[:60])),
+            ("junk", " ".join(w + "$$$" if i % 2 else w for i, w in enumerate(words))), ("few", " ".join(words) + " a$$$ %%%b c###d")]
+    got = {r.k: r for r in quality_rules(spark.createDataFrame(rows, "k string, text string").coalesce(1)).collect()}
+    assert {k: r.n_glued_words for k, r in got.items()} == {"table": 0, "markdown": 0, "code": 0, "rules": 0, "junk": 150, "few": 3}
+    assert {k for k, r in got.items() if r.kept} == {"table", "markdown", "code", "few"}
+
+
+def test_glued_runs_end_at_words_and_texts(spark):
+    texts = ["a$$", "$b", "$$$", "x##\n#y", "é%%%", "", "|", "||", "a|||"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    assert [r.n_glued_words for r in quality_rules(df).orderBy("id").collect()] == [0, 0, 0, 0, 1, 0, 0, 0, 1]
