@@ -200,47 +200,79 @@ def read_plain(f, wanted, payload: bool) -> Iterator[dict]:
         at = begin + row["content_length"] + len(END)
 
 
+class _Members:
+    """The inflated bytes of a gzip archive, piece by piece, members in turn."""
+
+    def __init__(self, f, chunk: int):
+        self.f, self.chunk, self.size = f, chunk, f.size()
+        self.start = self.next = self.read = self.records = 0
+        self.raw, self.rest = b"", b""
+        self.inflate = self.whole = None
+        self.clean = False
+
+    def more(self, most: int) -> bool:
+        """Appends at most so many bytes to ``raw``; false at the archive's end."""
+        if self.inflate is None:
+            if self.next >= self.size:
+                return False
+            self.f.seek(self.next)
+            self.rest = self.f.read(4096)
+            self.start, self.read, self.records = self.next, len(self.rest), 0
+            self.clean, self.whole = not self.raw, _skip_length(self.rest)
+            self.inflate = zlib.decompressobj(31)
+        late = not self.rest
+        if late:
+            self.rest = self.f.read(self.chunk)
+            self.read += len(self.rest)
+            late = not self.rest
+        piece = self.inflate.decompress(self.rest, most)
+        self.rest = self.inflate.unconsumed_tail
+        self.raw += piece
+        if self.inflate.eof:
+            self.next = self.start + self.read - len(self.inflate.unused_data)
+            self.inflate = None
+        elif late and not piece:
+            raise EOFError("archive ends inside a record")
+        return True
+
+    def skip(self) -> None:
+        """Goes on at the next member, by the length this one states."""
+        self.raw, self.inflate, self.next = b"", None, self.start + self.whole
+
+
 def read_gzip(f, wanted, payload: bool, chunk: int = 1 << 16) -> Iterator[dict]:
-    """Records of an archive with one gzip member per record."""
-    at, size = 0, f.size()
-    while at < size:
-        f.seek(at)
-        data = f.read(4096)
-        whole = _skip_length(data)
-        inflate, raw, read = zlib.decompressobj(31), b"", len(data)
-        rest = data
-        while END not in raw and not inflate.eof:
-            raw += inflate.decompress(rest, 2048)
-            rest = inflate.unconsumed_tail
-            if not rest and not inflate.eof and END not in raw:
-                rest = f.read(chunk)
-                read += len(rest)
-                if not rest:
-                    raise EOFError("archive ends inside a record")
-        text, _, block = raw.partition(END)
-        if not text.strip():
-            at += read - len(inflate.unused_data) if inflate.eof else read
-            continue
+    """Records of a gzip archive, whether a member holds one or several; only
+    a record that begins its member is skipped by the member's length."""
+    m = _Members(f, chunk)
+    while True:
+        m.raw = m.raw.lstrip(b"\r\n")
+        while END not in m.raw and m.more(2048):
+            m.raw = m.raw.lstrip(b"\r\n")
+        if not m.raw.strip():
+            return
+        if END not in m.raw:
+            raise EOFError("archive ends inside a record")
+        text, _, m.raw = m.raw.partition(END)
         row = row_of(parse_headers(text))
         keep = wanted(row)
-        if (not keep or not payload) and whole:
-            at += whole
-        else:
-            parts = [block]
-            while not inflate.eof:
-                piece = inflate.decompress(rest, 1 << 20)
-                rest = inflate.unconsumed_tail
-                if keep and payload:
-                    parts.append(piece)
-                if not rest and not inflate.eof:
-                    rest = f.read(chunk)
-                    read += len(rest)
-                    if not rest:
-                        raise EOFError("archive ends inside a record")
-            at += read - len(inflate.unused_data)
-            block = b"".join(parts)[:row["content_length"]]
+        first = m.clean and not m.records
+        m.records += 1
+        parts, left = [], row["content_length"]
+        if (not keep or not payload) and first and m.whole:
+            m.skip()
+            left = 0
+        while left:
+            if not m.raw:
+                ended = m.inflate is None
+                if not m.more(min(max(left, 1 << 16), 1 << 20)) or ended and m.raw.startswith(b"WARC/"):
+                    break                       # shorter than stated
+                continue
+            piece, m.raw = m.raw[:left], m.raw[left:]
+            left -= len(piece)
+            if keep and payload:
+                parts.append(piece)
         if keep:
-            row["payload"] = _payload(row, block) if payload else None
+            row["payload"] = _payload(row, b"".join(parts)) if payload else None
             yield row
 
 

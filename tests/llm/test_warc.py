@@ -1,8 +1,10 @@
 import gzip
 import hashlib
+import io
 import os
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import warc
@@ -83,3 +85,24 @@ def test_rolled_files_empty_table_and_overwrite(spark, workdir):
     assert spark.read.format("warc").option("partition_bytes", "800").load(path).where("length(payload) = 300").count() == 50
     rows.write.format("warc").mode("overwrite").save(path)
     assert spark.read.format("warc").load(path).count() == 50
+
+
+class Bytes(io.BytesIO):
+    def size(self):
+        return len(self.getvalue())
+
+
+def test_members_with_several_records():
+    recs = [warc.record_bytes({"warc_type": "response" if i % 2 else "request", "record_id": f"urn:{i}"}, b"\r\n" + b"p" * i * 5000)
+            for i in range(40)]
+    whole = b"".join(recs)
+    cuts = [0, 1, 700, 9000, 400000, len(whole)]
+    files = [gzip.compress(whole), b"".join(map(gzip.compress, recs)), gzip.compress(whole[:len(whole) // 2]) + gzip.compress(whole[len(whole) // 2:]),
+             b"".join(gzip.compress(whole[a:b]) for a, b in zip(cuts, cuts[1:]))]
+    for data in files:
+        got = [(r["record_id"], len(r["payload"])) for r in warc.read_gzip(Bytes(data), lambda row: True, True)]
+        assert got == [(f"urn:{i}", 2 + i * 5000) for i in range(40)]
+        some = [(r["record_id"], r["payload"]) for r in warc.read_gzip(Bytes(data), lambda row: row["warc_type"] == "response", False)]
+        assert some == [(f"urn:{i}", None) for i in range(1, 40, 2)]
+    with pytest.raises(EOFError):
+        list(warc.read_gzip(Bytes(files[0][:-2000]), lambda row: True, True))
