@@ -46,7 +46,8 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return plan(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
+    got = plan(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
+    return got.orderBy(F.asc_nulls_last("position"), "doc_id")     # the run's order; what it leaves out comes last
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

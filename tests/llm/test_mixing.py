@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import brute
 from quarry.llm.mixing import Mix, mixed, plan
+from quarry.llm.queries import op4_mix_sources
 
 
 def docs(rnd):
@@ -56,3 +57,10 @@ def test_odd_tables(spark):
     empty = plan(df.where("source is null")).collect()
     assert [(r.size, r.target, r.taken) for r in empty] == [(0, 0.0, 0)] * 2
     assert plan(df, Mix(weights=(1,), schedules=((0.0, 1.0),))).where("copies > 0 and position is null").count() == 0
+
+
+def test_registered_query_comes_in_the_order_of_the_run(spark, workdir):
+    df = spark.createDataFrame(docs(random.Random(8)), "doc_id long, text string, source string")
+    df.repartition(5).write.parquet(f"{workdir}/documents.parquet")
+    got = [(r.position is None, r.position or 0.0, r.doc_id) for r in op4_mix_sources(spark, workdir).collect()]
+    assert got == sorted(got) and len(got) == 153 and any(late for late, _, _ in got)
