@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat
+from quarry.llm import centroids, chat, divergence, minhash
 from quarry.llm.bpe import round_trip
 from quarry.llm.fingerprints import against_next, neighbours
 from quarry.llm.html_text import main_text
@@ -95,6 +95,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(docs, key=spark.conf.get("quarry.pii.key", "not-a-secret"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    got, _ = centroids.cluster(vectors, centroids.Clustering(k=40, dim=64, rounds=5, scale=256, seed="2"))
+    return centroids.with_inertia(got).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.col("centroid").alias("centroid_sha256"))
+
+
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    near = minhash.near_duplicates(docs, minhash.MinHash(shingle=3, percent=85))
+    return near.select(F.col("id").alias("doc_id"), "n_shingles", "component_id",
+                       F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("text", "lang", "source")
+    return divergence.audit(docs, divergence.Audit(least_docs=30, add=5, unit=1_000_000_000, top=50))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
@@ -106,4 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_pii": op10_pii,
+    "op11_centroids": op11_centroids,
+    "op12_minhash_near_dedup": op12_minhash_near_dedup,
+    "op13_divergence": op13_divergence,
 }

@@ -67,7 +67,92 @@ SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_li
 FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN cnt USING (doc_id)
 """
 
+def _centroids(k: int = 40, dim: int = 64, rounds: int = 5) -> str:
+    """Every round measures every pair; centroids are rows (c, j, value)."""
+    parts = [f"""WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim}),
+c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), x) - 1)::INTEGER AS c, x FROM v
+  QUALIFY c < {k})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, v.x, m.d AS distance, m.c AS cluster FROM (
+    SELECT v.vec_id, v.x, (SELECT min({{'d': list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, 'c': c.c}}) FROM c{r} c) AS m
+    FROM v) v)""")
+        if r < rounds:
+            parts.append(f"""s{r} AS MATERIALIZED (
+  SELECT cluster, j, sum(e)::HUGEINT AS s, count(*)::HUGEINT AS n
+  FROM (SELECT cluster, unnest(x) AS e, generate_subscripts(x, 1) AS j FROM a{r}) GROUP BY cluster, j),
+c{r + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(g.x, c.x) AS x FROM c{r} c LEFT JOIN (
+    SELECT cluster, list((CASE WHEN s >= 0 THEN s // n ELSE -((-s + n - 1) // n) END)::BIGINT ORDER BY j) AS x FROM s{r} GROUP BY cluster) g
+  ON g.cluster = c.c)""")
+    return ",\n".join(parts) + f"""
+SELECT a.vec_id, a.cluster, a.distance, sum(a.distance) OVER (PARTITION BY a.cluster)::BIGINT AS cluster_inertia,
+       sum(a.distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.cluster = c.c"""
+
+
+JACCARD = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD}), []) AS w
+  FROM documents),
+sh AS MATERIALIZED (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM d),
+n AS MATERIALIZED (SELECT doc_id, len(s)::BIGINT AS n FROM sh),
+-- equal sets count once
+one AS MATERIALIZED (SELECT min(doc_id) AS rep, list(doc_id) AS docs, s FROM (SELECT doc_id, list_sort(s) AS s FROM sh WHERE len(s) > 0) GROUP BY s),
+t AS MATERIALIZED (SELECT rep, len(s) AS n, unnest(s) AS g FROM one),
+pairs AS (SELECT a.rep AS u, b.rep AS v, a.n AS m, b.n AS k, count(*) AS c FROM t a JOIN t b ON a.g = b.g AND a.rep < b.rep GROUP BY ALL),
+e AS MATERIALIZED (SELECT u, v FROM pairs WHERE 100 * c >= 85 * (m + k - c)),
+l AS MATERIALIZED (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+reach(node, root) AS (
+  SELECT rep, rep FROM one
+  UNION
+  SELECT l.v, reach.root FROM reach JOIN l ON l.u = reach.node WHERE reach.root < l.v),
+least AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node),
+named AS (SELECT unnest(docs) AS doc_id, rep FROM one)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(least.component_id, n.doc_id) AS component_id,
+       n.doc_id = coalesce(least.component_id, n.doc_id) AS kept
+FROM n LEFT JOIN named ON n.doc_id = named.doc_id LEFT JOIN least ON least.node = named.rep
+"""
+
+DIVERGENCE = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS MATERIALIZED (SELECT lang, source, k, unnest(w) AS term FROM d),
+vocab AS MATERIALIZED (SELECT lang, term, count(*)::HUGEINT AS n FROM o GROUP BY lang, term HAVING count(DISTINCT k) >= 30),
+c AS MATERIALIZED (SELECT o.lang, o.source, o.term, count(*)::HUGEINT AS n FROM o JOIN vocab USING (lang, term) GROUP BY ALL),
+g AS MATERIALIZED (
+  SELECT s.lang, s.source, coalesce(v.v, 0)::HUGEINT AS v, coalesce(v.total, 0)::HUGEINT AS lang_total, coalesce(t.total, 0)::HUGEINT AS total
+  FROM (SELECT DISTINCT lang, source FROM d) s
+  LEFT JOIN (SELECT lang, count(*) AS v, sum(n) AS total FROM vocab GROUP BY lang) v USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source) t USING (lang, source)),
+p AS MATERIALIZED (
+  SELECT g.lang, g.source, vocab.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 5) // (g.total + 5 * g.v) AS p,
+         1 + 1000000000 * (vocab.n + 5) // (g.lang_total + 5 * g.v) AS q
+  FROM g JOIN vocab USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = vocab.term),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r
+QUALIFY part = 'pair' OR rank <= 50
+"""
+
 SQL: dict[str, str] = {
     "op4_mix_sources": MIX,
     "op9_line_dedup": LINES,
+    "op11_centroids": _centroids(),
+    "op12_minhash_near_dedup": JACCARD,
+    "op13_divergence": DIVERGENCE,
 }

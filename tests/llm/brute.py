@@ -155,3 +155,82 @@ def pipeline(docs, limits):
         if n and k % n:
             out.append((i, t[:list(WORD.finditer(t))[k % n - 1].end()]))
     return out
+
+
+def shingle_set(text, shingle=3):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = words(low)
+    return {tuple(w[i:i + shingle]) for i in range(len(w) - shingle + 1)} or ({tuple(w)} if w else set())
+
+
+def jaccard_components(rows, percent=85):
+    """(id, set size, least id reachable) per row (id, text), in order."""
+    sets = [shingle_set(t) for _, t in rows]
+    group = [None] * len(rows)
+    for s in range(len(rows)):
+        if group[s] is not None or not sets[s]:
+            continue
+        group[s], queue = s, [s]
+        while queue:
+            x = queue.pop()
+            for y in range(len(rows)):
+                if group[y] is None and sets[y]:
+                    both = len(sets[x] & sets[y])
+                    if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                        group[y] = s
+                        queue.append(y)
+    least = {}
+    for (i, _), g in zip(rows, group):
+        if g is not None and i is not None:
+            least[g] = min(i, least.get(g, i))
+    return [(i, len(s), i if g is None else least.get(g)) for (i, _), s, g in zip(rows, sets, group)]
+
+
+def kmeans(rows, k=40, rounds=5, dim=64, scale=256, seed="2"):
+    """rows: (id, vector, ...) -> (id, cluster, distance, cluster inertia,
+    inertia, digest of the centroid), measuring every pair in every round."""
+    import hashlib
+    import math
+    kept = [(r[0], [math.floor(scale * x) for x in r[1]]) for r in rows
+            if r[1] is not None and len(r[1]) == dim and all(x is not None and math.isfinite(x) for x in r[1])]
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    first = sorted(kept, key=lambda r: (digest(f"{seed}:{'' if r[0] is None else r[0]}"), r[1]))[:k]
+    mids = [v for _, v in first]
+
+    def nearest(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, c)), j) for j, c in enumerate(mids))
+
+    for _ in range(rounds):
+        groups = defaultdict(list)
+        for _, v in kept:
+            groups[nearest(v)[1]].append(v)
+        mids = [[sum(col) // len(g) for col in zip(*g)] if (g := groups.get(j)) else c for j, c in enumerate(mids)]
+    got = [(i, *nearest(v)) for i, v in kept]
+    per = Counter()
+    for _, d, j in got:
+        per[j] += d
+    return [(i, j, d, per[j], sum(per.values()), digest(",".join(map(str, mids[j])))) for i, d, j in got]
+
+
+def divergence(rows, least=30, add=5, unit=10 ** 9, top=50):
+    """rows: (id, text, lang, source) -> (lang, source, part, item, value, rank)."""
+    term = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+    lower = {c: c + 32 for c in range(65, 91)}
+    docs = [(term.findall((t or "").translate(lower)), lang or "", src or "") for _, t, lang, src in rows]
+    count, had = defaultdict(Counter), defaultdict(Counter)
+    for terms, lang, src in docs:
+        count[lang, src].update(terms)
+        count[lang, None].update(terms)
+        had[lang].update(set(terms))
+    out = []
+    for lang in {lang for _, lang, _ in docs}:
+        kept = [t for t, n in had[lang].items() if n >= least]
+        sources = sorted({s for _, x, s in docs if x == lang})
+        total = {s: sum(count[lang, s][t] for t in kept) for s in [*sources, None]}
+        p = {s: {t: 1 + unit * (count[lang, s][t] + add) // (total[s] + add * len(kept)) for t in kept} for s in [*sources, None]}
+        for s in sources:
+            pair = [(-sum(abs(p[s][t] - p[o][t]) for t in kept), o.encode()) for o in sources if o != s]
+            over = [(p[None][t] - p[s][t], t.encode()) for t in kept if count[lang, s][t] and p[s][t] > p[None][t]]
+            for part, got in (("pair", pair), ("term", sorted(over)[:top])):
+                out += [(lang, s, part, i.decode(), -v, k) for k, (v, i) in enumerate(sorted(got), 1)]
+    return out
