@@ -16,17 +16,17 @@ Steps, each linear in what it reads unless a group is crowded:
    at 0.85 and 30 bands of 5 rows a pair is missed once in 4 * 10^7.
 3. Signature verification inside buckets: pairs whose signatures agree in fewer
    places than six standard deviations below the threshold are no candidates
-   (a true pair fails this once in 10^7). Only a spanning forest of a
-   bucket's candidate links leaves it; its components are candidate groups.
-4. Confirmation inside candidate groups on the full shingle sets; a spanning
-   forest of the confirmed links leaves each group. No estimate decides a link.
+   (a true pair fails this once in 10^7). Only links that
+   connect a bucket's local components leave it; they make the candidate groups.
+4. Confirmation inside candidate groups on the full shingle sets; again
+   one link per member at most leaves each group. No estimate decides a link.
 5. Components of the confirmed links.
 
 Groups are worked through in parts of at most ``part_rows`` sets and about
 ``part_bytes`` bytes. A crowded group's parts all hold a share of its members
 and a common set of pivots, which joins most of what links; then everything
-outside the group's largest component meets every member, part by part. So
-no group is ever in one task, no pair is left out, and a group costs rows in
+not yet linked to the main pivots meets every member, part by part. So no
+group is ever in one task, no pair is left out, and a group costs rows in
 proportion to its members times the parts of its outsiders.
 
 Defined results: null, empty and word-less texts have empty sets and link with
@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from quarry.llm import _text as tx
 from quarry.llm._graph import components
 from quarry.llm._keys import doc_key
-from quarry.session import checkpoint_dir, remove_path, scratch_path
+from quarry.session import checkpoint_dir, scratch_path
 
 
 @dataclass(frozen=True)
@@ -167,29 +167,29 @@ def full_set(text: Column, conf: MinHash) -> Column:
 
 
 # ------------------------------------------------------------------ links inside one part
-def forest(n: int, known: np.ndarray, near) -> list[tuple[int, int]]:
-    """A spanning forest of the links among 0..n-1 that ``near(i)`` (a mask of
-    all rows) tells, where rows of one ``known`` component need no link."""
-    left, found = np.ones(n, bool), []
+def local_components(n: int, known: np.ndarray, near) -> np.ndarray:
+    """Component (the least row in it) of each of the rows 0..n-1 under the
+    links that ``near(i)`` (a mask of all rows) tells, rows of one ``known``
+    component being linked already."""
+    left, out = np.ones(n, bool), np.arange(n)
+
+    def take(i: int) -> list[int]:
+        same = np.flatnonzero(left & (known == known[i]))
+        left[same] = False
+        return same.tolist()
+
     for s in range(n):
         if not left[s]:
             continue
-        left[s] = False
-        queue = [s]
-        mine = np.flatnonzero(left & (known == known[s]))
-        left[mine] = False
-        queue += mine.tolist()
+        queue = take(s)
         while queue:
-            if not left.any():
-                break
             x = queue.pop()
-            for y in np.flatnonzero(left & near(x)).tolist():
-                if left[y]:
-                    found.append((x, y))
-                    same = np.flatnonzero(left & (known == known[y]))
-                    left[same] = False
-                    queue += same.tolist()
-    return found
+            out[x] = s
+            if left.any():
+                for y in np.flatnonzero(left & near(x)).tolist():
+                    if left[y]:
+                        queue += take(y)
+    return out
 
 
 def near_signatures(payload: list[bytes], least: int):
@@ -213,25 +213,39 @@ def near_sets(payload: list[bytes], percent: int):
     return near
 
 
+MAIN = -1           # label of the members that are linked to a crowded group's main pivots
+_EDGES = pa.list_(pa.struct([("u", pa.int64()), ("v", pa.int64())]))
+
+
 def _links(members: DataFrame, keys: list[str], make) -> DataFrame:
-    """Edges (u, v) out of every group of ``members`` (keys, fid, known,
-    payload); ``make`` turns payloads into a ``near``."""
-    @F.arrow_udf("array<struct<u:binary,v:binary>>")
+    """(e, main) per group of ``members`` (keys, sid, known, pivot, payload):
+    links from the least row of each local component to its other rows, and
+    which rows are in the component of the main pivots, those of the largest
+    component that the group's pivots make among themselves."""
+    @F.arrow_udf("struct<e:array<struct<u:bigint,v:bigint>>,main:array<bigint>>")
     def inside(groups: pa.Array) -> pa.Array:
-        out = []
+        edges, mains = [], []
         for g in groups:
             rows = g.values
-            fid, known = rows.field("fid").to_pylist(), rows.field("known").to_pylist()
-            once = list({f: i for i, f in enumerate(fid)}.values())     # a pivot is in its own share too
-            fid, known = [fid[i] for i in once], [known[i] for i in once]
-            payload = rows.field("payload").take(pa.array(once)).to_pylist()
-            number = {k: i for i, k in enumerate(dict.fromkeys(known))}
-            label = np.array([number[k] for k in known])
-            out.append([{"u": fid[i], "v": fid[j]} for i, j in forest(len(fid), label, make(payload))])
-        return pa.array(out, pa.list_(pa.struct([("u", pa.binary()), ("v", pa.binary())])))
+            sid, at = np.unique(rows.field("sid").to_numpy(), return_index=True)    # a pivot is in its own share too
+            known = rows.field("known").to_numpy()[at]
+            pivots = np.flatnonzero(rows.field("pivot").to_numpy(zero_copy_only=False)[at])
+            payload = rows.field("payload").take(pa.array(at)).to_pylist()
+            own = local_components(len(sid), known, make(payload))
+            edges.append([{"u": u, "v": v} for u, v in zip(sid[own].tolist(), sid.tolist()) if u != v])
+            main = np.zeros(0, np.int64)
+            if len(pivots):
+                alone = local_components(len(pivots), np.arange(len(pivots)), make([payload[i] for i in pivots]))
+                main = sid[own == own[pivots[np.bincount(alone).argmax()]]]
+            mains.append(main.tolist())
+        return pa.StructArray.from_arrays([pa.array(edges, _EDGES), pa.array(mains, pa.list_(pa.int64()))], ["e", "main"])
+
+    lists = members.groupBy(*keys).agg(F.collect_list(F.struct("sid", "known", "pivot", "payload")).alias("g"))
+    return lists.where(F.size("g") > 1).select(keys[0], inside("g").alias("x")).select(keys[0], "x.e", "x.main")
+
 
-    lists = members.groupBy(*keys).agg(F.collect_list(F.struct("fid", "known", "payload")).alias("g"))
-    return lists.where(F.size("g") > 1).select(F.explode(inside("g")).alias("e")).select("e.u", "e.v")
+def _edges(links: DataFrame) -> DataFrame:
+    return links.select(F.explode("e").alias("e")).select("e.u", "e.v")
 
 
 PIVOT_SHARE = 8     # one of so many members of a part's size is a pivot
@@ -239,85 +253,84 @@ PIVOT_SHARE = 8     # one of so many members of a part's size is a pivot
 
 def spanning(members: DataFrame, make) -> DataFrame:
     """Edges that connect what the links inside each group connect.
-    ``members``: (grp, fid, parts, payload), ``parts`` being how many parts
-    the group is worked through in; each fid once a group."""
-    alone = members.withColumn("known", F.col("fid"))
-    edges = _links(alone.where("parts = 1"), ["grp"], make)
+    ``members``: (grp, sid, parts, payload), ``parts`` being how many parts
+    the group is worked through in; each sid once a group. It is read more
+    than once, so it should be a table."""
+    alone = members.withColumn("known", F.col("sid")).withColumn("pivot", F.lit(False))
+    edges = _edges(_links(alone.where("parts = 1"), ["grp"], make))
     crowded = alone.where("parts > 1")
     if not crowded.head(1):
         return edges
     spark = members.sparkSession
-    deal = F.xxhash64("fid", F.lit("part"))
-    every = F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)
-    share = crowded.withColumn("part", F.pmod(deal, F.col("parts").cast("bigint")))
-    pivots = crowded.where(F.pmod(F.xxhash64("fid", F.lit("pivot")), F.col("parts").cast("bigint") * PIVOT_SHARE) == 0)
-    first = _links(share.unionByName(pivots.withColumn("part", F.explode(every))), ["grp", "part"], make)
+    parts = F.col("parts").cast("bigint")
+    every = F.sequence(F.lit(0).cast("bigint"), parts - 1)
+    share = crowded.withColumn("part", F.pmod(F.xxhash64("sid", F.lit("part")), parts))
+    pivots = crowded.where(F.pmod(F.xxhash64("sid", F.lit("pivot")), parts * PIVOT_SHARE) == 0).withColumn("pivot", F.lit(True))
     path = scratch_path(spark, "minhash-links")
-    edges.unionAll(first).write.parquet(path)
-    edges = spark.read.schema("u binary, v binary").parquet(path)
-    roots = components(edges).withColumnRenamed("node", "fid")
-    named = share.drop("known").join(roots, "fid", "left").withColumn("known", F.coalesce("root", "fid")).drop("root")
-    sizes = named.groupBy("grp", "known").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy("grp").agg(F.max(F.struct("c", "known")).alias("m")).select("grp", F.col("m.known").alias("main"))
-    named = named.join(largest, "grp")
-    outside = named.where("known <> main")
-    shares = outside.groupBy("grp").agg(F.count("*").alias("out")).join(
-        crowded.groupBy("grp").agg(F.max("parts").alias("parts"), F.count("*").alias("n")), "grp").select(
-        "grp", F.ceil(F.col("out") * F.col("parts") / F.col("n")).cast("bigint").alias("turns"))
-    named, outside = named.join(shares, "grp"), outside.join(shares, "grp")
-    turn = F.pmod(F.xxhash64("fid", F.lit("turn")), F.col("turns"))
-    cols = ["grp", "part", "turn", "fid", "known", "payload"]
+    first = _links(pivots.withColumn("part", F.explode(every)).unionByName(share), ["grp", "part"], make)
+    first.write.parquet(path)
+    first = spark.read.schema(first.schema).parquet(path)
+    main = first.select("grp", F.explode("main").alias("sid")).distinct().withColumn("m", F.lit(True))
+    named = share.join(main, ["grp", "sid"], "left").withColumn(
+        "known", F.when(F.col("m"), F.lit(MAIN)).otherwise(F.col("sid"))).drop("m")
+    # those outside meet every member, in turns of about a part's size
+    turns = named.groupBy("grp").agg(F.count_if(F.col("known") != MAIN).alias("out"), F.count("*").alias("n"), F.max(parts).alias("p")).where(
+        "out > 0").select("grp", F.ceil(F.col("out") * F.col("p") / F.col("n")).cast("bigint").alias("turns"))
+    named = named.join(turns, "grp")
+    cols = ["grp", "part", "turn", "sid", "known", "pivot", "payload"]
     meet = named.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("turns") - 1))).select(*cols).unionAll(
-        outside.withColumn("turn", turn).withColumn("part", F.explode(every)).select(*cols))
-    return edges.unionAll(_links(meet, ["grp", "part", "turn"], make))
+        named.where(F.col("known") != MAIN).withColumn("turn", F.pmod(F.xxhash64("sid", F.lit("turn")), F.col("turns")))
+        .withColumn("part", F.explode(every)).select(*cols))
+    return edges.unionAll(_edges(first)).unionAll(_edges(_links(meet, ["grp", "part", "turn"], make)))
 
 
 # ------------------------------------------------------------------ the operator
 def near_duplicates(df: DataFrame, conf: MinHash | None = None, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """One row per input row: (id, k1, k2, n_shingles, fid, root, component_id).
-    ``fid`` names the set, ``root`` the least set of its component (null for
-    empty sets), ``component_id`` the least id in it; (k1, k2) is the row's key."""
+    ``fid`` names the set (null for empty sets), ``root`` the component, ``component_id`` the least id in it; (k1, k2) is the row's key."""
     conf = conf or MinHash()
-    spark = df.sparkSession
-    checkpoint_dir(spark)
+    checkpoint_dir(df.sparkSession)
     k1, k2 = doc_key(df, id_col, text_col)
     mine = df.select(F.col(f"`{id_col}`").alias("id"), k1.alias("k1"), k2.alias("k2"), F.col(f"`{text_col}`").alias("text"))
-    path = scratch_path(spark, "minhash-prints")
-    made = mine.withColumn("p", prints(F.col("text"), conf)).select("id", "k1", "k2", "p.n", "p.fid", "p.keys", "p.sig")
-    made.write.parquet(path)
-    docs = spark.read.schema(made.schema).parquet(path)
+    docs = _table(mine.withColumn("p", prints(F.col("text"), conf)).select(
+        "id", "k1", "k2", "p.n", "p.fid", "p.keys", "p.sig"), "minhash-prints")
 
     # distinct sets; of each, one row whose text stands for it
     sets = docs.where("n > 0").groupBy("fid").agg(
         F.min("id").alias("low"), F.max("n").alias("n"), F.min(F.struct("k1", "k2")).alias("rep"),
-        F.first("keys").alias("keys"), F.first("sig").alias("sig")).checkpoint()
-    keyed = sets.select("fid", F.posexplode("keys").alias("band", "key")).select(
-        F.struct("band", "key").alias("grp"), "fid")
+        F.first("keys").alias("keys"), F.first("sig").alias("sig")).withColumn("sid", F.monotonically_increasing_id())
+    sets = _table(sets, "minhash-set-ids")
+    keyed = sets.select("sid", F.explode("keys").alias("grp"))      # the band is part of the hash
     buckets = keyed.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select(
         "grp", F.ceil(F.col("c") / conf.part_rows).cast("int").alias("parts"))
     least, percent = conf.least_matches, conf.percent
-    members = keyed.join(buckets, "grp").join(sets.select("fid", F.col("sig").alias("payload")), "fid")
+    members = _table(keyed.join(buckets, "grp").join(sets.select("sid", F.col("sig").alias("payload")), "sid"), "minhash-members")
     groups = components(spanning(members, lambda p: near_signatures(p, least)))
 
     # full sets of what has a candidate
-    sought = groups.select(F.col("node").alias("fid"), F.col("root").alias("grp")).join(
-        sets.select("fid", "n", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2")), "fid")
+    sought = groups.select(F.col("node").alias("sid"), F.col("root").alias("grp")).join(
+        sets.select("sid", "n", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2")), "sid")
     sizes = sought.groupBy("grp").agg(F.ceil(F.greatest(
         F.count("*") / conf.part_rows, F.sum("n") * 8 / conf.part_bytes)).cast("int").alias("parts"))
-    texts = mine.select("k1", "k2", "text").join(sought.select("k1", "k2", "fid", "grp"), ["k1", "k2"])
-    full_path = scratch_path(spark, "minhash-sets")
-    wanted = texts.select("grp", "fid", full_set(F.col("text"), conf).alias("payload"))
-    wanted.write.parquet(full_path)
-    full = spark.read.schema(wanted.schema).parquet(full_path).dropDuplicates(["grp", "fid"])   # repeated rows
-    linked = components(spanning(full.join(sizes, "grp"), lambda p: near_sets(p, percent)))
-
-    rooted = sets.select("fid", "low").join(linked.withColumnRenamed("node", "fid"), "fid", "left").select(
-        "fid", "low", F.coalesce("root", "fid").alias("root"))
+    sought = sought.join(sizes, "grp").select("k1", "k2", "sid", "grp", "parts").checkpoint()
+    texts = mine.select("k1", "k2", "text").join(sought, ["k1", "k2"])
+    texts = texts.dropDuplicates(["k1", "k2"])                      # of repeated rows, one
+    full = _table(texts.select("grp", "sid", "parts", full_set(F.col("text"), conf).alias("payload")), "minhash-full")
+    linked = components(spanning(full, lambda p: near_sets(p, percent)))
+
+    rooted = sets.select("sid", "fid", "low").join(linked.withColumnRenamed("node", "sid"), "sid", "left").select(
+        "fid", "low", F.coalesce("root", "sid").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(lowest, "root").select("fid", "root", "component_id").checkpoint()
-    remove_path(spark, full_path)
     got = docs.drop("keys", "sig").join(named, "fid", "left")
     own = F.col("n") == 0
     return got.select("id", "k1", "k2", F.col("n").alias("n_shingles"), F.when(~own, F.col("fid")).alias("fid"),
                       "root", F.when(own, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

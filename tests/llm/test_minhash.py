@@ -58,23 +58,19 @@ def test_empty_table(spark):
     assert mh.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_forest_connects_what_links_connect():
+def test_local_components_are_those_of_the_links():
     rnd = np.random.default_rng(3)
     for n in (1, 2, 30):
         adj = np.triu(rnd.random((n, n)) < 0.06, 1)
         adj |= adj.T
         known = rnd.integers(0, n, n)
-        found = mh.forest(n, known, lambda i: adj[i])
-        assert all(adj[i, j] for i, j in found)
-
-        def parts(pairs):
-            root = list(range(n))
-            for _ in range(n):
-                for a, b in pairs:
-                    root[a] = root[b] = min(root[a], root[b])
-            return root
-        same = [(a, b) for a in range(n) for b in range(n) if known[a] == known[b]]
-        assert parts(found + same) == parts(list(zip(*np.nonzero(adj))) + same)
+        root = list(range(n))
+        for _ in range(n):
+            for a in range(n):
+                for b in range(n):
+                    if adj[a, b] or known[a] == known[b]:
+                        root[a] = root[b] = min(root[a], root[b])
+        assert mh.local_components(n, known, lambda i: adj[i]).tolist() == root
 
 
 def test_minima_estimate_the_similarity():
