@@ -37,16 +37,16 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.session import checkpoint_dir
+from quarry.session import checkpoint_dir, scratch_path
 
 #: a term's bytes: ASCII letters (lower-cased) and all of a character beyond ASCII
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 SEGMENT = 1024          # leaves of one subtree, a power of two
 GROUP_BLOCK = 64        # groups of a language that one row of work holds a side
-FLUSH = 200_000         # entries that a task counts before it hands them on
+FLUSH = 500_000         # entries that a task counts before it hands them on
 
 
 @dataclass(frozen=True)
@@ -57,18 +57,21 @@ class Audit:
     top: int = 50
 
 
+def _own(name: str) -> Column:
+    return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
+
+
 # ------------------------------------------------------------------ counting
 def term_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents that have the
-    term, in one or more rows per (group, term). Each group has a row with the
-    empty term, whatever its texts hold."""
+    term, in one or more rows per (group, term)."""
     def count(batches):
         seen: dict[tuple, tuple[Counter, Counter]] = {}
         size = 0
         for b in batches:
             for lang, source, text in zip(*(b[c].to_pylist() for c in ("lang", "source", "text"))):
                 if (lang, source) not in seen:
-                    seen[lang, source] = Counter({b"": 0}), Counter()
+                    seen[lang, source] = Counter(), Counter()
                 n, docs = seen[lang, source]
                 terms = TERM.findall(text.encode().lower()) if text else []
                 before = len(n)
@@ -86,12 +89,11 @@ def term_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", s
             for a in range(0, len(terms), 50_000):
                 part = terms[a:a + 50_000]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array([t.decode() for t in part], pa.string()),
-                    pa.array([n[t] for t in part], pa.int64()), pa.array([docs[t] for t in part], pa.int64())],
+                    pa.repeat(lang, len(part)), pa.repeat(source, len(part)), pa.array(part, pa.binary()).cast(pa.string()),
+                    pa.array(map(n.__getitem__, part), pa.int64()), pa.array(map(docs.__getitem__, part), pa.int64())],
                     ["lang", "source", "term", "n", "docs"])
 
-    own = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    rows = df.select(own(lang_col).alias("lang"), own(source_col).alias("source"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = df.select(_own(lang_col).alias("lang"), _own(source_col).alias("source"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(count, "lang string, source string, term string, n bigint, docs bigint")
 
 
@@ -188,16 +190,23 @@ def audit(df: DataFrame, conf: Audit | None = None, text_col: str = "text", lang
     against each other one, part ``term`` lists its ``top`` terms over its
     language's share."""
     conf = conf or Audit()
-    checkpoint_dir(df.sparkSession)
-    counted = term_counts(df, text_col, lang_col, source_col).groupBy("lang", "source", "term").agg(
-        F.sum("n").alias("n"), F.sum("docs").alias("docs")).checkpoint()
-    groups = counted.where("term = ''").select("lang", "source")
-    kept = numbered(counted.groupBy("lang", "term").agg(F.sum("n").alias("all"), F.sum("docs").alias("docs")).where(
-        f"term <> '' AND docs >= {conf.least_docs}").drop("docs"))
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    groups = df.select(_own(lang_col).alias("lang"), _own(source_col).alias("source")).distinct()
+    # one exchange by (lang, term) serves the groups' counts and the documents of a term
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = term_counts(df, text_col, lang_col, source_col).repartition(parts, "lang", "term").groupBy(
+        "lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    kept = counted.withColumn("docs", F.sum("docs").over(Window.partitionBy("lang", "term"))).where(
+        F.col("docs") >= conf.least_docs).drop("docs")
+    path = scratch_path(spark, "divergence-terms")
+    kept.write.parquet(path)
+    kept = spark.read.schema(kept.schema).parquet(path)
+    terms = numbered(kept.groupBy("lang", "term").agg(F.sum("n").alias("all")))
     langs = groups.select("lang").distinct().join(
-        kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("all").alias("lang_total")), "lang", "left").select(
+        terms.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("all").alias("lang_total")), "lang", "left").select(
         "lang", F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("lang_total", F.lit(0)).alias("lang_total"))
-    there = counted.where("term <> ''").select("lang", "source", "term", "n").join(kept, ["lang", "term"]).checkpoint()
+    there = kept.join(terms, ["lang", "term"]).checkpoint()
     totals = groups.join(there.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").select(
         "lang", "source", F.coalesce("total", F.lit(0)).alias("total"))
     # groups in blocks by the order of a hash, about GROUP_BLOCK each
