@@ -30,20 +30,21 @@ An empty table gives an empty result. Extra columns are not read.
 """
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass
 from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.session import checkpoint_dir, scratch_path
 
-#: a term's bytes: ASCII letters (lower-cased) and all of a character beyond ASCII
-TERM = re.compile(rb"[a-z\x80-\xff]+")
+#: bytes of terms: ASCII letters, lower-cased, and all of a character beyond
+#: ASCII; every other byte is a space
+TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SEGMENT = 1024          # leaves of one subtree, a power of two
 GROUP_BLOCK = 64        # groups of a language that one row of work holds a side
 FLUSH = 500_000         # entries that a task counts before it hands them on
@@ -63,17 +64,19 @@ def _own(name: str) -> Column:
 
 # ------------------------------------------------------------------ counting
 def term_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents that have the
-    term, in one or more rows per (group, term)."""
+    """(key, source, n, docs): occurrences and documents that have a term, in
+    one or more rows per (group, term). The key is the term, a zero character,
+    which no term holds, and the language."""
     def count(batches):
         seen: dict[tuple, tuple[Counter, Counter]] = {}
         size = 0
         for b in batches:
-            for lang, source, text in zip(*(b[c].to_pylist() for c in ("lang", "source", "text"))):
+            texts = b["text"].cast(pa.large_binary()).to_pylist()
+            for lang, source, text in zip(b["lang"].to_pylist(), b["source"].to_pylist(), texts):
                 if (lang, source) not in seen:
                     seen[lang, source] = Counter(), Counter()
                 n, docs = seen[lang, source]
-                terms = TERM.findall(text.encode().lower()) if text else []
+                terms = text.translate(TERM_BYTES).split() if text else []
                 before = len(n)
                 n.update(terms)
                 docs.update(set(terms))
@@ -88,13 +91,13 @@ def term_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", s
             terms = list(n)
             for a in range(0, len(terms), 50_000):
                 part = terms[a:a + 50_000]
+                keys = pc.binary_join_element_wise(pa.array(part, pa.binary()).cast(pa.string()), pa.scalar(lang), "\0")
                 yield pa.RecordBatch.from_arrays([
-                    pa.repeat(lang, len(part)), pa.repeat(source, len(part)), pa.array(part, pa.binary()).cast(pa.string()),
-                    pa.array(map(n.__getitem__, part), pa.int64()), pa.array(map(docs.__getitem__, part), pa.int64())],
-                    ["lang", "source", "term", "n", "docs"])
+                    keys, pa.repeat(source, len(part)), pa.array(map(n.__getitem__, part), pa.int64()),
+                    pa.array(map(docs.__getitem__, part), pa.int64())], ["key", "source", "n", "docs"])
 
     rows = df.select(_own(lang_col).alias("lang"), _own(source_col).alias("source"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(count, "lang string, source string, term string, n bigint, docs bigint")
+    return rows.mapInArrow(count, "key string, source string, n bigint, docs bigint")
 
 
 def numbered(terms: DataFrame) -> DataFrame:
@@ -193,12 +196,14 @@ def audit(df: DataFrame, conf: Audit | None = None, text_col: str = "text", lang
     spark = df.sparkSession
     checkpoint_dir(spark)
     groups = df.select(_own(lang_col).alias("lang"), _own(source_col).alias("source")).distinct()
-    # one exchange by (lang, term) serves the groups' counts and the documents of a term
+    # one exchange by the key serves the groups' counts and the documents of a term
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = term_counts(df, text_col, lang_col, source_col).repartition(parts, "lang", "term").groupBy(
-        "lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    kept = counted.withColumn("docs", F.sum("docs").over(Window.partitionBy("lang", "term"))).where(
-        F.col("docs") >= conf.least_docs).drop("docs")
+    counted = term_counts(df, text_col, lang_col, source_col).repartition(parts, "key").groupBy(
+        "key", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    kept = counted.withColumn("docs", F.sum("docs").over(Window.partitionBy("key"))).where(F.col("docs") >= conf.least_docs)
+    cut = F.instr("key", "\0")
+    kept = kept.select(F.col("key").substr(cut + 1, F.length("key")).alias("lang"), "source",
+                       F.col("key").substr(F.lit(1), cut - 1).alias("term"), "n")
     path = scratch_path(spark, "divergence-terms")
     kept.write.parquet(path)
     kept = spark.read.schema(kept.schema).parquet(path)
