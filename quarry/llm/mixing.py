@@ -12,17 +12,18 @@ but at most ``cap`` times a source's own words; what that leaves over goes to
 the others by weight until none is above its cap.
 
 A source's stream is its documents in the order of a hash of their content,
-read as often as the target asks. The last pass is cut at the exact word, so
-the words taken differ from the target by its rounding only; at most one
-document a source is cut.
+read as often as the target asks. The last pass ends with the whole document
+that brings the words taken nearest to the target, so they differ from it by
+half a document at most and no text is cut. Only a source that has a single
+document with words ends at the exact word, inside that document's last copy.
 
 Scale: the running count inside a source is a sum over hash buckets first and
 a window inside (source, bucket) second, so a source with a third of all rows
 is 4096 windows, not one. Only per-iteration sums reach the driver.
 
 Defined results: a null text has size 0; a null source is a source of its own,
-ranked last. Documents without words are never taken. Rows equal in id, text
-and source are told apart only by their share of the cut. Empty tables give an
+ranked last. Documents without words are never taken. Of rows equal in id, text
+and source some may be taken once more than others. Empty tables give an
 empty mix. ``plan`` replaces columns named like one it adds.
 """
 from __future__ import annotations
@@ -101,7 +102,7 @@ def plan(df: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_col
          source_col: str = "source") -> DataFrame:
     """``df`` with each document's place in the mix: ``size``, ``source_size``,
     ``target`` (its source's), ``taken`` (words), ``copies`` (passes that read
-    it, the cut one included), ``position`` (of its first copy, else null)."""
+    it), ``position`` (of its first copy, else null)."""
     return _plan(df, mix or Mix(), id_col, text_col, source_col).select(
         *[F.col(_own(i)).alias(c) for i, c in enumerate(df.columns) if c not in MADE], *MADE)
 
@@ -121,19 +122,21 @@ def _plan(df: DataFrame, mix: Mix, id_col: str, text_col: str, source_col: str)
         F.md5(F.concat(F.lit(mix.seed + "|"), F.coalesce(i, F.lit("")), F.lit("|"), F.coalesce(t, F.lit("")))).alias("h"))
     docs = docs.withColumn("b", F.substring("h", 1, 3))
     keys = ["snull", "skey"]
-    buckets = docs.groupBy(*keys, "b").agg(F.sum("size").alias("words")).checkpoint()
+    buckets = docs.groupBy(*keys, "b").agg(F.sum("size").alias("words"), F.count_if(F.col("size") > 0).alias("full")).checkpoint()
     before = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    goals = targets(buckets.groupBy(*keys).agg(F.sum("words").alias("source_size")), mix)
+    goals = targets(buckets.groupBy(*keys).agg(F.sum("words").alias("source_size"), F.sum("full").alias("n_full")), mix)
     starts = (buckets.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0)))
-              .join(goals, keys).drop("words", "weight"))
+              .join(goals, keys).drop("words", "full", "weight"))
     inside = Window.partitionBy(*keys, "b").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
     got = (docs.withColumn("in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
            .join(starts, [*keys, "b"]))
     words = F.round("target").cast("long")
     got = got.withColumn("before", F.col("base") + F.col("in")).withColumn("words", words)
     got = got.withColumn("passes", F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(F.lit(0)).cast("long"))
-    cut = F.col("words") - F.col("passes") * F.col("source_size") - F.col("before")
-    got = got.withColumn("cut", F.least(F.greatest(cut, F.lit(0)), "size"))
+    rest = F.col("words") - F.col("passes") * F.col("source_size") - F.col("before")
+    nearer = 2 * rest >= F.col("size")
+    got = got.withColumn("cut", F.when(F.col("n_full") == 1, F.least(F.greatest(rest, F.lit(0)), "size"))
+                         .otherwise(F.when((rest > 0) & nearer, F.col("size")).otherwise(0)).cast("long"))
     return got.withColumn("taken", F.col("passes") * F.col("size") + F.col("cut")).withColumn(
         "copies", F.when(F.col("size") > 0, F.col("passes") + (F.col("cut") > 0).cast("long")).otherwise(F.lit(0)).cast("long")).withColumn(
         "position", F.when(F.col("copies") > 0, _position(F.col("before") / F.col("words"))))
@@ -142,8 +145,8 @@ def _plan(df: DataFrame, mix: Mix, id_col: str, text_col: str, source_col: str)
 def mixed(df: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_col: str = "text",
           source_col: str = "source") -> DataFrame:
     """The training run: a row per copy, with the columns of ``df``, sorted by
-    position. The copy at which a source's words run out has its text cut
-    after its last word taken."""
+    position. The last copy of a source's only document may have its text cut
+    after the last word taken."""
     got = _plan(df, mix or Mix(), id_col, text_col, source_col).where("copies > 0")
     got = got.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     got = got.withColumn("at", _position((F.col("copy") * F.col("source_size") + F.col("before")) / F.col("words")))

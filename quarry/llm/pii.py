@@ -40,7 +40,9 @@ IBAN = r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})
 PHONE = r"(?:1[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}|(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}"
 #: at most 15 digits, so that numbers after a phone do not make it too long
 WORLD = r"\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,4}(?<!" + r"\d[ .()-]{0,2}" * 15 + r"\d)"
-MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+#: 64 characters before the @ and 255 behind it at most, as mail has it; loops
+#: over one character class only, which Java's matcher runs without recursion
+MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-][A-Za-z0-9.-]{0,252}\.[A-Za-z]{2,63}"
 
 
 def _alone(pattern: str, joins: str = "") -> str:
@@ -157,7 +159,7 @@ def _phone(m: Column, key: str) -> Column:
 
 def _mail(m: Column, key: str) -> Column:
     at = F.instr(m, "@")
-    return F.concat(_permuted(m.substr(F.lit(1), at - 1), key, "mail"), m.substr(at, F.length(m)))
+    return F.when(~m.substr(at, F.length(m)).contains(".."), F.concat(_permuted(m.substr(F.lit(1), at - 1), key, "mail"), m.substr(at, F.length(m))))
 
 
 def _ints(m: Column, cut: str) -> Column:

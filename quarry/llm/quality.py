@@ -2,9 +2,8 @@
 
 Method: rolling hashes of several n-gram lengths in numpy. Per document, the
 characters (code points) that lie inside duplicated word n-grams and inside
-duplicated lines are measured and compared with limits. Besides, a document goes
-where many words have a run of three or more of one symbol glued on; symbols
-that stand alone (cells of tables, Markdown, operators) do not count.
+duplicated lines are measured and compared with limits; nothing else decides.
+Words with a run of three or more of one symbol glued on are counted beside.
 
 Texts travel to Python as Arrow batches (only the text column does) and come
 back as one struct per row, so the operator adds no shuffle. Work goes block
@@ -40,13 +39,11 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 @dataclass(frozen=True)
 class QualityRules:
     """Production limits. ``ngram_limits`` maps n to the largest share of a
-    document's word characters that duplicated n-grams may cover;
-    ``max_symbols_per_word`` limits the words with a run of symbols glued on."""
+    document's word characters that duplicated n-grams may cover."""
     min_words: int = 10
     base_window: int = 5
     max_repeat_words_pct: int = 20
     max_dup_line_chars: float = 0.20
-    max_symbols_per_word: float = 0.10
     ngram_limits: dict = field(default_factory=lambda: dict(NGRAM_LIMITS))
 
 
@@ -120,9 +117,8 @@ def quality_rules(df: DataFrame, rules: QualityRules | None = None, text_col: st
     """Adds the counts, ``base_failed`` and ``kept`` to every row.
 
     ``kept`` is false where the base rule fails (too few words, or too many
-    words in repeated windows), where duplicated lines or duplicated n-grams
-    of some length hold too large a share of the characters, or where words
-    with a run of symbols glued on exceed their share of the words."""
+    words in repeated windows), or where duplicated lines or duplicated n-grams
+    of some length hold too large a share of the characters."""
     rules = rules or QualityRules()
     lengths = sorted(rules.ngram_limits)
     kind = "struct<" + ",".join(f"{c}:bigint" for c in [*COUNTS, *(f"dup_{k}gram_chars" for k in lengths)]) + ">"
@@ -144,8 +140,7 @@ def quality_rules(df: DataFrame, rules: QualityRules | None = None, text_col: st
     got = got.select(*[F.col(f"`{c}`") for c in rest], "__q.*")
     base = (F.col("n_words") < rules.min_words) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_words_pct)
-    bad = (F.col("dup_line_chars") > F.col("word_chars") * rules.max_dup_line_chars) | (
-        F.col("n_glued_words") > F.col("n_words") * rules.max_symbols_per_word)
+    bad = F.col("dup_line_chars") > F.col("word_chars") * rules.max_dup_line_chars
     for k in lengths:
         bad = bad | (F.col(f"dup_{k}gram_chars") > F.col("word_chars") * rules.ngram_limits[k])
     return got.withColumn("base_failed", base).withColumn("kept", ~(base | bad))

@@ -9,7 +9,7 @@ WITH d AS (
          md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS h
   FROM documents),
 s AS (
-  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rnk
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) FILTER (size > 0) AS n_full, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rnk
   FROM d GROUP BY source),
 w AS (
   SELECT *, [3, 1, 2][rnk % 3 + 1] AS weight, [3.0, 1.0, 1.0][rnk % 3 + 1]::DOUBLE AS a,
@@ -23,14 +23,15 @@ f AS (SELECT *, cap * weight_left <= left_before * weight AS is_full FROM o),
 g AS (
   SELECT *, total - coalesce(sum(cap) FILTER (is_full) OVER (), 0) AS num, sum(weight) FILTER (NOT is_full) OVER () AS den FROM f),
 t AS (
-  SELECT source, source_size, a, b,
+  SELECT source, source_size, n_full, a, b,
          CASE WHEN is_full THEN 2.0 * source_size ELSE num::DOUBLE * weight / (100.0 * den) END::DOUBLE AS target FROM g),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, t.a, t.b, round(t.target)::BIGINT AS words,
+  SELECT d.doc_id, d.size, t.source_size, t.n_full, t.target, t.a, t.b, round(t.target)::BIGINT AS words,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS passes FROM p),
-r AS (SELECT *, least(greatest(words - passes * source_size - before, 0), size) AS cut FROM q),
+r0 AS (SELECT *, words - passes * source_size - before AS rest FROM q),
+r AS (SELECT *, CASE WHEN n_full = 1 THEN least(greatest(rest, 0), size) WHEN rest > 0 AND 2 * rest >= size THEN size ELSE 0 END AS cut FROM r0),
 x AS (
   SELECT *, CASE WHEN size > 0 THEN passes + (cut > 0)::BIGINT ELSE 0 END AS copies, before / words::DOUBLE AS share FROM r)
 SELECT doc_id, size, source_size, target, (passes * size + cut)::BIGINT AS taken, copies::BIGINT AS copies,

@@ -83,8 +83,9 @@ def line_dedup(docs, min_words=50):
 
 
 def mix(docs, weights=(3, 1, 2), share=150, cap=2):
-    """docs: (id, text, source) -> words taken per document, by dealing the
-    words out one round at a time."""
+    """docs: (id, text, source) -> words taken per document, by dealing whole
+    documents out one at a time while that brings the source nearer its target;
+    a source with one document only is cut at the word."""
     import hashlib
     from fractions import Fraction
     size = [len(words(t)) for _, t, _ in docs]
@@ -107,15 +108,19 @@ def mix(docs, weights=(3, 1, 2), share=150, cap=2):
         mine = [i for i, (*_, s) in enumerate(docs) if s == n]
         mine.sort(key=lambda i: hashlib.md5(f"mix|{'' if docs[i][0] is None else docs[i][0]}|{docs[i][1] or ''}".encode()).hexdigest())
         rest = int(goal[n] + Fraction(1, 2))
+        one = sum(size[i] > 0 for i in mine) == 1
         while rest > 0 and total[n]:
             for i in mine:
-                k = min(size[i], rest)
+                k = min(size[i], rest) if one else size[i]
+                if rest <= 0 or 2 * rest < k:
+                    rest = 0
+                    break
                 taken[i] += k
                 rest -= k
     return goal, taken
 
 
-def quality_kept(text, limits, symbols=0.10, dup_lines=0.20):
+def quality_kept(text, limits, dup_lines=0.20):
     """The full verdict of the quality rules."""
     base = quality_base(text)
     if base["base_failed"]:
@@ -123,8 +128,6 @@ def quality_kept(text, limits, symbols=0.10, dup_lines=0.20):
     text = text or ""
     w = words(text)
     chars = sum(map(len, w))
-    if base["n_symbols"] > symbols * len(w):
-        return False
     seen, dup = set(), 0
     for line in text.split("\n"):
         if WORD.search(line):

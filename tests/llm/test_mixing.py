@@ -26,7 +26,8 @@ def test_taken_words_and_targets(spark):
         assert abs(r.target - float(goal[s])) < 1e-6
         assert r.taken <= 2 * r.size and (r.position is None) == (r.taken == 0)
         total[s] += r.taken
-    assert all(abs(total[s] - float(goal[s])) <= 0.5 for s in total)
+    most = {s: max(len(brute.words(t)) for _, t, x in rows if x == s) for s in total}
+    assert all(abs(total[s] - float(goal[s])) <= max(0.5, most[s] / 2 + 0.5) for s in total)
 
 
 def test_run_has_the_words_taken_in_curriculum_order(spark):
@@ -39,7 +40,7 @@ def test_run_has_the_words_taken_in_curriculum_order(spark):
     want = {r.doc_id: r.taken for r in plan(df).collect() if r.taken}
     assert dict(taken) == want
     whole = {i: t for i, t, _ in rows}
-    assert sum(r.text != whole[r.doc_id] for r in run) <= len({s for *_, s in rows})
+    assert {r.source for r in run if r.text != whole[r.doc_id]} <= {"big"}      # the source of one document
     assert all(whole[r.doc_id].startswith(r.text) for r in run)
     assert [tuple(r) for r in mixed(df).collect()] == [tuple(r) for r in run]
     # rates go 3 -> 1 for the first source by rank: it comes early

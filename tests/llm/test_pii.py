@@ -108,3 +108,18 @@ def test_parts_of_longer_values_stay(spark):
     texts = ["0.4111111111111111 4111111111111111.5", "1.2.3.4.5", "1-123-45-6789 123-45-6789-1", "5-4111-1111-1111-1111-5",
              "1-2024-01-31 2024-01-31-5 1.31.01.2024 1/2/28/1990", "21-800-555-1234 415-555-2671-5"]
     assert [(r.text, r.n_replaced) for r in run(spark, texts)] == [(t, 0) for t in texts]
+
+
+def test_very_long_texts_of_every_pattern_end_well(spark):
+    n = 1_000_000
+    parts = ["x@a.", "x@" + "a." * 2000 + "com ", "a", "a.", "a@", "1", "1-", "1.", "12.", "+1 ", "+12-345 ", "(123) ", "(", "4111 ", "1234-", "DE89 ",
+             "DE89", "AB12 3456 ", "12/", "2024-", "10.0.0.", "123-45-", "800-555-", "é@", "\u0660"]
+    texts = [(x * (n // len(x) + 1))[:n] for x in parts] + ["x@" + "a." * 500_000 + "com", "x" * n + "@a.org", "x@" + "b" * n + ".org"]
+    out = run(spark, texts)
+    assert [len(r.text) == len(t) for r, t in zip(out, texts)] == [True] * len(texts)
+    assert out[-1].n_replaced == out[-2].n_replaced == out[-3].n_replaced == 0
+
+
+def test_mail_domains(spark):
+    texts = ["a.b@x.y.example.com", "a.b@x..com", "a.b@-x.co.uk,", "a.b@x.c", "a.b@x.com.", "a.b@x.com.5", "a.b@x.com_"]
+    assert [r.n_replaced for r in run(spark, texts)] == [1, 0, 1, 0, 1, 1, 0]

@@ -1,7 +1,7 @@
 import random
 
 import brute
-from quarry.llm.quality import COUNTS, QualityRules, quality_rules
+from quarry.llm.quality import COUNTS, NGRAM_LIMITS, QualityRules, quality_rules
 
 
 def docs(rnd):
@@ -30,13 +30,19 @@ def test_counts_match_brute_force(spark):
         assert r.size == 1
 
 
+def test_verdict_is_that_of_repetition_alone(spark):
+    rows = docs(random.Random(4))
+    df = spark.createDataFrame([(i, t) for t, i in rows], "doc_id long, text string")
+    assert {(r.doc_id, r.text): r.kept for r in quality_rules(df).collect()} == {(i, t): brute.quality_kept(t, NGRAM_LIMITS) for t, i in rows}
+
+
 def test_clean_text_stays_and_repetition_goes(spark):
     rnd = random.Random(2)
     clean = " ".join(f"w{i}x{rnd.randint(0, 9)}" for i in range(300))
     rows = [("clean", clean), ("loop", "buy it now cheap " * 40), ("lines", (clean + "\n") * 3),
             ("symbols", " ".join(f"w{i}%%%" for i in range(300))), ("short", "only four words here")]
     got = {r.k: r.kept for r in quality_rules(spark.createDataFrame(rows, "k string, text string")).collect()}
-    assert got == {"clean": True, "loop": False, "lines": False, "symbols": False, "short": False}
+    assert got == {"clean": True, "loop": False, "lines": False, "symbols": True, "short": False}
 
 
 def test_long_ngram_limits_use_shorter_ones_and_empty_table(spark):
@@ -45,7 +51,7 @@ def test_long_ngram_limits_use_shorter_ones_and_empty_table(spark):
     assert out.collect() == [] and {"dup_2gram_chars", "dup_9gram_chars", *COUNTS} <= set(out.columns)
 
 
-def test_lone_symbols_stay_and_glued_runs_go(spark):
+def test_symbols_are_counted_and_decide_nothing(spark):
     words = [f"w{i}x{i * i}" for i in range(300)]
     rows = [("table", "\n".join(" | ".join(words[i:i + 5]) for i in range(0, 300, 5))),
             ("markdown", "\n".join(f"# {a}\n* **{b}** {c}" for a, b, c in zip(words[::3], words[1::3], words[2::3]))),
@@ -53,7 +59,7 @@ def test_lone_symbols_stay_and_glued_runs_go(spark):
             ("junk", " ".join(w + "$$$" if i % 2 else w for i, w in enumerate(words))), ("few", " ".join(words) + " a$$$ %%%b c###d")]
     got = {r.k: r for r in quality_rules(spark.createDataFrame(rows, "k string, text string").coalesce(1)).collect()}
     assert {k: r.n_glued_words for k, r in got.items()} == {"table": 0, "markdown": 0, "code": 0, "rules": 0, "junk": 150, "few": 3}
-    assert {k for k, r in got.items() if r.kept} == {"table", "markdown", "code", "few"}
+    assert {k for k, r in got.items() if r.kept} == set(got) - {"rules"}       # which repeats itself
 
 
 def test_glued_runs_end_at_words_and_texts(spark):
