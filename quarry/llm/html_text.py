@@ -8,21 +8,22 @@ lines above it are content regions. The element that holds most of that text
 (an article or main element if one holds half of it) is the content region's
 container, and its lines are the result, so short paragraphs between long ones
 stay. Without such an element it is the stretch from the first to the last
-region, with the lines beside it up to one that is mostly links. Lines that are
-mostly links and lie outside every region go.
+region, with the lines beside it up to one that is mostly links; there, lines
+that are mostly links and lie outside every region go.
 
 What is never content: scripts, styles, forms and controls, navigation, asides,
 footers, hidden parts, and elements whose class, id or role says advert, menu,
-sidebar, notice, share bar, comments and the like; page headers too, but not an
-article's own. Anchors of headings are ids too, so an id on or in a heading, or
-on an inline element of an article, says nothing; on other elements of an
-article, and on sections, it must be such a name as a whole, or most of the
-element's text must be links.
+sidebar, notice, share bar, comments and the like; page headers too, but not
+the container's own (one with a heading that is not mostly links). Inside an
+article a class must be such a name as a whole. Anchors of headings are ids too,
+so an id on or in a heading, or on an inline element of an article, says
+nothing; on other elements of an article, and on sections, it must be such a
+name as a whole, or most of the element's text must be links.
 
 One page is parsed at a time; no shuffle. Defined results: a null or empty
 html gives an empty text. Broken markup is read as far as it goes: an end tag
-without a start is ignored, what is open at the end counts as closed, and end
-tags that HTML lets a page omit (of p, li, dt, dd, td, th, tr and table parts)
+without a start is ignored, what is open at the end counts as closed (a comment
+or tag too), declarations of any kind are skipped, and end tags that HTML lets a page omit (of p, li, dt, dd, td, th, tr and table parts)
 are put where the next start tag implies them.
 Repeated rows get equal texts; other columns pass through; ``text`` and
 ``n_chars`` of the input are replaced; empty tables give empty results.
@@ -30,6 +31,9 @@ Repeated rows get equal texts; other columns pass through; ``text`` and
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -88,68 +92,115 @@ IMPLIED = {
 INLINE = frozenset("span a label".split())
 LOOSE = INLINE | frozenset("p li option".split())
 
+#: tags at which the search for an open element ends, by what is sought
+_ITEM_TAGS = frozenset("li dt dd".split())
+STOPS = {"p": _P[1], "item": _ITEMS - _ITEM_TAGS, "inline": None}      # of end tags; None: all but LOOSE
+STOPS |= {tag: stop - ends for tag, (ends, stop) in IMPLIED.items()}
+
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_LONG_REFERENCE = re.compile(r"&#(?=0*[1-9]\d{7})\d+;?")     # beyond all characters
+
+
+@dataclass(frozen=True)
+class _Open:
+    """An open element: its number if it may hold content, the number of the
+    innermost such element up to it, and where each kind of stop was last."""
+    tag: str
+    number: int
+    holder: int
+    dropped: bool
+    doubt: int                  # its first line if its links have to tell, else -1
+    stops: dict
 
 
 class _Lines(HTMLParser):
-    """Collects the lines of one page."""
+    """Collects the lines of one page. Every tag costs the same however deep
+    the elements nest."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, int]] = []     # tag, element number, dropped, first line if in doubt else -1
+        self.open: list[_Open] = []
+        self.at: dict[str, list[int]] = defaultdict(list)    # where each tag is open
         self.parent: list[int] = [-1]                   # of each element that may hold content; 0 is the page
         self.name: list[str] = [""]
+        self.heads: dict[int, list[bool]] = {}          # page headers by number: whether they hold a heading
         self.lines: list[tuple[str, int, int, int]] = []     # text, tags, link characters, element
+        self.sums: list[tuple[int, int]] = [(0, 0)]     # characters and link characters before each line
         self.parts: list[str] = []
         self.tags = self.linked = self.links = 0
         self.dropped = 0
         self.article = 0
 
+    # what the page does not close is closed by its end
+    def parse_comment(self, i, report=1):
+        j = super().parse_comment(i, report)
+        return j if j >= 0 else len(self.rawdata)
+
+    def parse_marked_section(self, i, report=1):
+        return self.rawdata.find(">", i) + 1 or len(self.rawdata)
+
+    def parse_html_declaration(self, i):
+        j = super().parse_html_declaration(i)
+        return j if j >= 0 else len(self.rawdata)
+
+    def parse_pi(self, i):
+        j = super().parse_pi(i)
+        return j if j >= 0 else len(self.rawdata)
+
+    def parse_starttag(self, i):
+        j = super().parse_starttag(i)
+        return j if j >= 0 else len(self.rawdata)
+
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             self.lines.append((text, max(self.tags, 1), self.linked, self._element()))
+            self.sums.append((self.sums[-1][0] + len(text), self.sums[-1][1] + self.linked))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def _element(self) -> int:
-        return next((n for _, n, _, _ in reversed(self.open) if n), 0)
+        return self.open[-1].holder if self.open else 0
 
     def _close(self, i: int) -> None:
         """Closes the elements from the i-th open one on."""
         before = self.dropped
         for k in range(len(self.open) - 1, i - 1, -1):
-            name, _, dropped, doubt = self.open[k]
-            if doubt >= 0:
+            e = self.open[k]
+            if e.doubt >= 0:
                 if not self.dropped:
                     self._flush()
-                if 2 * sum(x[2] for x in self.lines[doubt:]) > sum(len(x[0]) for x in self.lines[doubt:]):
-                    del self.lines[doubt:]
-            self.dropped -= dropped
-            self.article -= name in ("article", "main")
+                (a, b), (c, d) = self.sums[e.doubt], self.sums[-1]
+                if 2 * (d - b) > c - a:
+                    del self.lines[e.doubt:]
+                    del self.sums[e.doubt + 1:]
+            self.dropped -= e.dropped
+            self.article -= e.tag in ("article", "main")
+            self.at[e.tag].pop()
         del self.open[i:]
         if before and not self.dropped:
             self.parts, self.tags, self.linked = [], 0, 0
 
-    def _imply(self, ends: frozenset, stop: frozenset) -> None:
-        """Closes the innermost open element of ``ends`` not beyond one of ``stop``;
-        of several that nest (a row in a table part), the outermost."""
-        at = -1
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in ends:
-                at = i
-                if len(ends) < 3:
-                    break
-            elif self.open[i][0] in stop:
-                break
-        if at >= 0:
+    def _stop(self, kind: str) -> int:
+        return self.open[-1].stops[kind] if self.open else -1
+
+    def _imply(self, ends: frozenset, kind: str) -> None:
+        """Closes the innermost open element of ``ends`` that no stop hides; of
+        several that nest (a row in a table part), the outermost."""
+        stop = self._stop(kind)
+        if len(ends) < 3:
+            at = max((self.at[t][-1] for t in ends if self.at[t]), default=-1)
+        else:
+            first = [self.at[t][k] for t in ends if (k := bisect_right(self.at[t], stop)) < len(self.at[t])]
+            at = min(first, default=-1)
+        if at > stop:
             self._close(at)
 
     def _named(self, tag: str, name: str) -> bool | None:
         """Whether an id marks the element; None if its links have to tell."""
         words = {w.lower() for w in _WORD.findall(name)}
         found = words & (MARKS if self.article else MARKS | PAGE_MARKS)
-        if not found or tag in HEADINGS or any(x[0] in HEADINGS for x in self.open):
+        if not found or tag in HEADINGS or any(self.at[h] for h in HEADINGS):
             return False
         if not self.article and tag != "section":
             return True
@@ -159,36 +210,48 @@ class _Lines(HTMLParser):
             return True if len(words) > 1 or found - PLAIN else None
         return None
 
+    def _classed(self, tag: str, names: str) -> bool | None:
+        """Whether classes or roles mark the element. Inside an article a
+        class must be a mark as a whole, and a section's one that is no
+        ordinary heading."""
+        doubt = False
+        for name in names.split():
+            words = {w.lower() for w in _WORD.findall(name)}
+            found = words & (MARKS if self.article else MARKS | PAGE_MARKS)
+            if not found:
+                continue
+            if not self.article:
+                return True
+            if all(w in MARKS or w in FILL or w.isdigit() for w in words):
+                if tag != "section" or found - PLAIN or words & FILL:
+                    return True
+                doubt = True
+        return None if doubt else False
+
     def _marked(self, tag: str, attrs: list) -> bool | None:
         """Whether an element is dropped; None if its links have to tell."""
         if tag in DROP:
             return True
-        if tag == "header":
-            return not self.article
-        if tag in SAFE:
+        if tag == "header" or tag in SAFE:
             return False
         doubt = False
         for k, v in attrs:
             if k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and _HIDDEN.search(v or ""):
                 return True
-            if k == "id" and v:
-                named = self._named(tag, v)
-                if named:
-                    return True
-                doubt = doubt or named is None
-            if k in ("class", "role") and v:
-                words = {w.lower() for w in _WORD.findall(v)}
-                if words & MARKS or not self.article and words & PAGE_MARKS:
+            if v and k in ("id", "class", "role"):
+                marked = self._named(tag, v) if k == "id" else self._classed(tag, v)
+                if marked:
                     return True
+                doubt = doubt or marked is None
         return None if doubt else False
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK and not self.dropped:
             self._flush()
         if tag in IMPLIED:
-            self._imply(*IMPLIED[tag])
+            self._imply(IMPLIED[tag][0], tag)
         if tag in P_ENDS:
-            self._imply(*_P)
+            self._imply(_P[0], "p")
         self.tags += 1
         if tag == "br":
             self.parts.append(" ")
@@ -200,16 +263,24 @@ class _Lines(HTMLParser):
         dropped = bool(marked)
         if not (dropped or tag in BLOCK and tag != "option" or tag in INLINE):
             return                              # inline or self-closing by custom: no state to keep
-        number = 0
-        if tag in HOLD and not dropped and not self.dropped:
-            self.parent.append(self._element())
+        holder, number = self._element(), 0
+        page_header = tag == "header" and not self.article
+        if (tag in HOLD or page_header) and not dropped and not self.dropped:
+            self.parent.append(holder)
             self.name.append(tag)
-            number = len(self.name) - 1
+            holder = number = len(self.name) - 1
+            if page_header:
+                self.heads[number] = [False]
+        if tag in HEADINGS and holder in self.heads:
+            self.heads[holder][0] = True
         if dropped:
             if not self.dropped:
                 self._flush()
             self.dropped += 1
-        self.open.append((tag, number, dropped, len(self.lines) if marked is None and not self.dropped else -1))
+        here = len(self.open)
+        stops = {k: here if (tag not in LOOSE if s is None else tag in s) else self._stop(k) for k, s in STOPS.items()}
+        self.open.append(_Open(tag, number, holder, dropped, len(self.lines) if marked is None and not self.dropped else -1, stops))
+        self.at[tag].append(here)
         self.article += tag in ("article", "main")
 
     def handle_startendtag(self, tag, attrs):
@@ -221,14 +292,12 @@ class _Lines(HTMLParser):
             self._flush()
         if tag == "a" and self.links:
             self.links -= 1
-        stop = _P[1] if tag == "p" else IMPLIED[tag][1] if tag in ("li", "dt", "dd") else frozenset()
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i][0]
-            if name == tag:
-                self._close(i)
-                break
-            if tag in INLINE and name not in LOOSE or name in stop and name not in ("li", "dt", "dd"):
-                break                           # an inline end tag closes no block, an item's no outer item
+        if not self.at[tag]:
+            return
+        # an inline end tag closes no block, an item's no outer item
+        kind = "p" if tag == "p" else "item" if tag in _ITEM_TAGS else "inline" if tag in INLINE else None
+        if kind is None or self.at[tag][-1] >= self._stop(kind):
+            self._close(self.at[tag][-1])
 
     def handle_data(self, data):
         if not self.dropped:
@@ -265,20 +334,33 @@ def _container(page: _Lines, mass: list[int]) -> int:
     whole = [i for i, n in enumerate(page.name) if n in ("article", "main") and 2 * mass[i] >= total > 0]
     if whole:
         return whole[-1] if page.name[whole[-1]] == "article" else whole[0]
+    inner = {}                                  # of each element, the first in it that holds nine tenths of all
+    for i in range(len(page.name) - 1, 0, -1):
+        if 10 * mass[i] >= 9 * total > 0:
+            inner[page.parent[i]] = i
     at = 0
-    while True:
-        inner = [i for i in range(at + 1, len(page.name)) if page.parent[i] == at and 10 * mass[i] >= 9 * total > 0]
-        if not inner:
-            return at
-        at = inner[0]
+    while at in inner:
+        at = inner[at]
+    return at
+
+
+def _below(page: _Lines, tops: set[int]) -> list[bool]:
+    """Of each element, whether it is one of ``tops`` or inside one."""
+    out = [False] * len(page.name)
+    for i in range(len(out)):                   # children come after their parents
+        out[i] = i in tops or i > 0 and out[page.parent[i]]
+    return out
 
 
 def extract(html: str | None) -> str:
     """The main text of one page."""
     page = _Lines()
     if html:
-        page.feed(html)
-    lines = page.finish()
+        page.feed(_LONG_REFERENCE.sub("\ufffd", html))
+    page.finish()
+    # page headers take no part until the container is known
+    header = _below(page, set(page.heads))
+    lines = [x for x in page.lines if not header[x[3]]]
     if not lines:
         return ""
     good = regions(lines)
@@ -286,26 +368,34 @@ def extract(html: str | None) -> str:
     for (text, _, linked, element), ok in zip(lines, good):
         if ok:
             mass[element] += len(text) - linked
-    for i in range(len(mass) - 1, 0, -1):       # children come after their parents
+    for i in range(len(mass) - 1, 0, -1):
         mass[page.parent[i]] += mass[i]
     top = _container(page, mass)
-    inside = []
-    for i, (_, _, _, element) in enumerate(lines):
-        while element > top:
-            element = page.parent[element]
-        inside.append(element == top)
-    first, last = 0, len(lines)
-    if page.name[top] not in ("article", "main"):
-        at = np.flatnonzero(good & np.array(inside))
-        first, last = (int(at[0]), int(at[-1]) + 1) if len(at) else (0, len(lines))
-        plain = lambda i: inside[i] and 2 * lines[i][2] <= len(lines[i][0])
-        while first and plain(first - 1):       # short lines beside a region are its headings and short paragraphs
-            first -= 1
-        while last < len(lines) and plain(last):
-            last += 1
-    kept = [text for i, (text, _, linked, _) in enumerate(lines)
-            if inside[i] and first <= i < last and (good[i] or 2 * linked <= len(text))]
-    return "\n".join(kept)
+    within = _below(page, {top})
+    if len(lines) < len(page.lines) and page.name[top] not in ("", "body"):
+        own = {i for i, (heading,) in page.heads.items() if heading and within[i] and not _mostly_links(page, i)}
+        if own:                                 # the container's own header
+            kept = _below(page, own)
+            marks = iter(good)
+            rows = [(x, kept[x[3]] or bool(next(marks))) for x in page.lines if kept[x[3]] or not header[x[3]]]
+            lines, good = [x for x, _ in rows], np.array([ok for _, ok in rows])
+    inside = [within[x[3]] for x in lines]
+    if page.name[top] in ("article", "main"):
+        return "\n".join(x[0] for x, ok in zip(lines, inside) if ok)
+    at = np.flatnonzero(good & np.array(inside))
+    first, last = (int(at[0]), int(at[-1]) + 1) if len(at) else (0, len(lines))
+    plain = lambda i: inside[i] and 2 * lines[i][2] <= len(lines[i][0])
+    while first and plain(first - 1):           # short lines beside a region are its headings and short paragraphs
+        first -= 1
+    while last < len(lines) and plain(last):
+        last += 1
+    return "\n".join(lines[i][0] for i in range(first, last) if inside[i] and (good[i] or plain(i)))
+
+
+def _mostly_links(page: _Lines, header: int) -> bool:
+    mine = _below(page, {header})
+    rows = [x for x in page.lines if mine[x[3]]]
+    return 2 * sum(x[2] for x in rows) > sum(len(x[0]) for x in rows)
 
 
 def main_text(df: DataFrame, html_col: str = "html") -> DataFrame:

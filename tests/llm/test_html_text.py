@@ -92,3 +92,89 @@ def test_omitted_end_tags_close_dropped_elements():
 def test_stray_end_tags_lose_no_text():
     for tag in ("noscript", "svg", "button", "iframe", "select"):
         assert extract(f"<article><p>Real one</{tag}> and two</p></article>") == "Real one and two"
+
+
+def test_declarations_comments_and_references_of_any_kind():
+    for odd in ("<![foo[bar]]>", "<![if IE]>", "<!>", "<!x y>", "<!DOCTYPE [<!ENTITY x 'y'>]>", "<?php echo 1 ?>", "<![CDATA[z]]>", "</ >", "<!--->"):
+        assert "one" in extract(f"<article><p>one</p>{odd}<p>two</p></article>"), odd
+    assert extract("<article><p>one</p><!-- open <p>two</p></article>") == "one"
+    assert extract("<article><p>one</p><![foo [ open") == extract("<article><p>one</p><!DOCTYPE open") == extract("<article><p>one</p><p class='open") == "one"
+    assert extract("<p>a &#" + "1" * 5000 + "; b &#0000000065; &#x41;</p>") == "a \ufffd b A A"
+
+
+def test_classes_links_and_headers_of_the_content_stay():
+    rnd = random.Random(5)
+    a, b = paragraph(rnd, 20, 40), paragraph(rnd, 20, 40)
+    for name in ("share-price", "search-results", "alert-level", "related-work"):
+        assert extract(f"<article><p>{b}</p><div class='{name}'><p>{a}</p></div><p>{b}</p></article>") == f"{b}\n{a}\n{b}", name
+    assert extract(f"<article><p>{b}</p><section class=discussion><h2>T</h2><p>{a}</p></section></article>") == f"{b}\nT\n{a}"
+    for name in ("share", "ad-slot", "ad-slot-3", "post ads", "related-posts-list comments", "newsletter signup"):
+        assert extract(f"<article><p>{b}</p><div class='{name}'><p>{a}</p></div><p>{b}</p></article>") == f"{b}\n{b}", name
+    refs = "".join(f"<li><a href=/{i}>source {i}</a></li>" for i in range(12))
+    assert extract(f"<article><p>{b}</p><h2>References</h2><ol>{refs}</ol><p><a href=/>{a}</a></p></article>").split("\n") == \
+        [b, "References", *(f"source {i}" for i in range(12)), a]
+    body = f"<div class=post><header><h1>Title</h1><p>By me</p></header><p>{a}</p><p>{b}</p></div>"
+    site = f"<header><h1><a href=/>The Site</a></h1>{menu(rnd)}</header>"
+    assert extract(f"<body>{site}<div id=wrap>{body}</div></body>") == f"Title\nBy me\n{a}\n{b}"
+
+
+def plain(html):
+    """A second reading: the tree by xml, the article's text blocks in order."""
+    from xml.etree import ElementTree as E
+    out, cut = [], lambda s: " ".join(s.split())
+
+    def walk(e):
+        text = [e.text or ""]
+        for x in e:
+            if x.tag in ("b", "i", "a", "span"):
+                text.append("".join(x.itertext()))
+            else:
+                out.append(cut("".join(text)))
+                text = []
+                if x.get("class") not in ("ads", "share") and x.tag not in ("aside", "nav", "footer", "form", "script", "style"):
+                    walk(x)
+            text.append(x.tail or "")
+        out.append(cut("".join(text)))
+
+    walk(E.fromstring(html).find(".//article"))
+    return "\n".join(x for x in out if x)
+
+
+def test_articles_match_a_second_parser():
+    rnd = random.Random(21)
+
+    def block(depth):
+        kind = rnd.choice(["p", "p", "p", "ul", "div", "section", "blockquote", "table", "ads", "aside", "pre", "share", "h2", "dl", "nav"])
+        words = paragraph(rnd, 1, 30)
+        if rnd.random() < 0.3:
+            words = words.replace(" ", " <b>x</b> ", 1) + " <a href='/'>more</a>"
+        if kind in ("ads", "share"):
+            return f"<div class='{kind}'><p>{words}</p></div>"
+        if kind in ("aside", "nav"):
+            return f"<{kind}><p>{words}</p></{kind}>"
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{paragraph(rnd, 1, 9)}{block(depth + 1) if depth < 2 and rnd.random() < .2 else ''}</li>" for _ in range(3)) + "</ul>"
+        if kind == "dl":
+            return f"<dl><dt>{words}</dt><dd>{words}</dd></dl>"
+        if kind == "table":
+            return f"<table><tbody><tr><td>{words}</td><th>{words}</th></tr></tbody></table>"
+        if kind in ("div", "section", "blockquote") and depth < 3:
+            return f"<{kind}>" + "\n ".join(block(depth + 1) for _ in range(3)) + f"</{kind}>"
+        return f"<{kind if kind in ('p', 'pre', 'h2') else 'div'}>{words}</{kind if kind in ('p', 'pre', 'h2') else 'div'}>"
+
+    for _ in range(150):
+        inner = "".join(block(0) for _ in range(rnd.randint(3, 10)))
+        html = f"<html><body><nav><p>x</p></nav><article><h1>T</h1><p>{paragraph(rnd, 30, 60)}</p>{inner}</article><footer><p>y</p></footer></body></html>"
+        assert extract(html) == plain(html), html
+
+
+def test_time_grows_with_the_page_not_with_its_depth():
+    import time
+    for start in ("<ul><li>", "<div>", "<p><button>", "<table><tr><td>", "<section id=related-x>", "<dl><dt>", "<span>", "<article>", "<header>"):
+        t = time.time()
+        extract(start * 50_000 + "deep" + "</p></li></dd></tr></section></span>" * 20_000)
+        assert time.time() - t < 20, start
+    for long in ("word " * 200_000, "<" * 20_000, "&" * 100_000, "<p>a" * 100_000, "<a href=x>" * 50_000 + "t", "<!--" * 50_000, "</p>" * 100_000):
+        t = time.time()
+        extract(f"<article>{long}</article>")
+        assert time.time() - t < 20, long[:10]
