@@ -2,11 +2,20 @@
 
 ``STAGES`` lists (name, function); every function takes (spark, docs, sf_dir)
 and returns a DataFrame that is written as Parquet and read again as the next
-stage's ``docs``. All stages but the last return the columns of ``documents``.
+stage's ``docs``. All stages but the last return the columns of ``documents``;
+the last adds ``run_position``, the order that the mix decided on.
+
+Defined results of every stage: null, empty and word-less texts are documents
+without words (the quality rules reject them, so later stages meet them only on
+their own); a null id or source is a value like any other; of rows equal in all
+columns each counts, but near-dedup keeps one; ties go to the smaller id, then
+the smaller hash of the row; very long texts are worked through whole; empty
+tables give empty results; further columns pass through, and none of them may be
+named ``__file``, ``__row``, ``__start`` or ``run_position``.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import encode_table
@@ -57,13 +66,30 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _recounted(mixed(docs), docs)
 
 
+def in_run(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``run_position``, the row's place 0, 1, .. in the table as
+    it was written: the mix is sorted, its files are numbered in that order, and
+    Parquet knows each row's number in its file. Rows that come from no file
+    have no position (null)."""
+    if not docs.inputFiles():
+        return docs.withColumn("run_position", F.lit(None).cast("bigint"))
+    name = F.col("_metadata.file_name")
+    number = [F.coalesce(F.regexp_extract(name, p, 1).try_cast("bigint"), F.lit(0)) for p in (r"part-(\d+)", r"\.c(\d+)")]
+    rows = docs.select("*", F.struct(*number, name).alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    sizes = docs.groupBy(F.struct(*number, name).alias("__file")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)            # one row a file
+    starts = sizes.select("__file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    return rows.join(F.broadcast(starts), "__file").withColumn("run_position", F.col("__start") + F.col("__row")).drop(
+        "__file", "__row", "__start")
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: the documents' token ids."""
+    """Operator 2: the documents' token ids, and their place in the run."""
     path = spark.conf.get("quarry.bpe.vocabulary", None)
     if path is None:
         import public_tokenizers
         path = public_tokenizers.path(VOCABULARY)
-    return encode_table(docs.select("doc_id", "source", "text"), path)
+    return encode_table(in_run(docs).select("doc_id", "source", "run_position", "text"), path)
 
 
 STAGES = [
