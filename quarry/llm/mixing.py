@@ -153,8 +153,9 @@ def mixed(df: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_co
     own = {c: F.col(_own(k)) for k, c in enumerate(df.columns)}
     text = own[text_col]
     words, gaps = F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), F.split(text, WORDS, -1)
-    head = F.array_join(F.transform(F.sequence(F.lit(1), F.col("cut").cast("int")),
-                                    lambda k: F.concat(F.get(gaps, k - 1), F.get(words, k - 1))), "")
+    cut = F.col("cut").cast("int")
+    head = F.array_join(F.transform(F.arrays_zip(F.slice(gaps, 1, cut).alias("g"), F.slice(words, 1, cut).alias("w")),
+                                    lambda x: F.concat(x["g"], x["w"])), "")
     partly = (F.col("copy") == F.col("passes")) & (F.col("cut") < F.col("size"))
     got = got.orderBy("at", "h", "copy")
     return got.select(*[F.when(partly, head).otherwise(text).alias(c) if c == text_col else own[c].alias(c)

@@ -4,6 +4,7 @@ import brute
 import corpus_pipeline
 import pytest
 
+from quarry.llm.mixing import mixed
 from quarry.llm.quality import NGRAM_LIMITS
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -37,6 +38,32 @@ def test_run_matches_brute_force(spark, workdir):
     assert {i for i, _ in want} < {i for i, _, _ in rows}
 
 
+def test_output_order_is_that_of_the_plan(spark, workdir):
+    rows = corpus(random.Random(13))
+    df = spark.createDataFrame([(i, t, s, len(t or "")) for i, t, s in rows], "doc_id long, text string, source string, n_chars long")
+    want = [r.doc_id for r in mixed(df).collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        corpus_pipeline.mix(spark, df.repartition(7), workdir).write.option("maxRecordsPerFile", 9).parquet(f"{workdir}/mix")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(spark.read.parquet(f"{workdir}/mix").inputFiles()) > 8
+    got = corpus_pipeline.tokens(spark, spark.read.parquet(f"{workdir}/mix"), workdir)
+    assert [r.doc_id for r in got.orderBy("run_position").select("doc_id").collect()] == want
+    assert sorted(r.run_position for r in got.select("run_position").collect()) == list(range(len(want)))
+    assert corpus_pipeline.tokens(spark, df, workdir).where("run_position is not null").count() == 0
+
+
+def test_very_long_and_repeated_documents(spark, workdir):
+    long = " ".join(f"w{i}" for i in range(120_000))
+    docs = spark.createDataFrame([(1, long, "a", 1), (1, long, "a", 1), (2, long + " end", None, 2), (None, "x y " * 9, "a", 3)],
+                                 "doc_id long, text string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, workdir).checkpoint()
+    # one copy of the long text stays; its source's target is half as much again, so it is read once and a half
+    assert {r.doc_id for r in docs.select("doc_id").collect()} == {1}
+
+
 def test_stages_keep_the_columns_and_take_empty_tables(spark, workdir):
     schema = "doc_id long, text string, lang string, source string, n_chars int, extra string"
     docs = spark.createDataFrame([(1, "a b c d e f g h i j k l", "en", "s", 23, "x"), (2, None, None, None, None, None)], schema)
