@@ -370,7 +370,8 @@ def demo_summary(spark, sf_dir):
 
 THRESHOLD_EMB = 0.35
 NLIST = 100
-NPROBE = 10
+#: of the ten label cells; fewer miss more than a tenth of the neighbours
+NPROBE_CELLS = 8
 
 
 def _emb(spark, sf_dir):
@@ -454,11 +455,11 @@ def ivf_assign(spark, sf_dir):
 
 
 def ivf_probe(spark, sf_dir):
-    """Top-k inside the two best cells of each question, from the saved
-    index (only probed cells are read)."""
+    """Top-k inside the ``NPROBE_CELLS`` best cells of each question, from the
+    saved index (only probed cells are read)."""
     from ..operators.index import search_ivf
     idx, cents = _saved_cells(spark, sf_dir)
-    h = search_ivf(_vector_questions(_emb(spark, sf_dir)), idx, cents, CFG.top_k, nprobe=2, corpus_keys=("vec_id",))
+    h = search_ivf(_vector_questions(_emb(spark, sf_dir)), idx, cents, CFG.top_k, nprobe=NPROBE_CELLS, corpus_keys=("vec_id",))
     return h.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
@@ -473,13 +474,13 @@ def ivf_full_probe(spark, sf_dir):
 
 
 def ivf_recall(spark, sf_dir):
-    """recall@k of two probed cells against exact search."""
+    """recall@k of ``NPROBE_CELLS`` probed cells against exact search."""
     from ..operators.index import search_ivf
     from ..operators.search import knn
     e = _emb(spark, sf_dir)
     idx, cents = _saved_cells(spark, sf_dir)
     q = _vector_questions(e)
-    approx = search_ivf(q, idx, cents, CFG.top_k, nprobe=2, corpus_keys=("vec_id",))
+    approx = search_ivf(q, idx, cents, CFG.top_k, nprobe=NPROBE_CELLS, corpus_keys=("vec_id",))
     exact = knn(q, e, CFG.top_k, corpus_keys=("vec_id",))
     found = exact.join(approx.select("query_id", "vec_id", F.lit(1).alias("hit")),
                        ["query_id", "vec_id"], "left")
@@ -685,9 +686,11 @@ def event_files(spark, sf_dir):
 
 
 def event_running_total(spark, sf_dir):
-    """The running sum of the events' value (in cents) in time order."""
+    """The running sum of the events' value (in cents) in time order. One
+    event in 97 has its time taken away; such rows come last, and count."""
     from ..sources.logs import running_total
     e = read_table(spark, sf_dir, "events")
+    e = e.withColumn("ts", F.when(F.col("event_id") % 97 != 0, F.col("ts")))
     cents = F.round(F.col("value") * 100).cast("long")
     return running_total(e, cents, "ts", "event_id").select("event_id", F.col("total").cast("long").alias("total"))
 

@@ -343,6 +343,7 @@ SQL["ivf_full_probe"] = SQL["knn_exact"]
 
 
 def _cell_ctes() -> str:
+    from .catalog import NPROBE_CELLS
     return f"""{_emb_ctes()},
 cell AS (
   SELECT vec_id, v, CAST(query_id AS INTEGER) AS cell FROM (
@@ -352,7 +353,7 @@ ask AS (SELECT vec_id AS query_id, v FROM e WHERE vec_id % 100 = 0),
 probe AS (
   SELECT query_id, cell FROM (
     SELECT a.query_id, CAST(q.query_id AS INTEGER) AS cell, row_number() OVER (PARTITION BY a.query_id
-           ORDER BY round(list_inner_product(q.c, a.v), 12) DESC, q.query_id) AS n FROM ask a, cent q) WHERE n <= 2),
+           ORDER BY round(list_inner_product(q.c, a.v), 12) DESC, q.query_id) AS n FROM ask a, cent q) WHERE n <= {NPROBE_CELLS}),
 hit AS (
   SELECT * FROM (
     SELECT a.query_id, c.vec_id, list_inner_product(a.v, c.v) AS score, CAST(row_number() OVER (PARTITION BY a.query_id
@@ -448,7 +449,7 @@ SELECT event_id, day, CASE WHEN kind = 'error' THEN 'ERROR' ELSE 'INFO' END AS l
        || ' | ' || kind || ' | ' || message AS line FROM l"""
 SQL["event_files"] = f"SELECT day, line FROM ({SQL['event_lines']})"
 SQL["event_running_total"] = """SELECT event_id, CAST(sum(CAST(round(coalesce(value, 0) * 100) AS BIGINT)) OVER (
-  ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS total FROM events"""
+  ORDER BY CASE WHEN event_id % 97 <> 0 THEN ts END NULLS LAST, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS total FROM events"""
 
 SQL["pipeline_counters"] = f"""WITH {_corpus_ctes()}
 SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM chunks) AS chunks_indexed,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 ENTRIES_PER_FILE = 5000
 
 
@@ -38,16 +40,21 @@ def write_log_files(lines: DataFrame, path: str, entries_per_file: int = ENTRIES
 
 def running_total(df: DataFrame, value: Column, time_col: str, key_col: str, out_col: str = "total") -> DataFrame:
     """The sum of ``value`` over all rows up to each one, in the order
-    (time, key). Two levels: totals per hour and their prefix (one row per
-    hour), then a window inside each hour; no task ever holds more than an
-    hour's rows."""
-    w = Window.partitionBy("__h").orderBy(time_col, key_col).rowsBetween(Window.unboundedPreceding, 0)
-    cut = df.withColumn("__v", F.coalesce(value, F.lit(0))).withColumn("__h", F.date_trunc("hour", F.col(time_col)))
-    hours = cut.groupBy("__h").agg(F.sum("__v").alias("__s")).withColumn("__d", F.date_trunc("year", "__h"))
-    years = hours.groupBy("__d").agg(F.sum("__s").alias("__s"))
-    far = years.withColumn("__far", F.coalesce(F.sum("__s").over(
-        Window.orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__d", "__far")   # one row a year
-    near = Window.partitionBy("__d").orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
-    before = hours.withColumn("__near", F.coalesce(F.sum("__s").over(near), F.lit(0))).join(far, "__d").select(
-        "__h", (F.col("__far") + F.col("__near")).alias("__before"))
-    return cut.join(before, "__h").withColumn(out_col, F.col("__before") + F.sum("__v").over(w)).drop("__h", "__v", "__before")
+    (time, key). Rows without a time come last, by key; null values count
+    nothing; rows equal in time and key stand in any order.
+
+    The rows are dealt into ranges of (time, key) of about equal size, so that
+    an hour with most of the rows is many ranges; a prefix sum over one row per
+    range and a window inside each range give the totals."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    order = [F.asc_nulls_last(time_col), F.asc_nulls_last(key_col)]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("__v", F.coalesce(value, F.lit(0))).repartitionByRange(parts, *order).withColumn(
+        "__p", F.spark_partition_id()).checkpoint()         # ranges come from a sample, so they are fixed here
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("__p").agg(F.sum("__v").alias("__s")).select(
+        "__p", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"))       # one row a range
+    inside = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.withColumn("__in", F.sum("__v").over(inside)).join(F.broadcast(starts), "__p").withColumn(
+        out_col, F.col("__before") + F.col("__in")).drop("__p", "__v", "__in", "__before")
