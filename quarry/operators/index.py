@@ -12,12 +12,15 @@
 * The index is Parquet partitioned by ``cell``. Every save is a new version
   beside the others; a small manifest row (version, type, width, cells) is
   appended last, and readers take the highest version that has one.
+* A version may be a base and deltas (``append_delta``): new rows, and the
+  documents whose earlier rows are void. Readers merge them; ``compact`` writes
+  the merged rows as a new base. No version ever changes a file of another.
 """
 from __future__ import annotations
 
 import math
 import uuid
-from typing import Iterator
+from typing import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,8 @@ from .search import DEFAULT_BROADCAST_LIMIT, RANK_DECIMALS, TILE_BYTES, _vectors
 
 #: the cell of vectors that search leaves out (null or not finite)
 UNUSABLE_CELL = -1
-MANIFEST = "version long, folder string, type string, width int, cells int"
+#: ``deltas`` names the folders of rows appended to the base, in order
+MANIFEST = "version long, folder string, type string, width int, cells int, deltas array<string>"
 
 
 def train_cells(vectors: DataFrame, nlist: int = 100, vec_col: str = "embedding",
@@ -123,14 +127,16 @@ def manifest(spark: SparkSession, path: str) -> dict | None:
 
 def save_index(index: DataFrame, path: str, centroids: DataFrame | None = None,
                keys: tuple | None = None, vec_col: str = "embedding",
-               max_records_per_file: int = 1_000_000, keep_versions: int = 2) -> str:
+               max_records_per_file: int = 1_000_000, keep_versions: int = 2,
+               extra: dict[str, DataFrame] | None = None) -> str:
     """SRC7: the chunk store + vectors as Parquet; cell-partitioned when it
     has a ``cell`` column. Rows are range-partitioned on ``(cell, key)``:
     small cells share a task and get few files, while a hot cell (say a
     third of all vectors) is split across many tasks instead of one.
 
     A save never touches the versions before it, so readers go on; versions
-    older than the last ``keep_versions`` are removed afterwards."""
+    older than the last ``keep_versions`` are removed afterwards. ``extra``
+    tables are kept beside the rows (``load_table`` reads them)."""
     spark = index.sparkSession
     cells = "cell" in index.columns
     if cells != (centroids is not None):
@@ -146,22 +152,87 @@ def save_index(index: DataFrame, path: str, centroids: DataFrame | None = None,
         centroids.coalesce(1).write.parquet(f"{path}/{folder}/centroids")
     else:
         index.write.parquet(f"{path}/{folder}/data")
+    for name, table in (extra or {}).items():
+        table.write.parquet(f"{path}/{folder}/{name}")
     width = spark.read.parquet(f"{path}/{folder}/data").agg(F.max(F.size(vec_col))).first()[0]
-    row = (version, folder, "IVFFlat" if cells else "Flat", width, centroids.count() if cells else None)
-    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").json(f"{path}/_manifest")
-    old = spark.read.schema(MANIFEST).json(f"{path}/_manifest").where(F.col("version") <= version - keep_versions)
-    for r in old.select("folder").collect():        # one row per save
-        remove_path(spark, f"{path}/{r.folder}")
+    row = (version, folder, "IVFFlat" if cells else "Flat", width, centroids.count() if cells else None, [])
+    _publish(spark, path, row, keep_versions)
     return path
 
 
+def _publish(spark: SparkSession, path: str, row: tuple, keep_versions: int) -> None:
+    """Appends the manifest row, which makes the version visible, then removes
+    what only versions older than the last ``keep_versions`` name."""
+    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").json(f"{path}/_manifest")
+    rows = spark.read.schema(MANIFEST).json(f"{path}/_manifest").collect()          # one row per save
+    names = lambda r: {r.folder, *(r.deltas or [])}
+    kept = set().union(*(names(r) for r in rows if r.version > row[0] - keep_versions))
+    for name in set().union(*(names(r) for r in rows)) - kept:
+        remove_path(spark, f"{path}/{name}")
+
+
+def append_delta(spark: SparkSession, path: str, rows: DataFrame, gone: DataFrame | None = None,
+                 extra: dict[str, DataFrame] | None = None, max_records_per_file: int = 1_000_000, keep_versions: int = 2) -> int:
+    """A new version: the newest one, without the documents of ``gone``
+    (``doc_id``), plus ``rows``. Rows of a document that is in both replace it.
+    Only the delta is written. ``extra`` tables by name are kept beside the
+    rows and merged alike (``load_table``). Returns the version."""
+    last = manifest(spark, path)
+    if last is None:
+        raise RuntimeError(f"index not built: {path}")
+    version = last["version"] + 1
+    folder = f"d{version}-{uuid.uuid4().hex[:8]}"
+    if last["type"] == "IVFFlat":
+        cents = spark.read.parquet(f"{path}/{last['folder']}/centroids")
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = assign_cells(rows, cents).repartitionByRange(n, "cell", "doc_id")
+        rows.write.option("maxRecordsPerFile", max_records_per_file).partitionBy("cell").parquet(f"{path}/{folder}/data")
+    else:
+        rows.write.parquet(f"{path}/{folder}/data")
+    if gone is not None:
+        gone.select("doc_id").distinct().write.parquet(f"{path}/{folder}/gone")
+    for name, table in (extra or {}).items():
+        table.write.parquet(f"{path}/{folder}/{name}")
+    row = (version, last["folder"], last["type"], last["width"], last["cells"], [*(last["deltas"] or []), folder])
+    _publish(spark, path, row, keep_versions)
+    return version
+
+
+def load_table(spark: SparkSession, path: str, m: dict, name: str = "data") -> DataFrame:
+    """One table of a version, its base and deltas merged: a row stands unless
+    a later delta voids its document."""
+    base = spark.read.parquet(f"{path}/{m['folder']}/{name}")
+    deltas = m["deltas"] or []
+    if not deltas:
+        return base
+    rows, gone = base.withColumn("__seq", F.lit(0)), None
+    for i, folder in enumerate(deltas, 1):
+        # a delta without rows has no file that tells its columns
+        rows = rows.unionByName(spark.read.schema(base.schema).parquet(f"{path}/{folder}/{name}").withColumn("__seq", F.lit(i)))
+        if path_exists(spark, f"{path}/{folder}/gone"):
+            part = spark.read.parquet(f"{path}/{folder}/gone").withColumn("__gone", F.lit(i))
+            gone = part if gone is None else gone.unionAll(part)
+    if gone is None:
+        return rows.drop("__seq")
+    gone = gone.groupBy("doc_id").agg(F.max("__gone").alias("__gone"))
+    return rows.join(gone, "doc_id", "left").where("__gone IS NULL OR __seq >= __gone").select(*base.columns)
+
+
 def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
     """SRC8: ``(index, centroids or None)`` of the newest version."""
     m = manifest(spark, path)
     if m is None:
         raise RuntimeError(f"index not built: {path}")
-    idx = spark.read.parquet(f"{path}/{m['folder']}/data")
-    return idx, spark.read.parquet(f"{path}/{m['folder']}/centroids") if m["type"] == "IVFFlat" else None
+    return load_table(spark, path, m), spark.read.parquet(f"{path}/{m['folder']}/centroids") if m["type"] == "IVFFlat" else None
+
+
+def compact(spark: SparkSession, path: str, extra: Sequence[str] = ()) -> int:
+    """Writes the newest version's merged rows (and ``extra`` tables) as a new
+    base. Returns its version."""
+    m = manifest(spark, path)
+    idx, cents = load_index(spark, path)
+    save_index(idx, path, cents, extra={name: load_table(spark, path, m, name) for name in extra})
+    return m["version"] + 1
 
 
 def index_stats(index: DataFrame | None, vec_col: str = "embedding") -> DataFrame:

@@ -370,6 +370,8 @@ def demo_summary(spark, sf_dir):
 
 THRESHOLD_EMB = 0.35
 NLIST = 100
+PAYLOAD = ["filename", "chunk_text", "token_count"]
+UPDATE_COUNTS = ["new", "changed", "deleted", "unchanged", "chunks_made", "chunks_embedded"]
 #: of the ten label cells; fewer miss more than a tenth of the neighbours
 NPROBE_CELLS = 8
 
@@ -489,6 +491,112 @@ def ivf_recall(spark, sf_dir):
         F.count(F.lit(1)).alias("k"))
 
 
+def cell_search(spark, sf_dir):
+    """Exact top-k by bounded cells, from the saved index: cells whose bound
+    lies below a question's k-th score are not read for it."""
+    from ..operators.cells import cell_bounds, knn_by_cells
+    idx, cents = _saved_cells(spark, sf_dir)
+    h, _ = knn_by_cells(_vector_questions(_emb(spark, sf_dir)), idx, cell_bounds(idx, cents), CFG.top_k, corpus_keys=("vec_id",))
+    return h.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+def cell_search_all(spark, sf_dir):
+    """Every vector of the table is a question, joined with the index by
+    cell, hot cells in parts; exact top-k of each."""
+    from ..operators.cells import cell_bounds, knn_by_cells
+    idx, cents = _saved_cells(spark, sf_dir)
+    q = _emb(spark, sf_dir).select(F.col("vec_id").alias("query_id"), "embedding")
+    h, _ = knn_by_cells(q, idx, cell_bounds(idx, cents), CFG.top_k, corpus_keys=("vec_id",), part_rows=512, block_questions=256)
+    return h.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+def cell_search_nprobe(spark, sf_dir):
+    """The approximate form of the join; equals ``ivf_probe``."""
+    from ..operators.cells import cell_bounds, knn_by_cells
+    idx, cents = _saved_cells(spark, sf_dir)
+    h, _ = knn_by_cells(_vector_questions(_emb(spark, sf_dir)), idx, cell_bounds(idx, cents), CFG.top_k, corpus_keys=("vec_id",),
+                        nprobe=NPROBE_CELLS, exact=False)
+    return h.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+def hit_sources_late(spark, sf_dir):
+    """Keys and vectors are searched, then the hits' texts are fetched from
+    the sliced store; equals ``hit_sources``."""
+    from ..functions.text import preview
+    from ..operators.store import fetch, save_store
+    from ..session import scratch_path
+    path, texts = scratch_path(spark, "vectors"), scratch_path(spark, "texts")
+    chunks = _chunks(spark, sf_dir)
+    chunks.select("doc_id", "chunk_index", "filename", "chunk_text", "embedding").write.parquet(path)
+    chunks = spark.read.parquet(path)
+    save_store(chunks.select("doc_id", "chunk_index", "filename", "chunk_text"), texts)
+    hits = retrieve(_questions(spark, sf_dir), chunks, CFG, k=CFG.top_k, payload=())
+    hits = fetch(hits.filter(F.col("score") >= CFG.similarity_threshold), texts, ["filename", "chunk_text"])
+    return hits.select("query_id", "rank", "filename", "chunk_index",
+                       F.round("score", 4).alias("score"), preview("chunk_text").alias("preview"))
+
+
+def rag_answers_cells(spark, sf_dir):
+    """C2 on a saved index with trained cells, searched exactly by bounds in a
+    part of the cells, texts fetched for the hits; equals ``rag_answers``."""
+    from ..operators.cells import cell_bounds, knn_by_cells
+    from ..operators.index import load_index
+    from ..operators.store import fetch, save_store
+    from ..session import scratch_path
+    from .rag import answer_questions, build_index, embed_questions
+    path, texts = scratch_path(spark, "cells"), scratch_path(spark, "texts")
+    cfg = CFG.with_(index_type="IVFFlat", nlist=16, nprobe=2)
+    build_index(spark, _docs(spark, sf_dir), path, cfg)
+    idx, cents = load_index(spark, path)
+    save_store(idx.select("doc_id", "chunk_index", *PAYLOAD), texts)
+    q = _questions(spark, sf_dir)
+    hits, _ = knn_by_cells(embed_questions(q.select("query_id", "question"), cfg), idx, cell_bounds(idx, cents), cfg.top_k, nprobe=cfg.nprobe)
+    return _answer_columns(answer_questions(q, None, cfg, hits=fetch(hits, texts, PAYLOAD)))
+
+
+def _earlier(docs: DataFrame) -> DataFrame:
+    """An earlier state of the documents: one in 100 had another text, and one
+    in 100 another id."""
+    return docs.withColumn("text", F.when(F.col("doc_id") % 100 == 0, F.concat("text", F.lit(" As it was."))).otherwise(F.col("text"))) \
+        .withColumn("doc_id", F.when(F.col("doc_id") % 100 == 1, -F.col("doc_id")).otherwise(F.col("doc_id")))
+
+
+def _updated(spark, sf_dir):
+    """(path, counters) of an index of an earlier state brought to the present."""
+    from ..session import scratch_path
+    from .rag import update_index
+    path = scratch_path(spark, "updated")
+    docs = _docs(spark, sf_dir)
+    update_index(spark, _earlier(docs), path, CFG)
+    return path, update_index(spark, docs, path, CFG)
+
+
+def index_update(spark, sf_dir):
+    """The chunks of an index that was brought up to date by a delta equal
+    those of a build from nothing."""
+    from ..operators.index import load_index
+    path, _ = _updated(spark, sf_dir)
+    return load_index(spark, path)[0].select("doc_id", "chunk_index", "token_count", "chunk_text")
+
+
+def index_update_counts(spark, sf_dir):
+    """A14 of the update: what was new, changed and deleted, and how many
+    chunks of other texts had to be embedded."""
+    _, seen = _updated(spark, sf_dir)
+    return spark.createDataFrame([tuple(seen[c] for c in UPDATE_COUNTS)], ", ".join(f"{c} long" for c in UPDATE_COUNTS))
+
+
+def index_compacted(spark, sf_dir):
+    """SRC7: the updated index compacted into a new base; every weight of every
+    vector equals ``embed_hashed``."""
+    from ..operators.index import compact, load_index
+    path, _ = _updated(spark, sf_dir)
+    compact(spark, path, ["documents"])
+    return load_index(spark, path)[0].select("doc_id", "chunk_index", F.posexplode("embedding").alias("bucket", "w")) \
+        .filter(F.col("w") > 0) \
+        .select("doc_id", "chunk_index", F.col("bucket").cast("int").alias("bucket"), F.col("w").cast("double").alias("weight"))
+
+
 def rag_answers_ivf(spark, sf_dir):
     """C1 + C2 on a saved cell index: build with trained cells, then answer
     from the index with every cell probed, which must equal the exact run."""
@@ -739,6 +847,14 @@ QUERIES = {
     "ivf_probe": ivf_probe,
     "rag_answers_ivf": rag_answers_ivf,
     "ivf_recall": ivf_recall,
+    "cell_search": cell_search,
+    "cell_search_all": cell_search_all,
+    "cell_search_nprobe": cell_search_nprobe,
+    "hit_sources_late": hit_sources_late,
+    "rag_answers_cells": rag_answers_cells,
+    "index_update": index_update,
+    "index_update_counts": index_update_counts,
+    "index_compacted": index_compacted,
     "index_stats": index_stats,
     "index_roundtrip": index_roundtrip,
     "stream_questions": stream_questions,

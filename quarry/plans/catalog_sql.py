@@ -42,6 +42,19 @@ FROM docs d LEFT JOIN made m USING (doc_id)"""
 SQL["embed_hashed"] = f"""WITH {_corpus_ctes()}
 SELECT doc_id, chunk_index, bucket, weight FROM cw"""
 
+SQL["index_update"] = SQL["chunk_windows"]
+SQL["index_compacted"] = SQL["embed_hashed"]
+SQL["index_update_counts"] = f"""WITH {O.docs_cte(True)}, {O.chunks_cte(CFG)},
+earlier AS (SELECT doc_id, CASE WHEN doc_id % 100 = 0 THEN text || ' As it was.' ELSE text END AS text FROM documents),
+docs1 AS (SELECT doc_id, {O.clean('text')} AS text, '' AS filename FROM earlier), {O.chunks_cte(CFG, 'docs1').replace('chunks AS', 'chunks1 AS', 1)},
+made AS (SELECT c.chunk_text FROM chunks c JOIN documents d USING (doc_id) WHERE d.doc_id % 100 = 1 OR d.doc_id % 100 = 0 AND d.text IS NOT NULL)
+SELECT count(*) FILTER (doc_id % 100 = 1) AS new, count(*) FILTER (doc_id % 100 = 0 AND text IS NOT NULL) AS changed,
+       count(*) FILTER (doc_id % 100 = 1) AS deleted,
+       count(*) FILTER (doc_id % 100 > 1 OR doc_id % 100 = 0 AND text IS NULL) AS unchanged,
+       (SELECT count(*) FROM made) AS chunks_made,
+       (SELECT count(DISTINCT chunk_text) FROM made WHERE chunk_text NOT IN (SELECT chunk_text FROM chunks1)) AS chunks_embedded
+FROM documents"""
+
 SQL["knn_documents"] = f"""WITH {_corpus_ctes()}, {O.knn_cte(CFG, str(CFG.top_k))}
 SELECT query_id, rank, doc_id, chunk_index, round(score, 6) AS score FROM hits"""
 
@@ -361,7 +374,7 @@ hit AS (
     FROM ask a JOIN probe p USING (query_id) JOIN cell c USING (cell)) WHERE rank <= {CFG.top_k}),
 full_hit AS (
   SELECT * FROM (
-    SELECT a.query_id, c.vec_id, row_number() OVER (PARTITION BY a.query_id
+    SELECT a.query_id, c.vec_id, list_inner_product(a.v, c.v) AS score, row_number() OVER (PARTITION BY a.query_id
            ORDER BY round(list_inner_product(a.v, c.v), 12) DESC, c.vec_id) AS rank
     FROM ask a, e c) WHERE rank <= {CFG.top_k})"""
 
@@ -372,6 +385,15 @@ SQL["ivf_recall"] = f"""WITH {_cell_ctes()}
 SELECT f.query_id, round(count(h.vec_id) / count(*), 6) AS recall_at_k, count(*) AS k
 FROM full_hit f LEFT JOIN hit h ON h.query_id = f.query_id AND h.vec_id = f.vec_id GROUP BY f.query_id"""
 
+SQL["cell_search"] = f"WITH {_cell_ctes()} SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM full_hit"
+SQL["cell_search_nprobe"] = SQL["ivf_probe"]
+SQL["cell_search_all"] = f"""SELECT * FROM (
+  SELECT a.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY a.vec_id
+           ORDER BY round(list_inner_product(a.v, c.v), 12) DESC, c.vec_id) AS INTEGER) AS rank,
+         c.vec_id, round(list_inner_product(a.v, c.v), 6) AS score
+  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) a, (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) c)
+WHERE rank <= {CFG.top_k}"""
+
 SQL["knn_per_query_k"] = f"""WITH {_emb_ctes()}
 SELECT query_id, rank, vec_id, round(score, 6) AS score FROM rk WHERE rank <= top_k"""
 
@@ -404,6 +426,8 @@ SQL["index_roundtrip"] = """SELECT vec_id, label, CAST(unnest(range(len(embeddin
 SQL["stream_questions"] = SQL["rag_answers"]
 SQL["result_json"] = SQL["rag_answers"]
 SQL["rag_answers_ivf"] = SQL["rag_answers"]
+SQL["rag_answers_cells"] = SQL["rag_answers"]
+SQL["hit_sources_late"] = SQL["hit_sources"]
 
 
 def _refresh_sql() -> str:
