@@ -5,7 +5,7 @@ twins. Parameters are the reference's published demo configuration
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import demo
@@ -75,6 +75,23 @@ def chunk_windows(spark, sf_dir):
     return ch.select("doc_id", "chunk_index", "token_count", "chunk_text")
 
 
+def chunk_windows_long(spark, sf_dir):
+    """F1 with long documents in parallel: texts over 2000 characters are cut
+    into segments that spread over the tasks; equals ``chunk_windows``."""
+    from ..operators.chunk import chunk_long_documents
+    ch = chunk_long_documents(_clean_docs(spark, sf_dir), CFG.chunk_size, CFG.chunk_overlap, segment_chars=2000)
+    return ch.select("doc_id", "chunk_index", "token_count", "chunk_text")
+
+
+def chunk_table(spark, sf_dir):
+    """UD5: the windows by the SQL table function; equals ``chunk_windows``."""
+    from ..operators.chunk import register_chunk_table
+    register_chunk_table(spark)
+    _clean_docs(spark, sf_dir).select("doc_id", "text").createOrReplaceTempView("chunk_table_docs")
+    return spark.sql(f"SELECT * FROM chunk_table(TABLE(SELECT doc_id, text FROM chunk_table_docs) PARTITION BY (doc_id), "
+                     f"{CFG.chunk_size}, {CFG.chunk_overlap})")
+
+
 def chunk_counts(spark, sf_dir):
     """Chunks actually produced per document next to ``ceil(n/step)``."""
     docs = _clean_docs(spark, sf_dir)
@@ -175,6 +192,13 @@ def chat_render(spark, sf_dir):
     return render_conversations(_conversations(spark, sf_dir))
 
 
+def chat_segments(spark, sf_dir):
+    """F17 in long form: a rendered message per turn, for conversations of any
+    length."""
+    from ..operators.context import conversation_segments
+    return conversation_segments(_conversations(spark, sf_dir))
+
+
 def answer_postprocess(spark, sf_dir):
     """F18 on generated text built from each conversation turn: an echoed
     prompt on even turns, and a ``---`` tail on all."""
@@ -298,6 +322,39 @@ def reliability_scores(spark, sf_dir):
                     "length_coefficient_of_variation", "num_runs", "is_reliable")
 
 
+def _start_of_prompt(messages):
+    """A generator that SQL can follow: the start of the user's message."""
+    return {"answer": messages[-1]["content"][:120], "model": "start", "usage": {"calls": 1}}
+
+
+def _callable_runs(spark, sf_dir):
+    from ..functions import prompt as P
+    from ..operators.generate import repeat_runs
+    from .rag import summarize_hits
+    ctx = summarize_hits(_hits(spark, sf_dir), CFG).filter(F.col("chunks_in_context") > 0)
+    prompts = _questions(spark, sf_dir).join(ctx, "query_id").select("query_id", P.messages(F.col("context"), F.col("question")).alias("messages"))
+    return repeat_runs(prompts, _start_of_prompt, CFG.reliability_runs)
+
+
+def callable_runs(spark, sf_dir):
+    """UD2/UD3: the engine's own callable asked several times per question."""
+    return _callable_runs(spark, sf_dir).select("query_id", F.col("run").cast("int").alias("run"), "answer")
+
+
+def reliability_callable(spark, sf_dir):
+    """C6 over the answers of the callable under test."""
+    from ..operators.evaluate import reliability
+    r = reliability(_callable_runs(spark, sf_dir), _embedder())
+    return r.select("query_id", "mean_consistency", "min_consistency", "std_consistency",
+                    "length_coefficient_of_variation", "num_runs", "is_reliable")
+
+
+def question_report(spark, sf_dir):
+    """PF12: the evaluation per question with the question's text."""
+    from .report import question_report as report
+    return report(quality_scores(spark, sf_dir), _questions(spark, sf_dir), 60)
+
+
 def reliability_pairs(spark, sf_dir):
     """The pairwise scores behind the reliability figures."""
     from ..operators.evaluate import run_pairs
@@ -708,19 +765,23 @@ def stream_index_refresh(spark, sf_dir):
 
 # --- files -----------------------------------------------------------------
 
-IDS_PER_FILE = 1280
+FILE_BYTES = 1 << 20
 
 
 def doc_scan(spark, sf_dir):
     """SRC1-3, SRC6: the documents written as text files, one per source and
-    run of ``IDS_PER_FILE`` ids (a large source becomes many files), plus a
-    CSV copy of the questions that the scan must skip; then scanned back: one
+    ``FILE_BYTES`` of text (a document that crosses the border ends its file), plus
+    a CSV copy of the questions that the scan must skip; then scanned back: one
     row per file with its type, size and a hash of the loaded text."""
     from ..session import scratch_path
     from ..sources.files import load_documents
     base = scratch_path(spark, "files")
-    d = read_table(spark, sf_dir, "documents").withColumn("part", F.floor(F.col("doc_id") / IDS_PER_FILE))
-    (d.select("source", "part", "doc_id", "text").repartition("source", "part")
+    d = read_table(spark, sf_dir, "documents")
+    # the place of a document's first byte in its source's text, from sizes alone
+    before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = d.select("source", "doc_id", (F.octet_length("text") + 1).cast("long").alias("bytes"))
+    parts = sizes.select("doc_id", F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / FILE_BYTES).alias("part"))
+    (d.join(parts, "doc_id").select("source", "part", "doc_id", "text").repartition("source", "part")
      .sortWithinPartitions("source", "part", "doc_id").select("source", "part", "text")
      .write.partitionBy("source", "part").text(base + "/docs"))
     read_table(spark, sf_dir, "benchmark").write.csv(base + "/docs/extra_csv")
@@ -809,6 +870,8 @@ QUERIES = {
     "clean_typography": clean_typography,
     "clean_full": clean_full,
     "chunk_windows": chunk_windows,
+    "chunk_windows_long": chunk_windows_long,
+    "chunk_table": chunk_table,
     "chunk_counts": chunk_counts,
     "embed_hashed": embed_hashed,
     "knn_documents": knn_documents,
@@ -820,6 +883,7 @@ QUERIES = {
     "context_budget": context_budget,
     "prompt_messages": prompt_messages,
     "chat_render": chat_render,
+    "chat_segments": chat_segments,
     "answer_postprocess": answer_postprocess,
     "request_validation": request_validation,
     "safety_flags": safety_flags,
@@ -829,6 +893,9 @@ QUERIES = {
     "chunk_scores": chunk_scores,
     "sources_long": sources_long,
     "sentence_scores": sentence_scores,
+    "callable_runs": callable_runs,
+    "reliability_callable": reliability_callable,
+    "question_report": question_report,
     "reliability_pairs": reliability_pairs,
     "quality_with_runs": quality_with_runs,
     "groundedness_scores": groundedness_scores,

@@ -32,6 +32,8 @@ SQL["clean_full"] = f"WITH {_injected()} SELECT doc_id, {O.clean('raw')} AS text
 SQL["chunk_windows"] = f"""WITH {O.docs_cte(True)}, {O.chunks_cte(CFG)}
 SELECT doc_id, chunk_index, token_count, chunk_text FROM chunks"""
 
+SQL["chunk_windows_long"] = SQL["chunk_table"] = SQL["chunk_windows"]
+
 SQL["chunk_counts"] = f"""WITH {O.docs_cte(True)}, {O.chunks_cte(CFG)},
 made AS (SELECT doc_id, count(*) AS n_chunks FROM chunks GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(regexp_extract_all(d.text, '\\s*\\S+')) AS BIGINT) AS n_tokens,
@@ -137,6 +139,17 @@ SQL["chat_render"] = """SELECT conv_id,
            FILTER (WHERE role IN ('system', 'user', 'assistant')) || chr(10), '') || '<|assistant|>' AS prompt
 FROM conversations GROUP BY conv_id"""
 
+SQL["chat_segments"] = """SELECT conv_id, turn, '<|' || role || '|>' || chr(10) || coalesce(text, '') || '</s>' AS seg
+FROM conversations WHERE role IN ('system', 'user', 'assistant')"""
+
+SQL["callable_runs"] = f"""SELECT query_id, CAST(run AS INTEGER) AS run, substring(user_message, 1, 120) AS answer
+FROM ({SQL["prompt_messages"]}), range({CFG.reliability_runs}) t(run)"""
+
+#: equal answers agree wholly
+SQL["reliability_callable"] = f"""SELECT query_id, 1.0::DOUBLE AS mean_consistency, 1.0::DOUBLE AS min_consistency, 0.0::DOUBLE AS std_consistency,
+  0.0::DOUBLE AS length_coefficient_of_variation, count(*) AS num_runs, true AS is_reliable
+FROM ({SQL["callable_runs"]}) GROUP BY query_id"""
+
 SQL["answer_postprocess"] = f"""WITH g AS (
   SELECT conv_id, turn, '<|' || role || '|>' || chr(10) AS p,
          CASE WHEN turn % 2 = 0 THEN '<|' || role || '|>' || chr(10) ELSE '' END || text
@@ -313,6 +326,10 @@ SELECT query_id, quality_score, relevance, groundedness, safety,
        quality_score >= {CFG.pass_threshold} AND safety AS pass FROM quality"""
 
 
+SQL["question_report"] = f"""SELECT s.query_id, substring(b.text, 1, 60) AS question, quality_score, relevance, groundedness, safety, pass
+FROM ({SQL["quality_scores"]}) s JOIN benchmark b ON b.item_id = s.query_id"""
+
+
 def _compare_sql() -> str:
     from ..functions.prompt import NO_CONTEXT_ANSWER
     return f"""WITH {_quality_ctes()},
@@ -449,11 +466,18 @@ FROM questions q LEFT JOIN hits h USING (query_id) GROUP BY q.query_id)""")
 
 SQL["stream_index_refresh"] = _refresh_sql()
 
-SQL["doc_scan"] = f"""WITH f AS (
-  SELECT source, doc_id // 1280 AS part, string_agg(text, chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY ALL)
+def _scan_sql() -> str:
+    from .catalog import FILE_BYTES
+    return f"""WITH p AS (
+  SELECT source, doc_id, text, coalesce(sum(strlen(text) + 1) OVER (PARTITION BY source ORDER BY doc_id
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // {FILE_BYTES} AS part FROM documents),
+f AS (SELECT source, part, string_agg(text, chr(10) ORDER BY doc_id) AS t FROM p GROUP BY ALL)
 SELECT source, part, '.txt' AS suffix, '.txt' AS format, CAST(strlen(t) + 1 AS BIGINT) AS size_bytes,
        md5({O.strip('t')}) AS text_md5 FROM f"""
 
+
+SQL["doc_scan"] = _scan_sql()
+
 SQL["docx_text"] = f"""SELECT doc_id,
   {O.strip("array_to_string(list_filter(string_split(text, chr(10)), lambda l: length(trim(l)) > 0), chr(10) || chr(10))")} AS text
 FROM documents"""

@@ -44,3 +44,10 @@ def demo_summary(quality: DataFrame, total_chunks: DataFrame) -> DataFrame:
         F.round(F.avg(F.col("pass").cast("double")), 4).alias("pass_rate"),
         F.count(F.lit(1)).alias("n_questions"), F.lit(1).alias("one"))
     return q.join(total_chunks.select("total_chunks", F.lit(1).alias("one")), "one").drop("one")
+
+
+def question_report(quality: DataFrame, questions: DataFrame, cut: int = 200) -> DataFrame:
+    """PF12: the evaluation of every question beside its text, cut for
+    display. ``quality`` is ``evaluate``'s result."""
+    return questions.select("query_id", truncate("question", cut).alias("question")).join(quality, "query_id").select(
+        "query_id", "question", "quality_score", "relevance", "groundedness", "safety", "pass")
