@@ -68,6 +68,58 @@ def train_cells(vectors: DataFrame, nlist: int = 100, vec_col: str = "embedding"
     return spark.createDataFrame(rows, "cell int, centroid array<double>")
 
 
+#: vectors that a training looks at, whatever the table's size
+SAMPLE_ROWS = 200_000
+
+
+def sample_vectors(vectors: DataFrame, rows: int, vec_col: str = "embedding") -> DataFrame:
+    """About ``rows`` vectors at most, chosen by a hash of the vector and so
+    the same in every run; all of them if there are no more. Equal vectors
+    stand or fall together, so a third of equal ones cannot crowd a sample."""
+    distinct = vectors.select(vec_col).where(F.col(vec_col).isNotNull())
+    n = distinct.count()
+    if n <= rows:
+        return distinct
+    h = F.pmod(F.xxhash64(F.col(vec_col).cast("array<double>")), F.lit(1 << 30))
+    return distinct.where(h < int((1 << 30) * rows / n)).distinct()
+
+
+def train_balanced_cells(vectors: DataFrame, nlist: int = 100, vec_col: str = "embedding", seed: int = 42, max_iter: int = 20,
+                         sample_rows: int = SAMPLE_ROWS, most: float = 4.0, levels: int = 3) -> DataFrame:
+    """J2 for large tables: ``cell, centroid`` like ``train_cells``, trained on
+    a bounded sample (``sample_rows``, a parameter of the result's quality only:
+    every row is assigned afterwards).
+
+    Cells that hold more than ``most`` times the mean number of rows are split:
+    their own vectors, again a bounded sample, train the cells that replace
+    them, up to ``levels`` times. A cell whose vectors are all equal cannot be
+    split by distance; it stays, and search deals its rows out in parts."""
+    spark = vectors.sparkSession
+    cents = train_cells(sample_vectors(vectors, sample_rows, vec_col), nlist, vec_col, seed, max_iter)
+    if levels < 2:
+        return cents
+    for level in range(1, levels):
+        assigned = assign_cells(vectors.select(vec_col), cents, vec_col)
+        sizes = {r["cell"]: r["count"] for r in assigned.where(F.col("cell") != UNUSABLE_CELL).groupBy("cell").count().collect()}   # a row per cell
+        limit = most * sum(sizes.values()) / max(1, nlist)
+        rows, split = {r.cell: r.centroid for r in cents.collect()}, False
+        for cell, n in sorted(sizes.items()):
+            if n <= limit:
+                continue
+            mine = sample_vectors(assigned.where(F.col("cell") == cell), sample_rows, vec_col).distinct()
+            if len(mine.limit(2).collect()) < 2:
+                continue
+            new = train_cells(mine, max(2, math.ceil(n / limit * 2)), vec_col, seed + level, max_iter).collect()
+            del rows[cell]
+            top = max([*rows, *sizes])
+            rows |= {top + 1 + i: r.centroid for i, r in enumerate(new)}
+            split = True
+        if not split:
+            break
+        cents = spark.createDataFrame([(i, c) for i, (_, c) in enumerate(sorted(rows.items()))], "cell int, centroid array<double>")
+    return cents
+
+
 def _assigner(bc, vec_col: str, names: list[str]):
     """Compares each row's best cell so far with a block of centroids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -745,6 +745,22 @@ def stream_questions(spark, sf_dir):
                       "chunks_retrieved", "chunks_used", "chunks_in_context")
 
 
+def stream_once(spark, sf_dir):
+    """ST1/ST2 with keyed state: every question is sent three times, twice in
+    batches of one run and once after a restart, and answered once."""
+    from ..session import scratch_path
+    from ..streaming.questions import answer_stream, write_pointer
+    base = scratch_path(spark, "once")
+    write_pointer(spark, base + "/pointer", _build_flat_index(spark, sf_dir, CFG, base + "/index"), 1)
+    for sent in (("a", "b"), ("c",)):
+        for name in sent:
+            _write_questions(spark, sf_dir, f"{base}/in/{name}")
+        answer_stream(spark, base + "/in/*", base + "/pointer", base + "/out", base + "/ckpt", CFG, max_files_per_trigger=1,
+                      once_within="7 days").awaitTermination()
+    return spark.read.parquet(base + "/out").select("query_id", "answer", "error", "model", "n_sources", "top_score",
+                                                    "chunks_retrieved", "chunks_used", "chunks_in_context")
+
+
 def stream_index_refresh(spark, sf_dir):
     """ST3: the same stream restarted after an index rebuild; the second
     batch sees the new index (version 2, default 512/50 windows)."""
@@ -925,6 +941,7 @@ QUERIES = {
     "index_stats": index_stats,
     "index_roundtrip": index_roundtrip,
     "stream_questions": stream_questions,
+    "stream_once": stream_once,
     "stream_index_refresh": stream_index_refresh,
     "doc_scan": doc_scan,
     "docx_text": docx_text,

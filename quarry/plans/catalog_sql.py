@@ -441,6 +441,7 @@ SQL["index_roundtrip"] = """SELECT vec_id, label, CAST(unnest(range(len(embeddin
 
 
 SQL["stream_questions"] = SQL["rag_answers"]
+SQL["stream_once"] = SQL["rag_answers"]
 SQL["result_json"] = SQL["rag_answers"]
 SQL["rag_answers_ivf"] = SQL["rag_answers"]
 SQL["rag_answers_cells"] = SQL["rag_answers"]

@@ -13,6 +13,11 @@ A message is ``{"question", "top_k"}``; a ``query_id`` may be given and is
 passed through as it is. Rows are told apart by a key of the engine's own, so
 messages without an id, or with equal ids, are answered one by one.
 
+With ``once_within`` a message that carries a ``query_id`` and is sent again,
+in the same batch or a later one and across restarts, is answered once: its
+text is keyed state of the query, dropped when the watermark (the time the
+message's file was written) has passed it by that long.
+
 The sink is keyed by batch id: each batch overwrites its own
 ``batch_id=<n>`` partition, so a replay after a failure rewrites the same
 rows (idempotent, exactly-once together with the checkpoint).
@@ -77,18 +82,33 @@ def read_pointer(spark: SparkSession, pointer_path: str):
     return r["index_path"], r["version"]
 
 
+def first_of_each(lines: DataFrame, within: str, value_col: str = "value") -> DataFrame:
+    """The first of equal messages of a streaming frame over files. Messages
+    without a ``query_id`` are questions of their own and all stay. State is one
+    key per message for ``within``; it is partitioned by the key."""
+    named = F.get_json_object(value_col, "$.query_id").isNotNull()
+    own = F.expr("uuid()")
+    keyed = lines.select(value_col, F.col("_metadata.file_modification_time").alias("__received"),
+                         F.when(named, F.concat(F.lit("="), F.sha2(value_col, 256))).otherwise(own).alias("__key"))
+    return keyed.withWatermark("__received", within).dropDuplicatesWithinWatermark(["__key"]).select(value_col)
+
+
 def answer_stream(spark: SparkSession, source_dir: str, pointer_path: str, sink_path: str,
                   checkpoint_path: str, cfg: Config = DEFAULT, embedder=None,
                   generator: Callable | None = None, max_files_per_trigger: int | None = None,
-                  available_now: bool = True):
+                  available_now: bool = True, once_within: str | None = None):
     """ST1: start the continuous query; returns the ``StreamingQuery``. The
-    pointer names saved indexes (``operators.index.save_index``)."""
+    pointer names saved indexes (``operators.index.save_index``). ``once_within``
+    (such as ``"1 day"``) is how long repeated messages are known."""
     from ..plans.rag import answer_from_index
 
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    msgs = parse_messages(reader.load(source_dir), default_k=cfg.top_k)
+    lines = reader.load(source_dir)
+    if once_within:
+        lines = first_of_each(lines, once_within)
+    msgs = parse_messages(lines, default_k=cfg.top_k)
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         index_path, version = read_pointer(spark, pointer_path)

@@ -186,3 +186,48 @@ def test_stream_reader_sees_a_delta(spark, workdir):
     update_index(spark, docs.unionByName(spark.createDataFrame([(3, "green pears fall", "c.txt")], docs.schema)), path, cfg)
     second = answer_from_index(spark, ask, path, cfg).first()
     assert first.chunks_used == 0 and [s.filename for s in second.sources][0] == "c.txt"
+
+
+def test_balanced_cells_train_on_a_sample_and_split_what_is_too_big(spark):
+    from quarry.operators.index import sample_vectors, train_balanced_cells
+    rnd = np.random.default_rng(9)
+    big = rnd.normal(size=DIM)
+    rows = [(i, (big + rnd.normal(size=DIM) * 0.3).tolist()) for i in range(1500)]                    # one wide cluster
+    rows += [(2000 + i, (rnd.normal(size=DIM) * 3).tolist()) for i in range(300)]
+    rows += [(5000 + i, [7.0] * DIM) for i in range(900)]                                             # a third is one vector
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4).checkpoint()
+    sample = sample_vectors(v, 500)
+    assert 200 < sample.count() < 800 and sorted(map(str, sample.collect())) == sorted(map(str, sample_vectors(v, 500).collect()))
+    cents = train_balanced_cells(v, 12, sample_rows=500, most=2.0)
+    sizes = {r["cell"]: r["count"] for r in assign_cells(v.where("vec_id < 5000"), cents).groupBy("cell").count().collect()}
+    assert sum(sizes.values()) == 1800 and max(sizes.values()) <= 2.0 * 2700 / 12 * 1.5
+    idx = assign_cells(v, cents).checkpoint()
+    assert idx.count() == 2700 and idx.where("vec_id >= 5000").select("cell").distinct().count() == 1
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = table(knn(q, v, 5, corpus_keys=("vec_id",)))
+    bounds = C.cell_bounds(idx, cents)
+    got, work = C.knn_by_cells(q, idx, bounds, 5, corpus_keys=("vec_id",), part_rows=200)
+    assert table(got) == exact
+    near = table(C.knn_by_cells(q, idx, bounds, 5, corpus_keys=("vec_id",), nprobe=max(1, cents.count() * 6 // 10), exact=False)[0])
+    assert len(set(near) & set(exact)) >= 0.9 * len(exact)
+
+
+def test_messages_sent_again_are_answered_once(spark, workdir):
+    from quarry.streaming.questions import first_of_each
+
+    def send(name, values):
+        spark.createDataFrame([(v,) for v in values], "value string").coalesce(1).write.text(f"{workdir}/in/{name}")
+
+    def run():
+        lines = first_of_each(spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(f"{workdir}/in/*"), "1 day")
+        q = lines.writeStream.format("parquet").option("checkpointLocation", f"{workdir}/ckpt").trigger(availableNow=True).start(f"{workdir}/out")
+        q.awaitTermination()
+        return sorted(r.value for r in spark.read.parquet(f"{workdir}/out").collect())
+
+    one, two, free = '{"query_id": 1, "question": "a"}', '{"query_id": 2, "question": "b"}', '{"question": "a"}'
+    send("a", [one, one, free, "broken"])
+    send("b", [one, two, free])
+    send("c", [two])
+    assert run() == sorted([one, two, free, free, "broken"])
+    send("d", [one, two, free, '{"query_id": 3, "question": "a"}'])
+    assert run() == sorted([one, two, free, free, free, "broken", '{"query_id": 3, "question": "a"}'])
