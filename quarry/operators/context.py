@@ -1,5 +1,4 @@
-"""Context assembly under a token budget (W2, F15, F16) and source
-projection (PF8, A9, A15).
+"""The token budget of a context (W2) and conversation rendering.
 
 All per-question groups here are bounded by the question's k (at most
 ``max_top_k`` rows), so ordered collection per question is safe.
@@ -10,7 +9,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import prompt as P
-from ..functions.text import preview
 
 
 def budget_context(hits: DataFrame, max_tokens: int, key: str = "query_id") -> DataFrame:
@@ -25,32 +23,6 @@ def budget_context(hits: DataFrame, max_tokens: int, key: str = "query_id") -> D
         .withColumn("in_context", F.col("running_tokens") <= F.lit(max_tokens))
 
 
-def context_blocks(hits: DataFrame, key: str = "query_id") -> DataFrame:
-    """per question, the in-context sections joined by a blank line,
-    in rank order. Expects ``rank, filename, chunk_index, score, chunk_text,
-    in_context``."""
-    sec = F.struct(F.col("rank"), P.section("filename", "chunk_index", "score", "chunk_text").alias("s"))
-    return hits.filter("in_context").groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(sec)), lambda x: x["s"]),
-                     P.SECTION_SEPARATOR).alias("context"),
-        F.count(F.lit(1)).cast("int").alias("chunks_in_context"),
-        F.max("running_tokens").cast("int").alias("context_tokens"))
-
-
-def source_list(hits: DataFrame, key: str = "query_id") -> DataFrame:
-    """PF8 + A9: ordered ``sources`` array and ``scores`` per question."""
-    src = F.struct(
-        F.col("rank"),
-        F.coalesce(F.col("filename"), F.lit(P.MISSING_SOURCE)).alias("filename"),
-        F.col("chunk_index"),
-        F.round("score", 4).alias("score"),
-        preview("chunk_text").alias("preview"))
-    srt = F.array_sort(F.collect_list(src))
-    return hits.groupBy(key).agg(
-        F.transform(srt, lambda x: x.dropFields("rank")).alias("sources"),
-        F.transform(srt, lambda x: x["score"]).alias("scores"))
-
-
 def conversation_segments(conv: DataFrame) -> DataFrame:
     """F17 in long form: ``conv_id, turn, seg``, a rendered message per turn
     (roles outside the template left out). For conversations too long for one

@@ -210,7 +210,15 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
     final = ["query_id", "rank", *corpus_keys, "score", *[c for c in payload if c not in corpus_keys]]
     if n == 0:
         return spark.createDataFrame([], out_schema).withColumn("rank", F.lit(1)).select(*final)
-    cells = _cell_table(centroids, nprobe, broadcast_limit_bytes) if cell_col else None
+    if cell_col and _beyond(centroids, broadcast_limit_bytes):
+        from .cells import cell_bounds, knn_by_cells
+        index = corpus.withColumn("cell", F.col(cell_col))
+        hits, _ = knn_by_cells(queries, index, cell_bounds(index, centroids, corpus_vec), k, query_key=query_key, query_vec=query_vec,
+                               corpus_keys=corpus_keys, corpus_vec=corpus_vec, per_query_k=per_query_k, nprobe=nprobe, exact=False,
+                               broadcast_limit_bytes=broadcast_limit_bytes)
+        carried = [c for c in payload if c not in corpus_keys]
+        return (hits.join(corpus.select(*corpus_keys, *carried), list(corpus_keys)) if carried else hits).select(*final)
+    cells = _cell_table(centroids, nprobe) if cell_col else None
     blocks = max(1, math.ceil(n * (dim * 8 + 32) / broadcast_limit_bytes), math.ceil(n * kmax / max_candidates))
     scan = corpus.select(*cols)
     staged = None
@@ -254,13 +262,17 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
     return out
 
 
-def _cell_table(centroids: DataFrame | None, nprobe: int, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The centroid matrix (its size is checked first), its cells, nprobe."""
+def _beyond(centroids: DataFrame | None, limit: int) -> bool:
+    """Whether the centroids are too large to be broadcast whole; then the
+    join by cell takes them in blocks."""
     if centroids is None:
         raise ValueError("cell search needs a centroid table")
     r = centroids.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("centroid")).alias("w")).first()
-    if r["n"] * (r["w"] or 0) * 8 > limit:
-        raise ValueError("the centroid table is larger than the broadcast limit; train fewer cells")
+    return r["n"] * (r["w"] or 0) * 8 > limit
+
+
+def _cell_table(centroids: DataFrame, nprobe: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The centroid matrix, its cells, nprobe."""
     t = centroids.select("cell", F.col("centroid").cast("array<double>").alias("centroid")).orderBy("cell").toArrow()
     at, m = _vectors(t.column("centroid"), None)
     return m, t.column("cell").to_numpy()[at], nprobe

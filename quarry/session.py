@@ -33,7 +33,7 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int | None = None,
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config("quarry.scan.parallelism", str(n))
+        .config("spark.quarry.scan.parallelism", str(n))
         .getOrCreate()
     )
     checkpoint_dir(spark)

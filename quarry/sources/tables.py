@@ -12,11 +12,11 @@ TEXT_TABLES = ("documents", "conversations", "pages")
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A shared table. How finely a scan is cut is left to Spark's own
     settings (``spark.sql.files.maxPartitionBytes`` and the row groups), unless
-    the session names ``quarry.scan.parallelism``: then text tables, whose rows
+    the session names ``spark.quarry.scan.parallelism``: then text tables, whose rows
     cost CPU, are dealt over that many partitions. Local sessions set it, since
     a table of one row group would run on one core; a cluster leaves it unset."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    n = spark.conf.get("quarry.scan.parallelism", None)
+    n = spark.conf.get("spark.quarry.scan.parallelism", None)
     return df.repartition(int(n)) if n and name in TEXT_TABLES else df
 
 

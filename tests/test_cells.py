@@ -69,6 +69,18 @@ def test_join_by_cell_equals_the_search_of_all_rows(spark, limit):
     assert table(near) == table(knn(q, idx, 4, corpus_keys=("vec_id",), cell_col="cell", centroids=cents, nprobe=2))
 
 
+def test_centroids_beyond_the_broadcast_limit_are_searched_in_blocks(spark):
+    from quarry.operators.index import search_ivf
+    v = vectors(spark, 200).withColumn("name", F.concat(F.lit("n"), "vec_id"))
+    cents = train_cells(v.where("vec_id < 20000"), 8)
+    idx = assign_cells(v, cents, broadcast_limit_bytes=2 * DIM * 8).checkpoint()
+    q = v.where("vec_id % 5 = 0 AND vec_id < 10000").select(F.col("vec_id").alias("query_id"), "embedding")
+    one = search_ivf(q, idx, cents, 3, nprobe=2, corpus_keys=("vec_id",), payload=("name",))
+    many = search_ivf(q, idx, cents, 3, nprobe=2, corpus_keys=("vec_id",), payload=("name",), broadcast_limit_bytes=2 * DIM * 8)
+    assert many.columns == one.columns and table(many) == table(one)
+    assert all(r.name == f"n{r.vec_id}" for r in many.collect())
+
+
 def test_many_questions_never_reach_the_driver(spark, monkeypatch):
     v = vectors(spark, 300)
     idx, bounds = indexed(spark, v, 5)
