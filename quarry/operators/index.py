@@ -237,7 +237,8 @@ def append_delta(spark: SparkSession, path: str, rows: DataFrame, gone: DataFram
     if last["type"] == "IVFFlat":
         cents = spark.read.parquet(f"{path}/{last['folder']}/centroids")
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = assign_cells(rows, cents).repartitionByRange(n, "cell", "doc_id")
+        keys = [c for c in ("doc_id", "chunk_index", "vec_id") if c in rows.columns]
+        rows = assign_cells(rows, cents).repartitionByRange(n, "cell", *keys)
         rows.write.option("maxRecordsPerFile", max_records_per_file).partitionBy("cell").parquet(f"{path}/{folder}/data")
     else:
         rows.write.parquet(f"{path}/{folder}/data")

@@ -13,7 +13,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import functions as F  # noqa: E402
 
 from quarry.config import demo  # noqa: E402
-from quarry.operators.index import assign_cells, load_index, save_index, train_cells  # noqa: E402
+from quarry.operators.cells import _cells_of, cell_bounds, score_cells  # noqa: E402
+from quarry.operators.chunk import chunk_long_documents  # noqa: E402
+from quarry.operators.index import append_delta, assign_cells, load_index, save_index, train_cells  # noqa: E402
+from quarry.operators.store import fetch, save_store  # noqa: E402
 from quarry.operators.search import knn  # noqa: E402
 from quarry.plans import catalog as C  # noqa: E402
 from quarry.plans.rag import prepare_chunks, summarize_hits  # noqa: E402
@@ -58,7 +61,24 @@ def main():
     out += ["## C2: per-question window + aggregate share one exchange", "```",
             plan(summarize_hits(hits, cfg)), "```", ""]
 
-    out += ["## W5: prefix sum in levels (totals per year and hour, then a running sum inside each hour)", "```",
+    bounds = cell_bounds(idx, c).checkpoint()
+    asks = e.select(F.col("vec_id").alias("q"), F.col("embedding").cast("array<double>").alias("v"), F.lit(5).cast("long").alias("k"))
+    pairs = _cells_of(asks, bounds, 1, 1 << 26).checkpoint()
+    out += ["## J1/J4: questions joined with the index by cell (only cells that are asked are read; hot cells in parts)", "```",
+            plan(score_cells(pairs, idx, bounds, ["vec_id"], "embedding")), "```", ""]
+
+    texts = save_store(prepare_chunks(docs, cfg).select("doc_id", "chunk_index", "filename", "chunk_text"), scratch_path(spark, "texts"))
+    out += ["## J5: texts fetched for the hits (dynamic pruning of the store's slices; the vector pass above reads no text)", "```",
+            plan(fetch(hits.where("rank = 1").select("query_id", "doc_id", "chunk_index").limit(3), texts, ["chunk_text"])), "```", ""]
+
+    append_delta(spark, path, e.where("vec_id % 50 = 0").withColumn("vec_id", -F.col("vec_id") - 1))
+    out += ["## SRC7: an index of a base and a delta (no voided documents here, so a plain union; else an anti-join by document)", "```",
+            plan(load_index(spark, path)[0]), "```", ""]
+
+    out += ["## F1: long documents (segments dealt to all tasks, prefix sum of piece counts, border windows joined)", "```",
+            plan(chunk_long_documents(docs, cfg.chunk_size, cfg.chunk_overlap, segment_chars=2000)), "```", ""]
+
+    out += ["## W5: prefix sum over balanced ranges of (time, key)", "```",
             plan(C.event_running_total(spark, SF)), "```", ""]
 
     out += ["## T2: single question as a literal vector, TakeOrderedAndProject", "```",
