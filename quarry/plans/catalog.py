@@ -782,16 +782,15 @@ def stream_index_refresh(spark, sf_dir):
 # --- files -----------------------------------------------------------------
 
 FILE_BYTES = 1 << 20
+RANGE_BYTES = 1 << 17
 
 
-def doc_scan(spark, sf_dir):
-    """SRC1-3, SRC6: the documents written as text files, one per source and
+def _written_files(spark, sf_dir) -> str:
+    """The folder of the documents written as text files, one per source and
     ``FILE_BYTES`` of text (a document that crosses the border ends its file), plus
-    a CSV copy of the questions that the scan must skip; then scanned back: one
-    row per file with its type, size and a hash of the loaded text."""
+    a CSV copy of the questions that a scan must skip."""
     from ..session import scratch_path
-    from ..sources.files import load_documents
-    base = scratch_path(spark, "files")
+    base = scratch_path(spark, "files") + "/docs"
     d = read_table(spark, sf_dir, "documents")
     # the place of a document's first byte in its source's text, from sizes alone
     before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -799,16 +798,40 @@ def doc_scan(spark, sf_dir):
     parts = sizes.select("doc_id", F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / FILE_BYTES).alias("part"))
     (d.join(parts, "doc_id").select("source", "part", "doc_id", "text").repartition("source", "part")
      .sortWithinPartitions("source", "part", "doc_id").select("source", "part", "text")
-     .write.partitionBy("source", "part").text(base + "/docs"))
-    read_table(spark, sf_dir, "benchmark").write.csv(base + "/docs/extra_csv")
-    docs, bad = load_documents(spark, base + "/docs")
+     .write.partitionBy("source", "part").text(base))
+    read_table(spark, sf_dir, "benchmark").write.csv(base + "/extra_csv")
+    return base
+
+
+def _file_keys() -> list:
+    return [F.regexp_extract("filepath", r"source=([^/]+)", 1).alias("source"),
+            F.regexp_extract("filepath", r"part=(\d+)", 1).cast("long").alias("part")]
+
+
+def doc_scan(spark, sf_dir):
+    """SRC1-3, SRC6: the documents' files scanned back: one row per file with
+    its type, size and a hash of the loaded text."""
+    from ..sources.files import load_documents
+    docs, bad = load_documents(spark, _written_files(spark, sf_dir))
     return docs.select(
-        F.regexp_extract("filepath", r"source=([^/]+)", 1).alias("source"),
-        F.regexp_extract("filepath", r"part=(\d+)", 1).cast("long").alias("part"),
-        F.regexp_extract("filename", r"\.[a-z]+$", 0).alias("suffix"), "format", "size_bytes",
+        *_file_keys(), F.regexp_extract("filename", r"\.[a-z]+$", 0).alias("suffix"), "format", "size_bytes",
         F.md5("text").alias("text_md5"))
 
 
+def doc_ranges(spark, sf_dir):
+    """SRC1-3 by bytes: the same files read in ranges of ``RANGE_BYTES`` by the
+    data source, and put together again; a file is bounded by ``FILE_BYTES`` and
+    the document that crosses it, so a row is too."""
+    from ..functions.text import strip
+    from ..sources.ranges import load_ranges
+    docs, bad = load_ranges(spark, _written_files(spark, sf_dir), "format = '.txt'", rangebytes=RANGE_BYTES)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "")
+    got = docs.groupBy("doc_id", "filepath", "format", "size_bytes").agg(
+        F.count("*").alias("n_ranges"), F.sum(F.octet_length("text")).alias("range_bytes"),
+        F.sum(F.regexp_count("text", F.lit("\n"))).alias("n_lines"), text.alias("text"))
+    return got.select(*_file_keys(), "format", "size_bytes", "n_ranges", "range_bytes", "n_lines", F.md5(strip("text")).alias("text_md5"))
+
+
 def _docx_bytes(df: DataFrame) -> DataFrame:
     """DOCX packages built from each document's lines (one paragraph each)."""
     import pandas as pd
@@ -944,6 +967,7 @@ QUERIES = {
     "stream_once": stream_once,
     "stream_index_refresh": stream_index_refresh,
     "doc_scan": doc_scan,
+    "doc_ranges": doc_ranges,
     "docx_text": docx_text,
     "quarantine": quarantine,
     "event_lines": event_lines,

@@ -467,17 +467,25 @@ FROM questions q LEFT JOIN hits h USING (query_id) GROUP BY q.query_id)""")
 
 SQL["stream_index_refresh"] = _refresh_sql()
 
-def _scan_sql() -> str:
+def _files_sql() -> str:
     from .catalog import FILE_BYTES
     return f"""WITH p AS (
   SELECT source, doc_id, text, coalesce(sum(strlen(text) + 1) OVER (PARTITION BY source ORDER BY doc_id
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // {FILE_BYTES} AS part FROM documents),
 f AS (SELECT source, part, string_agg(text, chr(10) ORDER BY doc_id) AS t FROM p GROUP BY ALL)
-SELECT source, part, '.txt' AS suffix, '.txt' AS format, CAST(strlen(t) + 1 AS BIGINT) AS size_bytes,
-       md5({O.strip('t')}) AS text_md5 FROM f"""
+"""
 
 
-SQL["doc_scan"] = _scan_sql()
+def _ranges_sql() -> str:
+    from .catalog import RANGE_BYTES
+    return f"""{_files_sql()}SELECT source, part, '.txt' AS format, CAST(strlen(t) + 1 AS BIGINT) AS size_bytes,
+       CAST((strlen(t) + {RANGE_BYTES}) // {RANGE_BYTES} AS BIGINT) AS n_ranges, CAST(strlen(t) + 1 AS BIGINT) AS range_bytes,
+       CAST(length(t) - length(replace(t, chr(10), '')) + 1 AS BIGINT) AS n_lines, md5({O.strip('t')}) AS text_md5 FROM f"""
+
+
+SQL["doc_scan"] = f"""{_files_sql()}SELECT source, part, '.txt' AS suffix, '.txt' AS format,
+       CAST(strlen(t) + 1 AS BIGINT) AS size_bytes, md5({O.strip('t')}) AS text_md5 FROM f"""
+SQL["doc_ranges"] = _ranges_sql()
 
 SQL["docx_text"] = f"""SELECT doc_id,
   {O.strip("array_to_string(list_filter(string_split(text, chr(10)), lambda l: length(trim(l)) > 0), chr(10) || chr(10))")} AS text

@@ -10,6 +10,9 @@ quarantine (SRC1-SRC6).
   registering a function ``bytes -> str``).
 * SRC5: a failing file never fails the job: it becomes a row of the
   quarantine table with its error.
+
+A file is one row here, and Spark's scan leaves out files of no bytes.
+``ranges.load_ranges`` reads files of any size in ranges, empty ones too.
 """
 from __future__ import annotations
 
