@@ -1,14 +1,15 @@
 """Personal data replaced by format-preserving pseudonyms (DataFrame functions only).
 
 Candidates are found by one pattern and then validated: payment cards (Luhn),
-IBANs (remainder 97), social security numbers (issued ranges), phone numbers
-(8 to 15 digits), IPv4 addresses (octets), calendar dates, mail addresses.
-What fails its check is left alone.
+IBANs (remainder 97; in small letters also the country's length), social security
+numbers (issued ranges), phone numbers (8 to 15 digits; in the American grouping
+no area or exchange 000, and with blanks alone none that begins with 0 or 1), IPv4
+addresses (octets), calendar dates, mail addresses. What fails its check is left alone.
 
 A valid value becomes a list of symbols with a radix each and is permuted by a
 keyed Feistel network: in turn, the symbols at even and at odd places are
-shifted by a digest of the others, modulo their radix. That is a permutation of
-the format's values, so equal values get equal pseudonyms in every document,
+shifted by 32 bits each of a digest of the others, modulo their radix. That is a
+permutation of the format's values, so equal values get equal pseudonyms in every document,
 different values different ones, and who holds the key can invert it. Check
 digits are computed anew, so a pseudonym passes the same validation:
 
@@ -16,7 +17,8 @@ digits are computed anew, so a pseudonym passes the same validation:
 - IBANs: country and length stay, letters stay letters
 - phones: the country code (up to a separator, else one digit; a leading 1-) stays
 - dates: the day number within the 400 years 1700 to 2099 (27 * 5411 days), so
-  one date written in two ways stays one date; the way it is written stays
+  one date written in two ways stays one date; the way it is written stays. With
+  slashes or hyphens the month comes first where that is a date, with dots the day
 - mail addresses: letters and digits of the local part; the domain stays
 
 The work is per row: no shuffle, no Python. Defined results: a null text stays
@@ -32,11 +34,18 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-DATE = r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}"
+DATE = r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4}"
 IPV4 = r"(?:\d{1,3}\.){3}\d{1,3}"
 SSN = r"\d{3}-\d{2}-\d{4}"
 CARD = r"\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}"
 IBAN = r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)"
+#: in small letters without blanks only, where words and digests would look alike
+SMALL_IBAN = r"[a-z]{2}\d{2}[a-z0-9]{11,30}"
+#: fixed values: the length of an IBAN by country, from the public register
+IBAN_LENGTHS = """
+ad24 ae23 al28 at20 az28 ba20 be16 bg22 bh22 br29 ch21 cr22 cy28 cz24 de22 dk18 do28 ee20 es24 fi18 fo18 fr27 gb22 ge22
+gi23 gl18 gr27 gt28 hr21 hu28 ie22 il23 is26 it27 jo30 kw30 kz20 lb28 li21 lt20 lu20 lv21 mc27 md24 me22 mk19 mr27 mt31
+mu30 nl18 no15 pk24 pl28 ps29 pt25 qa29 ro24 rs22 sa24 se24 si19 sk24 sm27 tn24 tr26 ua29 vg24 xk20""".split()
 PHONE = r"(?:1[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}|(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}"
 #: at most 15 digits, so that numbers after a phone do not make it too long
 WORLD = r"\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,4}(?<!" + r"\d[ .()-]{0,2}" * 15 + r"\d)"
@@ -58,7 +67,8 @@ CANDIDATE = "|".join([
     rf"(?<![\p{{L}}\p{{N}}_.%+@-]){MAIL}(?![\p{{L}}\p{{N}}_-])",
     rf"(?<![\p{{L}}\p{{N}}+])(?:{WORLD})(?![\p{{L}}\p{{N}}]|[.-]\d)",
     rf"(?<![\p{{L}}\p{{N}}])(?:{IBAN})(?![\p{{L}}\p{{N}}])",
-    *(_alone(p, sep) for p, sep in zip(DATE.split("|"), "-/./")),
+    rf"(?<![\p{{L}}\p{{N}}])(?:{SMALL_IBAN})(?![\p{{L}}\p{{N}}])",
+    *(_alone(p, sep) for p, sep in zip(DATE.split("|"), "-/./-")),
     _alone(IPV4, "."), _alone(SSN, "-"),
     _alone(r"\d{13,19}", "."),                                  # a dot makes it a decimal number
     _alone(r"\d{4} \d{4} \d{4} \d{1,7}|\d{4} \d{6} \d{5}"),
@@ -91,10 +101,14 @@ def feistel(symbols: Column, radix: Column, key: str, kind: str) -> Column:
     """The keyed permutation of a list of whole numbers, each below its radix."""
     def turn(x: Column, r: Column) -> Column:
         others = F.concat_ws(",", F.transform(F.filter(x, lambda v, i: i % 2 != r % 2), lambda v: v.cast("string")))
-        digest = F.sha2(F.concat(F.lit(f"{key}|{kind}|"), F.size(x).cast("string"), F.lit("|"), r.cast("string"), F.lit("|"), others), 256)
+        # a digest has 16 words of 32 bits, enough for 32 symbols of which half are shifted
+        blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(x) - 1, F.lit(0)) / 32).cast("int"))
+        digest = F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat(
+            F.lit(f"{key}|{kind}|"), F.size(x).cast("string"), F.lit("|"), r.cast("string"), F.lit("|"), b.cast("string"), F.lit("|"),
+            others), 512)), "")
+        word = lambda d, i: F.conv(d.substr(1 + 8 * F.floor(i / 2).cast("int"), F.lit(8)), 16, 10).cast("bigint")
         return F.get(F.transform(F.array(digest), lambda d: F.transform(x, lambda v, i: F.when(
-            i % 2 == r % 2, F.pmod(v + F.conv(d.substr(1 + 4 * (F.floor(i / 2).cast("int") % 16), F.lit(4)), 16, 10).cast("int"),
-                                   F.get(radix, i))).otherwise(v))), F.lit(0))
+            i % 2 == r % 2, F.pmod(v + word(d, i), F.get(radix, i)).cast("int")).otherwise(v))), F.lit(0))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), symbols.cast("array<int>"), turn)
 
@@ -147,14 +161,18 @@ def _iban(m: Column, key: str) -> Column:
     land, body = m.substr(1, 2), m.substr(F.lit(5), F.length(m))
     new = _let(_permuted(body, key, "iban"), lambda b: F.concat(
         land, F.lpad((98 - _remainder97(F.concat(b, land, F.lit("00")))).cast("string"), 2, "0"), b))
-    return F.when(_remainder97(F.concat(body, m.substr(1, 4))) == 1, new)
+    known = F.array_contains(F.array(*map(F.lit, IBAN_LENGTHS)), F.concat(land, F.length(m).cast("string")))
+    return F.when((_remainder97(F.concat(body, m.substr(1, 4))) == 1) & (m.rlike("^[A-Z]") | known), new)
 
 
 def _phone(m: Column, key: str) -> Column:
     kept = F.coalesce(F.nullif(F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0), F.lit("")),
                       F.regexp_extract(m, r"^(?:\+\d|1[ .-]|1(?=\())", 0))
     rest = m.substr(F.length(kept) + 1, F.length(m))
-    return F.when(F.size(_digits(m)).between(8, 15), F.concat(kept, _permuted(rest, key, "phone")))
+    american = rest.rlike(r"^[ (]*\d{3}\D{1,2}\d{3}\D\d{4}$") & ~m.startswith("+")
+    digits = _letters(rest)
+    none = (digits.substr(1, 3) == "000") | (digits.substr(4, 3) == "000") | (rest.rlike(r"^[\d ]+$") & digits.rlike("^(?:[01]|...[01])"))
+    return F.when(F.size(_digits(m)).between(8, 15) & ~(american & none), F.concat(kept, _permuted(rest, key, "phone")))
 
 
 def _mail(m: Column, key: str) -> Column:
@@ -184,8 +202,8 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """Year first; or day, month, year; with slashes month, day, year where
-    that is a date."""
+    """Year first; or day, month, year; with slashes and hyphens month, day,
+    year where that is a date."""
     part = F.split(m, "[./-]")
     a, b, c = (F.get(part, F.lit(i)) for i in range(3))
     sep = F.regexp_extract(m, "[./-]", 0)
@@ -193,7 +211,7 @@ def _date(m: Column, key: str) -> Column:
     day = lambda y, mo, d: F.try_to_date(F.concat_ws("-", y, two(mo), two(d)), "yyyy-MM-dd")
     year_first = F.length(a) == 4
     american = day(c, a, b)
-    us = ~year_first & (sep == "/") & american.isNotNull()
+    us = ~year_first & (sep != ".") & american.isNotNull()
     when = F.when(year_first, day(a, b, c)).when(us, american).otherwise(day(c, b, a))
     start = F.to_date(F.lit("1700-01-01"))
     number = F.date_diff(when, start)
@@ -212,7 +230,7 @@ def _date(m: Column, key: str) -> Column:
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of a candidate; null if it fails its validation."""
     whole = lambda p: m.rlike(f"^(?:{p})$")
-    return (F.when(m.contains("@"), _mail(m, key)).when(m.rlike(r"^\+"), _phone(m, key)).when(m.rlike("^[A-Z]"), _iban(m, key))
+    return (F.when(m.contains("@"), _mail(m, key)).when(m.rlike(r"^\+"), _phone(m, key)).when(m.rlike("^[A-Za-z]"), _iban(m, key))
             .when(whole(DATE), _date(m, key)).when(whole(IPV4), _ip(m, key)).when(whole(SSN), _ssn(m, key))
             .when(whole(CARD), _card(m, key)).otherwise(_phone(m, key)))
 

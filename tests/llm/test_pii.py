@@ -1,3 +1,4 @@
+import datetime
 import hashlib
 import random
 import re
@@ -14,11 +15,83 @@ def feistel(x, radix, kind):
     x = list(x)
     for r in range(pii.ROUNDS):
         others = ",".join(str(v) for i, v in enumerate(x) if i % 2 != r % 2)
-        d = hashlib.sha256(f"{KEY}|{kind}|{len(x)}|{r}|{others}".encode()).hexdigest()
-        x = [(v + int(d[4 * (i // 2 % 16):][:4], 16)) % radix[i] if i % 2 == r % 2 else v for i, v in enumerate(x)]
+        d = b"".join(hashlib.sha512(f"{KEY}|{kind}|{len(x)}|{r}|{b}|{others}".encode()).digest() for b in range((len(x) + 31) // 32))
+        x = [(v + int.from_bytes(d[4 * (i // 2):][:4], "big")) % radix[i] if i % 2 == r % 2 else v for i, v in enumerate(x)]
     return x
 
 
+def in_classes(s, kind):
+    """Letters and digits of a string permuted within their classes."""
+    at = [i for i, c in enumerate(s) if c.isascii() and c.isalnum()]
+    first = lambda c: "0" if c.isdigit() else "a" if c.islower() else "A"
+    new = feistel([ord(s[i]) - ord(first(s[i])) for i in at], [10 if s[i].isdigit() else 26 for i in at], kind)
+    out = list(s)
+    for i, v in zip(at, new):
+        out[i] = chr(ord(first(s[i])) + v)
+    return "".join(out)
+
+
+def mod97(s):
+    return int("".join(str(int(c, 36)) for c in s if c.isalnum())) % 97
+
+
+def plain_iban(m):
+    land, check, body = m[:2], m[2:4], m[4:]
+    if mod97(body + land + check) != 1:
+        return None
+    new = in_classes(body, "iban")
+    return f"{land}{98 - mod97(new + land + '00'):02}{new}"
+
+
+def plain_ssn(m):
+    a, g, n = map(int, m.split("-"))
+    if a in (0, 666) or a > 899 or not g or not n:
+        return None
+    a, g, n = feistel([a - 1 - (a > 666), g - 1, n - 1], [898, 99, 9999], "ssn")
+    return f"{a + 1 + (a >= 665):03}-{g + 1:02}-{n + 1:04}"
+
+
+def plain_ip(m):
+    parts = m.split(".")
+    if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
+        return None
+    return ".".join(map(str, feistel(map(int, parts), [256] * 4, "ip")))
+
+
+def plain_date(m):
+    sep = re.search("[./-]", m)[0]
+    a, b, c = m.split(sep)
+    forms = [("y", "m", "d")] if len(a) == 4 else [("d", "m", "y")] if sep == "." else [("m", "d", "y"), ("d", "m", "y")]
+    for form in forms:
+        x = dict(zip(form, (a, b, c)))
+        try:
+            day = datetime.date(*(int(x[k]) for k in "ymd"))
+        except ValueError:
+            continue
+        n = (day - datetime.date(1700, 1, 1)).days
+        if not 0 <= n < 27 * 5411:
+            return None
+        q, r = feistel(divmod(n, 5411), [27, 5411], "date")
+        new = datetime.date(1700, 1, 1) + datetime.timedelta(q * 5411 + r)
+        v = {"y": new.year, "m": new.month, "d": new.day}
+        return sep.join(f"{v[k]:0{len(x[k]) if len(x[k]) != 1 else 0}}" for k in form)
+    return None
+
+
+def plain_phone(m):
+    kept = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d|1[ .-]|1(?=\()|", m)[0]
+    rest = m[len(kept):]
+    digits = re.sub(r"\D", "", rest)
+    if m[0] != "+" and ("000" in (digits[:3], digits[3:6]) or (re.fullmatch(r"[\d ]+", rest) and (digits[0] in "01" or digits[3] in "01"))):
+        return None
+    return kept + in_classes(rest, "phone")
+
+
+def plain_mail(m):
+    local, _, domain = m.partition("@")
+    return None if ".." in domain else in_classes(local, "mail") + "@" + domain
+
+
 def luhn(s):
     return sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(reversed(s))) % 10 == 0
 
@@ -123,3 +196,44 @@ def test_very_long_texts_of_every_pattern_end_well(spark):
 def test_mail_domains(spark):
     texts = ["a.b@x.y.example.com", "a.b@x..com", "a.b@-x.co.uk,", "a.b@x.c", "a.b@x.com.", "a.b@x.com.5", "a.b@x.com_"]
     assert [r.n_replaced for r in run(spark, texts)] == [1, 0, 1, 0, 1, 1, 0]
+
+
+def test_every_format_matches_its_plain_version(spark):
+    rnd = random.Random(7)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    two = lambda: str(rnd.randint(1, 31)).zfill(rnd.choice((1, 2)))
+    cases = [("12-31-1999", plain_date), ("31-12-1999", plain_date), ("1-1-2024", plain_date)]
+    for _ in range(60):
+        cases.append((f"{digits(3)}-{digits(2)}-{rnd.choice((digits(4), '0000'))}", plain_ssn))
+        cases.append((".".join(str(rnd.randint(0, 270)) for _ in range(4)), plain_ip))
+        y = rnd.randint(1650, 2150)
+        cases.append((rnd.choice((f"{y}-{rnd.randint(1, 13):02}-{rnd.randint(1, 31):02}", f"{y}/{rnd.randint(1, 13):02}/{rnd.randint(1, 31):02}",
+                                  f"{two()}.{two()}.{y}", f"{two()}/{two()}/{y}", f"{two()}-{two()}-{y}")), plain_date))
+        land, body = rnd.choice(("DE", "XX", "gb")), "".join(rnd.choice("0123456789ABC") for _ in range(18))
+        body = body.lower() if land == "gb" else body
+        iban = f"{land}{98 - mod97(body + land + '00'):02}{body}"
+        cases.append((rnd.choice((iban, iban[:-1] + "0")), plain_iban))
+        area, exchange = (rnd.choice((digits(3), "000", "100")) for _ in range(2))
+        sep = rnd.choice(" .-")
+        cases.append((rnd.choice(("", f"1{sep}")) + rnd.choice((f"{area}{sep}{exchange}{sep}{digits(4)}", f"({area}) {exchange}-{digits(4)}")), plain_phone))
+        cases.append((f"+{rnd.randint(1, 999)} {digits(rnd.randint(2, 5))} {digits(rnd.randint(4, 5))}", plain_phone))
+        name = "".join(rnd.choice("abcXYZ0189._%+-") for _ in range(rnd.randint(0, 63)))
+        cases.append((f"a{name}@mail.example.org", plain_mail))
+    got = run(spark, [f"see {m} here" for m, _ in cases])
+    for (m, plain), r in zip(cases, got):
+        want = plain(m)
+        assert (r.text, r.n_replaced) == (f"see {want or m} here", int(want is not None)), m
+
+
+def test_small_ibans_have_their_countrys_length(spark):
+    texts = ["de89370400440532013000", "DE89370400440532013000", "de89 3704 0044 0532 0130 00"]
+    small = "zz" + "00" + "1" * 18
+    small = f"zz{98 - mod97(small[4:] + 'zz00'):02}{small[4:]}"
+    out = run(spark, [*texts, small])
+    assert [r.n_replaced for r in out] == [1, 1, 0, 0] and out[0].text[4:] == out[1].text[4:].lower()
+    assert out[0].text != texts[0] and out[0].text.startswith("de") and mod97(out[0].text[4:] + out[0].text[:4]) == 1
+
+
+def test_groups_of_numbers_are_no_phones(spark):
+    texts = ["000-000-0000", "100 200 3000", "415-000-1234", "(000) 555-1234", "300 100 2000", "415 555 2671", "017-555-7713", "(132) 555-1352"]
+    assert [r.n_replaced for r in run(spark, texts)] == [0, 0, 0, 0, 0, 1, 1, 1]
