@@ -790,12 +790,16 @@ def _written_files(spark, sf_dir) -> str:
     ``FILE_BYTES`` of text (a document that crosses the border ends its file), plus
     a CSV copy of the questions that a scan must skip."""
     from ..session import scratch_path
+    from ..sources.logs import running_total
     base = scratch_path(spark, "files") + "/docs"
     d = read_table(spark, sf_dir, "documents")
-    # the place of a document's first byte in its source's text, from sizes alone
-    before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    # the place of a document's first byte in its source's text, from sizes alone: a
+    # running sum over all sources, less what stands before the source (a row a source)
     sizes = d.select("source", "doc_id", (F.octet_length("text") + 1).cast("long").alias("bytes"))
-    parts = sizes.select("doc_id", F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / FILE_BYTES).alias("part"))
+    at = running_total(sizes, F.col("bytes"), "source", "doc_id").withColumn("at", F.col("total") - F.coalesce("bytes", F.lit(0)))
+    first = at.groupBy(F.col("source").alias("of")).agg(F.min("at").alias("first"))
+    parts = at.join(first, F.col("source").eqNullSafe(F.col("of"))).select(
+        "doc_id", F.floor((F.col("at") - F.col("first")) / FILE_BYTES).alias("part"))
     (d.join(parts, "doc_id").select("source", "part", "doc_id", "text").repartition("source", "part")
      .sortWithinPartitions("source", "part", "doc_id").select("source", "part", "text")
      .write.partitionBy("source", "part").text(base))
