@@ -290,7 +290,7 @@ def load_ranges(spark: SparkSession, source_dir: str, where: Column | str = "tru
     the ranges are staged as Parquet in the shared folder."""
     from ..session import scratch_path
     path = scratch_path(spark, "file-ranges")
-    extract_ranges(scan_ranges(spark, source_dir, where, **options), extractors).write.parquet(path)
+    extract_ranges(scan_ranges(spark, source_dir, where, **options), extractors).write.parquet(path, compression="zstd")
     staged = spark.read.parquet(path)
     key = F.col("filepath").alias("doc_id")
     # only failed ranges are grouped; at most rangebytes apart, they carry no text
