@@ -92,6 +92,24 @@ def chunk_table(spark, sf_dir):
                      f"{CFG.chunk_size}, {CFG.chunk_overlap})")
 
 
+class CharRuns:
+    """A tokenizer of another kind than the built-in one: runs of letters, of
+    digits and of anything else (ASCII classes), which join to the text."""
+    PATTERN = "[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+"
+
+    def __call__(self, texts: list) -> list:
+        import re
+        run = re.compile(self.PATTERN)
+        return [run.findall(t) for t in texts]
+
+
+def chunk_tokenizer(spark, sf_dir):
+    """UD4: windows over the pieces of a tokenizer written in Python."""
+    from ..operators.chunk import python_pieces
+    ch = chunk_documents(_clean_docs(spark, sf_dir), CFG.chunk_size, CFG.chunk_overlap, tokenizer=python_pieces(CharRuns()))
+    return ch.select("doc_id", "chunk_index", "token_count", "chunk_text")
+
+
 def chunk_counts(spark, sf_dir):
     """Chunks actually produced per document next to ``ceil(n/step)``."""
     docs = _clean_docs(spark, sf_dir)
@@ -123,6 +141,25 @@ def embed_hashed(spark, sf_dir):
                 F.col("w").cast("double").alias("weight"))
 
 
+class LetterModel:
+    """A model for ``ModelEmbedder``: how often each ASCII letter and digit occurs."""
+    LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+    def encode(self, texts: list):
+        import numpy as np
+        at = np.frombuffer(self.LETTERS.encode(), np.uint8)
+        return np.stack([np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=256)[at] for t in texts])
+
+
+def embed_model(spark, sf_dir):
+    """UD1: chunks embedded by a model that each Python worker loads once."""
+    from ..operators.embed import ModelEmbedder
+    ch = chunk_documents(_clean_docs(spark, sf_dir), CFG.chunk_size, CFG.chunk_overlap)
+    got = ModelEmbedder(LetterModel, len(LetterModel.LETTERS)).embed(ch.select("doc_id", "chunk_index", "chunk_text"), "chunk_text")
+    return got.select("doc_id", "chunk_index", F.posexplode("embedding").alias("bucket", "w")).where("w > 0").select(
+        "doc_id", "chunk_index", "bucket", F.col("w").cast("double").alias("weight"))
+
+
 def knn_documents(spark, sf_dir):
     hits = retrieve(_questions(spark, sf_dir), _chunks(spark, sf_dir), CFG, k=CFG.top_k)
     return hits.select("query_id", "rank", "doc_id", "chunk_index",
@@ -210,6 +247,61 @@ def answer_postprocess(spark, sf_dir):
     return conv.select("conv_id", "turn", P.postprocess_answer(gen, prompt).alias("answer"))
 
 
+def prompt_defaults(spark, sf_dir):
+    """a context section per document, whose metadata is missing by
+    its id: no file name on every third, no chunk number on every fifth."""
+    from ..functions import prompt as P
+    d = read_table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    chunk = F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 7)
+    return d.select("doc_id", P.section(name, chunk, F.col("doc_id") % 1000 / 1000, F.col("text")).alias("section"))
+
+
+def text_previews(spark, sf_dir):
+    """F20, PF8, PF11: every document's text shortened in the three ways that
+    sentence scores, sources and reports use."""
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", TX.ellipsize("text", 100).alias("ellipsized"), TX.preview("text", 150).alias("preview"),
+                    TX.truncate("text", 200).alias("truncated"))
+
+
+def _turn_messages(spark, sf_dir):
+    """A prompt per conversation turn; a null text asks nothing."""
+    from ..functions import prompt as P
+    return _conversations(spark, sf_dir).select("conv_id", "turn", P.no_context_messages(F.coalesce("text", F.lit(""))).alias("messages"))
+
+
+class WordReplies:
+    """A model for ``BatchGenerator``: the question's words in reverse order. It
+    answers a list at a time and tells how many words it read."""
+
+    def __call__(self, asked: list) -> list:
+        words = [m[-1]["content"].split(" ") for m in asked]
+        return [{"answer": " ".join(reversed(w)), "model": "reverse", "usage": {"words": len(w)}} for w in words]
+
+
+def generate_batch(spark, sf_dir):
+    """UD2: every turn answered in batches by a model loaded once per worker."""
+    from ..operators.generate import BatchGenerator, generate_with
+    got = generate_with(_turn_messages(spark, sf_dir), BatchGenerator(WordReplies))
+    return got.select("conv_id", "turn", "answer", F.col("usage")["words"].alias("words"), "model", "error")
+
+
+def _no_question_marks(messages):
+    """A generator that fails on some prompts."""
+    text = messages[-1]["content"]
+    if "?" in text or not text:
+        raise ValueError("refused: " + text[:20])
+    return {"answer": text[:40], "usage": {"calls": 1}}
+
+
+def generate_errors(spark, sf_dir):
+    """UD2: calls that fail become answers with an error, row by row."""
+    from ..operators.generate import generate_with
+    got = generate_with(_turn_messages(spark, sf_dir), _no_question_marks, model_name="picky")
+    return got.select("conv_id", "turn", "answer", F.size("usage").alias("n_usage"), "model", "error")
+
+
 def request_validation(spark, sf_dir):
     """PF9 on conversation turns used as requests; top_k from the turn
     number (NULL for system turns -> default)."""
@@ -915,8 +1007,10 @@ QUERIES = {
     "chunk_windows": chunk_windows,
     "chunk_windows_long": chunk_windows_long,
     "chunk_table": chunk_table,
+    "chunk_tokenizer": chunk_tokenizer,
     "chunk_counts": chunk_counts,
     "embed_hashed": embed_hashed,
+    "embed_model": embed_model,
     "knn_documents": knn_documents,
     "hit_sources": hit_sources,
     "rag_answers": rag_answers,
@@ -928,6 +1022,10 @@ QUERIES = {
     "chat_render": chat_render,
     "chat_segments": chat_segments,
     "answer_postprocess": answer_postprocess,
+    "prompt_defaults": prompt_defaults,
+    "text_previews": text_previews,
+    "generate_batch": generate_batch,
+    "generate_errors": generate_errors,
     "request_validation": request_validation,
     "safety_flags": safety_flags,
     "safety_verdict": safety_verdict,

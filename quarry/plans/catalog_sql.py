@@ -34,6 +34,14 @@ SELECT doc_id, chunk_index, token_count, chunk_text FROM chunks"""
 
 SQL["chunk_windows_long"] = SQL["chunk_table"] = SQL["chunk_windows"]
 
+def _tokenizer_sql() -> str:
+    from .catalog import CharRuns
+    chunks = O.chunks_cte(CFG).replace("'\\s*\\S+'", f"'{CharRuns.PATTERN}'")
+    return f"WITH {O.docs_cte(True)}, {chunks} SELECT doc_id, chunk_index, token_count, chunk_text FROM chunks"
+
+
+SQL["chunk_tokenizer"] = _tokenizer_sql()
+
 SQL["chunk_counts"] = f"""WITH {O.docs_cte(True)}, {O.chunks_cte(CFG)},
 made AS (SELECT doc_id, count(*) AS n_chunks FROM chunks GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(regexp_extract_all(d.text, '\\s*\\S+')) AS BIGINT) AS n_tokens,
@@ -44,6 +52,18 @@ FROM docs d LEFT JOIN made m USING (doc_id)"""
 SQL["embed_hashed"] = f"""WITH {_corpus_ctes()}
 SELECT doc_id, chunk_index, bucket, weight FROM cw"""
 
+
+def _letters_sql() -> str:
+    from .catalog import LetterModel
+    return f"""WITH {O.docs_cte(True)}, {O.chunks_cte(CFG)},
+l AS (SELECT unnest(range({len(LetterModel.LETTERS)})) AS bucket, unnest(string_split('{LetterModel.LETTERS}', '')) AS c),
+n AS (SELECT doc_id, chunk_index, CAST(bucket AS INTEGER) AS bucket, length(chunk_text) - length(replace(chunk_text, c, '')) AS n FROM chunks, l)
+SELECT doc_id, chunk_index, bucket, CAST(CAST(n / sqrt(s) AS FLOAT) AS DOUBLE) AS weight
+FROM (SELECT *, sum(n * n) OVER (PARTITION BY doc_id, chunk_index) AS s FROM n) WHERE n > 0"""
+
+
+SQL["embed_model"] = _letters_sql()
+
 SQL["index_update"] = SQL["chunk_windows"]
 SQL["index_compacted"] = SQL["embed_hashed"]
 SQL["index_update_counts"] = f"""WITH {O.docs_cte(True)}, {O.chunks_cte(CFG)},
@@ -159,6 +179,21 @@ SELECT conv_id, turn,
        {O.strip("split_part(" + O.strip("CASE WHEN starts_with(g, p) THEN substring(g, length(p) + 1) ELSE g END") + ", chr(10) || chr(10) || '---', 1)")} AS answer
 FROM g"""
 
+SQL["prompt_defaults"] = f"""SELECT doc_id, {O.section(
+    "CASE WHEN doc_id % 3 <> 0 THEN 'doc-' || CAST(doc_id AS VARCHAR) || '.txt' END", "CASE WHEN doc_id % 5 <> 0 THEN doc_id % 7 END",
+    "doc_id % 1000 / 1000", "text")} AS section FROM documents"""
+
+SQL["text_previews"] = """SELECT doc_id, CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...' ELSE text END AS ellipsized,
+       substring(text, 1, 150) || '...' AS preview, substring(text, 1, 200) AS truncated FROM documents"""
+
+SQL["generate_batch"] = """SELECT conv_id, turn, array_to_string(list_reverse(w), ' ') AS answer, CAST(len(w) AS INTEGER) AS words,
+       'reverse' AS model, CAST(NULL AS VARCHAR) AS error
+FROM (SELECT conv_id, turn, string_split(coalesce(text, ''), ' ') AS w FROM conversations)"""
+
+SQL["generate_errors"] = """SELECT conv_id, turn, CASE WHEN bad THEN 'Error: refused: ' || substring(t, 1, 20) ELSE substring(t, 1, 40) END AS answer,
+       CASE WHEN bad THEN 0 ELSE 1 END AS n_usage, 'picky' AS model, CASE WHEN bad THEN 'refused: ' || substring(t, 1, 20) END AS error
+FROM (SELECT conv_id, turn, coalesce(text, '') AS t, contains(coalesce(text, ''), '?') OR coalesce(text, '') = '' AS bad FROM conversations)"""
+
 SQL["request_validation"] = f"""WITH r AS (
   SELECT conv_id, turn, text AS question,
          CAST(coalesce(CASE WHEN role = 'system' THEN NULL ELSE turn * 4 - 1 END, {CFG.top_k}) AS INTEGER) AS k

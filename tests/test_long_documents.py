@@ -60,3 +60,25 @@ def test_running_totals_keep_all_rows_and_split_hot_hours(spark):
     assert out.where("total <> event_id + 1").count() == 0
     sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert out.count() == 20_000 and max(sizes) < 20_000
+
+
+def test_python_tokenizer_joins_to_the_text(spark):
+    from quarry.operators.chunk import chunk_documents, python_pieces
+    from quarry.plans.catalog import CharRuns
+    text = "Ärger 12ab,\n\n x" * 40
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
+    got = chunk_documents(docs, 7, 2, tokenizer=python_pieces(CharRuns())).collect()
+    pieces = CharRuns()([text])[0]
+    assert "".join(pieces) == text and {r.doc_id for r in got} == {1}
+    assert [r.chunk_text for r in sorted(got, key=lambda r: r.chunk_index)] == [
+        "".join(pieces[a:a + 7]) for a in range(0, len(pieces), 5)]
+
+
+def test_plugged_model_on_odd_texts(spark):
+    from quarry.operators.embed import ModelEmbedder
+    from quarry.plans.catalog import LetterModel
+    rows = [(1, "aab 7"), (2, ""), (3, None), (4, "ÄÖ!"), (5, "z" * 1_000_000)]
+    df = spark.createDataFrame(rows, "i long, t string")
+    got = {r.i: r.v for r in ModelEmbedder(LetterModel, 36, batch_size=2).embed(df, "t", "v").collect()}
+    assert [round(x, 4) for x in (got[1][0], got[1][1], got[1][33])] == [0.8165, 0.4082, 0.4082]
+    assert not any(got[2]) and not any(got[3]) and not any(got[4]) and got[5][25] == 1.0
