@@ -19,6 +19,8 @@ repeated runs. The minimal runs of L lines that are equal are one interval of
 suffixes whose longest common prefix is L or more; the interval is named by
 the ranks of the run's first and last 2^k lines (2^k <= L < 2^(k+1)). Of each
 interval the earliest position stays and the others are later copies.
+``maximal_runs`` lists the maximal runs themselves with their earlier place,
+grown from the minimal ones by the longest common prefixes of the suffixes.
 
 Defined results: a null text has no lines and stays null; an empty text is one
 empty line. Rows with one id are ordered by a hash of their text; rows equal
@@ -101,8 +103,29 @@ def _minimal_runs(positions: DataFrame, min_words: int) -> DataFrame:
     return ends.select("k1", "k2", F.least("ln", "end").alias("ln"), (F.abs(F.col("end") - F.col("ln")) + 1).alias("len")).distinct()
 
 
-def later_copies(lines: DataFrame, min_words: int = 50) -> DataFrame:
-    """(k1, k2, ln, len) of every minimal run that occurs earlier as well."""
+def _suffix_levels(base: DataFrame, bucket: int, top: int | None = None) -> list[DataFrame]:
+    """Prefix doubling over ``base`` (k1, k2, ln, r): per round k the rows (k1,
+    k2, ln, r) of the suffixes whose first 2^k lines are repeated, up to round
+    ``top``, or (None) until no prefix is."""
+    level = base.select("k1", "k2", "ln", "r")
+    levels = [level]
+    while top is None or len(levels) <= top:
+        step = 1 << (len(levels) - 1)
+        ahead = Window.partitionBy("k1", "k2").orderBy("ln").rangeBetween(step, step)
+        pairs = level.select("k1", "k2", "ln", F.col("r").alias("r1"), F.first("r").over(ahead).alias("r2"))
+        pairs = pairs.where("r2 is not null")
+        counts = pairs.groupBy("r1", "r2").agg(F.count("*").alias("c")).where("c > 1")
+        level = pairs.join(_ranks(counts, bucket), ["r1", "r2"]).select("k1", "k2", "ln", "r").checkpoint()
+        if top is None and level.isEmpty():
+            break
+        levels.append(level)
+    return levels
+
+
+def _copies(lines: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """(k1, k2, ln, len, first) of every minimal run that occurs earlier as
+    well, ``first`` (k1, k2, ln) being its earliest occurrence; the ranked lines
+    of all stretches that may repeat; and the size of the rank buckets."""
     checkpoint_dir(lines.sparkSession)
     repeated = lines.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1")
     ranked = lines.join(_first_ranks(repeated), ["h1", "h2"]).select("k1", "k2", "ln", "w", "r")
@@ -116,19 +139,11 @@ def later_copies(lines: DataFrame, min_words: int = 50) -> DataFrame:
         "k", F.floor(F.log2(F.col("len").cast("double")) + 1e-9).cast("int")).checkpoint()
     top = runs.agg(F.max("k")).first()[0]
     if top is None:
-        return runs.select("k1", "k2", "ln", "len").limit(0)
+        none = F.struct("k1", "k2", "ln").alias("first")
+        return runs.select("k1", "k2", "ln", "len", none).limit(0), None, 1
     # as many positions a bucket as buckets: no window outgrows the root of all positions
     bucket = 1 << math.ceil(math.log2(lines.count() + 1) / 2)
-    level = base.select("k1", "k2", "ln", "r")
-    levels = [level.withColumn("k", F.lit(0))]
-    for k in range(top):
-        step = 1 << k
-        ahead = Window.partitionBy("k1", "k2").orderBy("ln").rangeBetween(step, step)
-        pairs = level.select("k1", "k2", "ln", F.col("r").alias("r1"), F.first("r").over(ahead).alias("r2"))
-        pairs = pairs.where("r2 is not null")
-        counts = pairs.groupBy("r1", "r2").agg(F.count("*").alias("c")).where("c > 1")
-        level = pairs.join(_ranks(counts, bucket), ["r1", "r2"]).select("k1", "k2", "ln", "r").checkpoint()
-        levels.append(level.withColumn("k", F.lit(k + 1)))
+    levels = [x.withColumn("k", F.lit(k)) for k, x in enumerate(_suffix_levels(base, bucket, top))]
     every = levels[0]
     for x in levels[1:]:
         every = every.unionAll(x)
@@ -139,7 +154,70 @@ def later_copies(lines: DataFrame, min_words: int = 50) -> DataFrame:
     at = F.struct("k1", "k2", "ln")
     first = interval.groupBy("len", "r1", "r2").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = first.checkpoint()      # so that the join below can split a crowded interval
-    return interval.join(first, ["len", "r1", "r2"]).where(at != F.col("first")).select("k1", "k2", "ln", "len")
+    copies = interval.join(first, ["len", "r1", "r2"]).where(at != F.col("first"))
+    return copies.select("k1", "k2", "ln", "len", "first"), base, bucket
+
+
+def later_copies(lines: DataFrame, min_words: int = 50) -> DataFrame:
+    """(k1, k2, ln, len) of every minimal run that occurs earlier as well."""
+    return _copies(lines, min_words)[0].select("k1", "k2", "ln", "len")
+
+
+def _common(runs: DataFrame, levels: list[DataFrame], back: bool) -> DataFrame:
+    """``runs`` (k1, k2, ln, f1, f2, fn) with ``lcp``: how many lines from (k1,
+    k2, ln) on equal those from (f1, f2, fn) on, or (``back``) how many before.
+    The longest common prefix of two suffixes comes from the level ranks: blocks
+    of 2^k lines are equal where their ranks are, taken from the largest k down,
+    each at most once, as no prefix of twice the last level's length repeats."""
+    got = runs.withColumn("lcp", F.lit(0).cast("long"))
+    for k in range(len(levels) - 1, -1, -1):
+        step = 1 << k
+        move = -F.col("lcp") - step if back else F.col("lcp")
+        here = levels[k].select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("ln").alias("an"), F.col("r").alias("ra"))
+        there = levels[k].select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("ln").alias("bn"), F.col("r").alias("rb"))
+        got = (got.withColumn("x", F.col("ln") + move).withColumn("y", F.col("fn") + move)
+               .join(here, F.expr("k1 = a1 AND k2 = a2 AND x = an"), "left").drop("a1", "a2", "an")
+               .join(there, F.expr("f1 = b1 AND f2 = b2 AND y = bn"), "left").drop("b1", "b2", "bn")
+               .withColumn("lcp", F.col("lcp") + F.when(F.col("ra") == F.col("rb"), step).otherwise(0))
+               .select(*runs.columns, "lcp"))
+    return got
+
+
+def maximal_runs(df: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The repeated runs in long form: (id, start, n_lines, first_id,
+    first_start), lines counted from 0. A row says that these lines of the
+    document equal those at ``first_start`` of an earlier place, that they hold
+    ``min_words`` words or more, that neither the line before nor the line
+    behind is equal too, and that some minimal run inside has its earliest
+    occurrence there. Every line that ``dedup_lines`` deletes lies in a run.
+
+    Copies on one diagonal (same two documents, same distance) are merged first;
+    only then the common prefixes of the suffixes behind and before them are
+    taken from the level ranks. Windows hold one diagonal of two documents.
+    Nulls, ties and repeated rows are treated as in ``dedup_lines``; the names of
+    ``id_col`` and ``text_col`` may be any, other columns play no part."""
+    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    lines = line_table(docs, "id", "text").checkpoint()
+    copies, base, bucket = _copies(lines, min_words)
+    k1, k2 = doc_key(docs, "id", "text")
+    names = docs.select(k1.alias("k1"), k2.alias("k2"), "id").dropDuplicates(["k1", "k2"])
+    levels = [] if base is None else _suffix_levels(base, bucket)
+    pair = ["k1", "k2", "f1", "f2"]
+    at = copies.select("k1", "k2", F.col("first.k1").alias("f1"), F.col("first.k2").alias("f2"), F.col("ln"),
+                       (F.col("ln") - F.col("first.ln")).alias("d"), (F.col("ln") + F.col("len")).alias("end"))
+    before = Window.partitionBy(*pair, "d").orderBy("ln", "end").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*pair, "d").orderBy("ln", "end").rowsBetween(Window.unboundedPreceding, 0)
+    merged = (at.withColumn("new", F.when(F.col("ln") <= F.max("end").over(before), 0).otherwise(1))
+              .withColumn("g", F.sum("new").over(upto))
+              .groupBy(*pair, "d", "g").agg(F.min("ln").alias("a"), F.max("end").alias("b")).drop("g").checkpoint())
+    left = _common(merged.select(*pair, "d", "b", F.col("a").alias("ln"), (F.col("a") - F.col("d")).alias("fn")), levels, True)
+    left = left.select(*pair, "d", "b", (F.col("ln") - F.col("lcp")).alias("a")).checkpoint()
+    right = _common(left.select(*pair, "d", "a", F.col("b").alias("ln"), (F.col("b") - F.col("d")).alias("fn")), levels, False)
+    runs = right.select(*pair, "d", "a", (F.col("ln") + F.col("lcp")).alias("b")).distinct()
+    first = names.select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), F.col("id").alias("first_id"))
+    return runs.join(names, ["k1", "k2"]).join(first, ["f1", "f2"]).select(
+        F.col("id").alias(id_col), F.col("a").alias("start"), (F.col("b") - F.col("a")).alias("n_lines"),
+        "first_id", (F.col("a") - F.col("d")).alias("first_start"))
 
 
 def dedup_lines(df: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -82,6 +82,31 @@ def line_dedup(docs, min_words=50):
     return out
 
 
+def maximal_runs(docs, min_words=50):
+    """docs: (id, text) in corpus order -> {(id, start, lines, first id, first
+    start)}: every minimal run against its earliest occurrence, grown line by
+    line to both sides."""
+    lines = [t.split("\n") if t is not None else [] for _, t in docs]
+    first, out = {}, set()
+    for d, ls in enumerate(lines):
+        n = [len(words(x)) for x in ls]
+        for a in range(len(ls)):
+            for b in range(a + 1, len(ls) + 1):
+                total = sum(n[a:b])
+                if total < min_words or total - n[a] >= min_words and total - n[b - 1] >= min_words:
+                    continue
+                e, c = first.setdefault(tuple(ls[a:b]), (d, a))
+                if (e, c) == (d, a):
+                    continue
+                x, y, other = a, b, lines[e]
+                while c - (a - x) > 0 and x > 0 and ls[x - 1] == other[c - (a - x) - 1]:
+                    x -= 1
+                while y < len(ls) and c + y - a < len(other) and ls[y] == other[c + y - a]:
+                    y += 1
+                out.add((docs[d][0], x, y - x, docs[e][0], c - (a - x)))
+    return out
+
+
 def mix(docs, weights=(3, 1, 2), share=150, cap=2):
     """docs: (id, text, source) -> words taken per document, by dealing whole
     documents out one at a time while that brings the source nearer its target;

@@ -1,7 +1,7 @@
 import random
 
 import brute
-from quarry.llm.linededup import dedup_lines
+from quarry.llm.linededup import dedup_lines, maximal_runs
 
 
 def docs(rnd):
@@ -41,3 +41,22 @@ def test_very_long_text(spark):
     rows = [(1, "\n".join(lines)), (2, "\n".join(["x"] + lines[5000:15000] + ["y"])), (3, "\n".join(lines[:4] + ["y"]))]
     got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 50).collect()}
     assert (got[1].n_removed, got[2].n_removed, got[2].text, got[3].n_removed) == (0, 10000, "x\ny", 0)
+
+
+def test_maximal_runs_match_brute_force(spark):
+    rows = docs(random.Random(5))
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "name long, body string, n_lines string, k1 int")
+    for least in (6, 9):
+        got = [tuple(r) for r in maximal_runs(df, least, "name", "body").collect()]
+        assert len(got) == len(set(got)) and set(got) == brute.maximal_runs(rows, least)
+
+
+def test_maximal_runs_of_long_copies_and_odd_rows(spark):
+    lines = [f"line {i} of a very long text" for i in range(5000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["x"] + lines[1000:4000] + ["y"])), (None, "\n".join(lines[10:40])), (4, ""), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in maximal_runs(df, 50).collect()}
+    # the row without an id comes first
+    assert got == {(1, 10, 30, None, 0), (2, 1, 3000, 1, 1000)}
+    assert maximal_runs(df.where("doc_id = 4"), 50).collect() == []
+    assert maximal_runs(df.limit(0), 50).collect() == []
