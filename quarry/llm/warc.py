@@ -118,7 +118,10 @@ def row_of(headers: dict[str, str]) -> dict:
 
 
 def _payload(row: dict, block: bytes) -> bytes:
-    """The payload inside a record's block: what follows the HTTP headers."""
+    """The payload inside a record's block: what follows the HTTP headers. A
+    block shorter than its header states is an error, not a short payload."""
+    if len(block) != row["content_length"]:
+        raise EOFError(f"record {row['record_id']} states {row['content_length']} bytes and holds {len(block)}")
     if (row["content_type"] or "").startswith("application/http"):
         return block.partition(END)[2]
     return block

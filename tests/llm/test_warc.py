@@ -106,3 +106,12 @@ def test_members_with_several_records():
         assert some == [(f"urn:{i}", None) for i in range(1, 40, 2)]
     with pytest.raises(EOFError):
         list(warc.read_gzip(Bytes(files[0][:-2000]), lambda row: True, True))
+
+
+def test_a_block_shorter_than_stated_is_an_error():
+    whole = warc.record_bytes({"warc_type": "response", "record_id": "urn:1"}, b"p" * 5000)
+    after = warc.record_bytes({"warc_type": "response", "record_id": "urn:2"}, b"q" * 10)
+    short = whole[:-1000]
+    for read, data in ((warc.read_plain, short), (warc.read_gzip, gzip.compress(short)), (warc.read_gzip, gzip.compress(short) + gzip.compress(after))):
+        with pytest.raises(EOFError, match="urn:1 states"):
+            list(read(Bytes(data), lambda row: True, True))
