@@ -68,12 +68,26 @@ def chunk_documents(docs: DataFrame, size: int = 512, overlap: int = 50,
     return out.hint("rebalance") if rebalance else out
 
 
+#: characters of text that a Python tokenizer gets at a time
+PIECES_CHARS = 1 << 19
+
+
 def python_pieces(fn):
-    """UD4: a tokenizer column from ``fn(list[str]) -> list[list[str]]``, which
-    is called once per Arrow batch; a null text has no pieces."""
+    """UD4: a tokenizer column from ``fn(list[str]) -> list[list[str]]``; a null
+    text has no pieces. ``fn`` gets about ``PIECES_CHARS`` of texts at a time, so
+    that an Arrow batch's pieces are never all Python strings at once."""
+    kind = pa.list_(pa.string())
+
     @F.arrow_udf("array<string>")
     def pieces(texts: pa.Array) -> pa.Array:
-        return pa.array(fn([t or "" for t in texts.to_pylist()]), pa.list_(pa.string()))
+        parts, block, held = [], [], 0
+        for t in texts:
+            block.append(t.as_py() or "")
+            held += len(block[-1])
+            if held >= PIECES_CHARS:
+                parts.append(pa.array(fn(block), kind))
+                block, held = [], 0
+        return pa.concat_arrays([*parts, pa.array(fn(block), kind)])
 
     return pieces
 
