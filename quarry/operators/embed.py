@@ -115,4 +115,5 @@ class ModelEmbedder:
                     out.extend(m.astype(np.float32))
                 yield pd.Series(out)
 
-        return df.withColumn(out_col, encode(F.col(text_col)))
+        # or else a filter that Spark infers from an explode runs the model a second time
+        return df.withColumn(out_col, encode.asNondeterministic()(F.col(text_col)))
