@@ -14,10 +14,14 @@ Plan shape, for question tables of any size:
    in Spark and the driver never holds one.
 2. These rows meet the cell's vectors by a co-grouped Arrow step. A cell with many
    vectors is cut into parts and a cell with many questions into blocks, both by a
-   hash, so one group holds ``part_rows`` vectors and ``block_questions``
-   questions at most, however hot the cell is. Cells that nobody asks are not read.
-3. A group returns its top-k per question, so k rows per question and part are
-   what the final window ranks.
+   hash, so one group holds ``GROUP_BYTES`` of vectors and of questions at most,
+   however hot the cell is. A question is shuffled once per part and a vector once per
+   block, so parts and blocks are as large as that allows; inside a group
+   ``part_rows`` vectors and ``block_questions`` questions are scored at a time.
+   Cells that nobody asks are not read.
+3. A group returns its top-k per question, so at most k rows per question and part
+   are what the final window ranks, and in the second search only those that reach
+   the question's k-th score so far.
 4. Exact search does this twice: in the ``nprobe`` nearest cells, which gives each
    question its k-th score so far, then in all other cells whose bound reaches it.
 
@@ -42,6 +46,7 @@ from .search import DEFAULT_BROADCAST_LIMIT, RANK_DECIMALS, TILE_BYTES, _tile_to
 
 PART_ROWS = 8192
 BLOCK_QUESTIONS = 4096
+GROUP_BYTES = 16 * 1024 * 1024      # of vectors, and of questions, as doubles
 SLACK = 1e-9            # rounding of bounds, relative to the norms
 
 
@@ -110,8 +115,8 @@ def _asked(bc, nprobe: int | None, names: list[str]):
 
 
 def _cells_of(asks: DataFrame, bounds: DataFrame, nprobe: int | None, limit: int) -> DataFrame:
-    """(q, v, k, cell) for the cells that each question asks."""
-    out = T.StructType([asks.schema["q"], asks.schema["v"], asks.schema["k"], T.StructField("cell", T.IntegerType()),
+    """(q, v, k, kth, cell) for the cells that each question asks."""
+    out = T.StructType([asks.schema["q"], asks.schema["v"], asks.schema["k"], asks.schema["kth"], T.StructField("cell", T.IntegerType()),
                         T.StructField("near", T.DoubleType())])
     got, blocks = None, 0
     for block in _blocks(bounds, limit):
@@ -126,48 +131,83 @@ def _cells_of(asks: DataFrame, bounds: DataFrame, nprobe: int | None, limit: int
     return got
 
 
-def _scorer(keys: list[str], vec_col: str, out: pa.Schema):
+def _best(C: np.ndarray, Q: np.ndarray, low: np.ndarray, k: int, rows: int) -> tuple[np.ndarray, ...]:
+    """(row, question, score, rounded score) of the top-k of ``C`` per question, of
+    equal scores the first rows, without those below the question's ``low``;
+    ``rows`` vectors are scored at a time."""
+    low = low.copy()
+    row, who, score, key = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    for a in range(0, len(C), rows):
+        S = C[a:a + rows] @ Q.T
+        with np.errstate(invalid="ignore"):
+            found = S >= low - (np.abs(low) + 10) * 10.0 ** -RANK_DECIMALS if np.isfinite(low).any() else np.ones(S.shape, bool)
+        if np.count_nonzero(found) > 4 * k * len(Q):
+            r, c = _tile_top(np.round(S, RANK_DECIMALS), k)
+        else:
+            r, c = np.nonzero(found)
+        s = S[r, c]
+        ranked = np.round(s, RANK_DECIMALS)
+        ok = ranked >= low[c]
+        if not ok.any():
+            continue
+        row, who, score, key = (np.concatenate(x) for x in ((row, a + r[ok]), (who, c[ok]), (score, s[ok]), (key, ranked[ok])))
+        order = np.lexsort((row, -key, who))
+        place = np.arange(len(order)) - np.searchsorted(who[order], who[order])
+        order = order[place < k]
+        row, who, score, key = row[order], who[order], score[order], key[order]
+        full = place[place < k] == k - 1
+        low[who[full]] = np.maximum(low[who[full]], key[full])
+    return row, who, score, key
+
+
+def _scorer(keys: list[str], vec_col: str, part_rows: int, block_questions: int, out: pa.Schema):
     """Top-k of a group's vectors for each of its questions."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return out.empty_table()
         right = right.take(pc.sort_indices(right, sort_keys=[(c, "ascending") for c in keys]))
         at, C = _vectors(right.column(vec_col), None)
+        right = right.select(keys)
         _, Q = _vectors(left.column("v"), C.shape[1] if len(at) else None)
-        asked = left.column("k").to_numpy()
-        kmax = int(asked.max())
+        left = left.drop_columns(["v"])
+        kmax = int(pc.max(left.column("k")).as_py())
+        low = left.column("kth").to_numpy()
         parts = []
-        step = max(1, TILE_BYTES // (8 * max(1, len(at))))
+        rows = max(1, min(part_rows, TILE_BYTES // 8))
+        step = max(1, min(block_questions, TILE_BYTES // (8 * rows)))
         for a in range(0, len(Q) if len(at) else 0, step):
-            S = C @ Q[a:a + step].T
-            ranked = np.round(S, RANK_DECIMALS)
-            r, c = _tile_top(ranked, kmax)
+            r, c, score, key = _best(C, Q[a:a + step], low[a:a + step], kmax, rows)
             mine = right.take(pa.array(at[r]))
             who = left.take(pa.array(a + c))
-            cols = {"query_id": who.column("q"), "__k": who.column("k"), "score": pa.array(S[r, c]), "score_key": pa.array(ranked[r, c])}
+            cols = {"query_id": who.column("q"), "__k": who.column("k"), "score": pa.array(score), "score_key": pa.array(key)}
             parts.append(pa.table([cols[f.name] if f.name in cols else mine.column(f.name) for f in out], schema=out))
         return pa.concat_tables(parts) if parts else out.empty_table()
     return run
 
 
 def score_cells(pairs: DataFrame, index: DataFrame, bounds: DataFrame, corpus_keys: Sequence[str], vec_col: str,
-                part_rows: int = PART_ROWS, block_questions: int = BLOCK_QUESTIONS) -> DataFrame:
+                part_rows: int = PART_ROWS, block_questions: int = BLOCK_QUESTIONS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Partial top-k rows ``query_id, __k, <keys>, score, score_key`` of the
-    (question, cell) rows ``pairs`` (q, v, k, cell)."""
+    (question, cell) rows ``pairs`` (q, v, k, kth, cell), without those whose
+    rounded score is below ``kth``."""
     from pyspark.sql.pandas.types import to_arrow_schema
     keys = list(corpus_keys)
     out = T.StructType([T.StructField("query_id", pairs.schema["q"].dataType), T.StructField("__k", T.LongType())]
                        + [T.StructField(c, index.schema[c].dataType) for c in keys]
                        + [T.StructField("score", T.DoubleType()), T.StructField("score_key", T.DoubleType())])
-    many = pairs.groupBy("cell").agg(F.ceil(F.count("*") / block_questions).cast("int").alias("blocks"))
-    sizes = many.join(bounds.select("cell", F.ceil(F.col("n") / part_rows).cast("int").alias("parts")), "cell")
+    fits = F.floor(F.lit(group_bytes) / (8 * F.size("centroid")))
+    cut = lambda n, least: F.ceil(F.col(n) / F.greatest(fits, F.lit(least))).cast("int")
+    many = pairs.groupBy("cell").agg(F.count("*").alias("asked"))
+    sizes = many.join(bounds.select("cell", "n", "centroid"), "cell").select(
+        "cell", cut("asked", block_questions).alias("blocks"), cut("n", part_rows).alias("parts"))
     group = ["cell", "part", "block"]
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = pairs.select("q", "v", "k", "cell").join(sizes, "cell").withColumn(
+    left = pairs.select("q", "v", "k", "kth", "cell").join(sizes, "cell").withColumn(
         "block", F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int")).withColumn("part", every("parts")).drop("parts", "blocks")
     right = index.select("cell", *keys, vec_col).join(sizes, "cell").withColumn(
         "part", F.pmod(F.xxhash64(*keys), F.col("parts")).cast("int")).withColumn("block", every("blocks")).drop("parts", "blocks")
-    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(_scorer(keys, vec_col, to_arrow_schema(out)), out)
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(
+        _scorer(keys, vec_col, part_rows, block_questions, to_arrow_schema(out)), out)
 
 
 def _top(scored: DataFrame, keys: list[str]) -> DataFrame:
@@ -178,7 +218,8 @@ def _top(scored: DataFrame, keys: list[str]) -> DataFrame:
 def knn_by_cells(questions: DataFrame, index: DataFrame, bounds: DataFrame, k: int = 5, *, query_key: str = "query_id",
                  query_vec: str = "embedding", corpus_keys: Sequence[str] = ("doc_id", "chunk_index"), corpus_vec: str = "embedding",
                  per_query_k: str | None = None, nprobe: int = 1, exact: bool = True, part_rows: int = PART_ROWS,
-                 block_questions: int = BLOCK_QUESTIONS, broadcast_limit_bytes: int = DEFAULT_BROADCAST_LIMIT) -> tuple[DataFrame, DataFrame]:
+                 block_questions: int = BLOCK_QUESTIONS, broadcast_limit_bytes: int = DEFAULT_BROADCAST_LIMIT,
+                 group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, DataFrame]:
     """``(hits, work)``: the hits as ``search.knn`` gives them (``query_id,
     rank, <corpus_keys>, score``) and, per question, the cells and rows that
     were scored for it (``query_id, cells, rows``).
@@ -191,16 +232,19 @@ def knn_by_cells(questions: DataFrame, index: DataFrame, bounds: DataFrame, k: i
     checkpoint_dir(index.sparkSession)
     keys = list(corpus_keys)
     want = F.coalesce(F.col(per_query_k), F.lit(k)) if per_query_k else F.lit(k)
+    vec = F.col(query_vec)
+    if not isinstance(questions.schema[query_vec].dataType.elementType, T.FloatType):       # a float is half the bytes of a double
+        vec = vec.cast("array<double>")
     asks = questions.where(F.col(query_vec).isNotNull()).select(
-        F.col(query_key).alias("q"), F.col(query_vec).cast("array<double>").alias("v"), want.cast("long").alias("k")).checkpoint()
+        F.col(query_key).alias("q"), vec.alias("v"), want.cast("long").alias("k"), F.lit(float("-inf")).alias("kth")).checkpoint()
     bounds = bounds.checkpoint()
     pairs = _cells_of(asks, bounds, nprobe, broadcast_limit_bytes).checkpoint()
-    score = lambda p: score_cells(p, index, bounds, keys, corpus_vec, part_rows, block_questions)
+    score = lambda p: score_cells(p, index, bounds, keys, corpus_vec, part_rows, block_questions, group_bytes)
     hits = _top(score(pairs), keys).checkpoint()
     if exact:
         got = hits.groupBy("query_id").agg(F.min("score_key").alias("low"), F.count("*").alias("n"))
         seen = pairs.groupBy("q").agg(F.collect_list("cell").alias("seen"))         # nprobe cells
-        more = asks.join(seen, "q").join(got.withColumnRenamed("query_id", "q"), "q", "left").withColumn(
+        more = asks.drop("kth").join(seen, "q").join(got.withColumnRenamed("query_id", "q"), "q", "left").withColumn(
             "kth", F.when(F.col("n") >= F.col("k"), F.col("low")).otherwise(float("-inf")))
         rest = _cells_of(more.select("q", "v", "k", "kth", "seen"), bounds, None, broadcast_limit_bytes).checkpoint()
         cols = ["query_id", "__k", *keys, "score", "score_key"]

@@ -69,6 +69,40 @@ def test_join_by_cell_equals_the_search_of_all_rows(spark, limit):
     assert table(near) == table(knn(q, idx, 4, corpus_keys=("vec_id",), cell_col="cell", centroids=cents, nprobe=2))
 
 
+def test_vectors_are_shuffled_once_per_group_of_bounded_bytes(spark):
+    """A question goes once to every part of a cell and a vector once to every
+    block of its questions, whatever the size of the tiles that are scored."""
+    v = vectors(spark, 400)
+    idx, bounds = indexed(spark, v, 3)
+    q = v.where("vec_id < 20000").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"), F.lit(3).cast("long").alias("k"),
+                                         F.lit(float("-inf")).alias("kth"))
+    pairs = q.crossJoin(bounds.select(F.col("cell").alias("of"))).withColumnRenamed("of", "cell").checkpoint()
+    n, cells = q.count(), bounds.count()
+    few = C.score_cells(pairs, idx, bounds, ("vec_id",), "embedding", part_rows=8, block_questions=8).checkpoint()
+    assert few.count() == n * cells * 3                 # one part a cell: k rows a question and cell
+    many = C.score_cells(pairs, idx, bounds, ("vec_id",), "embedding", part_rows=8, block_questions=8, group_bytes=50 * DIM * 8)
+    assert many.count() > few.count()
+    top = C._top(few, ["vec_id"]).checkpoint()
+    found = lambda df: sorted(map(tuple, C._top(df, ["vec_id"]).select("query_id", "rank", "vec_id").collect()))
+    assert found(many) == found(few)
+    kth = top.groupBy(F.col("query_id").alias("q")).agg(F.min("score_key").alias("kth"))
+    again = C.score_cells(pairs.drop("kth").join(kth, "q"), idx, bounds, ("vec_id",), "embedding", part_rows=8, block_questions=8)
+    assert again.count() < few.count() and found(again) == found(few)
+
+
+@pytest.mark.parametrize("rows", [1, 7, 64])
+def test_tiles_find_the_best_rows_with_ties(rows):
+    rnd = np.random.default_rng(rows)
+    V = rnd.integers(-2, 3, (200, 3)).astype(float)      # many equal scores
+    Q = rnd.integers(-2, 3, (30, 3)).astype(float)
+    S = V @ Q.T
+    low = np.where(rnd.random(30) < 0.5, -np.inf, np.sort(S, axis=0)[-3])
+    r, c, score, key = C._best(V, Q, low, 5, rows)
+    for i in range(30):
+        want = [j for j in np.lexsort((np.arange(200), -S[:, i]))[:5] if S[j, i] >= low[i]]
+        assert r[c == i].tolist() == want and (score[c == i] == S[want, i]).all() and (key[c == i] == S[want, i]).all()
+
+
 def test_centroids_beyond_the_broadcast_limit_are_searched_in_blocks(spark):
     from quarry.operators.index import search_ivf
     v = vectors(spark, 200).withColumn("name", F.concat(F.lit("n"), "vec_id"))
