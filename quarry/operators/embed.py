@@ -5,8 +5,9 @@ Two embedders share one interface, ``embed(df, text_col, out_col)``:
 * ``HashedEmbedder`` - the built-in, deterministic default. Terms are
   lower-cased letter/digit runs; each term falls in an MD5 bucket; the count
   vector is L2-normalised and stored as ``array<float>``. Term extraction is
-  a JVM expression; per Arrow batch each distinct term is hashed once and the
-  count vectors are assembled by one NumPy ``bincount`` (no per-row Python).
+  a JVM expression; a batch is taken in slices of bounded terms and numbers, each
+  distinct term is hashed once while it is remembered, and a slice's count
+  vectors are assembled by one NumPy ``bincount`` (no per-row Python).
 * ``ModelEmbedder`` - any user model ``encode(list[str]) -> ndarray`` run in an
   iterator pandas UDF, loaded once per Python worker and fed in batches.
 """
@@ -27,35 +28,63 @@ from ..functions.tokens import embed_terms
 
 VECTOR = T.ArrayType(T.FloatType(), containsNull=False)
 _TERMS = "__q_terms"
+#: numbers (of vectors, or terms) that a slice of an Arrow batch holds at a time
+SLICE_NUMBERS = 1 << 17
+#: terms whose bucket a task remembers
+KNOWN_TERMS = 1 << 15
+
+
+def _slices(lengths: np.ndarray, dim: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``SLICE_NUMBERS`` terms and vector numbers; a longer
+    row is a range of its own."""
+    ends = np.cumsum(np.maximum(lengths, dim))
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_NUMBERS, "right")))
+        yield a, b
+        a = b
 
 
 def _terms_to_vectors(dim: int, term_col: str, out_col: str):
     """Term lists to unit count vectors. Terms are dictionary-encoded per
-    Arrow batch, so each distinct term is hashed once."""
+    slice, so each distinct term is hashed once."""
+    known: dict[str, int] = {}
+
     def bucket(term: str) -> int:
-        return int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dim
+        got = known.get(term)
+        if got is None:
+            if len(known) >= KNOWN_TERMS:
+                known.clear()
+            got = known[term] = int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dim
+        return got
+
+    def vectors(col: pa.Array, lengths: np.ndarray) -> pa.Array:
+        n = len(col)
+        terms = pc.list_flatten(col).dictionary_encode()
+        of = np.array([bucket(t) for t in terms.dictionary.to_pylist()], np.int64)
+        values = of[terms.indices.to_numpy(zero_copy_only=False)] if len(terms) else np.zeros(0, np.int64)
+        rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
+        counts = np.bincount(rows * dim + values, minlength=n * dim) \
+            .astype(np.float64).reshape(n, dim)
+        norms = np.sqrt((counts * counts).sum(axis=1))
+        safe = np.where(norms > 0, norms, 1.0)
+        vec = (counts / safe[:, None]).astype(np.float32)
+        offsets = pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(vec.ravel()), mask=col.is_null())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            col = rb.column(rb.schema.get_field_index(term_col))
-            n = rb.num_rows
-            lengths = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
-            terms = pc.list_flatten(col).dictionary_encode()
-            of = np.array([bucket(t) for t in terms.dictionary.to_pylist()], np.int64)
-            values = of[terms.indices.to_numpy(zero_copy_only=False)] if len(terms) else np.zeros(0, np.int64)
-            rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
-            counts = np.bincount(rows * dim + values, minlength=n * dim) \
-                .astype(np.float64).reshape(n, dim)
-            norms = np.sqrt((counts * counts).sum(axis=1))
-            safe = np.where(norms > 0, norms, 1.0)
-            vec = (counts / safe[:, None]).astype(np.float32)
-            offsets = pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32))
-            arr = pa.ListArray.from_arrays(offsets, pa.array(vec.ravel()),
-                                           mask=col.is_null())
-            keep = [i for i, f in enumerate(rb.schema) if f.name != term_col]
-            cols = [rb.column(i) for i in keep] + [arr]
+            at = rb.schema.get_field_index(term_col)
+            keep = [i for i in range(rb.num_columns) if i != at]
             names = [rb.schema.field(i).name for i in keep] + [out_col]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            lengths = pc.fill_null(pc.list_value_length(rb.column(at)), 0).to_numpy(zero_copy_only=False)
+            for a, b in _slices(lengths, dim):
+                part = rb.slice(a, b - a)
+                cols = [part.column(i) for i in keep] + [vectors(part.column(at), lengths[a:b])]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+            if not rb.num_rows:
+                yield pa.RecordBatch.from_arrays([rb.column(i) for i in keep] + [vectors(rb.column(at), lengths)], names=names)
+            rb = part = cols = None         # the next batch is read without this one
     return run
 
 

@@ -8,11 +8,12 @@ Plan shape (no cross join, corpus never shuffled):
    the corpus is staged once as Parquet, so later blocks read vectors and
    payload instead of running the corpus plan again.
 2. The corpus is scanned once per block (only key, vector and payload columns
-   are read). Arrow batches are scored by NumPy matrix products in tiles of
-   bounded bytes; of every tile only the top-k per question survives, cut
-   under the full order, so ties (copies, zero vectors) never pile up. Payload
-   is taken for survivors only, and at most ``k x partitions`` rows per
-   question reach the shuffle.
+   are read). Arrow batches are taken in slices of ``SLICE_BYTES`` of vectors and
+   scored by NumPy matrix products in tiles of bounded bytes; of every tile only
+   the top-k per question survives, cut under the full order, so ties (copies,
+   zero vectors) never pile up, and only what reaches the question's k-th score so
+   far. Payload is taken for survivors only, and at most ``k x partitions`` rows
+   per question reach the shuffle.
 3. The final top-k is a ``row_number`` window per question, which Catalyst
    plans as ``WindowGroupLimit`` (partial + final).
 
@@ -41,6 +42,8 @@ from ..session import checkpoint_dir, remove_path, scratch_path
 RANK_DECIMALS = 12
 DEFAULT_BROADCAST_LIMIT = 64 * 1024 * 1024
 TILE_BYTES = 16 * 1024 * 1024
+#: vectors of an Arrow batch that a scorer turns into doubles at a time
+SLICE_BYTES = 2 * 1024 * 1024
 #: candidate rows (questions x k) that a task may hold with their payload
 MAX_CANDIDATES = 32768
 
@@ -86,8 +89,9 @@ def _tile_top(keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 class _Best:
     """Running top-k per question; a batch's survivors carry their payload."""
 
-    def __init__(self, key_cols: list[str], kmax: int):
+    def __init__(self, key_cols: list[str], kmax: int, n: int):
         self.key_cols, self.k = key_cols, kmax
+        self.low = np.full(n, -np.inf)      # the k-th score of each question that has k rows
         self.rows: pa.Table | None = None
         self.q = np.zeros(0, np.int64)
         self.score = np.zeros(0)
@@ -102,7 +106,10 @@ class _Best:
         qs = q[order]
         first = np.r_[True, qs[1:] != qs[:-1]] if len(qs) else np.zeros(0, bool)
         start = np.maximum.accumulate(np.where(first, np.arange(len(qs)), 0)) if len(qs) else qs
-        keep = order[(np.arange(len(qs)) - start) < self.k]
+        place = np.arange(len(qs)) - start
+        keep = order[place < self.k]
+        full = order[place == self.k - 1]
+        self.low[q[full]] = key[full]
         self.rows = table.take(pa.array(keep)).combine_chunks()
         self.q, self.score, self.key = q[keep], score[keep], key[keep]
 
@@ -132,13 +139,15 @@ def _scorer(bc, key_cols: Sequence[str], vec_col: str, payload: Sequence[str],
         b = bc.value
         Q, qids, asked = b["Q"], b["qids"], b["k"]
         probed = _probed(Q, *b["cells"]) if cell_col else None
-        best = _Best(key_cols, kmax)
-        for rb in batches:
+        best = _Best(key_cols, kmax, len(qids))
+
+        def score(rb: pa.RecordBatch) -> None:
             at, C = _vectors(rb.column(rb.schema.get_field_index(vec_col)), Q.shape[1])
             if not len(at):
-                continue
-            small = pa.Table.from_batches([rb]).select(carry).take(pa.array(at))
-            order = pc.sort_indices(small, sort_keys=[(c, "ascending") for c in dict.fromkeys(key_cols)]).to_numpy()
+                return
+            small = pa.Table.from_batches([rb]).select(carry)
+            order = pc.sort_indices(small.select(list(dict.fromkeys(key_cols))).take(pa.array(at)),
+                                    sort_keys=[(c, "ascending") for c in dict.fromkeys(key_cols)]).to_numpy()
             groups = [(order, np.arange(len(qids)))]
             if cell_col:
                 cell = rb.column(rb.schema.get_field_index(cell_col)).to_numpy(zero_copy_only=False)[at][order]
@@ -153,7 +162,16 @@ def _scorer(bc, key_cols: Sequence[str], vec_col: str, payload: Sequence[str],
                         S = C[part] @ Q[qs].T
                         keys = np.round(S, RANK_DECIMALS)
                         r, c = _tile_top(keys, kmax)
-                        best.add(small.take(pa.array(part[r])), qs[c], S[r, c], keys[r, c])
+                        reach = keys[r, c] >= best.low[qs[c]]
+                        r, c = r[reach], c[reach]
+                        if len(r):
+                            best.add(small.take(pa.array(at[part[r]])), qs[c], S[r, c], keys[r, c])
+
+        for rb in batches:
+            rows = max(1, SLICE_BYTES // (8 * max(1, Q.shape[1])))
+            for a in range(0, rb.num_rows, rows):
+                score(rb.slice(a, rows))
+            rb = None                       # the next batch is read without this one
         if best.rows is None:
             return
         cols = {"query_id": qids.take(pa.array(best.q)), "score": pa.array(best.score), "score_key": pa.array(best.key),

@@ -1,6 +1,7 @@
 """Exact and cell-pruned search, index persistence, context budget.
 Brute force in NumPy is the oracle (the reference tests only counts)."""
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,3 +228,51 @@ def test_sql_dot_agrees_with_arrow_scorer(spark):
         lit = F.array(*[F.lit(float(x)) for x in q[qi]])
         for r in idx.select("chunk_index", dot(lit, "embedding").alias("s")).collect():
             assert abs(arrow[(qi, r.chunk_index)] - r.s) < 1e-6
+
+
+def test_embedder_takes_a_batch_in_bounded_slices(monkeypatch):
+    """The vectors of a large batch are never all assembled at once, and equal
+    those of row after row."""
+    from quarry.operators import embed as E
+    rnd = np.random.default_rng(4)
+    words = [[f"w{int(x)}" for x in rnd.integers(0, 900, int(n))] for n in rnd.integers(0, 60, 5000)]
+    words[7], words[8], words[9] = None, [], [f"long{i}" for i in range(E.SLICE_NUMBERS + 1)]
+    rb = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array(words, pa.list_(pa.string()))], names=["id", "t"])
+    monkeypatch.setattr(E, "KNOWN_TERMS", 100)
+    got = list(E._terms_to_vectors(64, "t", "v")(iter([rb])))
+    assert max(b.num_rows for b in got) <= E.SLICE_NUMBERS // 64 and len(got) > 2
+    assert [i for b in got for i in b.column("id").to_pylist()] == list(range(5000))
+    vecs = [v for b in got for v in b.column("v").to_pylist()]
+    assert vecs[7] is None and set(vecs[8]) == {0.0}
+    for i in (0, 9, 1234, 4999):
+        one = next(E._terms_to_vectors(64, "t", "v")(iter([rb.slice(i, 1)])))
+        assert one.column("v").to_pylist()[0] == vecs[i]
+    assert sum(b.num_rows for b in E._terms_to_vectors(64, "t", "v")(iter([rb.slice(0, 0)]))) == 0
+
+
+def test_scorer_takes_a_batch_in_bounded_slices(monkeypatch):
+    """Equal scores across slices are cut under the order of the keys."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import types as T
+
+    from quarry.operators import search as S
+    rnd = np.random.default_rng(6)
+    n, dim, k = 40_000, 16, 3
+    V = rnd.integers(-1, 2, (n, dim)).astype(float)
+    V[rnd.random(n) < 0.3] = V[0]
+    keys = rnd.permutation(n)
+    Q = np.vstack([V[0], rnd.normal(size=(4, dim)), np.zeros(dim)])
+    bc = SimpleNamespace(value={"Q": Q, "qids": pa.array(range(6)), "k": np.full(6, k)})
+    out = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("score_key", T.DoubleType()),
+                        T.StructField("__k", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("name", T.StringType())])
+    rows, old = [], S._vectors
+    monkeypatch.setattr(S, "_vectors", lambda col, d: rows.append(len(col)) or old(col, d))
+    rb = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(V)), pa.array([f"n{i}" for i in keys])], names=["vec_id", "embedding", "name"])
+    got = pa.Table.from_batches(S._scorer(bc, ["vec_id"], "embedding", ["name"], k, None, out)(iter([rb]))).to_pylist()
+    assert max(rows) <= S.SLICE_BYTES // (8 * dim) and len(rows) > 1
+    score = np.round(V @ Q.T, S.RANK_DECIMALS)
+    for i in range(6):
+        want = keys[np.lexsort((keys, -score[:, i]))[:k]].tolist()
+        assert [r["vec_id"] for r in got if r["query_id"] == i] == want
+    assert all(r["name"] == f"n{r['vec_id']}" for r in got)
