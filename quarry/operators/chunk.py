@@ -7,6 +7,7 @@ narrow stage (no shuffle). The ordinal in the array is ``chunk_index``.
 from __future__ import annotations
 
 import re
+from typing import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -74,20 +75,24 @@ PIECES_CHARS = 1 << 19
 
 def python_pieces(fn):
     """UD4: a tokenizer column from ``fn(list[str]) -> list[list[str]]``; a null
-    text has no pieces. ``fn`` gets about ``PIECES_CHARS`` of texts at a time, so
-    that an Arrow batch's pieces are never all Python strings at once."""
+    text has no pieces. ``fn`` gets about ``PIECES_CHARS`` of texts at a time, and
+    their pieces leave before the next are made, so that a worker never holds those
+    of a whole Arrow batch."""
     kind = pa.list_(pa.string())
 
     @F.arrow_udf("array<string>")
-    def pieces(texts: pa.Array) -> pa.Array:
-        parts, block, held = [], [], 0
-        for t in texts:
-            block.append(t.as_py() or "")
-            held += len(block[-1])
-            if held >= PIECES_CHARS:
-                parts.append(pa.array(fn(block), kind))
-                block, held = [], 0
-        return pa.concat_arrays([*parts, pa.array(fn(block), kind)])
+    def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            block, held = [], 0
+            for t in texts:
+                block.append(t.as_py() or "")
+                held += len(block[-1])
+                if held >= PIECES_CHARS:
+                    yield pa.array(fn(block), kind)
+                    block, held = [], 0
+            if block:
+                yield pa.array(fn(block), kind)
+            texts = t = block = None        # the next batch is read without this one
 
     return pieces
 
