@@ -929,18 +929,21 @@ def doc_ranges(spark, sf_dir):
 
 
 def _docx_bytes(df: DataFrame) -> DataFrame:
-    """DOCX packages built from each document's lines (one paragraph each)."""
-    import pandas as pd
+    """DOCX packages built from each document's lines (one paragraph each), a few
+    hundred at a time."""
+    import pyarrow as pa
     from ..sources.files import make_docx
 
-    def run(frames):
-        for pdf in frames:
-            yield pd.DataFrame({
-                "filepath": [f"doc-{i}.docx" for i in pdf["doc_id"]],
-                "filename": [f"doc-{i}.docx" for i in pdf["doc_id"]],
-                "format": ".docx",
-                "content": [make_docx((t or "").split("\n")) for t in pdf["text"]]})
-    return df.select("doc_id", "text").mapInPandas(
+    def run(batches):
+        for rb in batches:
+            for a in range(0, rb.num_rows, 256):
+                part = rb.slice(a, 256)
+                names = [f"doc-{i}.docx" for i in part.column(0).to_pylist()]
+                made = [make_docx((t or "").split("\n")) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names), pa.array([".docx"] * len(names)), pa.array(made, pa.binary())],
+                                                 names=["filepath", "filename", "format", "content"])
+            rb = part = names = made = None     # the next batch is read without this one
+    return df.select("doc_id", "text").mapInArrow(
         run, "filepath string, filename string, format string, content binary") \
         .withColumn("size_bytes", F.length("content").cast("long"))
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from typing import Callable
+from typing import Callable, Iterator, Tuple
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -95,6 +95,9 @@ def make_docx(paragraphs: list[str]) -> bytes:
     return buf.getvalue()
 
 
+#: characters of extracted text that a worker holds before it hands them on; a row counts some too
+EXTRACT_CHARS, ROW_CHARS = 1 << 20, 200
+
 EXTRACTORS: dict[str, Callable[[bytes], str]] = {".docx": docx_text}
 
 
@@ -110,25 +113,35 @@ def parse_files(files: DataFrame, extractors: dict | None = None) -> DataFrame:
     registry's extractors ship with the task."""
     reg = dict(EXTRACTORS if extractors is None else extractors)
 
+    kind = pa.struct([("text", pa.string()), ("error", pa.string())])
+
     @F.arrow_udf("struct<text:string,error:string>")
-    def extract(formats: pa.Array, contents: pa.Array) -> pa.Array:
-        out = []
-        for fmt, data in zip(formats, contents):
-            fn = reg.get(fmt.as_py())
-            if not data.is_valid:
-                out.append({"text": None, "error": None})
-            elif fn is None:
-                out.append({"text": None, "error": f"no extractor for {fmt.as_py()}"})
-            else:
-                try:
-                    out.append({"text": fn(data.as_py()), "error": None})
-                except Exception as e:  # noqa: BLE001 - quarantined, never fatal
-                    out.append({"text": None, "error": f"{type(e).__name__}: {e}"})
-        return pa.array(out, pa.struct([("text", pa.string()), ("error", pa.string())]))
+    def extract(batches: Iterator[Tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for formats, contents in batches:
+            out, held = [], 0
+            for fmt, data in zip(formats, contents):
+                fn = reg.get(fmt.as_py())
+                if not data.is_valid:
+                    out.append({"text": None, "error": None})
+                elif fn is None:
+                    out.append({"text": None, "error": f"no extractor for {fmt.as_py()}"})
+                else:
+                    try:
+                        out.append({"text": fn(data.as_py()), "error": None})
+                    except Exception as e:  # noqa: BLE001 - quarantined, never fatal
+                        out.append({"text": None, "error": f"{type(e).__name__}: {e}"})
+                held += ROW_CHARS + len(out[-1]["text"] or "")
+                if held >= EXTRACT_CHARS:
+                    yield pa.array(out, kind)
+                    out, held = [], 0
+            if out:
+                yield pa.array(out, kind)
+            formats = contents = data = out = None      # the next batch is read without this one
 
     plain = F.col("format") == ".txt"
     decoded = F.try_validate_utf8(F.when(plain, F.col("content").cast("string")))
-    other = extract("format", F.when(~plain, F.col("content")))
+    # or else a filter on the error extracts every file a second time
+    other = extract.asNondeterministic()("format", F.when(~plain, F.col("content")))
     got = files.select("filepath", "filename", "format", "size_bytes", decoded.alias("__t"), other.alias("__x"))
     return got.select("filepath", "filename", "format", "size_bytes",
                       F.when(plain, strip(F.col("__t"))).otherwise(F.col("__x.text")).alias("text"),

@@ -3,6 +3,7 @@ semantic rules S1-S9."""
 import math
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +184,34 @@ def test_lines_tested_stripped_but_kept_unstripped(spark):
 def test_unicode_strip(spark):
     # Strip removes Unicode whitespace, not only ASCII spaces
     assert _clean(spark, " \u3000text\u2003") == "text"
+
+
+def test_extractors_and_tokenizers_hand_on_bounded_parts(spark, monkeypatch):
+    """A batch's texts leave the worker part by part, each file is extracted
+    once, and rows keep their order."""
+    from quarry.operators import chunk
+    from quarry.sources import files as S
+
+    def once(data):
+        if data[:1] == b"!":
+            raise ValueError("bad")
+        return data.decode() * 2
+
+    rows = [(f"f{i}.x" if i % 5 else f"f{i}.y", ".x" if i % 5 else ".y", None if i % 7 == 0 else ((b"!" if i % 3 == 0 else b"") + b"t%d" % i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "filepath string, format string, content binary").coalesce(1).selectExpr(
+        "filepath", "filepath AS filename", "format", "length(content) AS size_bytes", "content")
+    monkeypatch.setattr(S, "EXTRACT_CHARS", 3000)
+    docs, bad = S.split_documents(df, {".x": once})
+    good = {r.doc_id: r.text for r in docs.collect()}
+    want = {p: None if c is None else c.decode() * 2 for p, f, c in rows if c is None or (f == ".x" and c[:1] != b"!")}
+    assert good == want
+    assert {r.doc_id: r.error for r in bad.collect()} == {
+        p: "ValueError: bad" if f == ".x" else "no extractor for .y" for p, f, c in rows if p not in want}
+    plan = docs.select("doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    udf = chunk.python_pieces(lambda texts: [list(t) for t in texts]).func
+    parts = list(udf(iter([pa.array(["ab" * 1000, None, ""] * 2000)])))
+    assert len(parts) > 5 and sum(map(len, parts)) == 6000
+    assert max(sum(map(len, p.to_pylist())) for p in parts) <= chunk.PIECES_CHARS + 2000
+    sizes = [len(x) for p in parts for x in p.to_pylist()]
+    assert sizes == [2000, 0, 0] * 2000
