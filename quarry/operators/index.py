@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import path_exists, remove_path
-from .search import DEFAULT_BROADCAST_LIMIT, RANK_DECIMALS, TILE_BYTES, _vectors, knn
+from .search import DEFAULT_BROADCAST_LIMIT, RANK_DECIMALS, SLICE_BYTES, TILE_BYTES, _vectors, knn
 
 #: the cell of vectors that search leaves out (null or not finite)
 UNUSABLE_CELL = -1
@@ -37,11 +37,17 @@ UNUSABLE_CELL = -1
 MANIFEST = "version long, folder string, type string, width int, cells int, deltas array<string>"
 
 
+#: vectors, as doubles, that one task of a training keeps
+TRAIN_BYTES = 32 * 1024 * 1024
+
+
 def train_cells(vectors: DataFrame, nlist: int = 100, vec_col: str = "embedding",
                 seed: int = 42, max_iter: int = 20) -> DataFrame:
     """``cell INT, centroid ARRAY<DOUBLE>`` (unit length). KMeans runs
     distributed (k-means|| start, one aggregation pass per iteration); only
-    the ``nlist`` centres come back to the driver."""
+    the ``nlist`` centres come back to the driver. More than ``TRAIN_BYTES`` of
+    vectors are dealt out, so that a task's share does not grow with the table
+    (a stored vector column is small, and a scan cuts it into few partitions)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -49,9 +55,13 @@ def train_cells(vectors: DataFrame, nlist: int = 100, vec_col: str = "embedding"
 
     spark = vectors.sparkSession
     nz = vectors.select(vec_col).filter(sum_squares(vec_col) > 0)
-    n = nz.count()
+    r = nz.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("w")).first()
+    n = r["n"]
     if n == 0:
         raise ValueError("no non-zero vectors to train on")
+    shares = math.ceil(n * r["w"] * 8 / TRAIN_BYTES)
+    if shares > 1:
+        nz = nz.repartition(max(shares, spark.sparkContext.defaultParallelism))
     k = max(1, min(nlist, n))  # S12
     if k == 1:
         dim = len(nz.first()[0])
@@ -124,15 +134,16 @@ def _assigner(bc, vec_col: str, names: list[str]):
     """Compares each row's best cell so far with a block of centroids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cent, cells = bc.value
-        step = max(1, TILE_BYTES // (8 * len(cells)))
+        step = max(1, min(TILE_BYTES // (8 * len(cells)), SLICE_BYTES // (8 * max(1, cent.shape[1]))))
         for rb in batches:
-            at, V = _vectors(rb.column(rb.schema.get_field_index(vec_col)), cent.shape[1])
+            vecs = rb.column(rb.schema.get_field_index(vec_col))
             cell = rb.column(rb.schema.get_field_index("cell")).to_numpy(zero_copy_only=False).copy()
             best = rb.column(rb.schema.get_field_index("__best")).to_numpy(zero_copy_only=False).copy()
-            for a in range(0, len(at), step):
-                S = np.round(V[a:a + step] @ cent.T, RANK_DECIMALS)
+            for a in range(0, len(vecs), step):
+                at, V = _vectors(vecs.slice(a, step), cent.shape[1])
+                S = np.round(V @ cent.T, RANK_DECIMALS)
                 top = np.argmax(S, axis=1)             # first maximum = lowest cell
-                score, rows = S[np.arange(len(top)), top], at[a:a + step]
+                score, rows = S[np.arange(len(top)), top], at + a
                 win = score > best[rows]
                 cell[rows[win]], best[rows[win]] = cells[top[win]], score[win]
             made = {"cell": pa.array(cell, pa.int32()), "__best": pa.array(best, pa.float64())}

@@ -276,3 +276,16 @@ def test_scorer_takes_a_batch_in_bounded_slices(monkeypatch):
         want = keys[np.lexsort((keys, -score[:, i]))[:k]].tolist()
         assert [r["vec_id"] for r in got if r["query_id"] == i] == want
     assert all(r["name"] == f"n{r['vec_id']}" for r in got)
+
+
+def test_training_deals_out_many_vectors(spark, monkeypatch):
+    """However few partitions hold them, a task of the training has a bounded share."""
+    from pyspark.ml.clustering import KMeans
+
+    from quarry.operators import index as I
+    v = _index(spark, 600, 8)[1].coalesce(1)
+    seen, old = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, df, *a: seen.append(df.rdd.glom().map(len).collect()) or old(self, df, *a))
+    monkeypatch.setattr(I, "TRAIN_BYTES", 8 * 8 * 40)
+    assert train_cells(v, 4).count() == 4
+    assert sum(seen[0]) == 600 and max(seen[0]) <= 60
