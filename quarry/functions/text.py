@@ -5,6 +5,9 @@ array functions); no Python runs per row.
 """
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,10 +54,19 @@ def strip(x) -> Column:
 _HSPACE_TO_FIX = r"[ \t]{2,}|\t"
 
 
+def _where(x, needed, change) -> Column:
+    """``change`` of the text where ``needed`` says so, else the text as it is;
+    bound once through a single-element ``transform``."""
+    return F.element_at(F.transform(F.array(_c(x)), lambda c: F.when(needed(c), change(c)).otherwise(c)), 1)
+
+
 def normalize_whitespace(x) -> Column:
-    """PF1: blank-line runs to one blank line, space/tab runs to one space."""
-    c = F.regexp_replace(_c(x), BLANK_RUN, "\n\n")
-    return F.regexp_replace(c, _HSPACE_TO_FIX, " ")
+    """PF1: blank-line runs to one blank line, space/tab runs to one space. A
+    text is only matched against a pattern if it holds what the pattern starts
+    with."""
+    c = _where(x, lambda t: F.contains(t, F.lit("\n\n\n")), lambda t: F.regexp_replace(t, BLANK_RUN, "\n\n"))
+    return _where(c, lambda t: F.contains(t, F.lit("  ")) | F.contains(t, F.lit("\t")),
+                  lambda t: F.regexp_replace(t, _HSPACE_TO_FIX, " "))
 
 
 def is_header_footer(line: Column) -> Column:
@@ -74,13 +86,21 @@ def remove_headers_footers(x) -> Column:
 
 def fix_encoding_artifacts(x) -> Column:
     """PF3: typographic characters to ASCII. One-to-one pairs go through a
-    single ``translate``; the two one-to-many pairs through ``replace``."""
+    single ``translate``; the two one-to-many pairs through ``replace``. Texts
+    without any of them, ASCII ones first, are left alone."""
     one_to_one = {k: v for k, v in CHAR_MAP.items() if len(v) == 1}
-    c = F.translate(_c(x), "".join(one_to_one), "".join(one_to_one.values()))
-    for k, v in CHAR_MAP.items():
-        if len(v) > 1:
-            c = F.replace(c, F.lit(k), F.lit(v))
-    return c
+
+    def needed(t):
+        return (F.octet_length(t) > F.char_length(t)) & reduce(or_, (F.contains(t, F.lit(k)) for k in CHAR_MAP))
+
+    def fix(t):
+        c = F.translate(t, "".join(one_to_one), "".join(one_to_one.values()))
+        for k, v in CHAR_MAP.items():
+            if len(v) > 1:
+                c = F.replace(c, F.lit(k), F.lit(v))
+        return c
+
+    return _where(x, needed, fix)
 
 
 def clean_text(x) -> Column:

@@ -23,6 +23,18 @@ def word_pieces(x) -> Column:
     return F.regexp_extract_all(_c(x), F.lit(WORD_PIECE), 0)
 
 
+def word_run(n: int) -> str:
+    """A pattern of as many pieces in a row as there are, at most ``n``. It never
+    goes back: a piece cannot end elsewhere, and a run takes no stack."""
+    return rf"(?:\s*+\S++){{1,{n}}}+"
+
+
+def word_runs(x, n: int) -> Column:
+    """The text of ``word_pieces`` in runs of ``n`` pieces (the last may have
+    fewer)."""
+    return F.regexp_extract_all(_c(x), F.lit(word_run(n)), 0)
+
+
 def window_starts(n_tokens: Column, size: int, overlap: int) -> Column:
     """Window starts 0, step, 2*step ... while start < n (S5); empty for 0
     tokens. The last window may lie wholly inside the one before it."""

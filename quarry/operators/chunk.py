@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.udtf import AnalyzeResult
 
-from ..functions.tokens import WORD_PIECE, window_starts, word_pieces
+from ..functions.tokens import WORD_PIECE, window_starts, word_pieces, word_run, word_runs
 from ..session import scratch_path
 
 CHUNK_COLS = ("chunk_index", "token_count", "chunk_text")
@@ -33,6 +33,24 @@ def windows_of_pieces(pieces, size: int, overlap: int):
     return F.transform(starts, one)
 
 
+def windows_of_runs(runs, size: int, overlap: int):
+    """The windows of ``windows_of_pieces`` over ``word_runs(text, size - overlap)``
+    (pass a column reference), for an overlap of at most a run: a window is a run
+    and the first ``overlap`` pieces of the next. Only the last run's pieces are
+    counted, since the others are full."""
+    step = size - overlap
+    n = F.size(runs)
+    rest = F.size(word_pieces(F.element_at(runs, -1)))
+
+    def one(run, i):
+        last = i + 1 == n
+        head = F.regexp_extract(F.get(runs, i + 1), word_run(overlap), 0) if overlap else F.lit("")
+        more = F.when(i + 2 == n, F.least(F.lit(overlap), rest)).otherwise(F.lit(overlap))
+        return F.struct(F.when(last, run).otherwise(F.concat(run, head)).alias("chunk_text"),
+                        F.when(last, rest).otherwise(F.lit(step) + more).alias("token_count"))
+    return F.transform(runs, one)
+
+
 def chunk_column(text, size: int, overlap: int):
     """Windows of one text; the token array is bound once through a
     single-element ``transform`` so it is not re-extracted per window."""
@@ -55,11 +73,15 @@ def chunk_documents(docs: DataFrame, size: int = 512, overlap: int = 50,
     if overlap < 0 or overlap >= size:
         raise ValueError("chunk_overlap must be in [0, chunk_size)")
     keep = [c for c in docs.columns if not (drop_text and c == text_col)]
-    # tokenise once per document, then cut every window from that array
-    staged = docs.select(*keep, (tokenizer or word_pieces)(F.col(text_col)).alias("__p"))
-    out = staged.select(
+    # tokenise once per document, then cut every window from that array; the
+    # built-in pieces need not be taken apart where a window meets two runs only
+    if tokenizer is None and overlap <= size - overlap:
+        pieces, windows = word_runs(F.col(text_col), size - overlap), windows_of_runs
+    else:
+        pieces, windows = (tokenizer or word_pieces)(F.col(text_col)), windows_of_pieces
+    out = docs.select(*keep, pieces.alias("__p")).select(
         *keep,
-        F.posexplode(windows_of_pieces(F.col("__p"), size, overlap)).alias("chunk_index", "__w"),
+        F.posexplode(windows(F.col("__p"), size, overlap)).alias("chunk_index", "__w"),
     ).select(
         *keep,
         F.col("chunk_index").cast("int").alias("chunk_index"),

@@ -48,20 +48,27 @@ def _slices(lengths: np.ndarray, dim: int) -> Iterator[tuple[int, int]]:
 def _terms_to_vectors(dim: int, term_col: str, out_col: str):
     """Term lists to unit count vectors. Terms are dictionary-encoded per
     slice, so each distinct term is hashed once."""
-    known: dict[str, int] = {}
-
-    def bucket(term: str) -> int:
-        got = known.get(term)
-        if got is None:
-            if len(known) >= KNOWN_TERMS:
+    known: dict[bytes, int] = {}
+
+    def buckets(terms: list[bytes]) -> np.ndarray:
+        got = list(map(known.get, terms))
+        new = [t for t, g in zip(terms, got) if g is None]
+        if new:
+            # the first four bytes of each digest, as one array
+            heads = np.frombuffer(b"".join([hashlib.md5(t).digest()[:4] for t in new]), ">u4") % dim
+            if len(known) + len(new) > KNOWN_TERMS:
                 known.clear()
-            got = known[term] = int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dim
-        return got
+            known.update(zip(new[:KNOWN_TERMS], heads[:KNOWN_TERMS].tolist()))
+            if len(new) == len(terms):
+                return heads.astype(np.int64)
+            it = iter(heads.tolist())
+            got = [next(it) if g is None else g for g in got]
+        return np.array(got, np.int64)
 
     def vectors(col: pa.Array, lengths: np.ndarray) -> pa.Array:
         n = len(col)
         terms = pc.list_flatten(col).dictionary_encode()
-        of = np.array([bucket(t) for t in terms.dictionary.to_pylist()], np.int64)
+        of = buckets(terms.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
         values = of[terms.indices.to_numpy(zero_copy_only=False)] if len(terms) else np.zeros(0, np.int64)
         rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
         counts = np.bincount(rows * dim + values, minlength=n * dim) \

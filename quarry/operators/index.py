@@ -37,6 +37,8 @@ UNUSABLE_CELL = -1
 MANIFEST = "version long, folder string, type string, width int, cells int, deltas array<string>"
 
 
+#: what a broadcast id or text digest takes, about
+KEY_BYTES = 128
 #: vectors, as doubles, that one task of a training keeps
 TRAIN_BYTES = 32 * 1024 * 1024
 
@@ -278,7 +280,9 @@ def load_table(spark: SparkSession, path: str, m: dict, name: str = "data") -> D
             gone = part if gone is None else gone.unionAll(part)
     if gone is None:
         return rows.drop("__seq")
+    few = gone.count() * KEY_BYTES <= DEFAULT_BROADCAST_LIMIT
     gone = gone.groupBy("doc_id").agg(F.max("__gone").alias("__gone"))
+    gone = F.broadcast(gone) if few else gone       # or else every row of the index is shuffled
     return rows.join(gone, "doc_id", "left").where("__gone IS NULL OR __seq >= __gone").select(*base.columns)
 
 

@@ -235,42 +235,56 @@ def update_index(spark, docs: DataFrame, save_path: str, cfg: Config = DEFAULT,
     digest of their text: a vector that the index holds is taken from it (only
     digest and vector columns are read), and of the others each different text
     is embedded once. The result goes to the index as a delta; the first call
-    builds the base. Returns the counters of the call."""
-    from ..operators.index import append_delta, load_index, load_table, manifest, save_index
+    builds the base, and compares with nothing. Ids and digests that are few
+    (``cfg.broadcast_limit_bytes``) are broadcast, so that neither the documents'
+    texts nor the index's vectors are shuffled to meet them. Returns the counters
+    of the call."""
+    from ..operators.index import KEY_BYTES, append_delta, load_index, load_table, manifest, save_index
     embedder = embedder or default_embedder(cfg)
     cfg.validate()
     m = manifest(spark, save_path)
     digest = F.md5(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}))
-    now = docs.select("doc_id", digest.alias("digest"))
-    empty = spark.createDataFrame([], now.schema)
-    had = load_table(spark, save_path, m, "documents") if m else empty
-    state = now.join(had.select("doc_id", F.col("digest").alias("old")), "doc_id", "full_outer").select(
-        "doc_id", "digest", F.when(F.col("old").isNull(), "new").when(F.col("digest").isNull(), "deleted")
-        .when(F.col("digest") != F.col("old"), "changed").otherwise("same").alias("state"))
+    state = docs.select("doc_id", digest.alias("digest"))
+    if m:
+        had = load_table(spark, save_path, m, "documents").select("doc_id", F.col("digest").alias("old"))
+        state = state.join(had, "doc_id", "full_outer").select(
+            "doc_id", "digest", F.when(F.col("old").isNull(), "new").when(F.col("digest").isNull(), "deleted")
+            .when(F.col("digest") != F.col("old"), "changed").otherwise("same").alias("state"))
+    else:
+        state = state.withColumn("state", F.lit("new"))
     checkpoint_dir(spark)
     state = state.checkpoint()
+    seen = {r["state"]: r["count"] for r in state.groupBy("state").count().collect()}
     todo = state.where("state IN ('new', 'changed')").select("doc_id", "digest")
-    made = chunk_documents(clean_documents(docs.join(todo.select("doc_id"), "doc_id", "left_semi")), cfg.chunk_size, cfg.chunk_overlap)
+
+    def few(keys: DataFrame, n: int) -> DataFrame:
+        return F.broadcast(keys) if n * KEY_BYTES <= cfg.broadcast_limit_bytes else keys
+
+    if m:
+        picked = docs.join(few(todo.select("doc_id"), seen.get("new", 0) + seen.get("changed", 0)), "doc_id", "left_semi")
+    else:
+        picked = docs.where(F.col("doc_id").isNotNull())
+    made = chunk_documents(clean_documents(picked), cfg.chunk_size, cfg.chunk_overlap)
     staged, vectors = scratch_path(spark, "update-chunks"), scratch_path(spark, "update-vectors")
     made.withColumn("chunk_hash", F.md5("chunk_text")).write.parquet(staged)
     chunks = spark.read.parquet(staged)
+    n_chunks = chunks.count()
     texts = chunks.groupBy("chunk_hash").agg(F.first("chunk_text").alias("chunk_text"))
     if m:
         index = load_index(spark, save_path)[0].select("chunk_hash", "embedding")
-        known = index.join(texts.select("chunk_hash"), "chunk_hash", "left_semi").groupBy("chunk_hash").agg(F.first("embedding").alias("embedding"))
+        known = index.join(few(texts.select("chunk_hash"), n_chunks), "chunk_hash", "left_semi").groupBy("chunk_hash").agg(F.first("embedding").alias("embedding"))
         known.withColumn("embedded", F.lit(False)).write.parquet(vectors)
         texts = texts.join(spark.read.parquet(vectors).select("chunk_hash"), "chunk_hash", "left_anti")
     embedder.embed(texts, "chunk_text", "embedding").select("chunk_hash", "embedding", F.lit(True).alias("embedded")).write.mode("append").parquet(vectors)
     vecs = spark.read.parquet(vectors)
     rows = chunks.join(vecs.drop("embedded"), "chunk_hash")
-    seen = {r["state"]: r["count"] for r in state.groupBy("state").count().collect()}
     embedded = vecs.where("embedded").count()
     if m is None:
         save_index(rows, save_path, extra={"documents": todo})
     elif seen.get("new", 0) + seen.get("changed", 0) + seen.get("deleted", 0):
         append_delta(spark, save_path, rows, state.where("state IN ('changed', 'deleted')").select("doc_id"), {"documents": todo})
     out = {"new": seen.get("new", 0), "changed": seen.get("changed", 0), "deleted": seen.get("deleted", 0), "unchanged": seen.get("same", 0),
-           "chunks_made": chunks.count(), "chunks_embedded": embedded, "version": manifest(spark, save_path)["version"]}
+           "chunks_made": n_chunks, "chunks_embedded": embedded, "version": manifest(spark, save_path)["version"]}
     for path in (staged, vectors):
         remove_path(spark, path)
     return out
