@@ -234,7 +234,8 @@ def update_index(spark, docs: DataFrame, save_path: str, cfg: Config = DEFAULT,
     deleted; only new and changed ones are cleaned and chunked. Chunks carry a
     digest of their text: a vector that the index holds is taken from it (only
     digest and vector columns are read), and of the others each different text
-    is embedded once. The result goes to the index as a delta; the first call
+    is embedded once: in its row while it is written, if no other chunk has it,
+    so that it is not shuffled to its vector. The result goes to the index as a delta; the first call
     builds the base, and compares with nothing. Ids and digests that are few
     (``cfg.broadcast_limit_bytes``) are broadcast, so that neither the documents'
     texts nor the index's vectors are shuffled to meet them. Returns the counters
@@ -265,26 +266,40 @@ def update_index(spark, docs: DataFrame, save_path: str, cfg: Config = DEFAULT,
     else:
         picked = docs.where(F.col("doc_id").isNotNull())
     made = chunk_documents(clean_documents(picked), cfg.chunk_size, cfg.chunk_overlap)
-    staged, vectors = scratch_path(spark, "update-chunks"), scratch_path(spark, "update-vectors")
+    staged, vectors, shared = (scratch_path(spark, f"update-{name}") for name in ("chunks", "vectors", "shared"))
     made.withColumn("chunk_hash", F.md5("chunk_text")).write.parquet(staged)
     chunks = spark.read.parquet(staged)
     n_chunks = chunks.count()
-    texts = chunks.groupBy("chunk_hash").agg(F.first("chunk_text").alias("chunk_text"))
+    # texts that several chunks have, or that the index knows, take their vector from a table
+    chunks.groupBy("chunk_hash").count().where("count > 1").select("chunk_hash").write.parquet(shared)
     if m:
         index = load_index(spark, save_path)[0].select("chunk_hash", "embedding")
-        known = index.join(few(texts.select("chunk_hash"), n_chunks), "chunk_hash", "left_semi").groupBy("chunk_hash").agg(F.first("embedding").alias("embedding"))
+        wanted = few(chunks.select("chunk_hash").distinct(), n_chunks)
+        known = index.join(wanted, "chunk_hash", "left_semi").groupBy("chunk_hash").agg(F.first("embedding").alias("embedding"))
         known.withColumn("embedded", F.lit(False)).write.parquet(vectors)
+        spark.read.parquet(vectors).select("chunk_hash").write.mode("append").parquet(shared)
+    hashes = spark.read.parquet(shared)
+    n_shared, common, alone = hashes.count(), chunks, None
+    # a cell index is written by ranges, which computes its rows twice
+    if n_shared * KEY_BYTES <= cfg.broadcast_limit_bytes and not (m and m["type"] == "IVFFlat"):
+        common = chunks.join(F.broadcast(hashes), "chunk_hash", "left_semi")
+        alone = chunks.join(F.broadcast(hashes), "chunk_hash", "left_anti")
+    texts = common.groupBy("chunk_hash").agg(F.first("chunk_text").alias("chunk_text"))
+    if m:
         texts = texts.join(spark.read.parquet(vectors).select("chunk_hash"), "chunk_hash", "left_anti")
     embedder.embed(texts, "chunk_text", "embedding").select("chunk_hash", "embedding", F.lit(True).alias("embedded")).write.mode("append").parquet(vectors)
     vecs = spark.read.parquet(vectors)
-    rows = chunks.join(vecs.drop("embedded"), "chunk_hash")
+    rows = common.join(vecs.drop("embedded"), "chunk_hash")
     embedded = vecs.where("embedded").count()
+    if alone is not None:
+        rows = rows.unionByName(embedder.embed(alone, "chunk_text", "embedding"))
+        embedded += alone.count()
     if m is None:
         save_index(rows, save_path, extra={"documents": todo})
     elif seen.get("new", 0) + seen.get("changed", 0) + seen.get("deleted", 0):
         append_delta(spark, save_path, rows, state.where("state IN ('changed', 'deleted')").select("doc_id"), {"documents": todo})
     out = {"new": seen.get("new", 0), "changed": seen.get("changed", 0), "deleted": seen.get("deleted", 0), "unchanged": seen.get("same", 0),
            "chunks_made": n_chunks, "chunks_embedded": embedded, "version": manifest(spark, save_path)["version"]}
-    for path in (staged, vectors):
+    for path in (staged, vectors, shared):
         remove_path(spark, path)
     return out

@@ -42,6 +42,26 @@ def test_texts_and_vectors_are_not_shuffled_to_meet_few_changes(spark, workdir,
     assert _rows(load_index(spark, f"{workdir}/iy")[0]) == want
 
 
+def test_each_text_is_embedded_once_and_only_shared_ones_are_shuffled(spark, workdir, monkeypatch):
+    asked = []
+
+    class Counted(rag.HashedEmbedder):
+        def embed(self, df, text_col="text", out_col="embedding"):
+            asked.append((_plan(df), df.count()))
+            return super().embed(df, text_col, out_col)
+
+    was = [(i, f"alone {i}") for i in range(50)] + [(100 + i, "the same") for i in range(30)]
+    now = was + [(200, "alone 3"), (201, "the same"), (202, "first"), (203, "twice new"), (204, "twice new")]
+    docs = [spark.createDataFrame(x, "doc_id long, text string") for x in (was, now)]
+    for cfg, parts in ((CFG, [1, 50, 1, 1]), (CFG.with_(broadcast_limit_bytes=1), [51, 2])):
+        path, asked[:] = f"{workdir}/i{len(parts)}", []
+        seen = [rag.update_index(spark, d, path, cfg, Counted(16)) for d in docs]
+        assert [s["chunks_embedded"] for s in seen] == [51, 2] and [n for _, n in asked] == parts
+        if len(parts) == 4:
+            assert "hashpartitioning" not in asked[1][0] and "SortMergeJoin" not in asked[1][0]
+        assert _rows(load_index(spark, path)[0]) == _rows(rag.prepare_chunks(docs[1], CFG))
+
+
 def test_windows_of_runs_equal_those_of_pieces(spark):
     rnd = random.Random(3)
     texts = [None, "", " \n\t ", "one", "  lead and tail \n", "é 𝒳 y z w"]
